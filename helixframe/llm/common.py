@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,15 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcasts a value, of which the caller has bounded the size, in a form that workers open without this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(value: Broadcast):
+    return cloudpickle.loads(value.value)
+
+
 # Words of whole Arrow batches, in numpy. Bytes of UTF-8 text are enough, as every separator is ASCII.
 
 SPACES = np.zeros(256, bool)

@@ -1,6 +1,6 @@
 """The queries of this subpackage, each over whole tables, and their SQL."""
 
-from helixframe.llm import mixing
+from helixframe.llm import decontam, mixing, urls
 
-QUERIES = {"op1_mix": mixing.op1_mix}
-ORACLES = {"op1_mix": mixing.OP1_SQL}
+QUERIES = {"op1_mix": mixing.op1_mix, "op2_urls": urls.op2_urls, "op3_decontaminate": decontam.op3_decontaminate}
+ORACLES = {"op1_mix": mixing.OP1_SQL, "op3_decontaminate": decontam.OP3_SQL}
