@@ -1,6 +1,13 @@
 """The queries of this subpackage, each over whole tables, and their SQL."""
 
-from helixframe.llm import decontam, mixing, urls
+from helixframe.llm import decontam, licenses, mixing, quality, topk, urls
 
-QUERIES = {"op1_mix": mixing.op1_mix, "op2_urls": urls.op2_urls, "op3_decontaminate": decontam.op3_decontaminate}
-ORACLES = {"op1_mix": mixing.OP1_SQL, "op3_decontaminate": decontam.OP3_SQL}
+QUERIES = {
+    "op1_mix": mixing.op1_mix,
+    "op2_urls": urls.op2_urls,
+    "op3_decontaminate": decontam.op3_decontaminate,
+    "op4_quality": quality.op4_quality,
+    "op5_licenses": licenses.op5_licenses,
+    "op6_topk": topk.op6_topk,
+}
+ORACLES = {"op1_mix": mixing.OP1_SQL, "op3_decontaminate": decontam.OP3_SQL, "op5_licenses": licenses.OP5_SQL, "op6_topk": topk.OP6_SQL}
