@@ -1,6 +1,6 @@
 """The queries of this subpackage, each over whole tables, and their SQL."""
 
-from helixframe.llm import decontam, langid, licenses, mixing, neardup, pii, quality, topk, urls
+from helixframe.llm import decontam, langid, licenses, lm, mixing, neardup, pii, quality, topk, urls
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_licenses": licenses.op5_licenses,
     "op6_topk": topk.op6_topk,
+    "op7_lm": lm.op7_lm,
     "op8_pii": pii.op8_pii,
     "op9_neardup": neardup.op9_neardup,
     "op10_language": langid.op10_language,
