@@ -20,11 +20,13 @@ HASH_DIGITS, LEVELS = 9, (24, 12, 0)
 MAX_BROADCAST_SOURCES = 100_000
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): words and a hash of the id, equal for equal ids (null counts as empty)."""
+def sized_documents(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, source, size, h) and other columns that are asked for: words, and a hash of the id, equal for equal ids
+    (null counts as empty)."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return docs.select(
         "doc_id",
+        *also,
         F.col("source").cast("string").alias("source"),
         count_space_words(F.col("text")).alias("size"),
         F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long").alias("h"),

@@ -297,6 +297,34 @@ def find_personal_data(docs: DataFrame, spans: str = "spans") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def masked(text: str, spans: list[dict]) -> str:
+    """The text with each span replaced by its kind; spans that overlap become one, named after the first."""
+    out, done = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["start"] >= done:
+            out += [text[done : s["start"]], f"[{s['kind'].upper()}]"]
+        done = max(done, s["end"])
+    return "".join([*out, text[done:]])
+
+
+def mask_personal_data(docs: DataFrame) -> DataFrame:
+    """docs with the spans in `text` replaced; n_chars follows, if there is such a column."""
+    found = find_personal_data(docs, "_spans")
+    schema, names = docs.schema, docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, old = batch.column("_spans").to_pylist(), batch.column("text")
+            texts = [masked(t.as_py(), s) if s else t.as_py() for t, s in zip(old, spans, strict=True)]
+            columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                sizes = [len(t) if s else n for t, s, n in zip(texts, spans, batch.column("n_chars").to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array(sizes, batch.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return found.mapInArrow(run, schema)
+
+
 def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
