@@ -1,9 +1,67 @@
-"""The corpus pipeline: quality, near copies, benchmark passages, personal data, mix."""
+"""The corpus pipeline: five stages over `documents`, each of which works on all that the one before has kept.
 
-STAGES = []
+quality       rejects documents that the quality network scores under its threshold
+near_dedup    keeps one document of each group of near copies (five-word shingles, similarity 0.8)
+decontaminate drops documents of which benchmark windows cover 5 % or more
+pii           masks personal data in the texts
+mix           takes documents by source weights; `taken` is a document's words in the mix, repeats counted
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.llm import decontam, mixing, neardup, pii, quality
+from helixframe.llm.common import checkpoint_dir, cut
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_quality(docs, model, "_score").where(F.col("_score") >= quality.ACCEPT).drop("_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that repeat both id and text count as one document, too."""
+    kept = cut(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    repeated = kept.groupBy("_id", "_hash").count().where("count > 1").limit(1).count()
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    return (rows.dropDuplicates(["doc_id", "_text"]) if repeated else rows).drop("_text")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), found="_found")
+    return found.where(~decontam.contaminated("_found")).drop("_found")
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.mask_personal_data(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(cut(mixing.sized_documents(docs)))
+    others = [c for c in docs.columns if c not in ("doc_id", "source")]
+    return mixing.apply_mix(mixing.sized_documents(docs, *others), plan).where("taken > 0")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("mix", mix_sources),
+]
+#: The stages' models and hashes can't be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
