@@ -36,9 +36,11 @@ TEMPLATES = (
 )
 
 
-def spaced(text: Column) -> Column:
-    """The words, lower-cased, with one space between."""
-    return F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), MARK_CLASS, " "))
+def lowered(text: Column) -> Column:
+    """Lower case; words of ASCII come out as if only A-Z were lowered, for the two letters whose lower case has ASCII
+    in it go the slower way."""
+    odd = text.contains("\u212a") | text.contains("\u0130")
+    return F.when(odd, lower_ascii(text)).otherwise(F.lower(text))
 
 
 def template_sets(templates) -> list[tuple[int, str, list[str], int]]:
@@ -47,25 +49,51 @@ def template_sets(templates) -> list[tuple[int, str, list[str], int]]:
     return [(k, label, words, math.ceil(THRESHOLD * len(words) - 1e-9)) for k, label, words in sets]
 
 
-def similar_blocks(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+def scanned_lines(docs: DataFrame, phrases: Mapping[str, str], known: list[str], least: int) -> DataFrame:
+    """(doc_id, text_hash, n_words, base, blocks), from one pass over the texts: places of phrases with their labels,
+    and lines (number, distinct known words) that hold at least so many known words."""
+    text = lowered(F.coalesce("text", F.lit("")))
+    ends = lambda w: (w[0] == "").cast("int") + ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
+    lines = F.transform(
+        F.transform(F.split(text, "\n"), lambda line: F.split(line, MARK_CLASS)),
+        lambda w: F.struct((F.size(w) - ends(w)).alias("n"), F.array_distinct(F.filter(w, lambda x: x.isin(known))).alias("hits")),
+    )
+    maybe = F.lit(False)
+    for p in phrases:
+        whole = F.lit(True)
+        for w in p.split():
+            whole = whole & text.contains(w)
+        maybe = maybe | whole
+    none = F.slice(F.array(F.struct(F.lit("").alias("label"), F.lit(0).alias("place"))), 1, 0)
+    words = F.filter(F.split(text, MARK_CLASS), lambda x: x != "")
+    named = lambda places, label: F.transform(places, lambda i: F.struct(F.lit(label).alias("label"), i.alias("place")))
+    base = F.transform(F.array(words), lambda w: F.concat(none, *[named(phrase_places(w, p), label) for p, label in phrases.items()]))[0]
+    # As a generator's columns, these aren't worked out again by each of their uses.
+    parsed = F.inline(F.array(F.struct(lines.alias("lines"), F.when(maybe, base).otherwise(none).alias("base"))))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), parsed)
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("block"), x["hits"].alias("hits")))
+    return rows.select(
+        "doc_id", "text_hash", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n_words"), "base",
+        F.filter(numbered, lambda x: F.size(x["hits"]) >= least).alias("blocks"),
+    )
+
+
+def similar_blocks(docs: DataFrame, scanned: DataFrame, sets: list[tuple[int, str, list[str], int]]) -> DataFrame:
     """(doc_id, text_hash, block, label, overlap, size): every line, from 0, that meets a template, with shared words."""
-    sets = template_sets(templates)
-    known, least = sorted({w for _, _, words, _ in sets for w in words}), min(need for *_, need in sets)
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    words = F.array_distinct(F.split(spaced(F.col("line")), " "))
-    blocks = lines.select("doc_id", "text_hash", "block", F.filter(words, lambda w: w.isin(known)).alias("hits"))
+    known = sorted({w for _, _, words, _ in sets for w in words})
     spark = docs.sparkSession
-    freq = blocks.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    # From here the tables on the other side have a row for each template word: their size is that of `templates`.
+    own = F.filter(F.split(lowered(F.col("text")), MARK_CLASS), lambda w: w.isin(known))
+    freq = docs.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    # From here the tables on the other side have a row for each template word: their size is that of the templates.
     pairs = spark.createDataFrame([(k, w, len(words), need) for k, _, words, need in sets for w in words], "template int, word string, size int, need int")
     ranks = cut(pairs.select("word").distinct().join(freq, "word", "left").select("word", F.row_number().over(Window.orderBy(F.coalesce("freq", F.lit(0)), "word")).alias("rank")))
     pairs = pairs.join(F.broadcast(ranks), "word").withColumn("place", F.row_number().over(Window.partitionBy("template").orderBy("rank")))
-    prefix = F.broadcast(pairs.where("place <= size - need + 1").select("template", "word", "size", "need", "place"))
+    prefix = F.broadcast(cut(pairs.where("place <= size - need + 1").select("template", "word", "size", "need", "place")))
     whole = F.broadcast(spark.createDataFrame([(k, label, words) for k, label, words, _ in sets], "template int, label string, words array<string>"))
 
-    long = cut(blocks.where(F.size("hits") >= least))
     key = ["doc_id", "text_hash", "block"]
-    placed = long.dropDuplicates(key).withColumn("n", F.size("hits")).select("*", F.explode("hits").alias("word")).join(F.broadcast(ranks), "word")
+    blocks = scanned.where(F.size("blocks") > 0).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline("blocks"))
+    placed = blocks.withColumn("n", F.size("hits")).select("*", F.explode("hits").alias("word")).join(F.broadcast(ranks), "word")
     placed = placed.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("rank")))
     meets = placed.join(prefix, "word").where(F.col("n") >= F.col("need"))
     first = meets.groupBy(*key, "template").agg(F.min("place").alias("place"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("size").alias("size"), F.first("need").alias("need"), F.first("hits").alias("hits"))
@@ -79,8 +107,7 @@ def phrase_places(words: Column, phrase: str) -> Column:
     parts = phrase.split()
     n = len(parts)
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    here = lambda i: F.slice(words, i + 1, n) == F.array(*map(F.lit, parts))
-    return F.filter(starts, here)
+    return F.filter(starts, lambda i: F.slice(words, i + 1, n) == F.array(*map(F.lit, parts)))
 
 
 def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -89,25 +116,19 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
     The score is 1 if a phrase stands in the text, else the largest share of a template's words that one line holds, if
     that reaches THRESHOLD, else 0. Null and empty texts have no words and no labels; rows that share id and text get
     equal results; an empty table gives an empty result. Only doc_id and text are read."""
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), spaced(F.col("text")).alias("t"))
-    held = lambda p: F.concat(F.lit(" "), "t", F.lit(" ")).contains(f" {p} ")
-    places = [F.when(held(p), phrase_places(F.split("t", " "), p)).otherwise(F.array().cast("array<int>")) for p in phrases]
-    base = base.select(
-        "doc_id", "text_hash",
-        F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
-        F.concat(*places).alias("places"),
-        F.array_compact(F.array(*[F.when(held(p), label) for p, label in phrases.items()])).alias("base_labels"),
-    )
-    found = similar_blocks(docs, templates).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("share"))
+    sets = template_sets(templates)
+    known, least = sorted({w for _, _, words, _ in sets for w in words}), min(need for *_, need in sets)
+    scanned = cut(scanned_lines(docs, phrases, known, least))
+    found = similar_blocks(docs, scanned, sets).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("share"))
     found = found.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-    rows = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    rows = scanned.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     show = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return rows.select(
-        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
-        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
-        show(F.col("base_labels")).alias("base_labels"),
-        show(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
-        F.when(F.size("base_labels") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.place").cast("long").alias("first_word"), F.array_max("base.place").cast("long").alias("last_word"),
+        show(F.col("base.label")).alias("base_labels"),
+        show(F.concat("base.label", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
 
 
