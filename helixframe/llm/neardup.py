@@ -2,9 +2,10 @@
 
 Every hash function gives two values of a signature, the least and the greatest over a document's shingles, so a
 signature of 128 values takes 64 evaluations a shingle. Documents with equal shingle sets are one node. Nodes that share
-a band of the signature are candidates; a bucket's nodes are compared with one pivot at a time, and once a pivot's links
-have joined them, nodes of one component needn't be compared again. So a bucket of m copies costs about m comparisons,
-yet every pair of a bucket is either compared or already connected. Links are confirmed on whole shingle sets.
+a band of the signature are candidates. First a bucket's nodes are compared with one pivot, which joins most copies; nodes
+of one component needn't be compared again. What then still lies in different components of one bucket is compared in
+blocks, two blocks a task, and only links come out. So no pairs are listed, yet every pair of a bucket is either
+compared or already connected. Links are confirmed on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from helixframe.llm.common import SPACES, TO_LOWER, cut, mix64, utf8_parts, word
 FUNCTIONS = 64
 #: The most a pair just at the threshold may be missed.
 MISS = 1e-4
-#: Pairs still to compare, as a multiple of the bucket members, up to which they are all compared at once.
-AT_ONCE = 2
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 256
 
 
 def bands_for(similarity: float) -> tuple[int, int]:
@@ -143,29 +144,48 @@ def linked_nodes(docs: DataFrame, signed: DataFrame, size: int, percent: int) ->
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.col("node") != F.col("pivot"))
     pairs = members.select("node", "n", "pivot").distinct().join(sized, "pivot").where(near("n", "pivot_n"))
     links = cut(confirmed(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets, percent))
-    members = cut(members.where("node <> pivot").select("bucket", "node", "n"))
-    n_members = members.count()
-    while True:
-        labels = components(links)
-        # What is left: members of a bucket that are not in its largest component, against those of other components.
-        named = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-        groups = named.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-        rest = groups.groupBy("bucket").agg(F.sum("m").alias("all"), F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        left = cut(named.join(rest, "bucket"))
-        todo = left.select("bucket", "all", "most").distinct().agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        if not todo:
-            return labels
-        few = left.where(F.col("label") != F.col("main"))
-        at_once = todo <= AT_ONCE * n_members
-        if not at_once:
-            few = few.join(few.groupBy("bucket").agg(F.min("node").alias("node")), ["bucket", "node"])
-        few = few.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
-        pairs = left.select("bucket", "node", "n", "label").join(few, "bucket").where(near("n", "pivot_n") & (F.col("label") != F.col("pivot_label")))
-        pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        links = cut(links.unionByName(confirmed(pairs, sets, percent)))
-        if at_once:
-            return components(links)
-        members = cut(left.select("bucket", "node", "n").join(few.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"))
+    labels = components(links)
+    # What is left: members of a bucket that are not in its largest component, against those of other components.
+    named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    groups = named.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    rest = groups.groupBy("bucket").agg(F.sum("m").alias("all"), F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    more = cut(links_in_blocks(named.join(rest, "bucket"), sets, percent))
+    return components(links.unionByName(more))
+
+
+def links_in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within buckets between members of different components, from (bucket, node, label, all, main, most).
+    Members are dealt over blocks of about BLOCK, those of the largest component apart; a task compares two blocks."""
+    few = F.col("label") != F.col("main")
+    n_few, n_main = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("most") / BLOCK).cast("int")
+    block = F.when(few, F.pmod(F.hash("node"), n_few)).otherwise(n_few + F.pmod(F.hash("node"), n_main))
+    partners = F.sequence(F.lit(0), F.when(few, n_few + n_main - 1).otherwise(n_few - 1))
+    rows = left.select("bucket", "node", "label", block.alias("block"), F.explode(partners).alias("p"))
+    rows = rows.select("bucket", F.least("block", "p").alias("i"), F.greatest("block", "p").alias("j"), "block", "node", "label").join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, label, block = (np.array(table[c].to_pylist(), object) for c in ("node", "label", "block"))
+        shingles = table["shingles"].combine_chunks()
+        lengths = np.diff(shingles.offsets.to_numpy())
+        _, column, times = np.unique(shingles.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(node)), lengths), times > 1
+        keep = shared[column]
+        row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+        left, right = np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py())
+        overlap = np.zeros((len(node), len(node)))
+        by = np.argsort(column, kind="stable")
+        row, column = row[by], column[by]
+        for at in range(0, int(shared.sum()), 1 << 13):
+            a, b = np.searchsorted(column, (at, at + (1 << 13)))
+            dense = np.zeros((len(node), 1 << 13), np.float32)
+            dense[row[a:b], column[a:b] - at] = 1
+            overlap[np.ix_(left, right)] += dense[left] @ dense[right].T
+        both = overlap[np.ix_(left, right)]
+        x, y = np.nonzero((label[left][:, None] != label[right][None, :]) & (100 * both >= percent * (lengths[left][:, None] + lengths[right][None, :] - both)))
+        return pa.table({"a": pa.array(node[left[x]].tolist(), pa.binary()), "b": pa.array(node[right[y]].tolist(), pa.binary())})
+
+    found = rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
