@@ -33,8 +33,9 @@ def rc(atoms: Column, chainable: Column) -> Column:
 def cbx(atoms: Column, name: Column) -> Column:
     """CB moved 1 Angstrom on from CA; for GLY a point off CA by the directions of N and C."""
     ca = atoms["CA"]
-    gly = vec.add(ca, vec.scale(vec.unit(vec.add(vec.sub(atoms["N"], ca), vec.sub(atoms["C"], ca))), REACH))
-    return F.when(name == "GLY", gly).when(atoms["CB"].isNotNull(), vec.add(ca, vec.extend(vec.sub(atoms["CB"], ca), 1.0)))
+    gly = vec.let(vec.add(vec.sub(atoms["N"], ca), vec.sub(atoms["C"], ca)), lambda v: vec.scale(vec.unit(v), REACH))
+    other = vec.let(vec.sub(atoms["CB"], ca), lambda v: vec.extend(v, 1.0))
+    return vec.let(F.struct(ca.alias("ca"), F.when(name == "GLY", gly).otherwise(other).alias("by")), lambda x: F.when(x["by"]["x"].isNotNull(), vec.add(x["ca"], x["by"])))
 
 
 def ring_center(atoms: Column) -> Column:
@@ -53,7 +54,7 @@ def prc(atoms: Column) -> Column:
 def nx(atoms: Column) -> Column:
     """The base's nitrogen, N9 or else N1, moved 1.4 Angstrom on from C1'."""
     n, c = F.coalesce(atoms["N9"], atoms["N1"]), atoms["C1'"]
-    return F.when(n.isNotNull() & c.isNotNull(), vec.add(c, vec.extend(vec.sub(n, c), 1.4)))
+    return F.when(n.isNotNull() & c.isNotNull(), vec.add(c, vec.let(vec.sub(n, c), lambda v: vec.extend(v, 1.4))))
 
 
 def ring_plane(atoms: Column) -> Column:
@@ -65,7 +66,8 @@ def mpp(ca: Column, before: Column, after: Column) -> Column:
     """For CA traces: off CA, away from its neighbours; for one alone along x."""
     both = vec.add(vec.sub(ca, before), vec.sub(ca, after))
     one = F.coalesce(F.when(before.isNotNull(), vec.sub(ca, before)), F.when(after.isNotNull(), vec.sub(ca, after)), vec.point(1, 0, 0))
-    return vec.add(ca, vec.scale(vec.unit(F.when(before.isNotNull() & after.isNotNull(), both).otherwise(one)), REACH))
+    away = vec.let(F.when(before.isNotNull() & after.isNotNull(), both).otherwise(one), lambda v: vec.scale(vec.unit(v), REACH))
+    return vec.add(ca, away)
 
 
 def last_sc(atoms: Column) -> Column:

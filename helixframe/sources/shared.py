@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,9 @@ def keep(df: DataFrame) -> DataFrame:
     """The rows in the shared folder, without the plan that made them."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A kept table, marked for broadcasting if a count proves it to have no more than so many rows; else as it is, for a
+    shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
