@@ -41,15 +41,15 @@ def s2(spark, d):
     return shown(St.parse_mmcif(mmcif_lines(W.atoms(spark, d))))
 
 
-_ENTRY = "CASE p_partkey % 4 WHEN 0 THEN 'pdb://' || p_partkey % 9 || substr(p_mfgr, 1, 3) WHEN 1 THEN 'scop://d' || p_partkey % 9 || 'abca_' WHEN 2 THEN 'unit://1abc/' || p_partkey % 3 ELSE 'cath://x' END"
+_ENTRY = "CASE p_partkey % 4 WHEN 0 THEN 'pdb://' || p_partkey % 9 || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 3) WHEN 1 THEN 'scop://d' || p_partkey % 9 || 'abca_' WHEN 2 THEN 'unit://1abc/' || p_partkey % 3 ELSE 'cath://x' END"
 
 
-@query("s3_resolve_entries", f"""WITH e AS (SELECT {_ENTRY} AS entry, p_partkey AS k, p_mfgr FROM part) SELECT entry,
-CASE k % 4 WHEN 0 THEN 'pdb/' || substr(p_mfgr, 1, 2) || '/' || k % 9 || substr(p_mfgr, 1, 3) || '.ent' WHEN 1 THEN 'scop/' || 'ab' || '/d' || k % 9 || 'abca_.ent' WHEN 2 THEN 'unit/ab/1abc.pdb' || k % 3 || '.gz' END AS path, k % 4 <> 3 AS valid FROM e""")
+@query("s3_resolve_entries", f"""WITH e AS (SELECT {_ENTRY} AS entry, p_partkey AS k, md5(CAST(p_partkey AS VARCHAR)) AS h FROM part) SELECT entry,
+CASE k % 4 WHEN 0 THEN 'pdb/' || substr(h, 1, 2) || '/' || k % 9 || substr(h, 1, 3) || '.ent' WHEN 1 THEN 'scop/' || 'ab' || '/d' || k % 9 || 'abca_.ent' WHEN 2 THEN 'unit/ab/1abc.pdb' || k % 3 || '.gz' END AS path, k % 4 <> 3 AS valid FROM e""")
 def s3(spark, d):
     k = F.col("p_partkey")
     nine = (k % 9).cast("string")
-    entry = F.when(k % 4 == 0, F.concat(F.lit("pdb://"), nine, F.substring("p_mfgr", 1, 3))).when(k % 4 == 1, F.concat(F.lit("scop://d"), nine, F.lit("abca_"))).when(k % 4 == 2, F.concat(F.lit("unit://1abc/"), (k % 3).cast("string"))).otherwise("cath://x")
+    entry = F.when(k % 4 == 0, F.concat(F.lit("pdb://"), nine, F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 3))).when(k % 4 == 1, F.concat(F.lit("scop://d"), nine, F.lit("abca_"))).when(k % 4 == 2, F.concat(F.lit("unit://1abc/"), (k % 3).cast("string"))).otherwise("cath://x")
     return St.resolve_entries(W.table(spark, d, "part").select(entry.alias("entry"))).select("entry", "path", "valid")
 
 

@@ -1,0 +1,181 @@
+"""Small inline cases with known results, and properties of the numeric helpers."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helixframe.functions import vec
+from helixframe.operators import alignments as L
+from helixframe.operators import contacts as K
+from helixframe.operators import descriptors as D
+from helixframe.operators import motion as Mo
+from helixframe.operators import numbering as Nu
+from helixframe.operators import superpose as Su
+from helixframe.sources import alignments as Al
+from helixframe.sources import structures as St
+from helixframe.sources.shared import keep
+
+
+def cells(spark, rows):
+    return spark.createDataFrame([(r, s, i) for r, row in enumerate(rows) for s, i in zip("abcd", row, strict=False) if i is not None], "row long, structure_id string, ind int")
+
+
+def wide(df):
+    return sorted(tuple(sorted((c["structure_id"], c["ind"]) for c in r["cells"])) for r in L.wide_rows(df).collect())
+
+
+def value_criterion(name):
+    return K.Criterion(lambda: F.col(f"a_{name}") * 0 + F.col(f"b_{name}"), (name,))
+
+
+@pytest.mark.parametrize(("op", "want"), [("or", {(0, 0): 0, (1, 2): 2, (1, 1): 1, (2, 1): 2}), ("and", {(0, 0): 0, (1, 2): 1, (1, 1): 1, (2, 1): 1}), ("xor", {(0, 0): 0, (1, 2): 1, (1, 1): 1, (2, 1): 1, (2, 0): 2, (2, 2): 0, (0, 2): 2})])
+def test_criteria_algebra(spark, op, want):
+    a = K.Criterion(lambda: F.col("x"), ())
+    b = K.Criterion(lambda: F.col("y"), ())
+    c = {"or": a | b, "and": a & b, "xor": a ^ b}[op]
+    rows = spark.createDataFrame(list(want), "x int, y int").select("x", "y", c.value().alias("v")).collect()
+    assert {(r.x, r.y): r.v for r in rows} == want
+
+
+def test_not_is_two_minus(spark):
+    c = ~K.Criterion(lambda: F.col("x"), ())
+    assert [r.v for r in spark.createDataFrame([(0,), (1,), (2,)], "x int").select(c.value().alias("v")).collect()] == [2, 1, 0]
+
+
+def test_map_algebra(spark):
+    m = lambda rows: spark.createDataFrame([("s", a, b, v) for a, b, v in rows], "structure_id string, ind1 int, ind2 int, value tinyint")
+    one, two = m([(0, 1, 2), (1, 2, 1), (2, 3, 2)]), m([(0, 1, 2), (1, 2, 2), (2, 3, 1)])
+    assert {(r.ind1, r.ind2): r.value for r in K.combine_maps(one, two).collect()} == {(0, 1): 2, (1, 2): 2, (2, 3): 2}
+    assert {(r.ind1, r.ind2): r.value for r in K.relative_complement(one, two).collect()} == {(2, 3): 1}
+
+
+def test_custom_criterion_and_grid(spark):
+    rng = np.random.default_rng(0)
+    p = rng.uniform(-20, 20, (120, 3))
+    df = spark.createDataFrame([("s", i, tuple(map(float, x))) for i, x in enumerate(p)], "structure_id string, ind int, p struct<x:double,y:double,z:double>")
+    got = {(r.ind1, r.ind2): r.value for r in K.contact_map(df, K.by_distance("p", 7.0, 0.5)).collect()}
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    want = {(i, j): 2 if d[i, j] <= 6.5 else 1 for i in range(120) for j in range(120) if i != j and d[i, j] <= 7.5}
+    assert got == want
+
+
+def test_close_joins_rows_that_share_a_mer(spark):
+    rows = [(1, 1, None, None), (None, 1, 1, None), (None, None, 1, 1), (2, 2, None, None), (None, 2, 2, 2), (3, 3, None, None), (None, None, 4, 4), (None, None, 4, 4)]
+    got = L.close(cells(spark, rows), keep)
+    assert not [r for r in got.collect() if r.ambiguous]
+    assert wide(got) == sorted([tuple(zip("abcd", (1, 1, 1, 1), strict=True)), tuple(zip("abcd", (2, 2, 2, 2), strict=True)), (("a", 3), ("b", 3)), (("c", 4), ("d", 4))])
+
+
+def test_close_marks_two_mers_of_one_structure(spark):
+    got = L.close(cells(spark, [(1, 1, None), (None, 1, 1), (1, None, 2)]), keep)
+    assert all(r.ambiguous for r in got.collect())
+
+
+def test_insertion_order_restores_rows():
+    rows = [{"a": 1, "b": 1}, {"b": 2, "c": 1}, {"a": 2, "b": 3}, {"c": 2, "a": 3}, {"b": 5, "c": 5}]
+    shuffled = [rows[k] for k in (3, 1, 4, 0, 2)]
+    assert [shuffled[k] for k in L.insertion_order(shuffled)] == rows
+
+
+def test_transit_and_consistency(spark):
+    ab = spark.createDataFrame([(0, "a", 1), (0, "b", 1), (1, "a", 2), (1, "b", 2)], "row long, structure_id string, ind int")
+    bc = spark.createDataFrame([(0, "b", 1), (0, "c", 7), (1, "b", 3), (1, "c", 8)], "row long, structure_id string, ind int")
+    assert [tuple(r) for r in L.transit(ab, bc, "b").collect()] == [("a", 1, "c", 7)]
+    other = spark.createDataFrame([(0, "a", 1), (0, "b", 9)], "row long, structure_id string, ind int")
+    assert L.is_consistent_with(ab, ab).first().consistent and not L.is_consistent_with(ab, other).first().consistent
+
+
+def test_superpose_identity_and_merge(spark):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(20, 3))
+    t = 0.7
+    rot = np.array([[np.cos(t), -np.sin(t), 0], [np.sin(t), np.cos(t), 0], [0, 0, 1]])
+    b = a @ rot.T + np.array([1.0, 2.0, 3.0])
+    p = lambda x: tuple(map(float, x))
+    rows = spark.createDataFrame([("g", k % 2, p(x), p(y)) for k, (x, y) in enumerate(zip(a, b, strict=True))], "g string, h int, a struct<x:double,y:double,z:double>, b struct<x:double,y:double,z:double>")
+    whole = Su.superpose(Su.merge_sums(Su.overfit_sums(rows, "g", "h"), "g"))
+    assert whole.first().rmsd < 1e-6
+    moved = rows.crossJoin(F.broadcast(whole.select("transform"))).select(vec.distance(F.col("a"), vec.transform(F.col("b"), F.col("transform"))).alias("d"))
+    assert moved.agg(F.max("d")).first()[0] < 1e-6
+
+
+def test_compose_is_one_after_the_other(spark):
+    turn = vec.rotation(F.array(*[F.lit(float(x)) for x in (0, -1, 0, 1, 0, 0, 0, 0, 1)]))
+    both = vec.compose(turn, vec.translation(vec.point(1, 0, 0)))
+    r = spark.range(1).select(vec.transform(vec.point(1, 2, 3), both).alias("p")).first().p
+    assert (r.x, r.y, r.z) == (-1.0, 1.0, 3.0)
+
+
+def test_mean_fit_of_one_shape_is_zero():
+    a = np.random.default_rng(2).normal(size=(1, 8, 3))
+    assert np.all(Su.mean_fit(np.concatenate([a, a + 3.0, a - 1.0])) < 1e-5)
+
+
+def adi(v):
+    r1, r2 = np.hypot(np.sin(v).sum(), np.cos(v).sum()), np.hypot(np.sin(2 * v).sum(), np.cos(2 * v).sum())
+    return len(v) * (len(v) - r2) / (2 * r1**2)
+
+
+def test_block_adi_is_adi():
+    v = np.random.default_rng(3).normal(0, 0.5, 120)
+    assert np.allclose(Mo._Blocks(v).adi(10, 20, 3), [adi(v[10:30]), adi(v[30:50]), adi(v[50:70])])
+    assert Mo.atip(v) >= 0 and np.isfinite(Mo.atin(v))
+
+
+def test_merge_ids_is_the_union():
+    a = [("b", 1, ""), ("b", 1, "a"), ("b", 2, ""), ("a", 8, "")]
+    b = [("b", 1, "a"), ("b", 2, ""), ("b", 3, ""), ("c", 6, ""), ("a", 7, "")]
+    got = Nu.merge_ids(a, b)
+    assert set(got) == set(a) | set(b) and len(got) == len(set(got))
+    assert [x for x in got if x in a] == a and Nu.merge_ids(a, a) == a
+
+
+def test_free_sets_are_maximal_and_free():
+    pairs = [(0, 0), (10, 10), (11, 13), (20, 20), (21, 21)]
+    sets, over = D.free_sets(pairs, 3)
+    assert not over and sorted(sets) == [[0, 1, 3, 4], [0, 2, 3, 4]]
+
+
+def test_motif_is_found_in_its_own_structure(spark):
+    p = np.random.default_rng(4).normal(size=(12, 3)) * 5
+    m = spark.createDataFrame([("s", 0, i, tuple(map(float, x))) for i, x in enumerate(p)], "structure_id string, seg int, ind int, ca struct<x:double,y:double,z:double>")
+    wanted = D.runs_of(m, [4]).where("start IN (1, 7)").withColumn("seg", F.col("start")).select("seg", "len", "points")
+    best = L.rank_matches(D.find_motif(wanted, m, 0.5), 1, "structure_id").first()
+    assert list(best.starts) == [1, 7] and best.rmsd < 1e-4
+
+
+LINES = """>L1 a comment [A:1-3, B:5-6]
+AB
+c-D.
+>L2
+abC-DE
+"""
+
+
+def test_fasta_rules(spark):
+    lines = spark.createDataFrame([("x", k, t) for k, t in enumerate(LINES.splitlines())], "alignment_id string, pos int, line string")
+    ids = [("L1", i, c, n, None) for i, (c, n) in enumerate([("A", 1), ("A", 2), ("A", 3), ("B", 5), ("B", 6)])] + [("L2", i, "A", i + 1, None) for i in range(5)]
+    n = spark.createDataFrame(ids, "structure_id string, ind int, chain string, num int, icode string")
+    got = {(r.row, r.structure_id, r.ind) for r in Al.parse_fasta(lines, n).collect()}
+    assert got == {(4, "L1", 3), (4, "L2", 3)}
+    meta = {r.structure_id: (r.comment, r.ranges) for r in Al.alignment_metadata(lines).collect()}
+    assert meta == {"L1": ("a comment", "A:1-3, B:5-6"), "L2": (None, None)}
+
+
+def test_pal_without_chain(spark):
+    text = [">L1 L2", "@1", "1 -- 3 <--> A2 -- A4"]
+    lines = spark.createDataFrame([("x", k, t) for k, t in enumerate(text)], "alignment_id string, pos int, line string")
+    ids = [("L1", i, "A", i + 1, None) for i in range(4)] + [("L2", i, "A", i + 1, None) for i in range(4)]
+    n = spark.createDataFrame(ids, "structure_id string, ind int, chain string, num int, icode string")
+    assert sorted((r.i1, r.i2) for r in L.to_pairs(Al.parse_pal(lines, n)).collect()) == [(0, 1), (1, 2), (2, 3)]
+    twice = n.unionByName(spark.createDataFrame([("L1", 9, "B", 1, None)], n.schema))
+    with pytest.raises(Exception, match="no single chain"):
+        Al.parse_pal(lines, twice).collect()
+
+
+def test_pdb_alternates_and_models(spark):
+    a = "ATOM      1  CA AGLY A   1      11.000   2.000   3.000  0.40  5.00           C"
+    text = ["MODEL        1", a, a.replace("AGLY", "BGLY").replace("0.40", "0.60").replace("11.0", "12.0"), "ENDMDL", "MODEL        2", a, "ENDMDL"]
+    lines = spark.createDataFrame([("s", k, t) for k, t in enumerate(text)], "structure_id string, pos int, line string")
+    got = sorted((r.model, r.x, r.res_name) for r in St.parse_pdb(lines).collect())
+    assert got == [(1, 12.0, "GLY"), (2, 11.0, "GLY")]
