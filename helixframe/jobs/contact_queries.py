@@ -18,7 +18,7 @@ PROTEIN = NEAR | (NEAR_CBX & APART)
 
 
 def mers(spark, d):
-    return W.mers(spark, d).select(*IDS, "chain", "num", "icode", "type", "chainable", "vec_id", A["CA"].alias("ca"), P.cbx(A, F.col("name")).alias("cbx"))
+    return W.mers(spark, d).select(*IDS, "chain", "num", "icode", "type", "chainable", "vec_id", A()["CA"].alias("ca"), P.cbx(A(), F.col("name")).alias("cbx"))
 
 
 

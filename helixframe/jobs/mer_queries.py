@@ -33,7 +33,10 @@ def case_map(codes, key, other):
 
 
 IDS = ("structure_id", "ind")
-A = F.col("atoms")
+
+
+def A():
+    return F.col("atoms")
 
 
 @query("p1_drop_solvent", f"WITH {W.ATOM_ROWS} SELECT structure_id, chain, num, atom_name FROM atoms WHERE res_name <> 'HOH'")
@@ -221,15 +224,23 @@ def a8(spark, d):
 
 # Geometry.
 
-p_, q_, r_ = A["N"], A["CA"], A["C"]
-CBN = CB
+def p_():
+    return A()["N"]
+
+
+def q_():
+    return A()["CA"]
+
+
+def r_():
+    return A()["C"]
 
 
 @query("g1_vector_algebra", f"""WITH {W.MERS} SELECT structure_id, ind, {W.select(N + CA, "sum")}, {W.select(N - CA, "diff")}, {W.select(N * 2.5, "scaled")}, round({W.slen(N)}, 6) AS size,
 {W.select(W.sunit(N), "unit")}, {W.select(N * f"({W.slen(N)} + 2.0) / {W.slen(N)}", "longer")} FROM mers""")
 def g1(spark, d):
     m = W.mers(spark, d)
-    return m.select(*IDS, *rounded(vec.add(p_, q_), "sum"), *rounded(vec.sub(p_, q_), "diff"), *rounded(vec.scale(p_, 2.5), "scaled"), F.round(vec.length(p_), R).alias("size"), *rounded(vec.unit(p_), "unit"), *rounded(vec.extend(p_, 2.0), "longer"))
+    return m.select(*IDS, *rounded(vec.add(p_(), q_()), "sum"), *rounded(vec.sub(p_(), q_()), "diff"), *rounded(vec.scale(p_(), 2.5), "scaled"), F.round(vec.length(p_()), R).alias("size"), *rounded(vec.unit(p_()), "unit"), *rounded(vec.extend(p_(), 2.0), "longer"))
 
 
 def _turn(spark_side: bool):
@@ -242,13 +253,13 @@ def _turn(spark_side: bool):
 
 @query("g2_transform_coords", f"WITH {W.MERS} SELECT structure_id, ind, {W.select(_turn(False), 'moved')} FROM mers")
 def g2(spark, d):
-    return W.mers(spark, d).select(*IDS, *rounded(vec.transform(q_, _turn(True)), "moved"))
+    return W.mers(spark, d).select(*IDS, *rounded(vec.transform(q_(), _turn(True)), "moved"))
 
 
 @query("g3_compose_transforms", f"WITH {W.MERS} SELECT structure_id, ind, {W.select(_turn(False) + W.V(('2.0', '0.0', '0.0')), 'moved')} FROM mers")
 def g3(spark, d):
     both = vec.compose(_turn(True), vec.translation(vec.point(2, 0, 0)))
-    return W.mers(spark, d).select(*IDS, *rounded(vec.transform(q_, both), "moved"))
+    return W.mers(spark, d).select(*IDS, *rounded(vec.transform(q_(), both), "moved"))
 
 
 def _plane(a, b, c):
@@ -263,8 +274,8 @@ PN, QN = W.v("p"), W.v("q")
 
 @query("g4_planes", f"WITH {PLANES} SELECT structure_id, ind, {W.select(PN, 'normal')}, round(p_d, 6) + 0.0 AS d, {W.select(CB - PN * f'{W.sdot(PN, CB)} + p_d', 'foot')} FROM pl")
 def g4(spark, d):
-    m = W.mers(spark, d).withColumn("pl", vec.plane(p_, q_, r_))
-    return m.select(*IDS, *rounded(F.col("pl")["normal"], "normal"), num(F.col("pl")["d"]).alias("d"), *rounded(vec.project_on_plane(A["CB"], F.col("pl")), "foot"))
+    m = W.mers(spark, d).withColumn("pl", vec.plane(p_(), q_(), r_()))
+    return m.select(*IDS, *rounded(F.col("pl")["normal"], "normal"), num(F.col("pl")["d"]).alias("d"), *rounded(vec.project_on_plane(A()["CB"], F.col("pl")), "foot"))
 
 
 _X = W.scross(PN, QN)
@@ -274,19 +285,19 @@ _SIDE = f"CASE WHEN {W.sdot(PN, QN)} < 0 THEN -1.0 ELSE 1.0 END"
 @query("g5_dihedral", f"""WITH {PLANES} SELECT structure_id, ind, round(CASE WHEN {W.sdot(_X, C - CA)} < 0 THEN -1 ELSE 1 END * atan2({W.slen(_X)}, {W.sdot(PN, QN)}), 6) + 0.0 AS angle,
 round({W.sdot(PN, QN)}, 6) + 0.0 AS cosine, {W.select(W.sunit(PN + QN * _SIDE), "halfway")} FROM pl""")
 def g5(spark, d):
-    m = W.mers(spark, d).withColumns({"p": vec.plane(p_, q_, r_), "q": vec.plane(q_, r_, A["O"])})
+    m = W.mers(spark, d).withColumns({"p": vec.plane(p_(), q_(), r_()), "q": vec.plane(q_(), r_(), A()["O"])})
     p, q = F.col("p"), F.col("q")
-    return m.select(*IDS, num(vec.dihedral_angle(p, q, vec.sub(r_, q_))).alias("angle"), num(vec.dihedral_cos(p, q)).alias("cosine"), *rounded(vec.bisection_plane(p, q)["normal"], "halfway"))
+    return m.select(*IDS, num(vec.dihedral_angle(p, q, vec.sub(r_(), q_()))).alias("angle"), num(vec.dihedral_cos(p, q)).alias("cosine"), *rounded(vec.bisection_plane(p, q)["normal"], "halfway"))
 
 
 @query("g6_gc", f"WITH {W.MERS} SELECT structure_id, ind, {W.select((CA + N + C + CB + O) * '1 / 5.0', 'gc', 5)} FROM mers")
 def g6(spark, d):
-    return W.mers(spark, d).select(*IDS, *[(F.round(P.gc(A)[i], 5) + 0.0).alias(f"gc_{i}") for i in vec.AXES])
+    return W.mers(spark, d).select(*IDS, *[(F.round(P.gc(A())[i], 5) + 0.0).alias(f"gc_{i}") for i in vec.AXES])
 
 
 @query("g7_rc", f"WITH {W.MERS} SELECT structure_id, ind, {', '.join(f'round(CASE WHEN chainable THEN {a} ELSE {b} END, 5) + 0.0 AS rc_{i}' for a, b, i in zip((CB + O) * '0.5', (CA + N + C + CB + O) * '0.2', 'xyz', strict=True))} FROM mers")
 def g7(spark, d):
-    return W.mers(spark, d).select(*IDS, *[(F.round(P.rc(A, F.col("chainable"))[i], 5) + 0.0).alias(f"rc_{i}") for i in vec.AXES])
+    return W.mers(spark, d).select(*IDS, *[(F.round(P.rc(A(), F.col("chainable"))[i], 5) + 0.0).alias(f"rc_{i}") for i in vec.AXES])
 
 
 _GLY = CA + W.sunit((N - CA) + (C - CA)) * 2.53
@@ -296,20 +307,20 @@ CBX = W.V(f"CASE WHEN name = 'GLY' THEN {a} ELSE {b} END" for a, b in zip(_GLY,
 
 @query("g8_cbx", f"WITH {W.MERS} SELECT structure_id, ind, {W.select(CBX, 'cbx')} FROM mers")
 def g8(spark, d):
-    return W.mers(spark, d).select(*IDS, *rounded(P.cbx(A, F.col("name")), "cbx"))
+    return W.mers(spark, d).select(*IDS, *rounded(P.cbx(A(), F.col("name")), "cbx"))
 
 
 def _as_nucleotide(m):
     """The view's atoms under a nucleotide's names."""
     names = {"N1": "N", "C4": "C", "C1'": "CA", "C2": "CB", "C6": "O"}
-    return m.withColumn("atoms", F.create_map(*[x for a, b in names.items() for x in (F.lit(a), A[b])]))
+    return m.withColumn("atoms", F.create_map(*[x for a, b in names.items() for x in (F.lit(a), A()[b])]))
 
 
 @query("g9_nucleotide_points", f"""WITH {W.MERS} SELECT structure_id, ind, {W.select((N + C) * "0.5", "ring")}, {W.select((N + C) * "0.5", "prc")}, {W.select(CA + (N - CA) * f"({W.slen(N - CA)} + 1.4) / {W.slen(N - CA)}", "nx")},
 {W.select(_plane(CB, C, O)[0], "normal")} FROM mers""")
 def g9(spark, d):
     m = _as_nucleotide(W.mers(spark, d))
-    return m.select(*IDS, *rounded(P.ring_center(A), "ring"), *rounded(P.prc(A), "prc"), *rounded(P.nx(A), "nx"), *rounded(P.ring_plane(A)["normal"], "normal"))
+    return m.select(*IDS, *rounded(P.ring_center(A()), "ring"), *rounded(P.prc(A()), "prc"), *rounded(P.nx(A()), "nx"), *rounded(P.ring_plane(A())["normal"], "normal"))
 
 
 _B, _N = W.v("b"), W.v("f")
@@ -320,19 +331,19 @@ _MPP = W.V(f"CASE WHEN b_x IS NOT NULL AND f_x IS NOT NULL THEN {a} WHEN b_x IS
 SELECT structure_id, ind, {W.select(CA + _MPP * 2.53, "mpp")} FROM nb""")
 def g10(spark, d):
     w = Window.partitionBy("structure_id", "chain").orderBy("ind")
-    m = W.mers(spark, d).select(*IDS, q_.alias("ca"), F.lag(q_).over(w).alias("before"), F.lead(q_).over(w).alias("after"))
+    m = W.mers(spark, d).select(*IDS, q_().alias("ca"), F.lag(q_()).over(w).alias("before"), F.lead(q_()).over(w).alias("after"))
     return m.select(*IDS, *rounded(P.mpp(F.col("ca"), F.col("before"), F.col("after")), "mpp"))
 
 
 @query("g11_last_sc", f"WITH {W.MERS} SELECT structure_id, ind, {W.select(W.V(f'CASE WHEN vec_id % 3 = 0 THEN {a} ELSE {b} END' for a, b in zip(CA, CB, strict=True)), 'last')} FROM mers")
 def g11(spark, d):
-    beads = F.when(F.col("vec_id") % 3 == 0, F.create_map(F.lit("BB"), q_)).otherwise(F.create_map(F.lit("BB"), q_, F.lit("SC1"), p_, F.lit("SC2"), A["CB"]))
+    beads = F.when(F.col("vec_id") % 3 == 0, F.create_map(F.lit("BB"), q_())).otherwise(F.create_map(F.lit("BB"), q_(), F.lit("SC1"), p_(), F.lit("SC2"), A()["CB"]))
     m = W.mers(spark, d).withColumn("atoms", beads)
-    return m.select(*IDS, *rounded(P.last_sc(A), "last"))
+    return m.select(*IDS, *rounded(P.last_sc(A()), "last"))
 
 
 @query("g12_representation", f"""WITH {W.MERS}, r AS (SELECT structure_id, ind, 0 AS k, {W.select(CA, "p")} FROM mers UNION ALL SELECT structure_id, ind, 1, {W.select(CBX, "p")} FROM mers) SELECT * FROM r""")
 def g12(spark, d):
-    pts = F.create_map(F.lit("CA"), q_, F.lit("cbx"), P.cbx(A, F.col("name")))
+    pts = F.create_map(F.lit("CA"), q_(), F.lit("cbx"), P.cbx(A(), F.col("name")))
     m = W.mers(spark, d).withColumn("points", pts).select(*IDS, F.posexplode(P.representation(F.col("points"), FULL_ATOM[0])).alias("k", "p"))
     return m.select(*IDS, "k", *rounded(F.col("p"), "p"))
