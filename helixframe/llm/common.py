@@ -58,6 +58,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The rows, kept in the shared checkpoint folder, without the plan that made them."""
     checkpoint_dir(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.checkpoint()
 
 
@@ -67,8 +68,20 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of an Arrow batch: texts can be long, and a worker holds a batch at a time.
+ARROW_ROWS = 1500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def share(spark: SparkSession, value: object) -> Broadcast:
     """Broadcasts a value, of which the caller has bounded the size, in a form that workers open without this package."""
+    bound_batches(spark)
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
@@ -105,12 +118,12 @@ def _powers(n: int) -> np.ndarray:
 def utf8_parts(texts: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for parts of a string array of about max_bytes; null is empty.
     A longer text is a part of its own."""
-    texts = pa.array(texts.fill_null("")) if texts.null_count else texts
-    texts = texts.cast(pa.large_string())
+    texts = texts.fill_null("") if texts.null_count else texts
     n = len(texts)
     if not n:
         return
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + n + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     at = 0

@@ -272,6 +272,14 @@ FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 _FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
+def all_spans(text: str, model: SemiMarkov) -> list[dict]:
+    """Spans of the patterns and the model, by kind as listed and start."""
+    base = base_spans(text)
+    more = model_spans(text, model, base) if _DIGIT.search(text) or "@" in text else []
+    both = [(KINDS.index(k), a, b, True) for k, a, b in base] + [(KINDS.index(k), a, b, False) for k, a, b in more]
+    return [{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in sorted(both)]
+
+
 def find_personal_data(docs: DataFrame, spans: str = "spans") -> DataFrame:
     """docs with one more column: spans as (kind, start, end, base), by kind as listed and start, in code points.
 
@@ -285,13 +293,7 @@ def find_personal_data(docs: DataFrame, spans: str = "spans") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared(sent)
         for batch in batches:
-            rows = []
-            for x in batch.column("text"):
-                text = x.as_py() or ""
-                base = base_spans(text)
-                more = model_spans(text, model, base) if _DIGIT.search(text) or "@" in text else []
-                both = [(KINDS.index(k), a, b, True) for k, a, b in base] + [(KINDS.index(k), a, b, False) for k, a, b in more]
-                rows.append([{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in sorted(both)])
+            rows = [all_spans(x.as_py() or "", model) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _FOUND_ARROW)], names)
 
     return docs.mapInArrow(run, schema)
@@ -309,20 +311,25 @@ def masked(text: str, spans: list[dict]) -> str:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """docs with the spans in `text` replaced; n_chars follows, if there is such a column."""
-    found = find_personal_data(docs, "_spans")
+    sent = share(docs.sparkSession, fit_spans(docs))
     schema, names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared(sent)
         for batch in batches:
-            spans, old = batch.column("_spans").to_pylist(), batch.column("text")
-            texts = [masked(t.as_py(), s) if s else t.as_py() for t, s in zip(old, spans, strict=True)]
+            texts, sizes = [], batch.column("n_chars").to_pylist() if "n_chars" in names else []
+            for k, x in enumerate(batch.column("text")):
+                text = x.as_py()
+                spans = all_spans(text, model) if text else []
+                texts.append(masked(text, spans) if spans else text)
+                if spans and sizes:
+                    sizes[k] = len(texts[k])
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in names:
-                sizes = [len(t) if s else n for t, s, n in zip(texts, spans, batch.column("n_chars").to_pylist(), strict=True)]
+            if sizes:
                 columns["n_chars"] = pa.array(sizes, batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return found.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def shown(spans: Column) -> Column:

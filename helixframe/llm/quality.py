@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import MARKS, SPACES, TO_LOWER, crc_mod, share, shared, utf8_parts, word_hashes
+from helixframe.llm.common import MARKS, SPACES, TO_LOWER, bound_batches, crc_mod, share, shared, utf8_parts, word_hashes
 
 ROW_BITS, DIMS, ONES = 14, 32, 4
 ROWS = 1 << ROW_BITS
@@ -82,6 +82,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         total = sum(_unpack(x) for x in pdf["sums"])
         return pd.DataFrame({"chunk": pdf["chunk"][:1], "salt": [0], "sums": [_pack(total)]})
 
+    bound_batches(docs.sparkSession)
     kind = "chunk int, salt int, sums binary"
     parts = docs.select("text").mapInArrow(count, kind)
     parts = parts.groupBy("chunk", "salt").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind)
