@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,9 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.sources.shared import if_small, keep  # noqa: F401  operators take if_small from here
+from helixframe.sources.shared import shared_dir as checkpoint_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words between white space, and words of letters, digits and anything beyond ASCII.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -40,32 +42,10 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. One is made only in local mode, where none need be set."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and sc._jsc.sc().getCheckpointDir().isDefined():
-        return sc._jsc.sc().getCheckpointDir().get()
-    if not shared:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-checkpoints-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared)
-    return shared
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows, kept in the shared checkpoint folder, without the plan that made them."""
-    checkpoint_dir(df.sparkSession)
     bound_batches(df.sparkSession)
-    return df.checkpoint()
-
-
-def if_small(df: DataFrame, rows: int) -> DataFrame:
-    """A kept table, marked for broadcasting if a count proves it to have no more than so many rows.
-    Otherwise it is left to a shuffled join, whose skewed partitions Spark splits."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return keep(df)
 
 
 #: Rows of an Arrow batch: texts can be long, and a worker holds a batch at a time.
