@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.alignments import prune, to_pairs
 from helixframe.operators.selection import format_pdb_id
+from helixframe.sources.structures import STEM, read_lines
 
 A, S = "alignment_id", "structure_id"
 CELL = r"^\s*(.*):(-?[0-9]+)([A-Za-z])?(:.*)?\s*$"
@@ -143,6 +144,14 @@ def parse_alignment(path: str, lines: DataFrame, numbering: DataFrame) -> DataFr
     return parse_pal(lines, numbering) if path.endswith(".pal") else parse_fasta(lines, numbering)
 
 
+def read_alignment(spark: SparkSession, path: str, numbering: DataFrame) -> DataFrame:
+    """Cells of the alignment files at a path, each file an alignment named after its stem."""
+    if path.endswith(".xml"):
+        files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), STEM, 1).alias(A), "value")
+        return parse_xml(files, numbering)
+    return parse_alignment(path, read_lines(spark, path).withColumnRenamed(S, A), numbering)
+
+
 def alignment_metadata(lines: DataFrame) -> DataFrame:
     """(alignment_id, structure_id, comment, ranges) of FASTA headers."""
     get = lambda k: F.nullif(F.trim(F.regexp_extract("line", r"^>\s*(\S+)([^\[]*)(?:\[([^\]]*)\])?", k)), F.lit(""))

@@ -179,3 +179,16 @@ def test_pdb_alternates_and_models(spark):
     lines = spark.createDataFrame([("s", k, t) for k, t in enumerate(text)], "structure_id string, pos int, line string")
     got = sorted((r.model, r.x, r.res_name) for r in St.parse_pdb(lines).collect())
     assert got == [(1, 12.0, "GLY"), (2, 11.0, "GLY")]
+
+
+def test_read_alignment_file(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("L1,L2\nA:1:G,A:2:C\n-,A:3:T\nA:2,?\n")
+    n = spark.createDataFrame([(s, i, "A", i + 1, None) for s in ("L1", "L2") for i in range(4)], "structure_id string, ind int, chain string, num int, icode string")
+    got = {(r.alignment_id, r.row, r.structure_id, r.ind) for r in Al.read_alignment(spark, str(tmp_path / "x.csv"), n).collect()}
+    assert got == {("x", 0, "L1", 0), ("x", 0, "L2", 1), ("x", 1, "L2", 2), ("x", 2, "L1", 1)}
+
+
+def test_read_pdb_file(spark, tmp_path):
+    (tmp_path / "1abc.pdb").write_text("ATOM      1  CA  GLY A  -1A     11.000   2.000   3.000  1.00  5.00           C\nEND\n")
+    r = St.read_pdb(spark, str(tmp_path / "1abc.pdb")).first()
+    assert (r.structure_id, r.num, r.icode, r.atom_name, r.x, r.element) == ("1abc", -1, "A", "CA", 11.0, "C")
