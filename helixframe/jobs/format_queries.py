@@ -115,7 +115,7 @@ def s10(spark, d):
     from helixframe.operators.alignments import to_pairs
 
     n = numbering(spark, d)
-    lines = Al.pal_lines(aligned(spark, d), n).withColumn("alignment_id", F.lit("x"))
+    lines = Al.pal_lines(aligned(spark, d), n)
     return to_pairs(Al.parse_pal(lines, n)).select("s1", "s2", "i1", "i2")
 
 

@@ -126,11 +126,11 @@ def sum_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return wide(a).unionByName(wide(b)).distinct()
 
 
-def to_pairs(cells: DataFrame) -> DataFrame:
+def to_pairs(cells: DataFrame, *also: str) -> DataFrame:
     """(s1, s2, row, i1, i2) of every pair of structures with s1 before s2."""
-    a = cells.select("row", F.col(S).alias("s1"), F.col("ind").alias("i1"))
-    b = cells.select("row", F.col(S).alias("s2"), F.col("ind").alias("i2"))
-    return a.join(b, "row").where("s1 < s2").select("s1", "s2", "row", "i1", "i2")
+    a = cells.select(*also, "row", F.col(S).alias("s1"), F.col("ind").alias("i1"))
+    b = cells.select(*also, "row", F.col(S).alias("s2"), F.col("ind").alias("i2"))
+    return a.join(b, [*also, "row"]).where("s1 < s2").select(*also, "s1", "s2", "row", "i1", "i2")
 
 
 def join_pairs(a: DataFrame, b: DataFrame) -> DataFrame:

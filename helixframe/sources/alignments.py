@@ -116,16 +116,16 @@ def pal_lines(cells: DataFrame, numbering: DataFrame) -> DataFrame:
     last = Window.partitionBy(S, "chain")
     n = n.withColumn("ends", F.col("ind") == F.max("ind").over(last))
     side = lambda k: n.select(F.col(S).alias(f"s{k}"), F.col("ind").alias(f"i{k}"), F.col("id").alias(f"id{k}"), F.col("ends").alias(f"e{k}"))
-    pairs = to_pairs(cells.drop(A)).select("s1", "s2", "i1", "i2").distinct().join(side(1), ["s1", "i1"]).join(side(2), ["s2", "i2"])
-    w = Window.partitionBy("s1", "s2").orderBy("i1", "i2")
+    pairs = to_pairs(cells, A).select(A, "s1", "s2", "i1", "i2").distinct().join(side(1), ["s1", "i1"]).join(side(2), ["s2", "i2"])
+    w = Window.partitionBy(A, "s1", "s2").orderBy("i1", "i2")
     new = (F.col("i1") != F.lag("i1").over(w) + 1) | (F.col("i2") != F.lag("i2").over(w) + 1) | F.lag("e1").over(w) | F.lag("e2").over(w)
     runs = pairs.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w))
-    runs = runs.groupBy("s1", "s2", "run").agg(*[f(F.struct("i1", f"id{k}")).alias(f"{x}{k}") for k in (1, 2) for x, f in (("a", F.min), ("b", F.max))])
+    runs = runs.groupBy(A, "s1", "s2", "run").agg(*[f(F.struct("i1", f"id{k}")).alias(f"{x}{k}") for k in (1, 2) for x, f in (("a", F.min), ("b", F.max))])
     text = F.format_string("%s -- %s <--> %s -- %s", F.col("a1")["id1"], F.col("b1")["id1"], F.col("a2")["id2"], F.col("b2")["id2"])
-    heads = runs.groupBy("s1", "s2").agg(F.count("*").alias("n")).select("s1", "s2", F.posexplode(F.array(F.concat_ws(" ", F.concat(F.lit(">"), "s1"), "s2"), F.concat(F.lit("@"), F.col("n").cast("string")))).alias("k", "line"))
-    rows = heads.select("s1", "s2", F.lit(0).alias("run"), "k", "line").unionByName(runs.select("s1", "s2", "run", F.lit(0).alias("k"), text.alias("line")))
-    body = rows.select(F.row_number().over(Window.orderBy("s1", "s2", "run", "k")).alias("pos"), "line")
-    return body.sparkSession.createDataFrame([(0, "v:2.0")], "pos int, line string").unionByName(body)
+    heads = runs.groupBy(A, "s1", "s2").agg(F.count("*").alias("n")).select(A, "s1", "s2", F.posexplode(F.array(F.concat_ws(" ", F.concat(F.lit(">"), "s1"), "s2"), F.concat(F.lit("@"), F.col("n").cast("string")))).alias("k", "line"))
+    rows = heads.select(A, "s1", "s2", F.lit(0).alias("run"), "k", "line").unionByName(runs.select(A, "s1", "s2", "run", F.lit(0).alias("k"), text.alias("line")))
+    body = rows.select(A, F.row_number().over(Window.partitionBy(A).orderBy("s1", "s2", "run", "k")).alias("pos"), "line")
+    return cells.select(A).distinct().select(A, F.lit(0).alias("pos"), F.lit("v:2.0").alias("line")).unionByName(body)
 
 
 def parse_xml(texts: DataFrame, numbering: DataFrame) -> DataFrame:
