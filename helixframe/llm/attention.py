@@ -13,8 +13,8 @@ import numpy as np
 
 CLASSES, FREQUENT, HASHES, DIMS = 64, 48, 1024, 16
 #: Tokens of a window, and how many of them repeat the window before as context.
-WINDOW, OVERLAP = 48, 8
-#: Windows scored at once, and training steps with so many windows each.
+WINDOW, OVERLAP = 48, 16
+#: Windows scored at once, and the least number of training steps, with so many windows each.
 BATCH, STEPS, STEP_WINDOWS = 64, 300, 48
 
 
@@ -85,8 +85,9 @@ class AttentionModel:
         np.put_along_axis(d, t[..., None], np.take_along_axis(d, t[..., None], 2) - 1, 2)
         d *= (real / n)[..., None].astype(d.dtype)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"out": flat(h).T @ flat(d), "next": np.zeros_like(p["next"]), "kind": np.zeros_like(p["kind"]), "hash": np.zeros_like(p["hash"])}
-        np.add.at(g["next"], c.ravel(), flat(d))
+        g = {"out": flat(h).T @ flat(d)}
+        one_hot = (c.reshape(-1, 1) == np.arange(CLASSES)).astype(d.dtype)
+        g["next"] = one_hot.T @ flat(d)
         dh = d @ p["out"].T
         do = dh @ p["o"].T
         g["o"] = flat(o).T @ flat(dh)
@@ -95,8 +96,9 @@ class AttentionModel:
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
         g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "place": dx.sum(0)}
-        np.add.at(g["kind"], c.ravel(), flat(dx))
-        np.add.at(g["hash"], (ids & (HASHES - 1)).ravel(), flat(dx))
+        g["kind"] = one_hot.T @ flat(dx)
+        cell = (ids & (HASHES - 1)).reshape(-1, 1) * DIMS + np.arange(DIMS)
+        g["hash"] = np.bincount(cell.ravel(), dx.ravel(), HASHES * DIMS).reshape(HASHES, DIMS).astype(dx.dtype)
         return loss, g
 
     def batches(self, texts: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -114,15 +116,19 @@ class AttentionModel:
             place = begin[own][:, None] + np.where(inside, at, 0)
             yield own, flat[place], flat[place + 1], inside & (at >= scored[a : a + size, None])
 
-    def fit(self, texts: list[np.ndarray]) -> AttentionModel:
+    def fit(self, texts: list[np.ndarray], rounds: int = 1) -> AttentionModel:
+        """Steps over all windows of the texts, each as often as any other: once, or more where all `rounds` together
+        would have under STEPS steps."""
         rng = np.random.default_rng(2)
         data = list(self.batches(texts, 1 << 30))
         if not data:
             return self
         _, ids, targets, real = data[0]
         m, v = ({n: np.zeros_like(w) for n, w in self.p.items()} for _ in range(2))
-        for step in range(1, STEPS + 1):
-            pick = rng.integers(0, len(ids), STEP_WINDOWS)
+        passes = max(1, -(-STEPS * STEP_WINDOWS // (rounds * len(ids))))
+        order = np.concatenate([rng.permutation(len(ids)) for _ in range(passes)])
+        for step, at in enumerate(range(0, len(order), STEP_WINDOWS), 1):
+            pick = order[at : at + STEP_WINDOWS]
             _, g = self.gradients(ids[pick], targets[pick], real[pick])
             for name, d in g.items():
                 m[name] = 0.9 * m[name] + 0.1 * d

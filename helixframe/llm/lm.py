@@ -3,6 +3,10 @@
 Documents go in chunks. A chunk lists each of its distinct words once, with the documents that hold it, in rows by ranges
 of the words' hashes. One task counts all words of a range over all chunks and sends each chunk sums for its documents.
 So common words cost an entry a chunk rather than a row a document, and no task holds the whole vocabulary.
+
+Subword ids of whole texts are kept beside the chunks, for the counts, the attention weights and the scores. Weights are
+learned in rounds: groups of training documents, dealt by hash, each go on from the last weights over all their windows,
+and the round ends with the mean of the groups' weights by tokens. Every training window is in one round.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import base64
 import math
 import pickle
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +30,8 @@ from helixframe.llm.common import SPACES, TO_LOWER, checkpoint_dir, crc_mod, cut
 #: A public vocabulary of byte pairs; one free id marks a text's end.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Training documents (whose ids hash lowest) and the words of each that the attention weights are fitted on.
-MAX_FIT_DOCS, FIT_WORDS, MAX_PIECE = 400, 400, 200
+#: A longer word is cut. Training tokens of a group, whose weights one task learns, and rounds over the groups at most.
+MAX_PIECE, GROUP_TOKENS, ROUNDS = 200, 1 << 18, 8
 CHUNK_BYTES = 1 << 23
 _END_WORD = np.uint64(0)
 
@@ -58,39 +63,70 @@ class Subwords:
         return np.array(self.encoding.encode_ordinary("".join(" " + w for w in words).encode("utf-8", "replace").decode()), np.int64)
 
 
-def subword_counts(train: DataFrame, sent, n_ids: int) -> np.ndarray:
-    """How often each id occurs in all training texts."""
+def subword_counts(train: DataFrame, subwords: Subwords) -> np.ndarray:
+    """How often each id occurs in all training texts, given as rows with their ids."""
+    end, kind = subwords.end, _id_type(subwords.end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, counts = Subwords.opened(shared(sent)), np.zeros(n_ids, np.int64)
+        counts = np.zeros(end + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                counts += np.bincount(subwords.encode(text.as_py()), minlength=n_ids)
-                counts[subwords.end] += 1
+            counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=end + 1)
+            counts[end] += len(batch.column(0))
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], ["id", "n"])
 
-    out = np.zeros(n_ids, np.int64)
-    for r in train.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros(end + 1, np.int64)
+    for r in train.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r.id] = r.n
     return out
 
 
-def fit_attention(train: DataFrame, tokenizer: str = TOKENIZER) -> tuple[AttentionModel, bytes]:
-    """Counts of subwords from all training texts; attention weights from a bounded sample of them."""
-    raw = open(tokenizer, "rb").read()
-    subwords = Subwords(raw)
-    sent = share(train.sparkSession, raw)
-    counts = subword_counts(train, sent, subwords.end + 1)
+def fit_attention(train: DataFrame, subwords: Subwords) -> AttentionModel:
+    """Counts and attention weights from all windows of all training texts, given as rows with deal and ids."""
     spaced = np.zeros(subwords.end + 1, bool)
     spaced[[i for w, i in subwords.ranks.items() if w[:1] == b" "]] = True
-    few = F.broadcast(train.select(F.col("doc_id").alias("picked")).where("picked IS NOT NULL").orderBy(F.xxhash64("picked"), "picked").limit(MAX_FIT_DOCS).distinct())
-    rows = train.join(few, F.col("doc_id") == F.col("picked")).select("doc_id", F.substring("text", 1, 8 * FIT_WORDS).alias("text"))
-    texts = [subwords.encode(r.text)[:FIT_WORDS] for r in rows.orderBy("doc_id", "text").limit(2 * MAX_FIT_DOCS).collect()]
-    return AttentionModel(counts, spaced, subwords.end).fit(texts), raw
+    model = AttentionModel(subword_counts(train, subwords), spaced, subwords.end)
+    groups = max(1, model.tokens // GROUP_TOKENS)
+    rounds = min(ROUNDS, groups)
+    fan = math.isqrt(groups // rounds) + 1  # sums of this many groups each go to the driver
+    grouped = train.select(F.pmod("deal", F.lit(groups)).alias("team"), "deal", "ids")
+    for k in range(rounds):
+        sent = share(train.sparkSession, model)
+        learned = grouped.where(F.col("team") % rounds == k).groupBy("team").applyInArrow(_learner(sent, _id_type(subwords.end), rounds), "team long, n long, weights binary")
+        sums = learned.withColumn("fan", F.floor(F.col("team") / rounds) % fan).groupBy("fan").applyInArrow(_sum_weights, "team long, n long, weights binary")
+        found = sorted((r.team, r.n, r.weights) for r in sums.collect())
+        if found:
+            total, at = sum(np.frombuffer(w) for _, _, w in found) / sum(n for _, n, _ in found), 0
+            for name, w in model.p.items():
+                model.p[name] = total[at : at + w.size].reshape(w.shape).astype(np.float32)
+                at += w.size
+    return model
+
+
+def _learner(sent, kind: str, rounds: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["deal"].to_pylist(), table["ids"].to_pylist(), strict=True))
+        texts = [np.frombuffer(x, kind).astype(np.int64) for _, x in rows]
+        model = shared(sent).fit(texts, rounds)
+        n = sum(len(t) + 1 for t in texts)
+        weights = np.concatenate([w.ravel() for w in model.p.values()]).astype(np.float64) * n
+        return pa.table({"team": table["team"][:1], "n": [n], "weights": pa.array([weights.tobytes()], pa.binary())})
+
+    return run
+
 
+def _sum_weights(table: pa.Table) -> pa.Table:
+    rows = sorted(zip(table["team"].to_pylist(), table["weights"].to_pylist(), strict=True))
+    total = sum(np.frombuffer(w) for _, w in rows)
+    return pa.table({"team": [rows[0][0]], "n": [sum(table["n"].to_pylist())], "weights": pa.array([total.tobytes()], pa.binary())})
 
-_ROWS = "part int, chunk long, words binary, meta binary"
+
+def _id_type(end: int) -> str:
+    return "<u2" if end < 1 << 16 else "<u4"
+
+
+#: deal is a hash by which a training document goes to a group; null if it is held out.
+_ROWS = "part int, chunk long, words binary, meta binary, doc int, deal long, ids binary"
 #: Words of a chunk's part go together as one row: the hash, the count in training documents, and the postings' number
 #: of each, then all postings. A posting is a document's number in the chunk, and a count of up to 255 (more take more
 #: postings).
@@ -100,14 +136,19 @@ PART_TOKENS = 1 << 24
 
 
 def chunk_rows(docs: DataFrame, sent, parts: int) -> DataFrame:
-    """A row (part, chunk, words) for each part of a chunk's distinct words, and one with meta for its documents.
-    docs: doc_id, held_out, text."""
+    """A row (part, chunk, words) for each part of a chunk's distinct words, one with meta for its documents, and one
+    with the subword ids of each document. docs: doc_id, held_out, text."""
+
+    def rows(chunk: int, n: int, **columns: list) -> pa.RecordBatch:
+        kinds = {"part": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "meta": pa.binary(), "doc": pa.int32(), "deal": pa.int64(), "ids": pa.binary()}
+        columns["chunk"] = [chunk] * n
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(name, [None] * n), kind) for name, kind in kinds.items()], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, raw = shared(sent)
-        subwords, k = Subwords.opened(raw), 0
+        subwords, k = Subwords.opened(shared(sent)), 0
+        kind = _id_type(subwords.end)
         for batch in batches:
-            ids, held, texts = batch.column(0), np.array(batch.column(1).to_pylist(), bool), batch.column(2)
+            ids, held, texts = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool), batch.column(2)
             for a, b, data, offsets in utf8_parts(texts, CHUNK_BYTES):
                 data = TO_LOWER[data]
                 starts, ends, first = word_spans(data, offsets, SPACES)
@@ -117,14 +158,37 @@ def chunk_rows(docs: DataFrame, sent, parts: int) -> DataFrame:
                 chunk = TaskContext.get().partitionId() << 32 | k
                 k += 1
                 blobs = chunk_words(words, np.concatenate([np.repeat(np.arange(b - a), n - 1), np.arange(b - a)]), held[a:b], parts)
-                score = [s for at in range(a, b, 256) for s in model.score([subwords.encode(t.as_py()) for t in texts[at : min(b, at + 256)]])]
-                meta = pickle.dumps((ids[a:b].to_pylist(), held[a:b], n, np.array(score) / math.log(10)))
-                m = len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array([*blobs, None], pa.int32()), pa.array([chunk] * (m + 1)), pa.array([*blobs.values(), None], pa.binary()), pa.array([None] * m + [meta], pa.binary())], ["part", "chunk", "words", "meta"])
+                yield rows(chunk, len(blobs), part=list(blobs), words=list(blobs.values()))
+                yield rows(chunk, 1, meta=[pickle.dumps((ids[a:b], held[a:b], n))])
+                for at in range(a, b, 256):
+                    to = min(b, at + 256)
+                    coded = [subwords.encode(t.as_py()).astype(kind).tobytes() for t in texts[at:to]]
+                    deal = [None if h else zlib.crc32(x, zlib.crc32(repr(i).encode())) for i, h, x in zip(ids[at:to], held[at:to], coded, strict=True)]
+                    yield rows(chunk, to - at, doc=list(range(at - a, to - a)), deal=deal, ids=coded)
 
     return docs.mapInArrow(run, _ROWS)
 
 
+_SCORE = np.dtype([("doc", "<u4"), ("score", "<f8")])
+
+
+def score_rows(rows: DataFrame, sent, kind: str) -> DataFrame:
+    """(chunk, scores): scores of some documents of a chunk, from rows with chunk, doc and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared(sent)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                chunk, doc, ids = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                scores = np.empty(len(doc), _SCORE)
+                scores["doc"], scores["score"] = doc, model.score([np.frombuffer(x, kind).astype(np.int64) for x in ids]) / math.log(10)
+                chunk = np.array(chunk)
+                own = np.unique(chunk)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([scores[chunk == c].tobytes() for c in own], pa.binary())], ["chunk", "scores"])
+
+    return rows.select("chunk", "doc", "ids").mapInArrow(run, "chunk long, scores binary")
+
+
 def chunk_words(words: np.ndarray, owner: np.ndarray, held: np.ndarray, parts: int) -> dict[int, bytes]:
     """Each part's distinct words of a chunk with their documents; `owner` is the document of each word."""
     distinct, word = np.unique(words, return_inverse=True)
@@ -180,8 +244,12 @@ def _totals(n_all: int, n_distinct: int):
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def run(table: pa.Table) -> pa.Table:
-        ids, held, n, score = pickle.loads(next(x for x in table["meta"].to_pylist() if x is not None))
-        logs, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        ids, held, n = pickle.loads(next(x for x in table["meta"].to_pylist() if x is not None))
+        logs, known, score = np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        for x in table["scores"].to_pylist():
+            if x is not None:
+                scores = np.frombuffer(x, _SCORE)
+                score[scores["doc"]] = scores["score"]
         for x in table["sums"].to_pylist():
             if x is not None:
                 sums = np.frombuffer(x, _SUM)
@@ -202,17 +270,21 @@ def score_documents(docs: DataFrame, held_out: Column, tokenizer: str = TOKENIZE
     folder, which may be cleared once the result is read."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    model, raw = fit_attention(docs.where(~F.col("held_out")), tokenizer)
-    parts = 8 + model.tokens // PART_TOKENS
+    raw = open(tokenizer, "rb").read()
+    subwords = Subwords(raw)
+    parts = 8 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (4 * PART_TOKENS)
     path = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
-    chunk_rows(docs, share(spark, (model, raw)), parts).write.parquet(path)
+    chunk_rows(docs, share(spark, raw), parts).write.parquet(path)
     rows = spark.read.schema(_ROWS).parquet(path)
-    sums = cut(rows.where("part IS NOT NULL").groupBy("part").applyInArrow(_count_part, _SUMS))
+    model = fit_attention(rows.where("deal IS NOT NULL"), subwords)
+    sums = cut(rows.where("part IS NOT NULL").select("part", "chunk", "words").groupBy("part").applyInArrow(_count_part, _SUMS))
     n_all, n_distinct = sums.agg(F.sum("n_all"), F.sum("n_distinct")).first()
     n_all, n_distinct = n_all or 0, n_distinct or 0
-    metas = rows.where("meta IS NOT NULL").select("chunk", F.lit(None).cast("binary").alias("sums"), "meta")
+    none = F.lit(None).cast("binary")
+    metas = rows.where("meta IS NOT NULL").select("chunk", none.alias("sums"), "meta", none.alias("scores"))
+    scores = score_rows(rows.where("doc IS NOT NULL"), share(spark, model), _id_type(subwords.end)).select("chunk", none.alias("sums"), none.alias("meta"), "scores")
     run, schema = _totals(n_all, n_distinct)
-    out = sums.where("chunk IS NOT NULL").select("chunk", "sums", "meta").unionByName(metas).groupBy("chunk").applyInArrow(run, schema)
+    out = sums.where("chunk IS NOT NULL").select("chunk", "sums", "meta", none.alias("scores")).unionByName(metas).unionByName(scores).groupBy("chunk").applyInArrow(run, schema)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 

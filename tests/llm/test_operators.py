@@ -195,6 +195,25 @@ def test_attention_is_causal_and_normalised():
     assert share[share > 0] == pytest.approx(1, abs=1e-4)
 
 
+def test_attention_learns_from_ends_of_long_texts(spark):
+    words = ["alpha", "beta", "gamma", "delta", "kappa", "omega"]
+    start = " ".join(np.random.default_rng(3).choice(words, 800))
+    rows = [(i, i == 0, start + " one two three four" * (300 if i else 0)) for i in range(1, 9)]
+    rows.append((0, True, "one two three four " * 30))
+    rows.append((9, True, "four three two one " * 30))
+    docs = spark.createDataFrame(rows, "doc_id long, held boolean, text string")
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, F.col("held")).collect()}
+    assert got[0] > got[9] + 60
+
+
+def test_attention_weights_use_every_round(spark, monkeypatch):
+    rows = [(i, False, f"one two three four {i} " * 40) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, held boolean, text string")
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 1000)
+    one, two = ({r.doc_id: r.score for r in lm.score_documents(docs.repartition(n), F.col("held")).collect()} for n in (1, 5))
+    assert one == pytest.approx(two, rel=1e-4)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
