@@ -12,19 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm.common import crc_mod, share, shared
 
 ORDER, DISCOUNT, SYMBOLS = 4, 0.75, 1 << 16
-#: Four-character sequences that a language's model keeps, most frequent first. Shorter ones are derived from these.
-MAX_SEQUENCES = 1 << 18
 #: Training documents (whose ids hash lowest) by which the score is calibrated, and the score under which a prediction
 #: is marked as rejected.
 MAX_CALIBRATION, REJECT = 2_000, 0.5
-UNKNOWN = "und"
+UNKNOWN, PAD = "und", " " * (ORDER - 1)
 
 
 def letter_table() -> np.ndarray:
@@ -44,15 +42,18 @@ def parts_of(texts: list[str | None], max_chars: int = 1 << 20) -> Iterator[tupl
 
 def sequences(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the four-character sequences of all texts, the first key of each text (and the end), and whether a text
-    has a letter. Other characters than letters become one space; a space stands before and after each text."""
-    codes = np.frombuffer(" ".join(["", *[(t or "").lower() for t in texts], ""]).encode("utf-32-le", "replace"), np.uint32)
-    sizes = np.array([len((t or "").lower()) + 1 for t in texts])
+    has a letter. Other characters than letters become one space. Three spaces stand before each text and one after it, so
+    that every letter ends one key and no key reaches into another text."""
+    lower = [(t or "").lower() for t in texts]
+    codes = np.frombuffer("".join(f"{PAD}{t} " for t in lower).encode("utf-32-le", "replace"), np.uint32)
+    sizes = np.array([len(PAD) + len(t) + 1 for t in lower], np.int64)
     is_letter = letters[np.minimum(codes, SYMBOLS)]
     codes = np.where(is_letter, codes & np.uint32(0xFFFF), np.uint32(32))
     begin = np.zeros(len(codes), bool)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    begin[bounds] = True
-    keep = is_letter | begin | np.concatenate([[True], is_letter[:-1]])
+    begin[(bounds[:-1, None] + np.arange(len(PAD))).ravel()] = True
+    keep = is_letter | begin
+    keep[1:] |= is_letter[:-1]
     place = np.concatenate([[0], np.cumsum(keep)])
     counts = np.add.reduceat(is_letter, bounds[:-1]) if len(texts) else np.zeros(0)
     c = codes[keep].astype(np.uint64)
@@ -60,7 +61,9 @@ def sequences(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray,
     keys = c[:n].copy()
     for k in range(1, ORDER):
         keys = keys << np.uint64(16) | c[k : k + n]
-    return keys, np.minimum(place[bounds], n), counts > 0
+    within = np.ones(n, bool)
+    within[(place[bounds[1:-1], None] - np.arange(1, ORDER)).ravel()] = False
+    return keys[within], place[bounds] - (ORDER - 1) * np.arange(len(bounds)), counts > 0
 
 
 class KneserNey:
@@ -103,7 +106,7 @@ def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModels:
-    """All languages' models. Log probabilities of every kept sequence under each language stand in one table; a slot
+    """All languages' models. Log probabilities of every counted sequence under each language stand in one table; a slot
     table spares most searches of its sorted keys. Other sequences are worked out when they come."""
 
     SLOT_BITS = 20
@@ -182,14 +185,14 @@ def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
 
 
 def fit_languages(train: DataFrame) -> LanguageModels | None:
-    """Models from (doc_id, text, lang); None without any text that has a lang."""
+    """Models of all sequences of (doc_id, text, lang); None without any letter in a text that has a lang. The driver and
+    each worker hold them whole."""
     train = train.where("lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    rows = count_sequences(train).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_SEQUENCES).drop("place").toPandas()
+    rows = count_sequences(train).toPandas()
     if not len(rows):
         return None
     models = {}
-    for lang, own in rows.sort_values("key").groupby("lang"):
+    for lang, own in rows.groupby("lang"):
         keys, n = own["key"].to_numpy().view(np.uint64), own["n"].to_numpy()
         by = np.argsort(keys)
         models[lang] = KneserNey(keys[by], n[by])
@@ -201,7 +204,7 @@ def fit_languages(train: DataFrame) -> LanguageModels | None:
         m, letters = shared(sent), letter_table()
         for batch in batches:
             entropy, size, some = m.entropies(batch.column(0).to_pylist(), letters)
-            own = np.array([m.names.index(x) for x in batch.column(1).to_pylist()])
+            own = np.array([m.names.index(x) if x in m.names else -1 for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([e.tobytes() for e in entropy[some]], pa.binary()), pa.array(size[some]), pa.array(own[some])], ["e", "size", "own"])
 
     rows = train.join(few, F.col("doc_id") == F.col("picked")).select("text", "lang").mapInArrow(measure, "e binary, size long, own long").orderBy("size", "own", "e").limit(2 * MAX_CALIBRATION).collect()

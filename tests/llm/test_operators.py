@@ -282,6 +282,25 @@ def test_kneser_ney_sums_to_one():
     assert np.exp(m.logs(every)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_sequences_stay_within_a_text():
+    texts, letters = ["ab", None, "", "12", "c d!", "efghij", " é "], langid.letter_table()
+    keys, first, some = langid.sequences(texts, letters)
+    for k, t in enumerate(texts):
+        own = keys[first[k] : first[k + 1]].tolist()
+        kept = "   " + "".join(w + " " for w in re.findall("[^\\W\\d_]+", t or ""))
+        assert own == [sum(ord(c) << 16 * (3 - j) for j, c in enumerate(kept[i : i + 4])) for i in range(len(kept) - 3)]
+        assert own == langid.sequences([t], letters)[0].tolist() and some[k] == bool(own)
+    assert first[-1] == len(keys)
+
+
+def test_language_models_keep_all_sequences(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 30_000))) for _ in range(10)]
+    models = langid.fit_languages(spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    every = np.unique(np.concatenate([langid.sequences([t], langid.letter_table())[0] for t in texts]))
+    assert len(every) > 1 << 18 and np.array_equal(models.keys, every)
+
+
 def test_languages_held_out(spark):
     d = "/root/testdata/sf0.01"
     rows = langid.op10_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
