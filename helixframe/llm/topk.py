@@ -92,8 +92,9 @@ def top_by_inner_product(vectors: DataFrame, k: int = 5, query_every: int = 50)
     """(query_id, rank, vec_id, score): the k best partners of every row whose id is divisible by `query_every`.
 
     Vectors that are null or hold null or non-finite values take no part, nor do rows with a null id; vectors are only
-    compared with others of their length; an id that occurs twice is never its own partner. Components become
-    floor(256 x); their products must stay below 2**53, as for any x under 2**15 or so. Fewer rows than k give fewer
+    compared with others of their length; an id that occurs twice is never its own partner. Every row
+    counts, as in the SQL: a repeated candidate takes a place for each of its rows, and the ranks of a repeated query id
+    go over the pairs of all its rows. Components become floor(256 x); their products must stay below 2**53, as for any x under 2**15 or so. Fewer rows than k give fewer
     results; an empty table gives none. Only vec_id and embedding are read."""
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -101,35 +102,35 @@ def top_by_inner_product(vectors: DataFrame, k: int = 5, query_every: int = 50)
     valid = valid.select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("double")).alias("x"))
     n = valid.count()
     shards, blocks = -(-n // SHARD_ROWS) or 1, -(-n // (query_every * BLOCK_QUERIES)) or 1
-    rows = cut(valid.select("vec_id", "x", F.size("x").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")))
+    rows = cut(valid.select("vec_id", "x", F.size("x").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.monotonically_increasing_id().alias("row")))
     home = rows.groupBy("dims", "shard").applyInPandas(lambda pdf: _search(pdf, pdf[pdf["vec_id"] % query_every == 0].assign(score=_NONE[0], last=_NONE[1]), k), _FOUND)
     home = cut(home)
-    kth = home.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best"))
-    kth = kth.where(F.size("best") >= k).select("query_id", (-F.element_at("best", k)["s"]).cast("double").alias("score"), F.element_at("best", k)["vec_id"].alias("last"))
-    queries = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "x"]).join(kth, F.col("vec_id") == F.col("query_id"), "left")
-    queries = queries.select("vec_id", "x", "dims", "shard", F.coalesce("score", F.lit(_NONE[0])).alias("score"), F.coalesce("last", F.lit(_NONE[1])).alias("last"), F.pmod(F.hash("vec_id"), F.lit(blocks)).alias("block"))
+    kth = home.groupBy("query_row").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best"))
+    kth = kth.where(F.size("best") >= k).select("query_row", (-F.element_at("best", k)["s"]).cast("double").alias("score"), F.element_at("best", k)["vec_id"].alias("last"))
+    queries = rows.where(F.col("vec_id") % query_every == 0).join(kth, F.col("row") == F.col("query_row"), "left")
+    queries = queries.select("row", "vec_id", "x", "dims", "shard", F.coalesce("score", F.lit(_NONE[0])).alias("score"), F.coalesce("last", F.lit(_NONE[1])).alias("last"), F.pmod(F.hash("row"), F.lit(blocks)).alias("block"))
     others = queries.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("to <> shard").drop("shard").withColumnRenamed("to", "shard")
     copies = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cell = ["dims", "shard", "block"]
-    others = others.select(*[F.col(c).alias(f"q_{c}") for c in ("vec_id", "x", "score", "last", *cell)])
+    others = others.select(*[F.col(c).alias(f"q_{c}") for c in ("row", "vec_id", "x", "score", "last", *cell)])
     away = copies.groupBy(*cell).cogroup(others.groupBy(*[f"q_{c}" for c in cell])).applyInPandas(lambda a, b: _search(a, b.rename(columns=lambda c: c[2:]), k), _FOUND)
-    ranked = home.unionByName(away).distinct() if shards > 1 else home.distinct()
+    ranked = home.unionByName(away) if shards > 1 else home
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-_FOUND = "query_id long, vec_id long, score long"
+_FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     if len(rows) and len(queries):
         tree = KDTree(_matrix(rows["x"]), rows["vec_id"].to_numpy())
         for a in range(0, len(queries), 256):
             part = queries.iloc[a : a + 256]
             found = tree.search(_matrix(part["x"]), part["vec_id"].to_numpy(), list(zip(part["score"], part["last"], strict=True)), k)
-            out += [(q, i, int(s)) for q, best in zip(part["vec_id"], found, strict=True) for s, i in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            out += [(r, q, i, int(s)) for r, q, best in zip(part["row"], part["vec_id"], found, strict=True) for s, i in best]
+    return pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"]).astype("int64")
 
 
 def op6_topk(spark, sf_dir):

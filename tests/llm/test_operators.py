@@ -139,6 +139,22 @@ def test_topk_over_shards_and_ties(spark, monkeypatch):
     assert topk.top_by_inner_product(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [60, 1 << 14])
+def test_topk_of_repeated_rows(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(topk, "LEAF", 8)
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([np.arange(200), np.repeat(np.arange(3, 200, 7), 4), [0, 50, 50], [100] * 6])
+    v = np.floor(256 * rng.normal(0, 0.3, (200, 4))).astype(int)[ids]
+    rows = spark.createDataFrame([(int(i), [float(a) / 256 for a in x]) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_by_inner_product(rows).collect())
+    want = []
+    for q in (0, 50, 100, 150):
+        found = sorted((-int(v[a] @ v[b]), int(ids[b])) for a in np.flatnonzero(ids == q) for b in np.flatnonzero(ids != q))[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(found, 1)]
+    assert got == want
+
+
 def test_language_model_base_score(spark, sf_dir):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     words = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w] + ["\0"]
