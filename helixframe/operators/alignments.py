@@ -90,15 +90,17 @@ def drop_empty_structures(cells: DataFrame, structures: DataFrame) -> DataFrame:
     return left.withColumn("enough", F.count("*").over(Window.partitionBy()) >= 2)
 
 
-def close(cells: DataFrame, keep, max_rounds: int = 50) -> DataFrame:
+def close(cells: DataFrame, keep) -> DataFrame:
     """Joins rows that share a mer: (row, structure_id, ind, ambiguous) with the least row of each group; ambiguous marks
-    groups with two mers of one structure. Row labels pass through shared mers until none changes; `keep` cuts the plan
-    after each round (a checkpoint)."""
+    groups with two mers of one structure. Row labels pass through shared mers, and on to the label of the row that they
+    name, until none changes; `keep` cuts the plan twice a round (a checkpoint)."""
     labels = keep(cells.select("row", S, "ind", F.col("row").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         by_mer = labels.groupBy(S, "ind").agg(F.min("label").alias("m"))
         rows = labels.join(by_mer, [S, "ind"]).groupBy("row").agg(F.min("m").alias("m"))
-        new = keep(labels.join(rows, "row").select("row", S, "ind", F.col("label").alias("old"), F.least("label", "m").alias("label")))
+        near = keep(labels.join(rows, "row").select("row", S, "ind", F.col("label").alias("old"), F.least("label", "m").alias("label")))
+        named = near.select(F.col("row").alias("label"), F.col("label").alias("next")).distinct()
+        new = keep(near.join(named, "label").select("row", S, "ind", "old", F.col("next").alias("label")))
         changed = new.where("old <> label").limit(1).count()
         labels = new.drop("old")
         if not changed:

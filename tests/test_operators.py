@@ -66,6 +66,11 @@ def test_close_joins_rows_that_share_a_mer(spark):
     assert wide(got) == sorted([tuple(zip("abcd", (1, 1, 1, 1), strict=True)), tuple(zip("abcd", (2, 2, 2, 2), strict=True)), (("a", 3), ("b", 3)), (("c", 4), ("d", 4))])
 
 
+def test_close_joins_long_chains(spark):
+    got = L.close(cells(spark, [((k + 1) // 2, k // 2) for k in range(130)]), keep)
+    assert got.select("row").distinct().count() == 1
+
+
 def test_close_marks_two_mers_of_one_structure(spark):
     got = L.close(cells(spark, [(1, 1, None), (None, 1, 1), (1, None, 2)]), keep)
     assert all(r.ambiguous for r in got.collect())
