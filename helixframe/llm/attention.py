@@ -1,8 +1,9 @@
 """A small causal attention model over subword ids, in numpy.
 
-The next subword is predicted in two steps: its class from the attention over the tokens before it, then the subword
-from its class, by counts. One head; inputs are class, hashed-id and position vectors, and the previous class adds its
-own scores for the next.
+The next subword is predicted in two steps: its class, then the subword from its class by counts. The class's scores
+are those of counted pairs (kind of the token, class of the next), to which one head of causal attention over the
+window adds what it has learned. A token's kind is a finer class. The attention reads a vector for each kind, which comes
+from the counted pairs too: kinds that lead to like classes lie near each other.
 """
 
 from __future__ import annotations
@@ -11,138 +12,187 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CLASSES, FREQUENT, HASHES, DIMS = 64, 48, 1024, 16
+#: Classes that are predicted, kinds that are read, and how many of each are single frequent ids; others share by hash.
+CLASSES, FREQUENT, KINDS, FREQUENT_KINDS, DIMS = 48, 32, 1024, 768, 16
 #: Tokens of a window, and how many of them repeat the window before as context.
 WINDOW, OVERLAP = 48, 16
 #: Windows scored at once, and the least number of training steps, with so many windows each.
-BATCH, STEPS, STEP_WINDOWS = 64, 300, 48
+BATCH, STEPS, STEP_WINDOWS = 32, 300, 48
+#: Pairs are counted as if each kind had come before this many more tokens, spread as all tokens are.
+PRIOR = 20.0
 
 
-def subword_classes(counts: np.ndarray, spaced: np.ndarray, end: int) -> np.ndarray:
+def shared_classes(counts: np.ndarray, spaced: np.ndarray, end: int, many: int, frequent: int) -> np.ndarray:
     """Class of each id: the end and the most frequent ids have their own, others share by whether a space begins them."""
     ids = np.arange(len(counts), dtype=np.int64)
-    share = (CLASSES - FREQUENT) // 2
-    out = FREQUENT + share * spaced.astype(np.int64) + (ids * 2654435761 % 2**32 >> 16) % share
+    share = (many - frequent) // 2
+    out = frequent + share * spaced.astype(np.int64) + (ids * 2654435761 % 2**32 >> 16) % share
     top = np.lexsort((ids, -counts))
-    top = top[top != end][: FREQUENT - 1]
+    top = top[top != end][: frequent - 1]
     out[end], out[top] = 0, 1 + np.arange(len(top))
     return out
 
 
-def windows_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(n: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts of n tokens each: (text, first token, first token to score) of every window. Each token is scored once."""
-    step = WINDOW - OVERLAP
+    step = WINDOW - overlap
     many = 1 + np.maximum(-(-(n - WINDOW) // step), 0)
     text = np.repeat(np.arange(len(n)), many)
     k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    return text, k * step, np.where(k > 0, k * step + OVERLAP, 0)
+    return text, k * step, np.where(k > 0, k * step + overlap, 0)
+
+
+def _bounded(scores: np.ndarray) -> None:
+    """Keeps scores within what exponentials can hold."""
+    if scores.max() > 60 or scores.min() < -60:
+        np.clip(scores, -60, 60, out=scores)
+
+
+def keep_freed_memory() -> None:
+    """Freeing one large block makes the allocator keep smaller ones for the next arrays, rather than give them back to
+    the system and fetch them again in each step."""
+    np.empty(31 << 20, np.uint8)
 
 
 class AttentionModel:
     def __init__(self, counts: np.ndarray, spaced: np.ndarray, end: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.end, self.tokens = end, int(counts.sum())
-        self.classes = subword_classes(counts, spaced, end)
+        self.classes = shared_classes(counts, spaced, end, CLASSES, FREQUENT)
+        self.kinds = shared_classes(counts, spaced, end, KINDS, FREQUENT_KINDS)
         size, total = np.bincount(self.classes, minlength=CLASSES), np.bincount(self.classes, counts, CLASSES)
         self.within = np.log((counts + 1.0) / (total + size)[self.classes]).astype(np.float32)
-        shape = {"kind": (CLASSES, DIMS), "hash": (HASHES, DIMS), "place": (WINDOW, DIMS), "q": (DIMS, DIMS), "k": (DIMS, DIMS), "v": (DIMS, DIMS), "o": (DIMS, DIMS), "out": (DIMS, CLASSES), "next": (CLASSES, CLASSES)}
-        self.p = {n: (rng.normal(0, 0 if n == "next" else 0.3 if n in ("kind", "hash", "place") else s[0] ** -0.5, s)).astype(np.float32) for n, s in shape.items()}
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-
-    def forward(self, ids: np.ndarray):
-        """Log probabilities of the next class after each of the ids in windows (n, WINDOW), and what led to them."""
-        logits, parts = self._logits(ids)
-        logits -= logits.max(2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(2, keepdims=True))
-        return logits, parts
-
-    def _logits(self, ids: np.ndarray):
-        p, c = self.p, self.classes[ids]
-        times = lambda m, w: (m.reshape(-1, m.shape[-1]) @ p[w]).reshape(*m.shape[:-1], -1)  # noqa: E731  one product for all windows
-        x = p["kind"][c]
-        x += p["hash"][ids & (HASHES - 1)]
-        x += p["place"]
-        q, k, v = times(x, "q"), times(x, "k"), times(x, "v")
-        a = (q * np.float32(DIMS**-0.5)) @ k.transpose(0, 2, 1)
-        a += self.mask
-        a -= a.max(2, keepdims=True)
+        self.share = np.maximum((total + size) / (total + size).sum(), 1e-9)  # a class may have no id
+        self.follow = np.tile(np.log(self.share), (KINDS, 1)).astype(np.float32)
+        d = DIMS
+        self.vectors = rng.normal(0, 0.5, (KINDS, d)).astype(np.float32)
+        shape = {"place": (WINDOW, d), "qkv": (d, 3 * d), "o": (d, d), "out": (d, CLASSES)}
+        self.p = {n: (rng.normal(0, 0.3 if n == "place" else 0.05 if n == "out" else s[0] ** -0.5, s)).astype(np.float32) for n, s in shape.items()}
+        self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+
+    def follows(self, pairs: np.ndarray) -> AttentionModel:
+        """Takes over how often each class came next after each kind. Vectors of kinds are the main directions in which
+        their classes differ from the whole, beside a random part that tells kinds apart."""
+        pairs = pairs.reshape(KINDS, CLASSES) + PRIOR * self.share
+        self.follow = np.log(pairs / pairs.sum(1, keepdims=True)).astype(np.float32)
+        u, s, _ = np.linalg.svd(self.follow - np.log(self.share), full_matrices=False)
+        main = (u * s)[:, : DIMS * 3 // 4]
+        self.vectors[:, : main.shape[1]] = 0.5 * main / np.maximum(main.std(0), 1e-6)
+        return self
+
+    def _attend(self, x: np.ndarray):
+        """What each place takes from those up to it: queries, keys, values with a one, weights, their sums, the mean."""
+        shape = (*x.shape[:2], 3 * DIMS)
+        qkv = (x.reshape(-1, DIMS) @ self.p["qkv"]).reshape(shape)
+        q, k = qkv[..., :DIMS] * x.dtype.type(DIMS**-0.5), np.ascontiguousarray(qkv[..., DIMS : 2 * DIMS].transpose(0, 2, 1))
+        v = np.ones((*x.shape[:2], DIMS + 1), x.dtype)
+        v[..., :DIMS] = qkv[..., 2 * DIMS :]
+        a = q @ k
+        _bounded(a)
         np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        o = a @ v
-        h = x + times(o, "o")
-        logits = times(h, "out")
-        logits += p["next"][c]
-        return logits, (c, x, q, k, v, a, o, h)
-
-    def gradients(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the real tokens, and its gradient."""
+        a *= self.mask
+        s = a @ v
+        return q, k, v, a, s[..., DIMS:], s[..., :DIMS] / s[..., DIMS:]
+
+    def _forward(self, c: np.ndarray):
+        """Scores of the next class (flat, one row a token) after each kind in windows (n, WINDOW), their exponentials and
+        the sums of those, and what led to them."""
+        p = self.p
+        x = self.vectors.take(c, 0)
+        x += p["place"]
+        parts = self._attend(x)
+        h = x.reshape(-1, DIMS) + parts[-1].reshape(-1, DIMS) @ p["o"]
+        logits = h @ p["out"]
+        logits += self.follow.take(c.ravel(), 0)
+        _bounded(logits)
+        e = np.exp(logits)
+        return logits, e, e @ np.ones(CLASSES, e.dtype), (x, *parts, h)
+
+    def forward(self, ids: np.ndarray) -> np.ndarray:
+        """Log probabilities of the next class after each of the ids in windows (n, WINDOW)."""
+        logits, _, total, _ = self._forward(self.kinds[ids])
+        return (logits - np.log(total)[:, None]).reshape(*ids.shape, CLASSES)
+
+    def gradients(self, c: np.ndarray, t: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over the real tokens, and its gradient, for windows of kinds and of the classes that came next."""
         p = self.p
-        logits, (c, x, q, k, v, a, o, h) = self.forward(ids)
-        t = self.classes[targets]
-        n, scale = max(int(real.sum()), 1), np.float32(DIMS**-0.5)
-        loss = -float((np.take_along_axis(logits, t[..., None], 2)[..., 0] * real).sum()) / n
-        d = np.exp(logits)
-        np.put_along_axis(d, t[..., None], np.take_along_axis(d, t[..., None], 2) - 1, 2)
-        d *= (real / n)[..., None].astype(d.dtype)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"out": flat(h).T @ flat(d)}
-        one_hot = (c.reshape(-1, 1) == np.arange(CLASSES)).astype(d.dtype)
-        g["next"] = one_hot.T @ flat(d)
+        logits, d, total, (x, q, k, v, a, z, o, h) = self._forward(c)
+        n, t, flat = max(int(real.sum()), 1), t.ravel(), lambda m: m.reshape(-1, m.shape[-1])
+        rows, weight = np.arange(len(t)), (real / n).ravel().astype(x.dtype)
+        loss = float((np.log(total) - logits[rows, t]) @ weight)
+        d *= (weight / total)[:, None]
+        d[rows, t] -= weight
+        g = {"out": h.T @ d}
         dh = d @ p["out"].T
-        do = dh @ p["o"].T
-        g["o"] = flat(o).T @ flat(dh)
-        dv, da = a.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * scale
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        g |= {"q": flat(x).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "place": dx.sum(0)}
-        g["kind"] = one_hot.T @ flat(dx)
-        cell = (ids & (HASHES - 1)).reshape(-1, 1) * DIMS + np.arange(DIMS)
-        g["hash"] = np.bincount(cell.ravel(), dx.ravel(), HASHES * DIMS).reshape(HASHES, DIMS).astype(dx.dtype)
+        g["o"] = flat(o).T @ dh
+        do = np.empty_like(v)
+        do[..., :DIMS] = (dh @ p["o"].T).reshape(x.shape)
+        do[..., :DIMS] /= z
+        do[..., DIMS] = -np.einsum("bid,bid->bi", do[..., :DIMS], o)
+        dqkv = np.empty((*x.shape[:2], 3 * DIMS), x.dtype)
+        dqkv[..., 2 * DIMS :] = a.transpose(0, 2, 1) @ do[..., :DIMS]
+        ds = do @ v.transpose(0, 2, 1)
+        ds *= a
+        dqkv[..., :DIMS] = ds @ k.transpose(0, 2, 1)
+        dqkv[..., :DIMS] *= x.dtype.type(DIMS**-0.5)
+        dqkv[..., DIMS : 2 * DIMS] = ds.transpose(0, 2, 1) @ q
+        dx = dh.reshape(x.shape).sum(0) + dqkv.sum(0) @ p["qkv"].T
+        g |= {"qkv": flat(x).T @ flat(dqkv), "place": dx}
         return loss, g
 
-    def batches(self, texts: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    def batches(self, texts: list[np.ndarray], size: int, overlap: int = OVERLAP) -> Iterator[tuple[np.ndarray, ...]]:
         """(text, ids, targets, real) for windows over texts; each text begins and ends with the end token."""
         n = np.array([len(t) + 1 for t in texts], np.int64)
         if not len(n):
             return
-        flat = np.concatenate([np.concatenate([[self.end], t, [self.end]]) for t in texts] + [np.full(WINDOW + 1, self.end)]).astype(np.int64)
-        begin = np.cumsum(n + 1) - (n + 1)
-        text, first, scored = windows_of(n)
+        flat = np.concatenate([x for t in texts for x in ([self.end], t)] + [np.full(WINDOW + 1, self.end)]).astype(np.int32)
+        begin = np.cumsum(n) - n
+        text, first, scored = windows_of(n, overlap)
         for a in range(0, len(text), size):
             own = text[a : a + size]
-            at = first[a : a + size, None] + np.arange(WINDOW)
-            inside = at < n[own][:, None]
-            place = begin[own][:, None] + np.where(inside, at, 0)
-            yield own, flat[place], flat[place + 1], inside & (at >= scored[a : a + size, None])
+            at = first[a : a + size, None] + np.arange(WINDOW + 1)
+            run = flat[begin[own][:, None] + np.minimum(at, n[own][:, None])]
+            yield own, run[:, :-1], run[:, 1:], (at[:, :-1] < n[own][:, None]) & (at[:, :-1] >= scored[a : a + size, None])
 
     def fit(self, texts: list[np.ndarray], rounds: int = 1) -> AttentionModel:
-        """Steps over all windows of the texts, each as often as any other: once, or more where all `rounds` together
-        would have under STEPS steps."""
+        """Steps over all tokens of the texts, in windows side by side, each as often as any other: once, or more where
+        all `rounds` together would have under STEPS steps."""
+        keep_freed_memory()
         rng = np.random.default_rng(2)
-        data = list(self.batches(texts, 1 << 30))
+        data = list(self.batches(texts, 1 << 30, 0))
         if not data:
             return self
         _, ids, targets, real = data[0]
+        c, t = self.kinds[ids].astype(np.uint16), self.classes[targets].astype(np.uint16)
         m, v = ({n: np.zeros_like(w) for n, w in self.p.items()} for _ in range(2))
         passes = max(1, -(-STEPS * STEP_WINDOWS // (rounds * len(ids))))
         order = np.concatenate([rng.permutation(len(ids)) for _ in range(passes)])
         for step, at in enumerate(range(0, len(order), STEP_WINDOWS), 1):
             pick = order[at : at + STEP_WINDOWS]
-            _, g = self.gradients(ids[pick], targets[pick], real[pick])
+            _, g = self.gradients(c[pick], t[pick], real[pick])
             for name, d in g.items():
                 m[name] = 0.9 * m[name] + 0.1 * d
                 v[name] = 0.99 * v[name] + 0.01 * d * d
-                self.p[name] = (self.p[name] - 0.01 * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                self.p[name] = self.p[name] - 0.01 * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
         return self
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each text, its end included."""
-        out = np.zeros(len(texts))
+        keep_freed_memory()
+        out, p = np.zeros(len(texts)), self.p
+        seen, place = self.vectors @ p["out"] + self.follow, p["place"] @ p["out"]  # what does not come by attention
+        mixed, ones = p["o"] @ p["out"], np.ones(CLASSES, np.float32)
         for own, ids, targets, real in self.batches(texts, BATCH):
-            logits, _ = self._logits(ids)
-            np.clip(logits, -60, 60, out=logits)  # so that no exponential overflows
-            logs = np.take_along_axis(logits, self.classes[targets][..., None], 2)[..., 0] + self.within[targets]
-            logs -= np.log(np.exp(logits, out=logits).sum(2))
-            np.add.at(out, own, (logs * real).sum(1, dtype=np.float64))
+            c, t = self.kinds.take(ids), self.classes.take(targets).ravel()
+            x = self.vectors.take(c, 0)
+            x += p["place"]
+            o = self._attend(x)[-1]
+            logits = seen.take(c, 0)
+            logits += place
+            logits += (o.reshape(-1, DIMS) @ mixed).reshape(logits.shape)
+            _bounded(logits)
+            flat = logits.reshape(-1, CLASSES)
+            logs = flat[np.arange(len(t)), t] + self.within.take(targets.ravel())
+            logs -= np.log(np.exp(flat, out=flat) @ ones)
+            np.add.at(out, own, (logs.reshape(ids.shape) * real).sum(1, dtype=np.float64))
         return out

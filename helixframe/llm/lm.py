@@ -1,12 +1,14 @@
 """Language-model scores: an exact unigram score by words, and an attention model's score by subwords.
 
-Documents go in chunks. A chunk lists each of its distinct words once, with the documents that hold it, in rows by ranges
-of the words' hashes. One task counts all words of a range over all chunks and sends each chunk sums for its documents.
-So common words cost an entry a chunk rather than a row a document, and no task holds the whole vocabulary.
-
-Subword ids of whole texts are kept beside the chunks, for the counts, the attention weights and the scores. Weights are
-learned in rounds: groups of training documents, dealt by hash, each go on from the last weights over all their windows,
-and the round ends with the mean of the groups' weights by tokens. Every training window is in one round.
+Documents go in chunks. A chunk lists each of its distinct words once, with its count in the chunk's training texts, in
+rows by ranges of the words' hashes. One task adds up the words of a range over all chunks and sends each chunk the sums
+of its own words. Which documents hold a word stays with the chunk, so a common word costs an entry a chunk, and no task
+holds the whole vocabulary.
+
+Words become subwords once for each distinct word of a chunk. The ids of whole texts are kept beside the chunks, for the
+counts, the attention weights and the scores. Weights are learned in rounds: groups of training documents, dealt by hash,
+each go on from the last weights over all their tokens, and the round ends with the mean of the groups' weights by
+tokens. Every training token is in one round.
 """
 
 from __future__ import annotations
@@ -24,14 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.attention import AttentionModel
-from helixframe.llm.common import SPACES, TO_LOWER, checkpoint_dir, crc_mod, cut, lower_ascii_py, share, shared, utf8_parts, word_hashes, word_spans
+from helixframe.llm.attention import CLASSES, AttentionModel
+from helixframe.llm.common import SPACES, TO_LOWER, checkpoint_dir, crc_mod, cut, share, shared, utf8_parts, word_hashes, word_spans
 
-#: A public vocabulary of byte pairs; one free id marks a text's end.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A public vocabulary of byte pairs for many languages; one free id marks a text's end. Another file in tiktoken's format
+#: can be given as a parameter.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: A longer word is cut. Training tokens of a group, whose weights one task learns, and rounds over the groups at most.
-MAX_PIECE, GROUP_TOKENS, ROUNDS = 200, 1 << 18, 8
+#: Training tokens of a group, whose weights one task learns, and rounds over the groups at most.
+GROUP_TOKENS, ROUNDS = 1 << 18, 8
 CHUNK_BYTES = 1 << 23
 _END_WORD = np.uint64(0)
 
@@ -44,6 +47,8 @@ class Subwords:
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
         self.end = max(self.ranks.values()) + 1
+        self.sizes = np.zeros(self.end + 1, np.int64)
+        self.sizes[list(self.ranks.values())] = list(map(len, self.ranks))
         self.encoding = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
 
     @staticmethod
@@ -55,37 +60,52 @@ class Subwords:
             kept[raw] = Subwords(raw)
         return kept[raw]
 
+    def spell(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, given by their bytes, each with a space before it; and how many ids each word has."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        size = ends - starts + 1
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        raw = np.where(within > 0, data[np.repeat(starts, size) + within - 1], np.uint8(32))
+        try:
+            text = raw.tobytes().decode()
+        except UnicodeDecodeError:
+            words = [b" " + bytes(data[a:b]).decode("utf-8", "replace").encode() for a, b in zip(starts, ends, strict=True)]
+            text, size = b"".join(words).decode(), np.array(list(map(len, words)))
+        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(size), "right"), prepend=0)
+
     def encode(self, text: str | None) -> np.ndarray:
-        """Every word with a space before it; words past MAX_PIECE characters are cut into such pieces first."""
-        words = lower_ascii_py(text or "").split()
-        if words and max(map(len, words)) > MAX_PIECE:
-            words = [w[k : k + MAX_PIECE] for w in words for k in range(0, len(w), MAX_PIECE)]
-        return np.array(self.encoding.encode_ordinary("".join(" " + w for w in words).encode("utf-8", "replace").decode()), np.int64)
+        data = TO_LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+        starts, ends, _ = word_spans(data, np.array([0, len(data)]), SPACES)
+        return self.spell(data, starts, ends)[0]
 
 
-def subword_counts(train: DataFrame, subwords: Subwords) -> np.ndarray:
-    """How often each id occurs in all training texts, given as rows with their ids."""
-    end, kind = subwords.end, _id_type(subwords.end)
+def _summed(train: DataFrame, end: int, kind: str, count, cells: int) -> np.ndarray:
+    """Sums of count(ids) over the ids of all training texts, which stand in a row between ends."""
+    edge = np.array([end], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(end + 1, np.int64)
+        total = np.zeros(cells, np.int64)
         for batch in batches:
-            counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=end + 1)
-            counts[end] += len(batch.column(0))
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], ["id", "n"])
-
-    out = np.zeros(end + 1, np.int64)
-    for r in train.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r.id] = r.n
+            total += count(np.frombuffer(edge + b"".join(x + edge for x in batch.column(0).to_pylist()), kind))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    out = np.zeros(cells, np.int64)
+    for r in train.select("ids").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r.n
     return out
 
 
 def fit_attention(train: DataFrame, subwords: Subwords) -> AttentionModel:
-    """Counts and attention weights from all windows of all training texts, given as rows with deal and ids."""
-    spaced = np.zeros(subwords.end + 1, bool)
+    """Counts and attention weights from all tokens of all training texts, given as rows with deal and ids."""
+    end, kind = subwords.end, _id_type(subwords.end)
+    spaced = np.zeros(end + 1, bool)
     spaced[[i for w, i in subwords.ranks.items() if w[:1] == b" "]] = True
-    model = AttentionModel(subword_counts(train, subwords), spaced, subwords.end)
+    model = AttentionModel(_summed(train, end, kind, lambda ids: np.bincount(ids[1:], minlength=end + 1), end + 1), spaced, end)
+    kinds, classes, cells = model.kinds, model.classes, len(model.follow) * CLASSES
+    model.follows(_summed(train, end, kind, lambda ids: np.bincount(kinds[ids[:-1]] * CLASSES + classes[ids[1:]], minlength=cells), cells))
     groups = max(1, model.tokens // GROUP_TOKENS)
     rounds = min(ROUNDS, groups)
     fan = math.isqrt(groups // rounds) + 1  # sums of this many groups each go to the driver
@@ -127,22 +147,19 @@ def _id_type(end: int) -> str:
 
 #: deal is a hash by which a training document goes to a group; null if it is held out.
 _ROWS = "part int, chunk long, words binary, meta binary, doc int, deal long, ids binary"
-#: Words of a chunk's part go together as one row: the hash, the count in training documents, and the postings' number
-#: of each, then all postings. A posting is a document's number in the chunk, and a count of up to 255 (more take more
-#: postings).
-_WORD, _POSTING = np.dtype([("h", "<u8"), ("train", "<u4"), ("many", "<u4")]), np.dtype("<u4")
+_KINDS = {"part": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "meta": pa.binary(), "doc": pa.int32(), "deal": pa.int64(), "ids": pa.binary()}
 #: Tokens for which a part is laid out; a part holds some words of every chunk, and is counted in one task.
 PART_TOKENS = 1 << 24
 
 
-def chunk_rows(docs: DataFrame, sent, parts: int) -> DataFrame:
-    """A row (part, chunk, words) for each part of a chunk's distinct words, one with meta for its documents, and one
-    with the subword ids of each document. docs: doc_id, held_out, text."""
+def _chunk_row(chunk: int, n: int, **columns: list) -> pa.RecordBatch:
+    columns["chunk"] = [chunk] * n
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(name, [None] * n), kind) for name, kind in _KINDS.items()], list(_KINDS))
 
-    def rows(chunk: int, n: int, **columns: list) -> pa.RecordBatch:
-        kinds = {"part": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "meta": pa.binary(), "doc": pa.int32(), "deal": pa.int64(), "ids": pa.binary()}
-        columns["chunk"] = [chunk] * n
-        return pa.RecordBatch.from_arrays([pa.array(columns.get(name, [None] * n), kind) for name, kind in kinds.items()], list(kinds))
+
+def chunk_rows(docs: DataFrame, sent, parts: int) -> DataFrame:
+    """A row (part, chunk, words) for each part of a chunk's distinct words, one with meta for its documents and which of
+    the words they hold, and one with the subword ids of each document. docs: doc_id, held_out, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, k = Subwords.opened(shared(sent)), 0
@@ -152,19 +169,28 @@ def chunk_rows(docs: DataFrame, sent, parts: int) -> DataFrame:
             for a, b, data, offsets in utf8_parts(texts, CHUNK_BYTES):
                 data = TO_LOWER[data]
                 starts, ends, first = word_spans(data, offsets, SPACES)
-                words = word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-                words = np.concatenate([np.where(words == _END_WORD, np.uint64(1), words), np.full(b - a, _END_WORD)])
-                n = np.diff(first) + 1
+                hashes = word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+                # The ends of the texts come after all words, so that a word's place stays its number.
+                words = np.concatenate([np.where(hashes == _END_WORD, np.uint64(1), hashes), np.full(b - a, _END_WORD)])
+                distinct, place, word = np.unique(words, return_index=True, return_inverse=True)
+                n, docs_of = np.diff(first) + 1, np.arange(b - a)
+                table, held_by = chunk_words(distinct, word, np.concatenate([np.repeat(docs_of, n - 1), docs_of]), held[a:b], parts)
                 chunk = TaskContext.get().partitionId() << 32 | k
                 k += 1
-                blobs = chunk_words(words, np.concatenate([np.repeat(np.arange(b - a), n - 1), np.arange(b - a)]), held[a:b], parts)
-                yield rows(chunk, len(blobs), part=list(blobs), words=list(blobs.values()))
-                yield rows(chunk, 1, meta=[pickle.dumps((ids[a:b], held[a:b], n))])
+                yield _chunk_row(chunk, len(table), part=list(table), words=list(table.values()))
+                yield _chunk_row(chunk, 1, meta=[pickle.dumps((ids[a:b], held[a:b], n, *held_by))])
+                # The end's hash is the least, so it comes first and has no ids.
+                flat, many = subwords.spell(data, starts[place[1:]], ends[place[1:]])
+                flat, many = flat.astype(kind), np.concatenate([[0], many])
+                begin = np.cumsum(many) - many
                 for at in range(a, b, 256):
-                    to = min(b, at + 256)
-                    coded = [subwords.encode(t.as_py()).astype(kind).tobytes() for t in texts[at:to]]
+                    to, coded = min(b, at + 256), []
+                    for d in range(at - a, to - a):
+                        w = word[first[d] : first[d + 1]]
+                        size = many[w]
+                        coded.append(flat[np.repeat(begin[w] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].tobytes())
                     deal = [None if h else zlib.crc32(x, zlib.crc32(repr(i).encode())) for i, h, x in zip(ids[at:to], held[at:to], coded, strict=True)]
-                    yield rows(chunk, to - at, doc=list(range(at - a, to - a)), deal=deal, ids=coded)
+                    yield _chunk_row(chunk, to - at, doc=list(range(at - a, to - a)), deal=deal, ids=coded)
 
     return docs.mapInArrow(run, _ROWS)
 
@@ -189,53 +215,40 @@ def score_rows(rows: DataFrame, sent, kind: str) -> DataFrame:
     return rows.select("chunk", "doc", "ids").mapInArrow(run, "chunk long, scores binary")
 
 
-def chunk_words(words: np.ndarray, owner: np.ndarray, held: np.ndarray, parts: int) -> dict[int, bytes]:
-    """Each part's distinct words of a chunk with their documents; `owner` is the document of each word."""
-    distinct, word = np.unique(words, return_inverse=True)
+def chunk_words(distinct: np.ndarray, word: np.ndarray, owner: np.ndarray, held: np.ndarray, parts: int):
+    """Each part's distinct words of a chunk with their counts in training documents; and, for all distinct words, how
+    many postings each has, and the postings: a document's number in the chunk, and a count of up to 255 (more take more
+    postings). `word` and `owner` are the number among the distinct words, and the document, of each word."""
     pairs, times = np.unique(word * len(held) + owner, return_counts=True)
     word, owner = np.divmod(pairs, len(held))
-    train = np.bincount(word, np.where(held[owner], 0, times), len(distinct))
+    train = np.bincount(word, np.where(held[owner], 0, times), len(distinct)).astype("<u4")
     entries = (times + 254) // 255
     last = np.cumsum(entries) - 1
     count = np.full(int(entries.sum()), 255)
     count[last] = times - 255 * (entries - 1)
-    post = (np.repeat(owner, entries) << 8 | count).astype(_POSTING)
-    table = np.empty(len(distinct), _WORD)
-    table["h"], table["train"], table["many"] = distinct, train, np.bincount(word, entries, len(distinct))
-    where = np.concatenate([[0], np.cumsum(table["many"].astype(np.int64))])
+    post = (np.repeat(owner, entries) << 8 | count).astype("<u4")
+    many = np.bincount(word, entries, len(distinct)).astype("<u4")
     # Parts are ranges of hashes, so that each is a run of the sorted words.
     edges = np.searchsorted(distinct, np.array([k * 2**64 // parts for k in range(1, parts)], np.uint64))
     edges = [0, *edges.tolist(), len(distinct)]
-    head = lambda i, j: (j - i).to_bytes(8, "little")
-    return {p: head(i, j) + table[i:j].tobytes() + post[where[i] : where[j]].tobytes() for p, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i}
-
+    table = {p: distinct[i:j].astype("<u8").tobytes() + train[i:j].tobytes() for p, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i}
+    return table, (many, post)
 
-def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    return np.frombuffer(blob, _WORD, n, 8), np.frombuffer(blob, _POSTING, -1, 8 + n * _WORD.itemsize)
 
-
-_SUMS = "chunk long, sums binary, meta binary, n_all long, n_distinct long"
-_SUM = np.dtype([("doc", "<u4"), ("known", "<u4"), ("logs", "<f8")])
+_COUNTS = "part int, chunk long, counts binary, n_all long, n_distinct long"
 
 
 def _count_part(table: pa.Table) -> pa.Table:
-    """Counts the words of one part over all chunks; each chunk gets back sums for its documents."""
-    chunks, opened = table["chunk"].to_pylist(), [_opened(x) for x in table["words"].to_pylist()]
-    distinct, at = np.unique(np.concatenate([w["h"] for w, _ in opened]), return_inverse=True)
-    counts = np.bincount(at, np.concatenate([w["train"] for w, _ in opened]), len(distinct))
-    out, begin = [], 0
-    for words, post in opened:
-        c = np.repeat(counts[at[begin : begin + len(words)]], words["many"])
-        begin += len(words)
-        docs, where = np.unique(post[c > 0] >> 8, return_inverse=True)
-        n = (post & 255)[c > 0]
-        sums = np.empty(len(docs), _SUM)
-        sums["doc"], sums["known"], sums["logs"] = docs, np.bincount(where, n, len(docs)), np.bincount(where, n * np.log10(c[c > 0] + 1.0), len(docs))
-        out.append(sums.tobytes())
+    """Counts the words of one part over all chunks; each chunk gets back the counts of its own words."""
+    chunks, blobs = table["chunk"].to_pylist(), table["words"].to_pylist()
+    hashes = [np.frombuffer(x, "<u8", len(x) // 12) for x in blobs]
+    distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    train = np.concatenate([np.frombuffer(x, "<u4", -1, 8 * len(h)) for x, h in zip(blobs, hashes, strict=True)])
+    counts = np.bincount(at, train, len(distinct)).astype("<u8")
+    out = [c.tobytes() for c in np.split(counts[at], np.cumsum([len(h) for h in hashes])[:-1])]
     none = [None] * len(chunks)
     return pa.table({
-        "chunk": pa.array([*chunks, None], pa.int64()), "sums": pa.array([*out, None], pa.binary()), "meta": pa.array([*none, None], pa.binary()),
+        "part": table["part"].combine_chunks().take(pa.array([*range(len(chunks)), 0])), "chunk": pa.array([*chunks, None], pa.int64()), "counts": pa.array([*out, None], pa.binary()),
         "n_all": pa.array([*none, int(counts.sum())], pa.int64()), "n_distinct": pa.array([*none, int((counts > 0).sum())], pa.int64()),
     })
 
@@ -244,17 +257,17 @@ def _totals(n_all: int, n_distinct: int):
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def run(table: pa.Table) -> pa.Table:
-        ids, held, n = pickle.loads(next(x for x in table["meta"].to_pylist() if x is not None))
-        logs, known, score = np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        ids, held, n, many, post = pickle.loads(next(x for x in table["meta"].to_pylist() if x is not None))
+        score = np.zeros(len(ids))
         for x in table["scores"].to_pylist():
             if x is not None:
                 scores = np.frombuffer(x, _SCORE)
                 score[scores["doc"]] = scores["score"]
-        for x in table["sums"].to_pylist():
-            if x is not None:
-                sums = np.frombuffer(x, _SUM)
-                logs[sums["doc"]] += sums["logs"]
-                known[sums["doc"]] += sums["known"]
+        counts = sorted((p, x) for p, x in zip(table["part"].to_pylist(), table["counts"].to_pylist(), strict=True) if x is not None)
+        c = np.repeat(np.frombuffer(b"".join(x for _, x in counts), "<u8"), many)
+        doc, times = post >> 8, post & 255
+        logs = np.bincount(doc, times * np.log10(c + 1.0), len(ids))
+        known = np.bincount(doc, np.where(c > 0, times, 0), len(ids)).astype(np.int64)
         base = logs - n * math.log10(n_all + n_distinct + 1)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": held, "n_tokens": n, "n_known": known, "base_score": base, "score": score})
 
@@ -277,14 +290,15 @@ def score_documents(docs: DataFrame, held_out: Column, tokenizer: str = TOKENIZE
     chunk_rows(docs, share(spark, raw), parts).write.parquet(path)
     rows = spark.read.schema(_ROWS).parquet(path)
     model = fit_attention(rows.where("deal IS NOT NULL"), subwords)
-    sums = cut(rows.where("part IS NOT NULL").select("part", "chunk", "words").groupBy("part").applyInArrow(_count_part, _SUMS))
-    n_all, n_distinct = sums.agg(F.sum("n_all"), F.sum("n_distinct")).first()
+    counts = cut(rows.where("part IS NOT NULL").select("part", "chunk", "words").groupBy("part").applyInArrow(_count_part, _COUNTS))
+    n_all, n_distinct = counts.agg(F.sum("n_all"), F.sum("n_distinct")).first()
     n_all, n_distinct = n_all or 0, n_distinct or 0
-    none = F.lit(None).cast("binary")
-    metas = rows.where("meta IS NOT NULL").select("chunk", none.alias("sums"), "meta", none.alias("scores"))
-    scores = score_rows(rows.where("doc IS NOT NULL"), share(spark, model), _id_type(subwords.end)).select("chunk", none.alias("sums"), none.alias("meta"), "scores")
+    kinds = {"part": "int", "counts": "binary", "meta": "binary", "scores": "binary"}
+    filled = lambda df: df.select("chunk", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+    metas = rows.where("meta IS NOT NULL").select("chunk", "meta")
+    scores = score_rows(rows.where("doc IS NOT NULL"), share(spark, model), _id_type(subwords.end))
     run, schema = _totals(n_all, n_distinct)
-    out = sums.where("chunk IS NOT NULL").select("chunk", "sums", "meta", none.alias("scores")).unionByName(metas).unionByName(scores).groupBy("chunk").applyInArrow(run, schema)
+    out = filled(counts.where("chunk IS NOT NULL").drop("n_all", "n_distinct")).unionByName(filled(metas)).unionByName(filled(scores)).groupBy("chunk").applyInArrow(run, schema)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 

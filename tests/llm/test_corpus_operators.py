@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixframe.llm import decontam, fmindex, langid, licenses, lm, mixing, neardup, pii, quality, topk, urls
-from helixframe.llm.attention import WINDOW, AttentionModel, windows_of
+from helixframe.llm.attention import DIMS, OVERLAP, WINDOW, AttentionModel, windows_of
 from helixframe.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, found string"
@@ -168,9 +168,44 @@ def test_language_model_base_score(spark, sf_dir):
 
 
 def test_counts_past_a_postings_width():
-    blobs = lm.chunk_words(np.array([5] * 700 + [9], np.uint64), np.zeros(701, int), np.array([False]), 1)
-    table, post = lm._opened(blobs[0])
-    assert table["train"].tolist() == [700, 1] and (post & 255).sum() == 701
+    word = np.array([1] * 700 + [0])
+    table, (many, post) = lm.chunk_words(np.array([5, 9], np.uint64), word, np.zeros(701, int), np.array([False]), 1)
+    assert np.frombuffer(table[0], "<u4", -1, 16).tolist() == [1, 700] and (post & 255).sum() == 701 and many.tolist() == [1, 3]
+
+
+def test_subwords_of_words_one_by_one():
+    subwords = lm.Subwords(open(lm.TOKENIZER, "rb").read())
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        words = ["".join(rng.choice(list("aZé1.'\u3000\xa0\x1c\u4e2d\U0001f600\u0130"), rng.integers(1, 9))) for _ in range(12)]
+        raw = " ".join(words).encode()
+        low = bytes(lm.TO_LOWER[np.frombuffer(raw, np.uint8)]).split(b" ")
+        data = np.frombuffer(raw, np.uint8)
+        starts, ends, _ = lm.word_spans(lm.TO_LOWER[data], np.array([0, len(data)]), lm.SPACES)
+        ids, many = subwords.spell(lm.TO_LOWER[data], starts, ends)
+        want = [subwords.encoding.encode_ordinary(" " + w.decode()) for w in low]
+        assert many.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_language_model_score_is_a_plain_loop(spark):
+    """Scores against attention worked out token by token, without windows' batches."""
+    subwords = lm.Subwords(open(lm.TOKENIZER, "rb").read())
+    rng = np.random.default_rng(6)
+    texts = [subwords.encode(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], n))) for n in (0, 1, 30, 150)]
+    counts = np.bincount(np.concatenate(texts), minlength=subwords.end + 1)
+    m = AttentionModel(counts, np.zeros(len(counts), bool), subwords.end).fit(texts)
+    for t, got in zip(texts, m.score(texts), strict=True):
+        run, total = [m.end, *t.tolist(), m.end], 0.0
+        for k in range(1, len(run)):
+            w = max(0, -(-(k - WINDOW) // (WINDOW - OVERLAP)))
+            first = w * (WINDOW - OVERLAP)
+            seen = np.array(run[first:k])
+            x = m.vectors[m.kinds[seen]] + m.p["place"][: len(seen)]
+            q, key, v = np.split(x @ m.p["qkv"], 3, 1)
+            a = np.exp(q[-1] @ key.T / DIMS**0.5)
+            logits = (x[-1] + a @ v / a.sum() @ m.p["o"]) @ m.p["out"] + m.follow[m.kinds[seen[-1]]]
+            total += logits[m.classes[run[k]]] - np.log(np.exp(logits).sum()) + m.within[run[k]]
+        assert got == pytest.approx(total, rel=1e-4)
 
 
 def test_windows_score_each_token_once():
@@ -185,16 +220,17 @@ def test_attention_gradient():
     rng = np.random.default_rng(0)
     m = AttentionModel(rng.integers(1, 50, 300), rng.random(300) < 0.5, 299)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    ids, targets = rng.integers(0, 300, (2, 2, WINDOW))
+    m.vectors, m.follow, m.mask = (w.astype(np.float64) for w in (m.vectors, m.follow, m.mask))
+    c, t = m.kinds[rng.integers(0, 300, (2, WINDOW))], m.classes[rng.integers(0, 300, (2, WINDOW))]
     real = np.ones((2, WINDOW), bool)
-    _, g = m.gradients(ids, targets, real)
+    _, g = m.gradients(c, t, real)
     for name in m.p:
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         old = m.p[name][at]
         losses = []
         for step in (1e-4, -1e-4):
             m.p[name][at] = old + step
-            losses.append(m.gradients(ids, targets, real)[0])
+            losses.append(m.gradients(c, t, real)[0])
         m.p[name][at] = old
         assert g[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=1e-3)
 
@@ -203,9 +239,9 @@ def test_attention_is_causal_and_normalised():
     rng = np.random.default_rng(1)
     m = AttentionModel(rng.integers(1, 50, 300), rng.random(300) < 0.5, 299)
     ids = rng.integers(0, 300, (1, WINDOW))
-    one = m.forward(ids)[0]
+    one = m.forward(ids)
     ids[0, 20:] = 7
-    assert np.allclose(one[0, :20], m.forward(ids)[0][0, :20], atol=1e-5)
+    assert np.allclose(one[0, :20], m.forward(ids)[0, :20], atol=1e-5)
     assert np.exp(one).sum(2) == pytest.approx(1, abs=1e-4)
     share = np.bincount(m.classes, np.exp(m.within))
     assert share[share > 0] == pytest.approx(1, abs=1e-4)
