@@ -1,33 +1,40 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field over whole spans.
 
-Around each digit or @, neighbouring tokens form a region, cut into atoms. Every run of a few atoms is a candidate span
-of each kind; features look at the whole span (digits, groups, marks, checksum, words before). Forward and backward sums
-over all segmentations train the weights; the best segmentation gives spans and kinds together. It learns from regions
-of a bounded sample of documents, labelled by the patterns. Spans of the patterns always stay; the model adds others
-that overlap none.
+Tokens around each digit, @ or bracketed "at" form a region, cut into atoms. Every run of up to MAX_ATOMS atoms that some
+kind could have (enough digits, an @, a long mixed string) is a candidate span of each kind; features look at the whole
+span (digits, groups, marks, checksum, words before). Forward and backward sums over all segmentations train the
+weights; the best segmentation gives spans and kinds together.
+
+The field learns from a sample of all regions, labelled by the patterns, from those spans written in other ways (other
+separators, no country code, "(at)"), and from look-alikes (dates, decimals, broken checksums). So it finds forms that no
+pattern fits; and secrets, which are learned where a word such as "token" stands before them. Spans of the patterns always
+stay: they are given segments, and the stretches between them are decoded.
 """
 
 from __future__ import annotations
 
-
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import share, shared
+from helixframe.llm.common import bound_batches, share, shared
 
-KINDS = ("email", "ip", "card", "phone")
-MAX_ATOMS, EPOCHS = 9, 25
-#: Documents whose regions are learned from (those whose ids hash lowest), and regions taken of each and in all.
-MAX_DOCS, PER_DOC, MAX_REGIONS = 3_000, 4, 1_500
+#: Kinds of the patterns, and one more of the model.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+#: The longest entity in atoms, and steps of learning. Longer spans of the patterns stay, but aren't learned from.
+MAX_ATOMS, EPOCHS = 40, 12
+#: Regions learned from: for each kind, and for those without any, this many whose hashes are lowest, of all documents.
+MAX_REGIONS = 120
 #: The share of all segmentations' weight that a span must have to be added.
-SURE = 0.9
+SURE = 0.5
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -35,8 +42,11 @@ _DOTTED = re.compile(r"[0-9][0-9.]*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ATOM = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+|[^\sA-Za-z0-9\u0080-\U0010ffff]|\s+")
-
+_ATOM = re.compile(r"[A-Za-z0-9]+|[\u0080-\U0010ffff]+|[^\sA-Za-z0-9\u0080-\U0010ffff]|\s+")
+_AT, _DOT = re.compile(r"[(\[]at[)\]]", re.I), re.compile(r"[(\[]dot[)\]]", re.I)
+_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api.?key)\W{1,4}([A-Za-z0-9_/+=-]{16,})")
+#: Spans that a pattern might have missed; a region with one, but without a pattern's span, teaches nothing.
+_MAYBE = re.compile(r"[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}(?![0-9])|(?:[0-9]{4}[^0-9A-Za-z]{1,3}){3}[0-9]{4}|[(\[]at[)\]]", re.I)
 
 def luhn(digits: str) -> bool:
     doubled = [int(d) * 2 for d in digits[-2::-2]]
@@ -98,61 +108,101 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # Regions, candidate spans and their features.
 
-_TRIGGER = re.compile(r"[0-9@]\S*")
-FEATURES = 34
-_CUES = ("mail", "ip", "card", "phone", "tel", "call")
+_TRIGGER = re.compile(r"[0-9@]\S*|[(\[](?:at|dot)[)\]]\S*", re.I)
+_GAP = 3
+_CUES = {"email": ("mail",), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "pay"), "phone": ("phone", "tel", "call", "fax", "mobile"), "secret": ("token", "secret", "passw", "key")}
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of tokens that hold a digit or @, one white space apart."""
+    """Runs of tokens that hold a digit or @, or stand next to a bracketed "at" or "dot", with no letter and no more than
+    a few marks between them."""
     start = end = -1
     for m in _TRIGGER.finditer(text):
-        a = m.start()
+        a, b = m.span()
         while a > max(end, 0) and not text[a - 1].isspace():
             a -= 1
-        if start >= 0 and (a <= end + 1):
-            end = m.end()
+        if m[0][0] in "([":
+            while a > max(end, 0) and text[a - 1].isspace():
+                a -= 1
+            while a > max(end, 0) and not text[a - 1].isspace():
+                a -= 1
+            while b < len(text) and text[b].isspace():
+                b += 1
+            while b < len(text) and not text[b].isspace():
+                b += 1
+        if start >= 0 and a - end <= _GAP and not any(c.isalnum() for c in text[end:a]):
+            end = max(end, b)
             continue
         if start >= 0:
             yield start, end
-        start, end = a, m.end()
+        start, end = a, b
     if start >= 0:
         yield start, end
 
 
-def candidates(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
-    """(first atom, atom after the last) of each candidate, its features, and the atoms' places."""
-    atoms = [(start + m.start(), start + m.end()) for m in _ATOM.finditer(text[start:end])]
+def atoms_of(text: str, start: int, end: int, edges: Sequence[int] = ()) -> list[tuple[int, int]]:
+    """Places of the atoms, cut at given edges too."""
+    out = []
+    for m in _ATOM.finditer(text, start, end):
+        at = m.start()
+        for e in sorted(e for e in edges if at < e < m.end()):
+            out.append((at, e))
+            at = e
+        out.append((at, m.end()))
+    return out
+
+
+def candidates(text: str, atoms: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(first atom, atom after the last) of each span that some kind could have, and its features."""
+    sums = np.zeros((len(atoms) + 1, 5), np.int64)
+    for k, (a, b) in enumerate(atoms):
+        s = text[a:b]
+        digits = sum("0" <= c <= "9" for c in s)
+        sums[k + 1] = digits, sum(c.isalpha() for c in s), s == ".", s.isspace(), s == "@" or (s.lower() == "at" and bool(_AT.match(text, max(a - 1, 0))))
+    sums = np.cumsum(sums, 0).tolist()
     spans, rows = [], []
-    cue = text[max(0, start - 16) : start].lower()
-    for i in range(len(atoms)):
-        if text[atoms[i][0]].isspace():
+    for i, (a, _) in enumerate(atoms):
+        if text[a].isspace():
             continue
+        d0, l0, p0, s0, at0 = sums[i]
         for j in range(i + 1, min(len(atoms), i + MAX_ATOMS) + 1):
-            a, b = atoms[i][0], atoms[j - 1][1]
-            if text[b - 1].isspace() or b - a > 80:
+            b = atoms[j - 1][1]
+            d, letters, points, spaces, at = (x - y for x, y in zip(sums[j], (d0, l0, p0, s0, at0), strict=True))
+            if d > 19 and spaces and not at:
+                break
+            number = not letters and (7 <= d <= 19 or points == 3 and 4 <= d)
+            if text[b - 1].isspace() or not (number or at or (not spaces and d and letters and b - a >= 16)):
                 continue
             spans.append((i, j))
-            rows.append(features(text[a:b], cue, text[a - 1 : a], text[b : b + 1]))
-    return spans, np.array(rows, np.float64).reshape(len(rows), FEATURES), atoms
+            rows.append(features(text[a:b], text[max(0, a - 20) : a].lower(), text[b : b + 8]))
+    return spans, np.array(rows, np.float64).reshape(len(rows), FEATURES)
 
 
-def features(s: str, cue: str, before: str, after: str) -> list[float]:
+def features(s: str, before: str, after: str) -> list[float]:
     digits = re.sub("[^0-9]", "", s)
     n, groups = len(digits), re.findall("[0-9]+", s)
     letters, at = sum(c.isalpha() for c in s), s.find("@")
-    quad = len(groups) == 4 and s.count(".") == 3 and not letters
+    said = _AT.search(s)
+    tail = s[at + 1 :] if at >= 0 else s[said.end() :] if said else ""
+    quad = len(groups) == 4 and s.count(".") == 3 and not letters and n + 3 == len(s)
+    number, packed, last = not letters and at < 0, len(s) == n + letters, before[-1:]
+    card, phone = number and 16 <= n <= 19, number and 7 <= n <= 15
     f = [
-        1, n == 0, 1 <= n < 4, 4 <= n < 8, 8 <= n <= 9, 10 <= n <= 11, 12 <= n <= 15, n == 16, 17 <= n <= 19, n > 19,
-        16 <= n <= 19 and luhn(digits), quad, quad and all(len(g) <= 3 and int(g) <= 255 for g in groups),
-        at > 0, 0 < at < len(s) - 1 and "." in s[at + 1 : -1], s.count("@") > 1, letters == 0, letters > 0 and n > 0,
-        s[0] == "+", s[0] == "(", "(" in s and ")" in s, " " in s, "-" in s, s[-1].isalnum(), s[0].isalnum(),
-        before[:1].isalnum(), after[:1].isalnum(), len(groups) == 1, 3 <= len(groups) <= 5, before == "+" or before == "@" or after == "@",
-        at < 0 and letters > 0, after in (".", "-", "@") or before in (".", "-"), any(c in cue for c in _CUES), len(s) / 40,
+        1, number and n < 7, phone and n < 10, phone and n in (10, 11), phone and n > 11, card, card and luhn(digits), n > 19,
+        quad, quad and all(len(g) <= 3 and int(g) <= 255 for g in groups), at > 0 or bool(said and said.start()), ("." in tail.strip(".") or bool(_DOT.search(tail))) and tail[-1:].isalnum(),
+        s.count("@") + bool(said) > 1, number and s[0] == "+", number and s[0] == "(", number and "(" in s and ")" in s, phone and "+" in s[1:], phone and len(groups) == 1,
+        phone and len(groups) in (3, 4) and len(groups[-1]) == 4, phone and len(groups) in (3, 4) and len(groups[-1]) == 4 and len(groups[-2]) == 3, phone and len(groups) > 4, phone and len(groups) == 2, phone and ":" in s,
+        phone and "." in s, card and len(groups) == 1, card and len(groups) == n // 4 and all(len(g) == 4 for g in groups[:-1]), s[-1].isalnum(), s[0].isalnum(),
+        last.isalnum() or (last in "+-.@_" and last != ""), after[:1].isalnum() or after[:1] in ("-", "@", "_"), after[:1] in (".", "-") and after[1:2].isalnum(), bool(_DOT.match(after.lstrip()) or _AT.match(after.lstrip())), before.rstrip()[-4:] in ("(at)", "[at]", "dot)", "dot]"), last == "+" or last == "(", "(" in s and ")" not in s or ")" in s and "(" not in s, "," in s or ";" in s or '"' in s or "|" in s or "\n" in s,
+        packed and letters > 0 and n > 0 and len(s) >= 16, packed and letters > 0 and len(s) >= 32, all(c in "0123456789abcdefABCDEF" for c in s) and letters > 0, letters > 0 and n > 0 and len(s) >= 16 and at < 0 and not said and not packed,
+        last in "\"'=:" and last != "", after[:1] in ('"', "'"), at >= 0 and " " in s, bool(said) and "," not in s, *[any(c in before for c in cues) for cues in _CUES.values()],
     ]
     return [float(x) for x in f]
 
 
+FEATURES = len(features("1", "", ""))
+
+
 class SemiMarkov:
     """Weights of each kind; a segment outside any entity is one atom long and scores 0."""
 
@@ -225,47 +275,110 @@ def _log_sum(values: list[float]) -> float:
 
 
 def model_spans(text: str, model: SemiMarkov, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that the model adds. A region that the patterns cover is left alone; longer ones go in windows of atoms."""
+    """Spans that the model adds: the patterns' spans are given segments, so the best segmentation of what stands between
+    them is found stretch by stretch."""
     out = []
     taken = sorted((a, b) for _, a, b in base)
-    for a, b in regions(text):
-        if any(x < b and a < y for x, y in taken) or sum(c.isdigit() for c in text[a:b]) < 7 and "@" not in text[a:b]:
-            continue
-        spans, x, atoms = candidates(text, a, b)
-        picked = model.best(spans, x, len(atoms))
-        if picked:
-            sure = model.marginals(spans, x, len(atoms))
-            out += [(KINDS[kind], atoms[spans[k][0]][0], atoms[spans[k][1] - 1][1]) for k, kind in picked if sure[k, kind] >= SURE]
+    for start, end in regions(text):
+        at = start
+        for a, b in [*(t for t in taken if t[0] < end and start < t[1]), (end, end)]:
+            out += decoded(text, at, min(a, end), model)
+            at = max(at, b)
+    return out
+
+
+def decoded(text: str, start: int, end: int, model: SemiMarkov) -> list[tuple[str, int, int]]:
+    if start >= end:
+        return []
+    atoms = atoms_of(text, start, end)
+    spans, x = candidates(text, atoms)
+    picked = model.best(spans, x, len(atoms)) if spans else []
+    sure = model.marginals(spans, x, len(atoms)) if picked else None
+    return [(KINDS[kind], atoms[spans[k][0]][0], atoms[spans[k][1] - 1][1]) for k, kind in picked if sure[k, kind] >= SURE]
+
+
+def gold_spans(text: str, start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The patterns' spans within a region and secrets after a word that names them; of spans that overlap, the longest."""
+    found = [x for x in base if start <= x[1] and x[2] <= end]
+    found += [("secret", *m.span(1)) for m in _NAMED.finditer(text, max(0, start - 20), end) if m.start(1) >= start and re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]
+    out = []
+    for x in sorted(found, key=lambda x: (x[1] - x[2], x)):
+        if all(x[2] <= y[1] or y[2] <= x[1] for y in out):
+            out.append(x)
+    return sorted(out, key=lambda x: x[1])
+
+
+def written_otherwise(kind: str, s: str) -> list[tuple[str, bool]]:
+    """The same entity in other forms, and forms that only look like one."""
+    d = re.sub("[^0-9]", "", s)
+    if kind == "phone" and len(d) >= 10:
+        a, b, c = d[-10:-7], d[-7:-4], d[-4:]
+        return [
+            (f"({a}) {b}-{c}", True), (f"{a}-{b}-{c}", True), (f"{a}.{b}.{c}", True), (f"{d[:-10] or 1} {a} {b} {c}", True),
+            (f"20{b[:2]}-{c[:2]}-{c[2:]}", False), (f"{a[:2]}:{b[:2]}:{c[:2]}.{d[-6:]}", False), (f"{c}-{b}{a[0]}", False), (f"{a[0]}.{b}{c}{a}", False), (b + c, False), (f"{a},{b},{c}0", False), (f"20{b[:2]}-{c[:2]}-{c[2:]} {a[:2]}:{b[:2]}", False),
+        ]
+    if kind == "card":
+        groups = [d[k : k + 4] for k in range(0, len(d), 4)]
+        wrong = [*groups[:-1], groups[-1][:-1] + str((int(groups[-1][-1]) + 3) % 10)]
+        return [(x.join(groups), True) for x in (" - ", ".", "/", "  ")] + [(x.join(wrong), False) for x in (" - ", ".", " ", "")]
+    if kind == "email":
+        name, host = s.split("@", 1)
+        return [(f"{name} (at) {host}", True), (f"{name} [at] {host.replace('.', ' [dot] ')}", True), (f"{name}(at){host.replace('.', '(dot)')}", True), (f"{name}@", False), (f"@{name}", False)]
+    if kind == "ip":
+        return [(".".join(str(int(p) + 256) for p in s.split(".")), False), (s.rsplit(".", 1)[0], False)]
+    return []
+
+
+def example(text: str, start: int, end: int, gold: list[tuple[str, int, int]]) -> list[tuple]:
+    """Spans, features, number of atoms, and (candidate, kind) of the true spans of a region; nothing if a true span is no
+    candidate, as it is longer than MAX_ATOMS or mere marks."""
+    atoms = atoms_of(text, start, end, [e for _, a, b in gold for e in (a, b)])
+    spans, x = candidates(text, atoms)
+    place = {(atoms[i][0], atoms[j - 1][1]): k for k, (i, j) in enumerate(spans)}
+    if not spans or not all((a, b) in place for _, a, b in gold):
+        return []
+    return [(spans, x, len(atoms), [(place[a, b], KINDS.index(kind)) for kind, a, b in gold])]
+
+
+def examples(text: str, start: int, end: int, gold: list[tuple[str, int, int]]) -> list[tuple]:
+    """What the field learns from a region: the region, then its entity written otherwise in its place."""
+    out = example(text, start, end, gold)
+    for kind, a, b in gold if len(gold) == 1 else ():
+        for form, true in written_otherwise(kind, text[a:b]):
+            new = text[:a] + form + text[b:]
+            out += example(new, start, end + len(form) - (b - a), [(kind, a, a + len(form))] if true else [])
     return out
 
 
 def fit_spans(docs: DataFrame) -> SemiMarkov:
-    """Learns from regions of at most MAX_DOCS documents, labelled by the patterns."""
-    picked = F.broadcast(docs.select(F.col("doc_id").alias("picked")).where("picked IS NOT NULL").orderBy(F.xxhash64("picked"), "picked").limit(MAX_DOCS).distinct())
+    """Learns from at most MAX_REGIONS regions of each kind, those with the lowest hashes among all documents' regions."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [r for _, r in zip(range(PER_DOC), regions(text or ""), strict=False)]
-                base = base_spans(text or "") if found else []
-                for k, (a, b) in enumerate(found):
-                    a0 = max(0, a - 16)
-                    gold = [f"{kind}:{x - a0}:{y - a0}" for kind, x, y in base if a <= x and y <= b]
-                    if b - a <= 200:
-                        rows.append((doc_id, k, text[a0 : b + 1], a - a0, b - a0, ",".join(gold)))
+            rows = set()
+            for text in batch.column(0).to_pylist():
+                found = list(regions(text)) if text and (_DIGIT.search(text) or "@" in text) else ()
+                base = base_spans(text) if found else []
+                for a, b in found:
+                    gold = gold_spans(text, a, b, base)
+                    if gold or not _MAYBE.search(text, a, b):
+                        a0 = max(0, a - 20)
+                        label = min((KINDS.index(k) for k, _, _ in gold), default=-1)
+                        rows.add((label, text[a0 : b + 1], a - a0, b - a0, ",".join(f"{k}:{x - a0}:{y - a0}" for k, x, y in gold)))
+            rows = sorted((zlib.crc32(repr(r).encode()), *r) for r in rows)
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "k", "text", "a", "b", "gold"])
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "label", "text", "a", "b", "gold"])
 
-    few = docs.join(picked, F.col("doc_id") == F.col("picked")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = few.mapInArrow(gather, "doc_id long, k long, text string, a long, b long, gold string").dropDuplicates(["text", "a", "b"])
+    bound_batches(docs.sparkSession)
+    key = ["h", "text", "a", "b", "gold"]
+    rows = docs.select("text").mapInArrow(gather, "h long, label int, text string, a long, b long, gold string").dropDuplicates(["label", *key])
+    first = Window.partitionBy("label").orderBy(*key)
     data = []
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "k", "text").limit(MAX_REGIONS).collect():
-        spans, x, atoms = candidates(r.text, r.a, r.b)
-        place = {(atoms[i][0], atoms[j - 1][1]): k for k, (i, j) in enumerate(spans)}
-        gold = [(place[int(a), int(b)], KINDS.index(kind)) for kind, a, b in (g.split(":") for g in r.gold.split(",") if g) if (int(a), int(b)) in place]
-        data.append((spans, x, len(atoms), gold))
-    return SemiMarkov().fit([d for d in data if d[0]])
+    for r in rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= MAX_REGIONS).orderBy("label", *key).collect():
+        gold = [(k, int(a), int(b)) for k, a, b in (g.split(":") for g in r.gold.split(",") if g)]
+        data += examples(r.text, r.a, r.b, gold)
+    return SemiMarkov().fit([data[k] for k in np.random.default_rng(4).permutation(len(data))])
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
@@ -275,7 +388,7 @@ _FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 def all_spans(text: str, model: SemiMarkov) -> list[dict]:
     """Spans of the patterns and the model, by kind as listed and start."""
     base = base_spans(text)
-    more = model_spans(text, model, base) if _DIGIT.search(text) or "@" in text else []
+    more = model_spans(text, model, base) if _DIGIT.search(text) or "@" in text or _AT.search(text) else []
     both = [(KINDS.index(k), a, b, True) for k, a, b in base] + [(KINDS.index(k), a, b, False) for k, a, b in more]
     return [{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in sorted(both)]
 
@@ -341,4 +454,4 @@ def op8_pii(spark, sf_dir):
     rows = find_personal_data(docs).drop("text")
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", *map(count, KINDS), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *map(count, BASE_KINDS), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))

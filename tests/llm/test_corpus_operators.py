@@ -288,15 +288,98 @@ def test_spans_and_masking(spark):
     assert r.text == "é mail [EMAIL], [IP] and [PHONE] or [CARD]." and r.n_chars == len(r.text)
 
 
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d // 10 + d % 10
+    return total % 10 == 0
+
+
+def plain_base(text):
+    """The contract's patterns, as they are written."""
+    only = lambda m: re.sub("[^0-9]", "", m[0])
+    found = [("email", m) for m in EMAIL.finditer(text)] + [("ip", m) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [("card", m) for m in CARD.finditer(text) if 16 <= len(only(m)) <= 19 and plain_luhn(only(m))]
+    found += [("phone", m) for m in PHONE.finditer(text) if 8 <= len(only(m)) <= 15]
+    return [(kind, *m.span()) for kind, m in found]
+
+
+def test_personal_data_query_against_plain_patterns(spark):
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = pii.op8_pii(spark, d).collect()
+    added = Counter()
+    for r in rows:
+        base = plain_base(texts[r.doc_id])
+        shown = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in base) for kind in pii.BASE_KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest()
+        every = [x for x in r.spans.split(",") if x]
+        assert set(shown) <= set(every)
+        for k, a, b in (x.split(":") for x in set(every) - set(shown)):
+            s = texts[r.doc_id][int(a) : int(b)]
+            added[k, bool(k == "secret" and re.fullmatch("[0-9a-fA-F]{40}", s) or k == "card" and plain_luhn(re.sub("[^0-9]", "", s)))] += 1
+    assert sum(added.values()) >= 10 and all(right for _, right in added)
+    assert sorted(map(repr, pii.op8_pii(spark, d).collect())) == sorted(map(repr, rows))
+
+
+def test_model_finds_forms_that_no_pattern_fits(spark):
+    model = pii.fit_spans(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = {
+        "call (234) 555-6789 now": [("phone", "(234) 555-6789")],
+        "a@b.cd (555) 123-4567 x": [("phone", "(555) 123-4567")],
+        "card 4111 - 1111 - 1111 - 1111 ok": [("card", "4111 - 1111 - 1111 - 1111")],
+        "john.doe (at) mail.example.com please": [("email", "john.doe (at) mail.example.com")],
+        'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"': [("secret", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B")],
+        "4111 1111 1111 1112": [], "9807915762804490": [], "on 2024-01-15 at 10:30:00": [], "pi 3.14159265": [], "999.999.999.999": [], "1990-1995, 2000-2010": [], "": [],
+    }
+    for text, want in found.items():
+        assert [(k, text[a:b]) for k, a, b in pii.model_spans(text, model, pii.base_spans(text))] == want, text
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_semi_markov_against_all_segmentations(seed):
+    rng = np.random.default_rng(seed)
+    n = 6
+    spans = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if rng.random() < 0.5]
+    x = rng.normal(size=(len(spans), pii.FEATURES))
+    m = pii.SemiMarkov()
+    m.w = rng.normal(size=m.w.shape) * 0.3
+    scores = x @ m.w.T
+
+    def every(at):
+        if at == n:
+            yield ()
+            return
+        for rest in every(at + 1):
+            yield rest
+        for k, (i, j) in enumerate(spans):
+            if i == at:
+                for rest in every(j):
+                    for kind in range(len(pii.KINDS)):
+                        yield ((k, kind), *rest)
+
+    ways = list(every(0))
+    weight = np.exp([sum(scores[k, kind] for k, kind in w) for w in ways])
+    want = np.zeros_like(scores)
+    for w, p in zip(ways, weight / weight.sum(), strict=True):
+        for k, kind in w:
+            want[k, kind] += p
+    assert np.allclose(m.marginals(spans, x, n), want)
+    assert tuple(m.best(spans, x, n)) == ways[int(weight.argmax())]
+
+
 def test_semi_markov_learns():
     data = []
     for k in range(40):
-        t = f"{10 + k}.1.2.3" if k % 2 else f"{1000 + k} units"
-        spans, x, atoms = pii.candidates(t, 0, len(t))
-        whole = {(atoms[i][0], atoms[j - 1][1]): n for n, (i, j) in enumerate(spans)}
-        data.append((spans, x, len(atoms), [(whole[0, len(t)], 1)] if k % 2 else []))
+        t = f"{10 + k}.1.2.3" if k % 2 else f"{1000 + k}.1.2.300"
+        data += pii.example(t, 0, len(t), [("ip", 0, len(t))] if k % 2 else [])
     m = pii.SemiMarkov().fit(data)
-    assert [bool(m.best(*d[:3])) for d in data] == [bool(d[3]) for d in data]
+    assert len(data) == 40 and [m.best(*d[:3]) for d in data] == [d[3] for d in data]
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
