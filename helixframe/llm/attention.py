@@ -15,7 +15,7 @@ import numpy as np
 #: Classes that are predicted, kinds that are read, and how many of each are single frequent ids; others share by hash.
 CLASSES, FREQUENT, KINDS, FREQUENT_KINDS, DIMS = 48, 32, 1024, 768, 16
 #: Tokens of a window, and how many of them repeat the window before as context.
-WINDOW, OVERLAP = 48, 16
+WINDOW, OVERLAP = 48, 12
 #: Windows scored at once, and the least number of training steps, with so many windows each.
 BATCH, STEPS, STEP_WINDOWS = 32, 300, 48
 #: Pairs are counted as if each kind had come before this many more tokens, spread as all tokens are.
@@ -66,7 +66,7 @@ class AttentionModel:
         self.follow = np.tile(np.log(self.share), (KINDS, 1)).astype(np.float32)
         d = DIMS
         self.vectors = rng.normal(0, 0.5, (KINDS, d)).astype(np.float32)
-        shape = {"place": (WINDOW, d), "qkv": (d, 3 * d), "o": (d, d), "out": (d, CLASSES)}
+        shape = {"place": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, d), "out": (d, CLASSES)}
         self.p = {n: (rng.normal(0, 0.3 if n == "place" else 0.05 if n == "out" else s[0] ** -0.5, s)).astype(np.float32) for n, s in shape.items()}
         self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
@@ -82,11 +82,11 @@ class AttentionModel:
 
     def _attend(self, x: np.ndarray):
         """What each place takes from those up to it: queries, keys, values with a one, weights, their sums, the mean."""
-        shape = (*x.shape[:2], 3 * DIMS)
-        qkv = (x.reshape(-1, DIMS) @ self.p["qkv"]).reshape(shape)
-        q, k = qkv[..., :DIMS] * x.dtype.type(DIMS**-0.5), np.ascontiguousarray(qkv[..., DIMS : 2 * DIMS].transpose(0, 2, 1))
-        v = np.ones((*x.shape[:2], DIMS + 1), x.dtype)
-        v[..., :DIMS] = qkv[..., 2 * DIMS :]
+        flat, scale = x.reshape(-1, DIMS), x.dtype.type(DIMS**-0.5)
+        q = (flat @ (self.p["q"] * scale)).reshape(x.shape)
+        k = np.ascontiguousarray((flat @ self.p["k"]).reshape(x.shape).transpose(0, 2, 1))
+        v = (flat @ np.pad(self.p["v"], ((0, 0), (0, 1)))).reshape(*x.shape[:2], DIMS + 1)
+        v[..., DIMS] = 1
         a = q @ k
         _bounded(a)
         np.exp(a, out=a)
@@ -125,19 +125,19 @@ class AttentionModel:
         g = {"out": h.T @ d}
         dh = d @ p["out"].T
         g["o"] = flat(o).T @ dh
-        do = np.empty_like(v)
-        do[..., :DIMS] = (dh @ p["o"].T).reshape(x.shape)
+        do = (dh @ np.pad(p["o"].T, ((0, 0), (0, 1)))).reshape(v.shape)
         do[..., :DIMS] /= z
         do[..., DIMS] = -np.einsum("bid,bid->bi", do[..., :DIMS], o)
-        dqkv = np.empty((*x.shape[:2], 3 * DIMS), x.dtype)
-        dqkv[..., 2 * DIMS :] = a.transpose(0, 2, 1) @ do[..., :DIMS]
+        dv = flat(a.transpose(0, 2, 1) @ do[..., :DIMS])
         ds = do @ v.transpose(0, 2, 1)
         ds *= a
-        dqkv[..., :DIMS] = ds @ k.transpose(0, 2, 1)
-        dqkv[..., :DIMS] *= x.dtype.type(DIMS**-0.5)
-        dqkv[..., DIMS : 2 * DIMS] = ds.transpose(0, 2, 1) @ q
-        dx = dh.reshape(x.shape).sum(0) + dqkv.sum(0) @ p["qkv"].T
-        g |= {"qkv": flat(x).T @ flat(dqkv), "place": dx}
+        dq, dk = flat(ds @ k.transpose(0, 2, 1)), flat(ds.transpose(0, 2, 1) @ q)
+        dq *= x.dtype.type(DIMS**-0.5)
+        dx = dh.reshape(x.shape).sum(0)
+        for name, d in (("q", dq), ("k", dk), ("v", dv)):
+            g[name] = flat(x).T @ d
+            dx += d.reshape(x.shape).sum(0) @ p[name].T
+        g["place"] = dx
         return loss, g
 
     def batches(self, texts: list[np.ndarray], size: int, overlap: int = OVERLAP) -> Iterator[tuple[np.ndarray, ...]]:

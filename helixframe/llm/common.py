@@ -42,6 +42,19 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> Column:
+    """All columns as one, so that their names meet no others."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, kept in the shared checkpoint folder, without the plan that made them."""
     bound_batches(df.sparkSession)
@@ -77,8 +90,8 @@ MARKS = np.zeros(256, bool)
 MARKS[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
-_POWERS = np.ones(1, np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -88,11 +101,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.full(max(n, 64), _BASE, np.uint64))
-    return _POWERS
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base from 1, and of its inverse modulo 2**64 from 0."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 17)
+        inverse = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+        inverse[0] = 1
+        _POWERS[:] = np.cumprod(np.full(size, _BASE, np.uint64)), np.cumprod(inverse)
+    return _POWERS[0], _POWERS[1]
 
 
 def utf8_parts(texts: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -126,14 +142,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 17) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word; the same in every process. A few words at a time, to bound memory."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word, from running sums over the bytes; the same in every process. A few words at
+    a time, to bound memory."""
     out = np.empty(len(starts), np.uint64)
     for a in range(0, len(starts), step):
-        s, size = starts[a : a + step], (ends - starts)[a : a + step]
-        firsts = np.cumsum(size) - size
-        within = np.arange(int(size.sum())) - np.repeat(firsts, size)
-        powers = _powers(int(size.max()))
-        values = (data[np.repeat(s, size) + within].astype(np.uint64) + np.uint64(1)) * powers[within]
-        out[a : a + step] = np.add.reduceat(values, firsts)
+        first = starts[a]
+        s, e = starts[a : a + step] - first, ends[a : a + step] - first
+        n = int(e[-1])
+        powers, inverse = _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[first : first + n].astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+        out[a : a + step] = (sums[e] - sums[s]) * inverse[s]
     return mix64(out)
+
+
+def distinct_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and the number among them of each value."""
+    order = np.argsort(hashes)
+    by = hashes[order]
+    first = np.concatenate([[True], by[1:] != by[:-1]])[: len(by)]
+    number = np.empty(len(by), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return by[first], order[first], number

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.attention import CLASSES, AttentionModel
-from helixframe.llm.common import SPACES, TO_LOWER, checkpoint_dir, crc_mod, cut, share, shared, utf8_parts, word_hashes, word_spans
+from helixframe.llm.common import SPACES, TO_LOWER, checkpoint_dir, crc_mod, cut, distinct_hashes, share, shared, utf8_parts, word_hashes, word_spans
 
 #: A public vocabulary of byte pairs for many languages; one free id marks a text's end. Another file in tiktoken's format
 #: can be given as a parameter.
@@ -172,7 +172,7 @@ def chunk_rows(docs: DataFrame, sent, parts: int) -> DataFrame:
                 hashes = word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
                 # The ends of the texts come after all words, so that a word's place stays its number.
                 words = np.concatenate([np.where(hashes == _END_WORD, np.uint64(1), hashes), np.full(b - a, _END_WORD)])
-                distinct, place, word = np.unique(words, return_index=True, return_inverse=True)
+                distinct, place, word = distinct_hashes(words)
                 n, docs_of = np.diff(first) + 1, np.arange(b - a)
                 table, held_by = chunk_words(distinct, word, np.concatenate([np.repeat(docs_of, n - 1), docs_of]), held[a:b], parts)
                 chunk = TaskContext.get().partitionId() << 32 | k
@@ -245,10 +245,11 @@ def _count_part(table: pa.Table) -> pa.Table:
     distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
     train = np.concatenate([np.frombuffer(x, "<u4", -1, 8 * len(h)) for x, h in zip(blobs, hashes, strict=True)])
     counts = np.bincount(at, train, len(distinct)).astype("<u8")
-    out = [c.tobytes() for c in np.split(counts[at], np.cumsum([len(h) for h in hashes])[:-1])]
+    kind = next(k for k in ("<u2", "<u4", "<u8") if counts.max() < 1 << 8 * int(k[2]))
+    out = [kind.encode() + c.tobytes() for c in np.split(counts.astype(kind)[at], np.cumsum([len(h) for h in hashes])[:-1])]
     none = [None] * len(chunks)
     return pa.table({
-        "part": table["part"].combine_chunks().take(pa.array([*range(len(chunks)), 0])), "chunk": pa.array([*chunks, None], pa.int64()), "counts": pa.array([*out, None], pa.binary()),
+        "part": pa.array([table["part"][0].as_py()] * (len(chunks) + 1), pa.int32()), "chunk": pa.array([*chunks, None], pa.int64()), "counts": pa.array([*out, None], pa.binary()),
         "n_all": pa.array([*none, int(counts.sum())], pa.int64()), "n_distinct": pa.array([*none, int((counts > 0).sum())], pa.int64()),
     })
 
@@ -264,7 +265,7 @@ def _totals(n_all: int, n_distinct: int):
                 scores = np.frombuffer(x, _SCORE)
                 score[scores["doc"]] = scores["score"]
         counts = sorted((p, x) for p, x in zip(table["part"].to_pylist(), table["counts"].to_pylist(), strict=True) if x is not None)
-        c = np.repeat(np.frombuffer(b"".join(x for _, x in counts), "<u8"), many)
+        c = np.repeat(np.concatenate([np.frombuffer(x, x[:3].decode(), -1, 3) for _, x in counts]), many)
         doc, times = post >> 8, post & 255
         logs = np.bincount(doc, times * np.log10(c + 1.0), len(ids))
         known = np.bincount(doc, np.where(c > 0, times, 0), len(ids)).astype(np.int64)
@@ -287,7 +288,7 @@ def score_documents(docs: DataFrame, held_out: Column, tokenizer: str = TOKENIZE
     subwords = Subwords(raw)
     parts = 8 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (4 * PART_TOKENS)
     path = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
-    chunk_rows(docs, share(spark, raw), parts).write.parquet(path)
+    chunk_rows(docs, share(spark, raw), parts).write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema(_ROWS).parquet(path)
     model = fit_attention(rows.where("deal IS NOT NULL"), subwords)
     counts = cut(rows.where("part IS NOT NULL").select("part", "chunk", "words").groupBy("part").applyInArrow(_count_part, _COUNTS))
