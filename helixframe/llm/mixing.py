@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import count_space_words, cut, if_small
@@ -20,10 +20,10 @@ HASH_DIGITS, LEVELS = 9, (24, 12, 0)
 MAX_BROADCAST_SOURCES = 100_000
 
 
-def sized_documents(docs: DataFrame, *also: str) -> DataFrame:
-    """(doc_id, source, size, h) and other columns that are asked for: words, and a hash of the id, equal for equal ids
-    (null counts as empty)."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+def sized_documents(docs: DataFrame, *also: Column) -> DataFrame:
+    """(doc_id, source, size, h) and other columns that are asked for: words, and a hash of the id with the text, null as
+    empty, so that rows with one id don't move as a block."""
+    digest = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
     return docs.select(
         "doc_id",
         *also,
@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat:
     """doc_id, source, size, source_size, target and taken of every document.
 
     Null and empty texts have size 0 and are taken with 0 words; a null source is a source of its own, after the others;
-    rows that share an id share a hash and are taken alike; an empty table gives an empty result. Only doc_id, text and
+    rows that share both id and text share a hash and are taken alike; an empty table gives an empty result. Only doc_id, text and
     source are read, so other columns can have any name."""
     sized = cut(sized_documents(docs))
     return apply_mix(sized, mix_plan(sized, weights, max_repeat))
@@ -107,7 +107,7 @@ def op1_mix(spark, sf_dir):
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 9) AS BIGINT) AS h
   FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w,
