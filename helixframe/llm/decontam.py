@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from helixframe.llm.fmindex import FMIndex
 
 WINDOW = 13
 #: Words of a shard (a longer document is a shard of its own), and bytes of benchmark text searched for at once.
-SHARD_WORDS, BLOCK_BYTES = 1 << 20, 32 << 20
+SHARD_WORDS, BLOCK_BYTES = 1 << 20, 4 << 20
 #: 5 %: a document is contaminated if so many of its words are hit.
 HIT_SHARE = 20
 
@@ -39,20 +40,21 @@ def words(text: str | None) -> list[bytes]:
 class Windows:
     """The windows of one block of benchmark items, as rows of word numbers grouped by length."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int):
+    def __init__(self, items: list[tuple[str | None, str]], size: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.items = sorted({i for i, _ in items})
+        self.items = sorted({i for i, _ in items}, key=lambda i: (i is None, i or ""))
         number = {x: k for k, x in enumerate(self.items)}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for a in range(max(1, len(ids) - size + 1) if ids else 0):
-                owners.setdefault(tuple(ids[a : a + size]), set()).add(number[item])
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int32)
+            n = min(size, len(ids))
+            if n:
+                found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), number[item]))
         self.by_size = {}
-        for n in sorted({len(w) for w in owners}):
-            rows = sorted(w for w in owners if len(w) == n)
-            own = [sorted(owners[w]) for w in rows]
-            self.by_size[n] = (np.array(rows, np.int64), np.concatenate([[0], np.cumsum([len(x) for x in own])]), np.array([i for x in own for i in x], np.int64))
+        for n, runs in sorted(found.items()):
+            rows, which = np.unique(np.concatenate([r for r, _ in runs]), axis=0, return_inverse=True)
+            owned = np.unique(np.stack([which.ravel(), np.repeat([k for _, k in runs], [len(r) for r, _ in runs])], 1), axis=0)
+            self.by_size[n] = (rows, np.searchsorted(owned[:, 0], np.arange(len(rows) + 1)), owned[:, 1].astype(np.int32))
 
 
 def search(shard: list[list[int]], windows: Windows) -> tuple[list[list[tuple[int, int]]], list[list[str]]]:
@@ -104,36 +106,37 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def _search_block(docs: DataFrame, windows: Windows, text: str, found: str) -> DataFrame:
-    sent = share(docs.sparkSession, windows)
-    schema = docs.schema if found in docs.columns else T.StructType([*docs.schema.fields, T.StructField(found, FOUND)])
+def _search(docs: DataFrame, blocks: list[Broadcast], text: str, found: str) -> DataFrame:
+    schema = T.StructType([*docs.schema.fields, T.StructField(found, FOUND)])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared(sent)
-        get = w.vocabulary.get
+        only = shared(blocks[0]) if len(blocks) == 1 else None
         for batch in batches:
-            texts, known = batch.column(text), batch.column(found).to_pylist() if found in batch.schema.names else None
-            results, shard, n = [], [], 0
-
-            def flush(results=results, shard=shard):
-                results += [(len(x), s, i) for x, s, i in zip(shard, *search(shard, w), strict=True)]
+            rows, shard, n = [], [], 0
+
+            def flush(rows=rows, shard=shard):
+                every = [([], []) for _ in shard]
+                for block in blocks:  # a worker holds one block's windows at a time
+                    windows = only or shared(block)
+                    get = windows.vocabulary.get
+                    for (spans, items), more, also in zip(every, *search([[get(w, 0) for w in doc] for doc in shard], windows), strict=True):
+                        spans[:] = merged(spans, more)
+                        items += also
+                for doc, (spans, items) in zip(shard, every, strict=True):
+                    named = sorted(set(items), key=lambda i: (i is None, i or ""))
+                    rows.append({"n_words": len(doc), "spans": [{"start": a, "end": b} for a, b in spans], "items": named})
                 shard.clear()
 
-            for x in texts:
-                ids = [get(word, 0) for word in words(x.as_py())]
-                if shard and n + len(ids) > SHARD_WORDS:
+            for x in batch.column(text):
+                doc = words(x.as_py())
+                if shard and n + len(doc) > SHARD_WORDS:
                     flush()
                     n = 0
-                shard.append(ids)
-                n += len(ids)
+                shard.append(doc)
+                n += len(doc)
             flush()
-            rows = [
-                {"n_words": n, "spans": [{"start": a, "end": b} for a, b in (merged(s, [(x["start"], x["end"]) for x in k["spans"]]) if k else s)], "items": sorted({*i, *(k["items"] if k else ())})}
-                for (n, s, i), k in zip(results, known or [None] * len(results), strict=True)
-            ]
-            column = pa.array(rows, _FOUND_ARROW)
-            yield pa.RecordBatch.from_arrays([column if c == found else batch.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _FOUND_ARROW)], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -145,17 +148,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """docs with one more column, `found`: n_words, merged spans of hit words (from 0, end exclusive), and the ids (as
     text) of benchmark items with a window there. An input column of that name is replaced.
 
-    Null and empty texts have no words and no hits; items without words have no window; repeated rows get equal results;
-    an empty table of either kind gives no hits. The benchmark is searched for in blocks of bounded size, one after the
-    other within the same pass over the documents, so neither table is shuffled."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t")).where("item IS NOT NULL AND t IS NOT NULL")
+    Null and empty texts have no words and no hits; items without words have no window, an item with a null id has
+    windows like any other and stands as null among the items; repeated rows get equal results; an empty table of either
+    kind gives no hits. The benchmark goes in blocks of bounded size: the driver makes the windows of one block at a time,
+    and a worker splits a shard's texts once and searches for block after block, each with an index over the words that
+    the block has. So neither table is shuffled, and memory is bounded by a block and a shard."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t")).where("t IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
-    docs = docs.drop(found)
-    for k in range(blocks):
-        block = items.where(F.pmod(F.hash("item", "t"), F.lit(blocks)) == k)
-        docs = _search_block(docs, Windows([tuple(r) for r in block.collect()], window), text, found)
-    return docs
+    many = -(-size // BLOCK_BYTES) or 1
+    blocks = []
+    for k in range(many):
+        block = items.where(F.pmod(F.hash("item", "t"), F.lit(many)) == k)
+        blocks.append(share(docs.sparkSession, Windows([tuple(r) for r in block.collect()], window)))
+    return _search(docs.drop(found), blocks, text, found)
 
 
 def contaminated(found: str = "found"):
