@@ -1,8 +1,10 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template matches a block that holds at least THRESHOLD of its words. Template words are ordered by
-how many blocks hold them, rarest first; a match must then share one of a template's first few words, must hold enough
-words in all, and must have enough of them left after the first shared one. What passes is checked on whole sets.
+A block is a stretch of text, across lines, in which no more than GAP words in a row belong to no template; so a notice is
+one block however it is wrapped, and a long text without line breaks isn't. A template matches a block that holds at least
+THRESHOLD of its words and all of those that tell it from its siblings. Template words are ordered by how many blocks hold
+them, rarest first; a match must then share one of a template's first few words, must hold enough words in all, and must
+have enough of them left after the first shared one. What passes is checked on whole sets.
 """
 
 from __future__ import annotations
@@ -13,26 +15,34 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import MARK_CLASS, cut, lower_ascii
+from helixframe.llm.common import MARK_CLASS, cut, if_small, lower_ascii
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-THRESHOLD = 0.8
-#: (label, words of a license's notice), as plain text.
+THRESHOLD, GAP = 0.8, 4
+#: Words of all templates that a broadcast may hold; with more, the joins shuffle.
+MAX_WORDS = 100_000
+#: Fixed values: (label, words of a license's notice), as plain text; + marks words that must be there.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "the software is provided as is without warranty of any kind express or implied"),
-    ("apache", "licensed under the apache license version 2 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this +software and associated documentation files"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and +noninfringement"),
+    ("mit", "released under the +mit license"),
+    ("isc", "permission to use copy modify and or +distribute this software for any purpose with or without fee is hereby granted"),
+    ("apache", "licensed under the +apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("cc-by", "this work is licensed under a creative commons attribution international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("mit", "released under the mit license"),
-    ("proprietary", "copyright all rights reserved"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the +gnu +general public license"),
+    ("gpl", "this work is licensed under the +gnu +general public license version 3"),
+    ("lgpl", "under the terms of the gnu +lesser general public license as published by the free software foundation"),
+    ("agpl", "under the terms of the gnu +affero general public license as published by the free software foundation"),
+    ("mpl", "this source code form is subject to the terms of the +mozilla public license"),
+    ("epl", "made available under the terms of the +eclipse public license"),
+    ("boost", "distributed under the +boost software license version 1 0"),
+    ("unlicense", "this is free and unencumbered software released into the public +domain"),
+    ("cc-by", "this work is licensed under a creative commons +attribution international license"),
+    ("cc-by-nc", "licensed under +cc by +nc 4 0"),
+    ("cc-by-sa", "licensed under +cc by +sa 4 0"),
+    ("cc-by-nd", "licensed under +cc by +nd 4 0"),
+    ("proprietary", "copyright all rights +reserved"),
 )
 
 
@@ -43,21 +53,34 @@ def lowered(text: Column) -> Column:
     return F.when(odd, lower_ascii(text)).otherwise(F.lower(text))
 
 
-def template_sets(templates) -> list[tuple[int, str, list[str], int]]:
-    """(number, label, distinct words, words needed)."""
-    sets = [(k, label, sorted(set(words.split()))) for k, (label, words) in enumerate(templates)]
-    return [(k, label, words, math.ceil(THRESHOLD * len(words) - 1e-9)) for k, label, words in sets]
+def template_sets(templates) -> list[tuple[int, str, list[str], list[str], int]]:
+    """(number, label, distinct words, those that must be there, words needed)."""
+    sets = [(k, label, sorted({w.lstrip("+") for w in words.split()}), sorted({w[1:] for w in words.split() if w[0] == "+"})) for k, (label, words) in enumerate(templates)]
+    return [(*s, math.ceil(THRESHOLD * len(s[2]) - 1e-9)) for s in sets]
 
 
-def scanned_lines(docs: DataFrame, phrases: Mapping[str, str], known: list[str], least: int) -> DataFrame:
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks_of(words: Column, known: list[str], least: int) -> Column:
+    """(number of the block's first word, distinct known words) of blocks with at least so many of them."""
+    places = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(known))
+    opens = lambda hits: F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: (i == 0) | (F.get(hits, i)["at"] - F.get(hits, i - 1)["at"] > GAP + 1))
+    block = lambda hits, first, k, start: F.struct(
+        F.get(hits, start)["at"].alias("block"),
+        F.array_distinct(F.transform(F.slice(hits, start + 1, F.coalesce(F.get(first, k + 1), F.size(hits)) - start), lambda x: x["word"])).alias("hits"),
+    )
+    cut_up = lambda hits: bound(opens(hits), lambda first: F.transform(first, lambda start, k: block(hits, first, k, start)))
+    none = F.slice(F.array(F.struct(F.lit(0).alias("block"), F.array(F.lit("")).alias("hits"))), 1, 0)
+    return F.filter(bound(places, lambda hits: F.when(F.size(hits) >= least, cut_up(hits)).otherwise(none)), lambda x: F.size(x["hits"]) >= least)
+
+
+def scanned_texts(docs: DataFrame, phrases: Mapping[str, str], known: list[str], least: int) -> DataFrame:
     """(doc_id, text_hash, n_words, base, blocks), from one pass over the texts: places of phrases with their labels,
-    and lines (number, distinct known words) that hold at least so many known words."""
+    and blocks that hold at least so many known words."""
     text = lowered(F.coalesce("text", F.lit("")))
-    ends = lambda w: (w[0] == "").cast("int") + ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
-    lines = F.transform(
-        F.transform(F.split(text, "\n"), lambda line: F.split(line, MARK_CLASS)),
-        lambda w: F.struct((F.size(w) - ends(w)).alias("n"), F.array_distinct(F.filter(w, lambda x: x.isin(known))).alias("hits")),
-    )
     maybe = F.lit(False)
     for p in phrases:
         whole = F.lit(True)
@@ -65,41 +88,41 @@ def scanned_lines(docs: DataFrame, phrases: Mapping[str, str], known: list[str],
             whole = whole & text.contains(w)
         maybe = maybe | whole
     none = F.slice(F.array(F.struct(F.lit("").alias("label"), F.lit(0).alias("place"))), 1, 0)
-    words = F.filter(F.split(text, MARK_CLASS), lambda x: x != "")
     named = lambda places, label: F.transform(places, lambda i: F.struct(F.lit(label).alias("label"), i.alias("place")))
-    base = F.transform(F.array(words), lambda w: F.concat(none, *[named(phrase_places(w, p), label) for p, label in phrases.items()]))[0]
+    base = lambda words: F.concat(none, *[named(phrase_places(words, p), label) for p, label in phrases.items()])
+    parsed = bound(
+        F.filter(F.split(text, MARK_CLASS), lambda x: x != ""),
+        lambda words: F.struct(F.size(words).cast("long").alias("n_words"), F.when(maybe, base(words)).otherwise(none).alias("base"), blocks_of(words, known, least).alias("blocks")),
+    )
     # As a generator's columns, these aren't worked out again by each of their uses.
-    parsed = F.inline(F.array(F.struct(lines.alias("lines"), F.when(maybe, base).otherwise(none).alias("base"))))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), parsed)
-    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("block"), x["hits"].alias("hits")))
-    return rows.select(
-        "doc_id", "text_hash", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n_words"), "base",
-        F.filter(numbered, lambda x: F.size(x["hits"]) >= least).alias("blocks"),
-    )
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(F.array(parsed)))
 
 
-def similar_blocks(docs: DataFrame, scanned: DataFrame, sets: list[tuple[int, str, list[str], int]]) -> DataFrame:
-    """(doc_id, text_hash, block, label, overlap, size): every line, from 0, that meets a template, with shared words."""
-    known = sorted({w for _, _, words, _ in sets for w in words})
-    spark = docs.sparkSession
-    own = F.filter(F.split(lowered(F.col("text")), MARK_CLASS), lambda w: w.isin(known))
-    freq = docs.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    # From here the tables on the other side have a row for each template word: their size is that of the templates.
-    pairs = spark.createDataFrame([(k, w, len(words), need) for k, _, words, need in sets for w in words], "template int, word string, size int, need int")
-    ranks = cut(pairs.select("word").distinct().join(freq, "word", "left").select("word", F.row_number().over(Window.orderBy(F.coalesce("freq", F.lit(0)), "word")).alias("rank")))
-    pairs = pairs.join(F.broadcast(ranks), "word").withColumn("place", F.row_number().over(Window.partitionBy("template").orderBy("rank")))
-    prefix = F.broadcast(cut(pairs.where("place <= size - need + 1").select("template", "word", "size", "need", "place")))
-    whole = F.broadcast(spark.createDataFrame([(k, label, words) for k, label, words, _ in sets], "template int, label string, words array<string>"))
-
+def similar_blocks(scanned: DataFrame, sets: list[tuple[int, str, list[str], list[str], int]]) -> DataFrame:
+    """(doc_id, text_hash, block, label, overlap, size): every block, by its first word, that meets a template, with
+    shared words."""
+    spark = scanned.sparkSession
     key = ["doc_id", "text_hash", "block"]
     blocks = scanned.where(F.size("blocks") > 0).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline("blocks"))
-    placed = blocks.withColumn("n", F.size("hits")).select("*", F.explode("hits").alias("word")).join(F.broadcast(ranks), "word")
+    freq = scanned.select(F.explode(F.flatten("blocks.hits")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    # From here the tables on the other side have a row for each template word: their size is that of the templates.
+    pairs = spark.createDataFrame([(k, w, len(words), need) for k, _, words, _, need in sets for w in words], "template int, word string, size int, need int")
+    ranks = cut(pairs.select("word").distinct().join(freq, "word", "left").select("word", F.row_number().over(Window.orderBy(F.coalesce("freq", F.lit(0)), "word")).alias("rank")))
+    pairs = pairs.join(if_small(ranks, MAX_WORDS), "word").withColumn("place", F.row_number().over(Window.partitionBy("template").orderBy("rank")))
+    prefix = if_small(cut(pairs.where("place <= size - need + 1").select("template", "word", "size", "need", "place")), MAX_WORDS)
+    whole = if_small(spark.createDataFrame([(k, label, words, must) for k, label, words, must, _ in sets], "template int, label string, words array<string>, must array<string>"), MAX_WORDS)
+    rare = if_small(prefix.select("word").distinct(), MAX_WORDS)
+
+    # Blocks without any word of a prefix go first, unshuffled.
+    hit = blocks.select("*", F.explode("hits").alias("word")).join(rare, "word", "left_semi").drop("word").distinct()
+    placed = hit.withColumn("n", F.size("hits")).select("*", F.explode("hits").alias("word")).join(if_small(ranks, MAX_WORDS), "word")
     placed = placed.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("rank")))
     meets = placed.join(prefix, "word").where(F.col("n") >= F.col("need"))
     first = meets.groupBy(*key, "template").agg(F.min("place").alias("place"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("size").alias("size"), F.first("need").alias("need"), F.first("hits").alias("hits"))
     left = 1 + F.least(F.col("size") - F.col("place"), F.col("n") - F.col("at"))
     checked = first.where(left >= F.col("need")).join(whole, "template").withColumn("overlap", F.size(F.array_intersect("hits", "words")))
-    return checked.where("overlap >= need").select(*key, "label", "overlap", "size")
+    met = (F.col("overlap") >= F.col("need")) & (F.size(F.array_except("must", "hits")) == 0)
+    return checked.where(met).select(*key, "label", "overlap", "size")
 
 
 def phrase_places(words: Column, phrase: str) -> Column:
@@ -113,13 +136,13 @@ def phrase_places(words: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document.
 
-    The score is 1 if a phrase stands in the text, else the largest share of a template's words that one line holds, if
-    that reaches THRESHOLD, else 0. Null and empty texts have no words and no labels; rows that share id and text get
+    The score is 1 if a phrase stands in the text, else the largest share of a matching template's words that one block
+    holds, else 0. Null and empty texts have no words and no labels; rows that share id and text get
     equal results; an empty table gives an empty result. Only doc_id and text are read."""
     sets = template_sets(templates)
-    known, least = sorted({w for _, _, words, _ in sets for w in words}), min(need for *_, need in sets)
-    scanned = cut(scanned_lines(docs, phrases, known, least))
-    found = similar_blocks(docs, scanned, sets).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("share"))
+    known, least = sorted({w for _, _, words, *_ in sets for w in words}), min(need for *_, need in sets)
+    scanned = cut(scanned_texts(docs, phrases, known, least))
+    found = similar_blocks(scanned, sets).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max(F.col("overlap") / F.col("size")).alias("share"))
     found = found.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     rows = scanned.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     show = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
@@ -139,16 +162,21 @@ def op5_licenses(spark, sf_dir):
 def _sql() -> str:
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    phrases = ", ".join(f"(['{"','".join(p.split())}'], '{label}')" for p, label in PHRASES.items())
-    sets = ", ".join(f"('{label}', ['{"','".join(words)}'], {need})" for _, label, words, need in template_sets(TEMPLATES))
+    listed = lambda words: f"['{"','".join(words)}']" if words else "CAST([] AS VARCHAR[])"
+    phrases = ", ".join(f"({listed(p.split())}, '{label}')" for p, label in PHRASES.items())
+    sets = ", ".join(f"('{label}', {listed(words)}, {listed(must)}, {need})" for _, label, words, must, need in template_sets(TEMPLATES))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(regexp_extract_all({low.format("text")}, {word}), []) AS w FROM documents),
-p(ph, label) AS (VALUES {phrases}), t(label, ws, need) AS (VALUES {sets}),
+p(ph, label) AS (VALUES {phrases}), t(label, ws, must, need) AS (VALUES {sets}),
 b AS (SELECT r, label, s - 1 AS pos FROM (SELECT r, w, ph, label, unnest(range(1, len(w) - len(ph) + 2)) AS s FROM d, p WHERE list_contains(w, ph[1]))
       WHERE w[s : s + len(ph) - 1] = ph),
 bb AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
-l AS (SELECT r, list_distinct(regexp_extract_all({low.format("line")}, {word})) AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (SELECT r, label, len(list_intersect(l.ws, t.ws)) / len(t.ws) AS share FROM l, t WHERE len(list_intersect(l.ws, t.ws)) >= need),
+k AS (SELECT DISTINCT unnest(ws) AS word FROM t),
+h AS (SELECT r, i, word FROM (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) JOIN k USING (word)),
+g AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {GAP + 1} THEN 0 ELSE 1 END AS opens FROM h),
+c AS (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS block FROM g),
+l AS (SELECT r, block, list(DISTINCT word) AS ws FROM c GROUP BY r, block),
+m AS (SELECT r, label, len(list_intersect(l.ws, t.ws)) / len(t.ws) AS share FROM l, t WHERE len(list_intersect(l.ws, t.ws)) >= need AND list_has_all(l.ws, must)),
 ms AS (SELECT r, max(share) AS share FROM m GROUP BY r),
 al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM b UNION ALL SELECT r, label FROM m) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
