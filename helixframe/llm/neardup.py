@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import SPACES, TO_LOWER, cut, mix64, utf8_parts, word_hashes, word_spans
+from helixframe.llm.common import SPACES, TO_LOWER, cut, if_small, mix64, utf8_parts, word_hashes, word_spans
 
 FUNCTIONS = 64
 #: The most a pair just at the threshold may be missed.
 MISS = 1e-4
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 256
+#: A bucket with more members is joined by broadcast, if there are no more than so many of these.
+HOT, MAX_HOT = 1_000, 200_000
 
 
 def bands_for(similarity: float) -> tuple[int, int]:
@@ -132,24 +134,32 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def by_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows joined with their buckets. Buckets of over HOT members are few, so they go to the rows; the members of one
+    never meet in one task."""
+    hot = if_small(cut(buckets.where(F.col("m") > HOT)), MAX_HOT)
+    cold = buckets.where(F.col("m") <= HOT)
+    return rows.join(hot, "bucket").unionByName(rows.join(cold, "bucket"))
+
+
 def linked_nodes(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, label) of every node that is linked to another."""
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     spread = nodes.select("node", "n", "one", F.explode("bands").alias("bucket"))
-    full = spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
-    members = cut(spread.join(full, "bucket"))
+    full = cut(spread.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("m")).where("m > 1"))
+    members = cut(by_bucket(spread, full.select("bucket", "pivot", "m")).drop("m"))
     sets = cut(whole_sets(docs, members.select("node", "one.doc_id", "one.th").distinct(), size))
-    members = members.select("bucket", "node", "n", "pivot")
-    sized = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
+    members = members.select("bucket", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.col("node") != F.col("pivot"))
-    pairs = members.select("node", "n", "pivot").distinct().join(sized, "pivot").where(near("n", "pivot_n"))
+    pairs = members.select("node", "n", "pivot", "pivot_n").where(near("n", "pivot_n")).distinct()
     links = cut(confirmed(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets, percent))
     labels = components(links)
     # What is left: members of a bucket that are not in its largest component, against those of other components.
     named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     groups = named.groupBy("bucket", "label").agg(F.count("*").alias("m"))
     rest = groups.groupBy("bucket").agg(F.sum("m").alias("all"), F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    more = cut(links_in_blocks(named.join(rest, "bucket"), sets, percent))
+    rest = rest.withColumn("m", F.col("all"))
+    more = cut(links_in_blocks(by_bucket(named, rest).drop("m"), sets, percent))
     return components(links.unionByName(more))
 
 
@@ -172,16 +182,19 @@ def links_in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         keep = shared[column]
         row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
         left, right = np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py())
-        overlap = np.zeros((len(node), len(node)))
+        overlap = np.zeros((len(left), len(right)))
         by = np.argsort(column, kind="stable")
         row, column = row[by], column[by]
         for at in range(0, int(shared.sum()), 1 << 13):
             a, b = np.searchsorted(column, (at, at + (1 << 13)))
             dense = np.zeros((len(node), 1 << 13), np.float32)
             dense[row[a:b], column[a:b] - at] = 1
-            overlap[np.ix_(left, right)] += dense[left] @ dense[right].T
-        both = overlap[np.ix_(left, right)]
-        x, y = np.nonzero((label[left][:, None] != label[right][None, :]) & (100 * both >= percent * (lengths[left][:, None] + lengths[right][None, :] - both)))
+            overlap += dense[left] @ dense[right].T
+        x, y = np.nonzero((label[left][:, None] != label[right][None, :]) & (100 * overlap >= percent * (lengths[left][:, None] + lengths[right][None, :] - overlap)))
+        # One link between two components joins them.
+        number = np.unique(label, return_inverse=True)[1] if len(label) else np.zeros(0, int)
+        one = np.unique(number[left[x]] * len(label) + number[right[y]], return_index=True)[1]
+        x, y = x[one], y[one]
         return pa.table({"a": pa.array(node[left[x]].tolist(), pa.binary()), "b": pa.array(node[right[y]].tolist(), pa.binary())})
 
     found = rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
@@ -189,7 +202,8 @@ def links_in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id (the smallest id of the group) and kept of every document.
+    """doc_id, text_hash, n_shingles, component_id (the smallest id of the group), kept and group (a key of the group, null
+    without shingles) of every document.
 
     Words are runs of anything but white space, A-Z lower-cased; a text of fewer words than a shingle is one shingle.
     Texts without words, and null ones, have no shingles and are their own group. Rows with equal sets always link, so
@@ -200,10 +214,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     group = nodes.groupBy("label").agg(F.min("least").alias("component"))
-    nodes = nodes.join(group, "label").select("node", "component")
+    nodes = nodes.join(group, "label").select("node", "component", F.col("label").alias("group"))
     rows = signed.select("doc_id", "th", "n", "node").join(nodes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return rows.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(id, hash) of one document of each near-duplicate group: that with the smallest id, null last, then text hash. A
+    document without shingles is its own group."""
+    found = near_duplicates(docs, size, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
+    kept = found.where("group IS NOT NULL").groupBy("group").agg(first).select(F.col("one.doc_id").alias("id"), F.col("one.text_hash").alias("hash"))
+    return kept.unionByName(found.where("group IS NULL").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct())
 
 
 def op9_neardup(spark, sf_dir):
