@@ -26,7 +26,17 @@ UNKNOWN, PAD = "und", " " * (ORDER - 1)
 
 
 def letter_table() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(SYMBOLS)] + [True], bool)
+    """Whether each character of sixteen bits is a letter; the last entry stands for all beyond."""
+    return np.array([chr(i).isalpha() for i in range(SYMBOLS)] + [False], bool)
+
+
+def letters_of(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    out = letters[np.minimum(codes, SYMBOLS)]
+    beyond = np.flatnonzero(codes >= SYMBOLS)
+    if len(beyond):
+        distinct, at = np.unique(codes[beyond], return_inverse=True)
+        out[beyond] = np.array([chr(c).isalpha() for c in distinct.tolist()])[at]
+    return out
 
 
 def parts_of(texts: list[str | None], max_chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -47,7 +57,7 @@ def sequences(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray,
     lower = [(t or "").lower() for t in texts]
     codes = np.frombuffer("".join(f"{PAD}{t} " for t in lower).encode("utf-32-le", "replace"), np.uint32)
     sizes = np.array([len(PAD) + len(t) + 1 for t in lower], np.int64)
-    is_letter = letters[np.minimum(codes, SYMBOLS)]
+    is_letter = letters_of(codes, letters)
     codes = np.where(is_letter, codes & np.uint32(0xFFFF), np.uint32(32))
     begin = np.zeros(len(codes), bool)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
