@@ -19,7 +19,10 @@ from helixframe.llm.common import LOWER, UPPER, cut, if_small, lower_ascii
 
 #: (rule, verdict): host, then path from its first slash.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-MAX_WORD = 20
+#: The longest word of a split: a label of a host name has no more characters.
+MAX_WORD = 63
+#: Tokens, hosts or paths that a broadcast may hold; with more, scores are joined by shuffling, where adaptive execution
+#: splits a hot host or path, which has one row on the other side.
 MAX_BROADCAST_TOKENS = 200_000
 
 
@@ -117,7 +120,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> Da
     prior = math.log((n_block + 1) / (n_allow + 1))
     odds = F.log((F.col("block") + 1) / F.lit(block + v + 1)) - F.log((F.col("allow") + 1) / F.lit(allow + v + 1))
     model = if_small(model.select("token", odds.alias("odds")), MAX_BROADCAST_TOKENS)
-    score = lambda tokens, key: tokens.join(model, "token").groupBy(key).agg(F.sum("odds").alias(f"{key}_odds"))
+    score = lambda tokens, key: if_small(cut(tokens.join(model, "token").groupBy(key).agg(F.sum("odds").alias(f"{key}_odds"))), MAX_BROADCAST_TOKENS)
     out = base.join(score(host_tokens, "host"), "host", "left").join(score(path_tokens, "path"), "path", "left")
     total = F.round(F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0)), 9)
     out = out.withColumn("score", total)
