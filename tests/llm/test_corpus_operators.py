@@ -12,7 +12,7 @@ from compare import check
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixframe.llm import decontam, fmindex, langid, licenses, lm, mixing, neardup, pii, quality, topk, urls
+from helixframe.llm import common, decontam, fmindex, langid, licenses, lm, mixing, neardup, pii, quality, topk, urls
 from helixframe.llm.attention import DIMS, OVERLAP, WINDOW, AttentionModel, windows_of
 from helixframe.llm.queries import ORACLES, QUERIES
 
@@ -70,6 +70,24 @@ def test_mix_meets_targets(spark, sf_dir):
     assert all(abs(r.t - r.target) <= r.most and not r.over for r in per)
 
 
+def test_mix_splits_rows_of_one_id(spark):
+    """Rows that share an id, or have none, move one by one."""
+    for i in (7, None):
+        rows = [(i, f"w{k} " * 10, "a") for k in range(10)] + [(100 + k, "x " * 30, s) for k, s in enumerate("bc")]
+        got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        own = [r for r in got if r.source_size == 100]
+        assert len(own) == 10 and abs(sum(r.taken for r in own) - own[0].target) <= 5 and own[0].target == 100
+
+
+def test_mix_of_odd_documents(odd):
+    rows = mixing.mix_sources(odd).collect()
+    sizes = {(r.doc_id, r.size, r.source_size) for r in rows}
+    assert sizes == {(1, 0, 45000), (2, 0, 45000), (3, 0, 15), (None, 3, 33), (4, 45000, 45000), (5, 15, 33), (6, 15, 15), (7, 1, 7), (8, 3, 7), (9, 3, 7)}
+    assert all(r.taken == 0 for r in rows if r.size == 0) and all(0 <= r.taken <= 3 * r.size for r in rows)
+    twins = [r.taken for r in rows if r.doc_id == 5]
+    assert len(twins) == 2 and twins[0] == twins[1]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_fm_index_finds_all_places(seed):
     rng = np.random.default_rng(seed)
@@ -90,6 +108,16 @@ def test_decontamination_in_blocks(spark, sf_dir, monkeypatch):
     assert sorted(map(repr, decontam.op3_decontaminate(spark, sf_dir).collect())) == one
 
 
+def test_decontamination_of_odd_items(spark, odd):
+    """An item with a null id has windows; items without words have none; nulls and repeated rows have defined values."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    bench = spark.createDataFrame([(None, words), (5, "ONE two  three"), (6, None), (7, "!!"), (5, "one two three")], "item_id long, text string")
+    got = [(r.doc_id, r["hits"].n_words, [tuple(x) for x in r["hits"].spans], r["hits"]["items"]) for r in decontam.find_contamination(odd, bench, found="hits").collect()]
+    whole = [(0, 15)]
+    want = [(1, 0, [], []), (2, 0, [], []), (3, 0, [], []), (None, 3, [(0, 3)], ["5"]), (4, 45000, [(0, 45000)], [None]), (5, 15, whole, [None]), (5, 15, whole, [None]), (6, 15, whole, [None]), (7, 1, [], []), (8, 5, [], []), (9, 1, [], [])]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def plain_urls(url):
     at = (url or "").find("://")
     rest = url[at + 3 :] if at >= 0 else ""
@@ -109,6 +137,47 @@ def test_urls_and_rules(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_verdicts_against_a_plain_classifier(spark):
+    """Repeated rows, null ids and null html; the verdicts of a plain naive Bayes over the same words."""
+    rng = np.random.default_rng(2)
+    names = ["cheappills", "goodnews", "newsblog", "pillshop", "blog", "x" * 80]
+    rows = [(None if k % 9 == 0 else k % 40, f"http://{rng.choice(names)}.{rng.choice(['net', 'example.net', 'org', 'io'])}/{rng.choice(['en', 'fr', 'de'])}/{rng.choice(['p1', 'shop', 'news'])}", None if k % 5 == 0 else "<title>cheap pills good news blog shop</title>") for k in range(120)]
+    rows += rows[:7]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = urls.judge_urls(pages).collect()
+    assert len(got) == len(rows)
+    titles = Counter(w for *_, h in rows if h for w in "cheap pills good news blog shop".split())
+    total = sum(titles.values())
+
+    def split(name):
+        best = [(0.0, [])]
+        for end in range(1, len(name) + 1):
+            ways = []
+            for n in range(1, min(63, end) + 1):
+                w = name[end - n : end]
+                p = math.log(titles[w] / total) if w in titles else math.log(10 / total) - n * math.log(10)
+                ways.append((best[end - n][0] + p, best[end - n][1] + [w]))
+            best.append(max(ways, key=lambda x: x[0]))
+        return best[-1][1]
+
+    def tokens(r):
+        return ["h:" + w for part in re.split("[^a-z]+", r.host) if part for w in split(part)] + ["p:" + w for w in re.split("[^a-z0-9]+", r.path) if w]
+
+    counts = {"block": Counter(), "allow": Counter()}
+    said = [(r, dict(urls.RULES)[r.rule]) for r in got if r.rule]
+    for r, v in said:
+        counts[v].update(tokens(r))
+    words = set(counts["block"]) | set(counts["allow"])
+    n = Counter(v for _, v in said)
+    for r in got:
+        score = math.log((n["block"] + 1) / (n["allow"] + 1))
+        for t in tokens(r):
+            if t in words:
+                score += math.log((counts["block"][t] + 1) / (sum(counts["block"].values()) + len(words) + 1)) - math.log((counts["allow"][t] + 1) / (sum(counts["allow"].values()) + len(words) + 1))
+        assert r.score == pytest.approx(score, abs=1e-6)
+        assert r.verdict == (dict(urls.RULES)[r.rule] if r.rule else "block" if score > 1e-9 else "allow")
+
+
 def test_name_segmentation():
     words = {"cheap": -2.0, "pills": -2.5, "he": -3.0, "pi": -6.0}
     name = "cheappills"
@@ -116,6 +185,17 @@ def test_name_segmentation():
     assert urls.best_words(name, *map(np.array, zip(*spans, strict=True)), 1000) == ["cheap", "pills"]
 
 
+def test_license_blocks(spark):
+    """Wrapped notices, siblings, long lines without a notice, and odd documents."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated\n * documentation files (the"
+    scattered = "copyright " + "lorem ipsum dolor sit amet " * 40 + "all " + "lorem ipsum dolor sit amet " * 40 + "rights reserved"
+    texts = [mit, "Licensed under CC BY-NC 4.0.", "licensed under cc by sa 4.0", scattered, "Copyright 2020 J. Doe. All rights reserved", None, "", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the\nfollowing conditions are met:"]
+    rows = [(k, t, "x", 1) for k, t in enumerate(texts)] + [(0, mit, "y", 2), (None, mit, "z", 3)]
+    got = {(r.doc_id, r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, hits string, block int")).collect()}
+    assert got == {(0, "mit", 1.0), (None, "mit", 1.0), (1, "cc-by,cc-by-nc", 1.0), (2, "cc-by,cc-by-sa", 1.0), (3, "", 0.0), (4, "proprietary", 1.0), (5, "", 0.0), (6, "", 0.0), (7, "lgpl", 1.0), (8, "bsd", 1.0)}
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -173,6 +253,19 @@ def test_counts_past_a_postings_width():
     assert np.frombuffer(table[0], "<u4", -1, 16).tolist() == [1, 700] and (post & 255).sum() == 701 and many.tolist() == [1, 3]
 
 
+def test_word_hashes_are_polynomials():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(33, 250, rng.integers(1, 40)).astype(np.uint8)) for _ in range(200)] + [b"x" * 300_000]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    want = [sum((c + 1) * pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i, c in enumerate(w)) % (1 << 64) for w in words[:-1]]
+    got = common.word_hashes(data, starts, ends, 50)
+    assert got[:-1].tolist() == common.mix64(np.array(want, np.uint64)).tolist() and got[-1] == common.word_hashes(data[-300_000:], np.array([0]), np.array([300_000]))[0]
+    distinct, place, number = common.distinct_hashes(np.array([5, 3, 5, 1, 3], np.uint64))
+    assert distinct.tolist() == [1, 3, 5] and number.tolist() == [2, 1, 2, 0, 1] and [[5, 3, 5, 1, 3][p] for p in place] == [1, 3, 5]
+
+
 def test_subwords_of_words_one_by_one():
     subwords = lm.Subwords(open(lm.TOKENIZER, "rb").read())
     rng = np.random.default_rng(8)
@@ -201,11 +294,11 @@ def test_language_model_score_is_a_plain_loop(spark):
             first = w * (WINDOW - OVERLAP)
             seen = np.array(run[first:k])
             x = m.vectors[m.kinds[seen]] + m.p["place"][: len(seen)]
-            q, key, v = np.split(x @ m.p["qkv"], 3, 1)
+            q, key, v = x @ m.p["q"], x @ m.p["k"], x @ m.p["v"]
             a = np.exp(q[-1] @ key.T / DIMS**0.5)
             logits = (x[-1] + a @ v / a.sum() @ m.p["o"]) @ m.p["out"] + m.follow[m.kinds[seen[-1]]]
             total += logits[m.classes[run[k]]] - np.log(np.exp(logits).sum()) + m.within[run[k]]
-        assert got == pytest.approx(total, rel=1e-4)
+        assert got == pytest.approx(total, rel=1e-3)  # of float32 sums
 
 
 def test_windows_score_each_token_once():
@@ -436,6 +529,19 @@ def test_language_models_keep_all_sequences(spark):
     assert len(every) > 1 << 18 and np.array_equal(models.keys, every)
 
 
+def test_languages_of_odd_texts(spark):
+    """Texts without letters are und, also beyond sixteen bits; letters there count; many and null langs."""
+    emoji, gothic = "\U0001f600 \U0001f680", "\U00010330\U00010331\U00010332"
+    rows = [(k, w * 20, f"l{k % 30:02}") for k in range(90) for w in [chr(97 + k % 26) + chr(98 + k % 30 % 20) + "e "]]
+    rows += [(200, gothic * 9, "gothic"), (201, gothic, "gothic"), (204, gothic, None), (300, emoji, "de"), (301, emoji, None), (302, None, "de"), (303, "", "de"), (304, "12 34", None)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string")
+    got = {}
+    for r in langid.identify_languages(docs).collect():
+        assert got.setdefault(r.doc_id, (r.lang_pred, r.score)) == (r.lang_pred, r.score) and 0 <= r.score <= 1
+    assert all(got[k] == ("und", 0.0) for k in (300, 301, 302, 303, 304))
+    assert got[204][0] == "gothic" and len({v[0] for v in got.values()}) > 25
+
+
 def test_languages_held_out(spark):
     d = "/root/testdata/sf0.01"
     rows = langid.op10_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
@@ -456,6 +562,39 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, d).count() == last.count()
 
 
+@pytest.fixture(scope="module")
+def clashing(spark, tmp_path_factory):
+    """Documents whose columns have the names that stages might use inside, with nulls, repeated rows and near copies."""
+    folder = str(tmp_path_factory.mktemp("clashing"))
+    names = "id hash row size h s target copies threshold rest found score spans text_hash group taken source_size label node word".split()
+    text = "the quick brown fox jumps over the lazy dog and runs far away from here to there "
+    rows = [(1, text * 3, "en", "a", 1), (1, text * 3 + "now", "en", "a", 1), (None, text * 3 + "then", "en", "a", 1), (2, "other words entirely stand in this short text", "en", "b", 1), (2, "other words entirely stand in this short text", "en", "b", 1), (3, None, "de", None, None), (4, "", "de", "a", 0), (5, "mail me at a.b@c.de please do", "de", "b", 3)]
+    docs = spark.createDataFrame([(*r, *["v"] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(1, 1), (2, 1), (5, 0)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this stands anywhere in them at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_stages_with_clashing_columns(spark, clashing):
+    docs = spark.read.parquet(f"{clashing}/documents.parquet")
+    inside = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, clashing)
+            assert out.columns == docs.columns, name
+            assert all(r[c] == "v" for r in out.collect() for c in inside), name
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, clashing).collect()]
+    assert sorted(str(i) for i, _ in kept) == ["1", "2", "3", "4", "5"]
+    assert [r.text for r in corpus_pipeline.mask_personal_data(spark, docs, clashing).where("doc_id = 5").collect()] == ["mail me at [EMAIL] please do"]
+    assert corpus_pipeline.drop_contaminated(spark, docs, clashing).count() == 8
+    mixed = corpus_pipeline.mix_sources(spark, docs, clashing)
+    assert mixed.columns == [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")] + ["size", "source_size", "target", "taken"]
+    assert all(0 < r.taken <= 3 * r.size and r.h == "v" for r in mixed.collect())
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), clashing).count() == 0
+    assert corpus_pipeline.run(spark, clashing).count() >= 1
+
+
 def test_masked_digest_of_nothing(spark):
     docs = spark.createDataFrame([(1, "plain")], "doc_id long, text string")
     assert pii.find_personal_data(docs).select(F.sha2(pii.shown(F.col("spans")), 256).alias("h")).first().h == hashlib.sha256(b"").hexdigest()
