@@ -15,36 +15,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontam, mixing, neardup, pii, quality
-from helixframe.llm.common import checkpoint_dir, cut
+from helixframe.llm.common import checkpoint_dir, columns_of, cut, free_name
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network scores ACCEPT or more. Null and empty texts get a score like others; repeated rows go or
+    stay together; without labels every score is 0.5 and all stay; an empty table stays empty."""
+    score = free_name(docs, "score")
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model, "_score").where(F.col("_score") >= quality.ACCEPT).drop("_score")
+    return quality.score_quality(docs, model, score).where(F.col(score) >= quality.ACCEPT).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat both id and text count as one document, too."""
-    kept = cut(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
-    repeated = kept.groupBy("_id", "_hash").count().where("count > 1").limit(1).count()
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
-    return (rows.dropDuplicates(["doc_id", "_text"]) if repeated else rows).drop("_text")
+    """One document of each near-duplicate group: the smallest id, null last, then the least text hash. Rows that repeat
+    both id and text count as one document; a text without words is alone in its group."""
+    kept = cut(neardup.one_of_each(docs))
+    rows = docs.select(columns_of(docs).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
+    hashes = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).groupBy("doc_id", "text_hash").count()
+    repeated = hashes.where("count > 1").limit(1).count()
+    return (rows.dropDuplicates(["doc_id", "text_hash"]) if repeated else rows).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), found="_found")
-    return found.where(~decontam.contaminated("_found")).drop("_found")
+    """Documents of which benchmark windows cover less than 5 %; null and empty texts, and all if there is no benchmark,
+    stay."""
+    name = free_name(docs, "found")
+    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), found=name)
+    return found.where(~decontam.contaminated(name)).drop(name)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of personal data replaced by its kind; null and empty texts as they are."""
     return pii.mask_personal_data(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(cut(mixing.sized_documents(docs)))
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    return mixing.apply_mix(mixing.sized_documents(docs, *others), plan).where("taken > 0")
+    """Documents that the mix takes, with source_size, target and taken beside their columns (own ones of these names are
+    replaced). Documents without words are never taken; rows with one id and text go or stay together."""
+    rows = docs.drop("size", "source_size", "target", "taken")
+    sized = mixing.sized_documents(docs)
+    mixed = mixing.apply_mix(mixing.sized_documents(docs, columns_of(rows).alias("row")), mixing.mix_plan(cut(sized))).where("taken > 0")
+    return mixed.select("row.*", "size", "source_size", "target", "taken")
 
 
 STAGES = [
