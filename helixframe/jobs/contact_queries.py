@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from helixframe.functions import points as P
+from helixframe.functions import vec
 from helixframe.jobs import views as W
 from helixframe.jobs.mer_queries import CBX, IDS, A
 from helixframe.jobs.registry import query
@@ -62,6 +63,58 @@ def j3(spark, d):
     return K.contact_map(mers(spark, d).where(sel.sel_subclass("Residue")), PROTEIN)
 
 
+# The presets at their own thresholds, on the view drawn together so that some pairs are in contact.
+
+SHRINK = 0.25
+_SIDES = {"ca": "ca", "cbx": "cbx", "rc": "rc", "gc": "gc"}
+_RC = W.V(f"({x} + {y}) / 2" for x, y in zip(W.v("cb"), W.v("o"), strict=True))
+_GC = W.V(f"({' + '.join(x)}) / 5" for x in zip(*[W.v(a) for a in ("n", "ca", "c", "cb", "o")], strict=True))
+_SMALL = f"""{MP}, ps AS (SELECT structure_id, ind, chainable, {', '.join(f'{e} * {SHRINK} AS {n}_{i}' for n, p in (('ca', W.v('ca')), ('cbx', W.v('cbx')), ('rc', _RC), ('gc', _GC)) for e, i in zip(p, 'xyz', strict=True))} FROM m)"""
+
+
+def preset_sql(v, where):
+    own = f"SELECT * FROM (SELECT a.structure_id, a.ind AS ind1, b.ind AS ind2, CAST({v} AS TINYINT) AS value FROM ps a JOIN ps b ON a.structure_id = b.structure_id AND a.ind <> b.ind WHERE {where})"
+    return f"WITH {_SMALL} SELECT structure_id, ind1, ind2, value FROM ({own}) WHERE value > 0"
+
+
+def small(spark, d):
+    """Mers with the presets' points, all coordinates shrunk."""
+    less = lambda p: vec.scale(p, F.lit(SHRINK))
+    return W.mers(spark, d).select(
+        *IDS, "type", less(A()["CA"]).alias("ca"), less(P.cbx(A(), F.col("name"))).alias("cbx"), less(vec.mid(A()["CB"], A()["O"])).alias("rc"),
+        less(vec.mid(*[A()[a] for a in ("N", "CA", "C", "CB", "O")])).alias("gc"),
+    )
+
+
+_DIST = {p: W.slen(side("a", p) - side("b", p)) for p in _SIDES}
+_RESIDUES = "a.chainable AND b.chainable"
+
+
+@query("j3_preset_ca", preset_sql(value(_DIST["ca"], 6.0, 0.5), _RESIDUES))
+def j3_ca(spark, d):
+    return K.contact_map(small(spark, d).where(sel.sel_subclass("Residue")), K.CA)
+
+
+@query("j3_preset_cbx", preset_sql(value(_DIST["cbx"], 6.5, 0.5), _RESIDUES))
+def j3_cbx(spark, d):
+    return K.contact_map(small(spark, d).where(sel.sel_subclass("Residue")), K.CBX)
+
+
+@query("j3_preset_rc", preset_sql(value(_DIST["rc"], 7.5, 0.5), "true"))
+def j3_rc(spark, d):
+    return K.contact_map(small(spark, d))
+
+
+@query("j3_preset_gc", preset_sql(value(_DIST["gc"], 8.5, 0.5), "true"))
+def j3_gc(spark, d):
+    return K.contact_map(small(spark, d), K.GC)
+
+
+@query("j3_preset_protein", preset_sql(f"greatest({value(_DIST['ca'], 6.0, 0.5)}, least({value(_DIST['cbx'], 6.5, 0.5)}, {diff('(' + _DIST['ca'] + ' - ' + _DIST['cbx'] + ')', 0.75, 0.05)}))", _RESIDUES))
+def j3_protein(spark, d):
+    return K.contact_map(small(spark, d).where(sel.sel_subclass("Residue")), K.PROTEIN)
+
+
 @query("j4_with_selections", f"WITH {pairs_sql(V_CA, 'a.vec_id % 2 = 0 AND b.chainable')} {ALL}")
 def j4(spark, d):
     m = mers(spark, d)

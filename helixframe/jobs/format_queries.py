@@ -32,25 +32,52 @@ def s1(spark, d):
 def mmcif_lines(atoms):
     names = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_comp_id", "auth_asym_id", "auth_seq_id", "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "B_iso_or_equiv", "pdbx_PDB_model_num"]
     heads = atoms.select("structure_id").distinct().select("structure_id", F.posexplode(F.array(*[F.lit(f"_atom_site.{n}") for n in names])).alias("pos", "line"))
-    line = F.format_string("ATOM %d %s %s %s %s %d ? %.3f %.3f %.3f 1.00 0.00 %d", "serial", "element", "atom_name", "res_name", "chain", "num", "x", "y", "z", "model")
+    # Names with a prime are quoted in such files; some of the view's get one and lose it again.
+    line = F.format_string("ATOM %d %s \"%s'\" %s %s %d ? %.3f %.3f %.3f 1.00 0.00 %d", "serial", "element", "atom_name", "res_name", "chain", "num", "x", "y", "z", "model")
     return heads.unionByName(atoms.select("structure_id", (F.col("pos") + 100).alias("pos"), line.alias("line")))
 
 
 @query("s2_parse_mmcif", f"WITH {WITH_XYZ} SELECT {ATOM} FROM full_atoms")
 def s2(spark, d):
-    return shown(St.parse_mmcif(mmcif_lines(W.atoms(spark, d))))
+    read = St.parse_mmcif(mmcif_lines(W.atoms(spark, d)))
+    return shown(read.where("atom_name LIKE '%\\'' AND atom_name NOT LIKE '%\"%'").withColumn("atom_name", F.expr("substring(atom_name, 1, length(atom_name) - 1)")))
 
 
-_ENTRY = "CASE p_partkey % 4 WHEN 0 THEN 'pdb://' || p_partkey % 9 || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 3) WHEN 1 THEN 'scop://d' || p_partkey % 9 || 'abca_' WHEN 2 THEN 'unit://1abc/' || p_partkey % 3 ELSE 'cath://x' END"
+# Entries for each part, good and bad ones, and the paths that they should have, as plain text.
+ENTRY_CASES = (
+    ("pdb://1abc", "pdb/ab/1abc.pdb"), ("PDB://1ABC", "pdb/ab/1abc.pdb"), ("mmCIF://2x0y", "mmcif/x0/2x0y.cif"), ("scop://d1abca_", "scop/ab/d1abca_.ent"),
+    ("scop://d2xyz_1", "scop/xy/d2xyz_1.ent"), ("unit://1abc/2", "unit/bc/1abc.pdb2.gz"), ("unit://3pi2", "unit/i2/3pi2.pdb*.gz"), ("cath://1abc", "cath/bc/1abc.pdb"),
+    ("cath://x", None), ("pdb://abcd", None), ("pdb://1abcd", None), ("scop://xxxxxxx", None), ("scop://dxabca_", None), ("scop://d1abca-", None), ("other://1abc", None), ("1abc", None),
+)
+_AT = f"[CAST(p_partkey % {len(ENTRY_CASES)} + 1 AS INTEGER)]"
+_LISTED = lambda k: "[" + ", ".join("NULL" if c[k] is None else f"'{c[k]}'" for c in ENTRY_CASES) + "]"
 
 
-@query("s3_resolve_entries", f"""WITH e AS (SELECT {_ENTRY} AS entry, p_partkey AS k, md5(CAST(p_partkey AS VARCHAR)) AS h FROM part) SELECT entry,
-CASE k % 4 WHEN 0 THEN 'pdb/' || substr(h, 1, 2) || '/' || k % 9 || substr(h, 1, 3) || '.ent' WHEN 1 THEN 'scop/' || 'ab' || '/d' || k % 9 || 'abca_.ent' WHEN 2 THEN 'unit/ab/1abc.pdb' || k % 3 || '.gz' END AS path, k % 4 <> 3 AS valid FROM e""")
+@query("s3_resolve_entries", f"SELECT p_partkey, ({_LISTED(0)}){_AT} AS entry, ({_LISTED(1)}){_AT} AS path, ({_LISTED(1)}){_AT} IS NOT NULL AS valid FROM part")
 def s3(spark, d):
-    k = F.col("p_partkey")
-    nine = (k % 9).cast("string")
-    entry = F.when(k % 4 == 0, F.concat(F.lit("pdb://"), nine, F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 3))).when(k % 4 == 1, F.concat(F.lit("scop://d"), nine, F.lit("abca_"))).when(k % 4 == 2, F.concat(F.lit("unit://1abc/"), (k % 3).cast("string"))).otherwise("cath://x")
-    return St.resolve_entries(W.table(spark, d, "part").select(entry.alias("entry"))).select("entry", "path", "valid")
+    entry = F.element_at(F.array(*[F.lit(e) for e, _ in ENTRY_CASES]), (F.col("p_partkey") % len(ENTRY_CASES) + 1).cast("int"))
+    parts = W.table(spark, d, "part").select("p_partkey", entry.alias("entry"))
+    return parts.join(St.resolve_entries(parts.select("entry").distinct()), "entry").select("p_partkey", "entry", "path", "valid")
+
+
+@query("s4_read_entries", f"WITH {WITH_XYZ}, s AS (SELECT structure_id, row_number() OVER (ORDER BY structure_id) % 10 || 'abc' AS entry_id FROM (SELECT DISTINCT structure_id FROM atoms)), u AS (SELECT f.*, entry_id, unnest(CASE WHEN entry_id < '5' THEN [0] ELSE [1, 2] END) AS unit FROM full_atoms f JOIN s USING (structure_id)) SELECT entry_id AS structure_id, unit, chain, num, res_name, atom_name, x, y, z FROM u")
+def s4(spark, d):
+    """A mirror is written, plain files for some entries and gzipped units for others, then read by its entries."""
+    root = f"{shared_dir(spark)}/mirror-{uuid.uuid4().hex}"
+    known = W.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("structure_id")).distinct()
+    place = F.row_number().over(W.Window.orderBy("structure_id")) % 10
+    known = known.withColumn("id", F.concat(place.cast("string"), F.lit("abc")))
+    lines = St.pdb_lines(W.atoms(spark, d)).join(known, "structure_id")
+    text = lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    plain, units = F.col("id") < "5", F.explode(F.array(F.lit(1), F.lit(2)))
+    files = text.where(plain).select("text", F.concat(F.lit("pdb/ab/"), "id", F.lit(".pdb")).alias("path"))
+    zipped = text.where(~plain).select("text", "id", units.alias("unit")).select("text", F.concat(F.lit("unit/bc/"), "id", F.lit(".pdb"), F.col("unit").cast("string"), F.lit(".gz")).alias("path"))
+    St.write_files(files.unionByName(zipped), root)
+    entries = known.select(F.when(plain, F.concat(F.lit("pdb://"), "id")).otherwise(F.concat(F.lit("unit://"), "id")).alias("entry"))
+    read = St.read_entries(spark, St.resolve_entries(entries), root)
+    atoms = St.parse_pdb(read.withColumn("structure_id", F.concat_ws("/", "structure_id", F.coalesce("unit", F.lit(0)).cast("string"))).select("structure_id", "pos", "line"))
+    part = F.split("structure_id", "/")
+    return shown(atoms).select(part[0].alias("structure_id"), part[1].cast("int").alias("unit"), "chain", "num", "res_name", "atom_name", "x", "y", "z")
 
 
 @query("s4_s7_write_and_read", f"WITH {WITH_XYZ} SELECT {ATOM} FROM full_atoms")
@@ -70,7 +97,7 @@ def s5(spark, d):
 @query("s6_bind_frames", f"WITH {W.FRAME_ROWS} SELECT structure_id AS traj_id, frame, ind AS serial, 'CA' AS atom_name, round(p_x, 5) + 0.0 AS x FROM frames")
 def s6(spark, d):
     f = W.frames(spark, d).select(F.col("structure_id").alias("traj_id"), "frame", F.col("ind").alias("serial"), *[(F.col("p")[i] / 10).alias(i) for i in "xyz"])
-    topology = f.select("serial").distinct().withColumn("atom_name", F.lit("CA"))
+    topology = f.select("traj_id", "serial").distinct().withColumn("atom_name", F.lit("CA"))
     return St.bind_frames(f, topology).select("traj_id", "frame", "serial", "atom_name", (F.round("x", 5) + 0.0).alias("x"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import points as P
 from helixframe.functions import vec
-from helixframe.functions.profiles import FULL_ATOM, LETTERS, MARTINI, MODIFIED, RADII, SIMPLE_SS, Profile
+from helixframe.functions.profiles import CA_TRACE, FULL_ATOM, MARTINI, P_TRACE
 from helixframe.jobs import views as W
 from helixframe.jobs.registry import query
 from helixframe.operators import mers as M
@@ -63,13 +63,40 @@ def p3(spark, d):
     return M.check_bond_distances(W.mers(spark, d), [("N", "CA", 0.5, 1.5), ("CA", "C", 0.5, 1.5)]).select(*IDS)
 
 
-TRACE = Profile("CATrace", ("CA",), ("CA", "mpp"), 5.0)
-
-
 @query("p4_coarse_representation", f"""WITH {W.ATOM_ROWS}, g AS (SELECT structure_id, chain, num, list(atom_name) AS ats FROM atoms GROUP BY ALL)
 SELECT structure_id, chain, num, CASE WHEN list_contains(ats, 'CA') THEN 'CATrace' WHEN len(ats) = 1 THEN 'MonoatomicIon' ELSE 'Compound' END AS type FROM g""")
 def p4(spark, d):
-    return M.classify_mers(M.group_atoms(W.atoms(spark, d)), [TRACE]).select("structure_id", "chain", "num", "type")
+    return M.classify_mers(M.group_atoms(W.atoms(spark, d)), [CA_TRACE]).select("structure_id", "chain", "num", "type")
+
+
+def renamed(spark, d, names):
+    """The view's atoms under the names of another representation, those of bonded mers only."""
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("atom_name"))
+    return W.atoms(spark, d).withColumn("atom_name", name).where("atom_name IS NOT NULL")
+
+
+def coarse_sql(names, type_, backbone):
+    """Classes, and links of the chainable ones: the next mer of a chain, with its backbone atom within the bond's reach."""
+    own = ", ".join(f"'{a}'" for a in names)
+    return f"""WITH {W.ATOM_ROWS}, g AS (SELECT structure_id, chain, num, ind, list(atom_name) AS ats FROM atoms WHERE atom_name IN ({own}) GROUP BY ALL),
+    c AS (SELECT structure_id, chain, num, ind, CASE WHEN list_contains(ats, '{backbone}') THEN '{type_}' WHEN len(ats) = 1 THEN 'MonoatomicIon' ELSE 'Compound' END AS type FROM g)"""
+
+
+@query("p4_p_trace", f"{coarse_sql(('N', 'CA', 'O'), 'PTrace', 'CA')} SELECT structure_id, chain, num, type FROM c")
+def p4b(spark, d):
+    return M.classify_mers(M.group_atoms(renamed(spark, d, {"CA": "P", "N": "OP1", "O": "OP2"})), [P_TRACE]).select("structure_id", "chain", "num", "type")
+
+
+_LINKED = f"{coarse_sql(('CA', 'CB', 'O'), 'MartiniResidue', 'CA')}, w AS (SELECT c.*, {', '.join(f'm.ca_{i}' for i in 'xyz')} FROM c JOIN mers m USING (structure_id, ind)), x AS (SELECT *, {', '.join(f'lead(ca_{i}) OVER n AS n_{i}' for i in 'xyz')}, lead(type) OVER n AS next_type, lead(num) OVER n AS next_num FROM w WINDOW n AS (PARTITION BY structure_id, chain ORDER BY ind))"
+
+
+@query("p4_martini", f"{_LINKED} SELECT structure_id, chain, num, type, CASE WHEN type = 'MartiniResidue' AND next_type = type AND sqrt((ca_x - n_x) * (ca_x - n_x) + (ca_y - n_y) * (ca_y - n_y) + (ca_z - n_z) * (ca_z - n_z)) <= 20.0 THEN next_num END AS next_num FROM x")
+def p4c(spark, d):
+    """Beads BB, SC1 and SC2; linked by the profile's backbone bead, with the view's wide bonds."""
+    sets = M.classify_mers(M.group_atoms(renamed(spark, d, {"CA": "BB", "CB": "SC1", "O": "SC2"})), [MARTINI]).withColumn("ind", F.col("pos"))
+    linked_ = M.link_mers(sets, MARTINI.backbone[0], MARTINI.backbone[-1], W.BOND)
+    ids = linked_.select("structure_id", F.col("ind").alias("next_ind"), F.col("num").alias("next_num"))
+    return linked_.join(ids, ["structure_id", "next_ind"], "left").select("structure_id", "chain", "num", "type", "next_num")
 
 
 @query("p5_sel_set", f"WITH {W.MERS} SELECT structure_id, ind FROM mers WHERE vec_id % 7 = 0")
@@ -120,33 +147,64 @@ def p12(spark, d):
     return m.select(*IDS, p["chain"].alias("chain"), p["num"].alias("num"), "text")
 
 
-@query("p13_sequence_letter", f"WITH {CLASSES} SELECT structure_id, chain, num, {case_map(LETTERS | MODIFIED, 'name', '?')} AS letter FROM t")
+# Expected values as plain text, apart from the library's tables.
+EXPECTED_LETTERS = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "MSE": "M"}
+MODIFIED_CASES = "GLX=Z ASX=B A=A C=C G=G U=U DA=A DC=C DG=G DT=T DNP=A DAL=A CSD=A SEG=A DVA=V MVA=V NLE=L BUG=L DIL=I HYP=P DPR=P FME=M CXM=M DPN=F PHL=F HTR=W SAR=G GL3=G SEP=S OAS=S TPO=T BMT=T CSO=C C5C=C 2AS=D 5HP=E KCX=K LLP=K DAR=R AGM=R HIP=H 3AH=H MEN=N MGN=Q PTR=Y TYI=Y XYZ=? HOH=? MLY=?"
+SS_CASES = "H:H B:E E:E G:H I:H T:C S:C -:C =:="
+ION_CASES = "BE=0.59 BA=1.49 RH=0.805 P=0.58 GD=1.078 C=0.3 HG=1.33 ZN=0.88 K=1.52 O=1.26 MG=0.86 MN=0.97 FE=0.92 NA=1.16 ES=0.928 CO=0.885 CL=1.67 CA=1.14 CU=0.91 LA=1.172 LU=1.001 TE=2.07 AL=0.675 U=1.165 XE=0.62 XX=2.5"
+
+
+def cases(text):
+    return [tuple(c.split(":" if ":" in c else "=")) for c in text.split()]
+
+
+def case_name(pairs):
+    """A name for each part, one after the other."""
+    return F.element_at(F.array(*[F.lit(a) for a, _ in pairs]), (F.col("p_partkey") % len(pairs) + 1).cast("int"))
+
+
+def case_sql(pairs, column, kind):
+    at = f"[CAST(p_partkey % {len(pairs)} + 1 AS INTEGER)]"
+    return f"SELECT p_partkey, (['{"', '".join(a for a, _ in pairs)}']){at} AS name, CAST((['{"', '".join(b for _, b in pairs)}']){at} AS {kind}) AS {column} FROM part"
+
+
+@query("p13_sequence_letter", f"WITH {CLASSES} SELECT structure_id, chain, num, {case_map(EXPECTED_LETTERS, 'name', '?')} AS letter FROM t")
 def p13(spark, d):
     return M.group_atoms(W.atoms(spark, d)).select("structure_id", "chain", "num", M.sequence_letter(F.col("name")).alias("letter"))
 
 
-@query("p14_simple_ss", f"WITH {W.MERS} SELECT structure_id, ind, {case_map(SIMPLE_SS, 'ss', 'C')} AS simple FROM mers")
+@query("p13_modified_letters", case_sql(cases(MODIFIED_CASES), "letter", "VARCHAR"))
+def p13b(spark, d):
+    return W.table(spark, d, "part").select("p_partkey", case_name(cases(MODIFIED_CASES)).alias("name")).withColumn("letter", M.sequence_letter(F.col("name")))
+
+
+@query("p14_simple_ss", case_sql(cases(SS_CASES), "simple", "VARCHAR"))
 def p14(spark, d):
-    return W.mers(spark, d).select(*IDS, M.simple_ss(F.col("ss")).alias("simple"))
+    return W.table(spark, d, "part").select("p_partkey", case_name(cases(SS_CASES)).alias("name")).withColumn("simple", M.simple_ss(F.col("name")))
 
 
-@query("p15_ion_radius", f"WITH {CLASSES} SELECT structure_id, chain, num, CAST({case_map(RADII, 'name', 2.5)} AS DOUBLE) AS radius FROM t WHERE type = 'MonoatomicIon'")
+@query("p15_ion_radius", f"WITH {CLASSES} SELECT structure_id, chain, num, CAST(CASE name WHEN 'MG' THEN 0.86 ELSE 2.5 END AS DOUBLE) AS radius FROM t WHERE type = 'MonoatomicIon'")
 def p15(spark, d):
     ions = classified(spark, d).where(sel.sel_exact_type("MonoatomicIon"))
     return ions.select("structure_id", "chain", "num", M.ion_radius(F.col("name")).alias("radius"))
 
 
+@query("p15_ion_radii", case_sql(cases(ION_CASES), "radius", "DOUBLE"))
+def p15b(spark, d):
+    return W.table(spark, d, "part").select("p_partkey", case_name(cases(ION_CASES)).alias("name")).withColumn("radius", M.ion_radius(F.col("name")))
+
+
 @query("a1_assign_inds", f"WITH {CLASSES} SELECT structure_id, chain, num, CAST(row_number() OVER (PARTITION BY structure_id ORDER BY pos) - 1 AS INTEGER) AS ind, false AS duplicate FROM t WHERE name <> 'HOH'")
 def a1(spark, d):
     return M.assign_inds(M.drop_solvent(M.group_atoms(W.atoms(spark, d)))).select("structure_id", "chain", "num", "ind", "duplicate")
 
 
-@query("a3_sequence", f"WITH {W.MERS} SELECT structure_id, chain, string_agg({case_map(LETTERS, 'name', '?')}, '' ORDER BY ind) AS sequence FROM mers WHERE chainable GROUP BY 1, 2")
+@query("a3_sequence", f"WITH {W.MERS} SELECT structure_id, chain, string_agg({case_map(EXPECTED_LETTERS, 'name', '?')}, '' ORDER BY ind) AS sequence FROM mers WHERE chainable GROUP BY 1, 2")
 def a3(spark, d):
     return M.sequence(W.mers(spark, d), M.sequence_letter(F.col("name")), "structure_id", "chain")
 
 
-@query("a4_ss_sequence", f"WITH {W.MERS} SELECT structure_id, string_agg({case_map(SIMPLE_SS, 'ss', 'C')}, '' ORDER BY ind) AS sequence FROM mers WHERE chainable GROUP BY 1")
+@query("a4_ss_sequence", f"WITH {W.MERS} SELECT structure_id, string_agg({case_map({'H': 'H', 'B': 'E', 'E': 'E', 'G': 'H', 'I': 'H', 'T': 'C', 'S': 'C', '-': 'C'}, 'ss', 'C')}, '' ORDER BY ind) AS sequence FROM mers WHERE chainable GROUP BY 1")
 def a4(spark, d):
     return M.sequence(W.mers(spark, d), M.simple_ss(F.col("ss")), "structure_id")
 

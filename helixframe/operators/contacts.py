@@ -1,8 +1,9 @@
 """Three-valued contacts between mers: 2 in contact, 1 uncertain, no row otherwise.
 
-Contacts by distance come from an equi-join on grid cells as wide as the radius: one side goes to its 27 neighbouring
-cells, then the exact distance decides. Cells split large structures, so no task gets a structure whole. Pairs are made
-once (ind1 < ind2) and mirrored.
+Contacts by distance come from an equi-join on grid cells as wide as the radius, then the exact distance decides. Cells
+split large structures, so no task gets a structure whole. Within one set of mers a cell meets itself and half of its
+neighbours, so each pair is made once and mirrored; between two sets it meets all 27. Where one of several criteria is
+enough, each brings the pairs within its own radius that those before it haven't brought.
 """
 
 from __future__ import annotations
@@ -23,20 +24,36 @@ def _cell(p: Column, side: float) -> Column:
     return F.struct(*[F.floor(p[i] / side).alias(i) for i in vec.AXES])
 
 
-def near_pairs(left: DataFrame, right: DataFrame, points: Sequence[str], radius: float, by: str, *also: str) -> DataFrame:
-    """Pairs of one structure (and frame) whose points `by` lie within the radius, with all named points of both sides
-    as a_<point>, b_<point>. An ind is never paired with itself."""
+_STEPS = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+
+
+def _gridded(left: DataFrame, right: DataFrame, points: Sequence[str], radius: float, by: str, steps, also: Sequence[str]) -> DataFrame:
+    """Pairs of one structure (and frame) whose cells lie the given steps apart, with all named points of both sides as
+    a_<point>, b_<point>, within the radius."""
     key = [S, *also]
     take = lambda df, side, ind: df.select(*key, F.col("ind").alias(ind), *[F.col(p).alias(f"{side}_{p}") for p in points]).where(F.col(f"{side}_{by}").isNotNull())
-    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
-    a, b = take(left, "a", "ind1"), take(right, "b", "ind2")
-    a = a.withColumn("_cell", _cell(F.col(f"a_{by}"), radius))
-    b = b.withColumn("_home", _cell(F.col(f"b_{by}"), radius)).withColumn("_step", F.explode(steps))
-    b = b.withColumn("_cell", F.struct(*[(F.col("_home")[i] + F.col("_step")[i]).alias(i) for i in vec.AXES])).drop("_home", "_step")
-    pairs = a.join(b, [*key, "_cell"]).where("ind1 <> ind2").drop("_cell")
+    shifts = F.array(*[F.struct(*[F.lit(x).alias(i) for x, i in zip(s, vec.AXES, strict=True)]) for s in steps])
+    a = take(left, "a", "ind1").withColumn("_cell", _cell(F.col(f"a_{by}"), radius))
+    b = take(right, "b", "ind2").withColumn("_home", _cell(F.col(f"b_{by}"), radius)).withColumn("_step", F.explode(shifts))
+    at_home = F.lit(True)
+    for i in vec.AXES:
+        at_home = at_home & (F.col("_step")[i] == 0)
+    b = b.withColumn("_cell", F.struct(*[(F.col("_home")[i] + F.col("_step")[i]).alias(i) for i in vec.AXES])).withColumn("_own", at_home).drop("_home", "_step")
+    pairs = a.join(b, [*key, "_cell"]).drop("_cell")
     return pairs.where(vec.distance(F.col(f"a_{by}"), F.col(f"b_{by}")) <= radius)
 
 
+def near_pairs(left: DataFrame, right: DataFrame, points: Sequence[str], radius: float, by: str, *also: str) -> DataFrame:
+    """Pairs of two sets whose points `by` lie within the radius. An ind is never paired with itself."""
+    return _gridded(left, right, points, radius, by, _STEPS, also).where("ind1 <> ind2").drop("_own")
+
+
+def near_pairs_within(mers: DataFrame, points: Sequence[str], radius: float, by: str, *also: str) -> DataFrame:
+    """Unordered pairs of one set, each once: a cell meets itself and the thirteen neighbours ahead of it."""
+    ahead = [s for s in _STEPS if s >= (0, 0, 0)]
+    return _gridded(mers, mers, points, radius, by, ahead, also).where("NOT _own OR ind1 < ind2").drop("_own")
+
+
 def all_pairs(left: DataFrame, right: DataFrame, points: Sequence[str], *also: str) -> DataFrame:
     """Every ordered pair of one structure: only for criteria without a radius; never across structures."""
     key = [S, *also]
@@ -46,35 +63,48 @@ def all_pairs(left: DataFrame, right: DataFrame, points: Sequence[str], *also: s
 
 @dataclass(frozen=True)
 class Criterion:
-    """value(pair) is 0, 1 or 2 from the columns a_<point>, b_<point>; symmetric. With a radius, pairs whose `by` points
-    lie further apart are known to have value 0. Combine with &, |, ^ and ~."""
+    """value(pair) is 0, 1 or 2 from the columns a_<point>, b_<point>; symmetric. `bounds` are (point, radius): a pair that
+    lies further apart in all of these points is known to have value 0; without any, all pairs are looked at. Combine
+    with &, |, ^ and ~."""
 
     value: Callable[[], Column]
     points: tuple[str, ...]
-    radius: float | None = None
-    by: str | None = None
+    bounds: tuple[tuple[str, float], ...] = ()
 
     def __and__(self, o: Criterion) -> Criterion:
-        bounded = min([c for c in (self, o) if c.radius], key=lambda c: c.radius, default=self)
-        return Criterion(lambda: F.least(self.value(), o.value()), _join(self, o), bounded.radius, bounded.by)
+        bounds = min([c.bounds for c in (self, o) if c.bounds], key=lambda b: (len(b), max(r for _, r in b)), default=())
+        return Criterion(lambda: F.least(self.value(), o.value()), _join(self, o), bounds)
 
-    def _wider(self, o: Criterion, f) -> Criterion:
-        same = self.by == o.by and self.radius and o.radius
-        return Criterion(f, _join(self, o), max(self.radius, o.radius) if same else None, self.by if same else None)
+    def _either(self, o: Criterion) -> tuple[tuple[str, float], ...]:
+        if not (self.bounds and o.bounds):
+            return ()
+        widest: dict[str, float] = {}
+        for point, radius in (*self.bounds, *o.bounds):
+            widest[point] = max(radius, widest.get(point, 0.0))
+        return tuple(widest.items())
 
     def __or__(self, o: Criterion) -> Criterion:
-        return self._wider(o, lambda: F.greatest(self.value(), o.value()))
+        return Criterion(lambda: F.greatest(self.value(), o.value()), _join(self, o), self._either(o))
 
     def __xor__(self, o: Criterion) -> Criterion:
         def value() -> Column:
             a, b = self.value(), o.value()
             return F.when((a == 1) | (b == 1), 1).when((a == 2) != (b == 2), 2).otherwise(0)
 
-        return self._wider(o, value)
+        return Criterion(value, _join(self, o), self._either(o))
 
     def __invert__(self) -> Criterion:
         return Criterion(lambda: 2 - self.value(), self.points)
 
+    def pairs(self, pairs_within: Callable[[str, float], DataFrame]) -> DataFrame:
+        """The pairs of every bound, each pair once: by the first bound that it lies within."""
+        out, seen = None, F.lit(False)
+        for point, radius in self.bounds:
+            rows = pairs_within(point, radius).where(~seen)
+            out = rows if out is None else out.unionByName(rows)
+            seen = seen | F.coalesce(vec.distance(F.col(f"a_{point}"), F.col(f"b_{point}")) <= radius, F.lit(False))
+        return out
+
 
 def _join(*cs: Criterion) -> tuple[str, ...]:
     return tuple(sorted({p for c in cs for p in c.points}))
@@ -87,7 +117,7 @@ def by_distance(point: str, threshold: float, margin: float) -> Criterion:
         d = vec.distance(F.col(f"a_{point}"), F.col(f"b_{point}"))
         return F.when(d <= threshold - margin, 2).when(d <= threshold + margin, 1).otherwise(0)
 
-    return Criterion(value, (point,), threshold + margin, point)
+    return Criterion(value, (point,), ((point, threshold + margin),))
 
 
 def by_difference(p1: str, p2: str, threshold: float, margin: float) -> Criterion:
@@ -100,34 +130,38 @@ def by_difference(p1: str, p2: str, threshold: float, margin: float) -> Criterio
     return Criterion(value, (p1, p2))
 
 
-# Preset thresholds and margins, in Angstrom.
+# Preset thresholds and margins, in Angstrom. RC is the criterion of a map where none is given.
 CA = by_distance("ca", 6.0, 0.5)
 CBX = by_distance("cbx", 6.5, 0.5)
 RC = by_distance("rc", 7.5, 0.5)
 GC = by_distance("gc", 8.5, 0.5)
 CA_CBX = by_difference("ca", "cbx", 0.75, 0.05)
+#: For residues: near by CA, or near by CBX and pointing at each other.
+PROTEIN = CA | (CBX & CA_CBX)
+
+
+def _valued(pairs: DataFrame, criterion: Criterion, also: Sequence[str]) -> DataFrame:
+    return pairs.select(S, *also, "ind1", "ind2", criterion.value().cast("tinyint").alias("value")).where("value > 0")
 
 
 def contacts(left: DataFrame, right: DataFrame, criterion: Criterion, *also: str) -> DataFrame:
-    """(structure_id, ind1, ind2, value) between two sides; 0 has no row. A criterion without a radius looks at all
+    """(structure_id, ind1, ind2, value) between two sides; 0 has no row. A criterion without bounds looks at all
     pairs of each structure."""
-    if criterion.radius:
-        pairs = near_pairs(left, right, criterion.points, criterion.radius, criterion.by, *also)
+    if criterion.bounds:
+        pairs = criterion.pairs(lambda point, radius: near_pairs(left, right, criterion.points, radius, point, *also))
     else:
         pairs = all_pairs(left, right, criterion.points, *also)
-    return pairs.select(S, *also, "ind1", "ind2", criterion.value().cast("tinyint").alias("value")).where("value > 0")
+    return _valued(pairs, criterion, also)
 
 
-def contact_map(mers: DataFrame, criterion: Criterion, *also: str) -> DataFrame:
+def contact_map(mers: DataFrame, criterion: Criterion = RC, *also: str) -> DataFrame:
     """Contacts within a structure or subset: each pair is worked out once and mirrored."""
-    points = criterion.points
-    if criterion.radius:
-        pairs = near_pairs(mers, mers, points, criterion.radius, criterion.by, *also)
+    if criterion.bounds:
+        pairs = criterion.pairs(lambda point, radius: near_pairs_within(mers, criterion.points, radius, point, *also))
     else:
-        pairs = all_pairs(mers, mers, points, *also)
-    half = pairs.where("ind1 < ind2").select(S, *also, "ind1", "ind2", criterion.value().cast("tinyint").alias("value")).where("value > 0")
+        pairs = all_pairs(mers, mers, criterion.points, *also).where("ind1 < ind2")
     both = F.inline(F.array(F.struct(F.col("ind1"), F.col("ind2")), F.struct(F.col("ind2").alias("ind1"), F.col("ind1").alias("ind2"))))
-    return half.select(S, *also, both, "value").select(S, *also, "ind1", "ind2", "value")
+    return _valued(pairs, criterion, also).select(S, *also, both, "value").select(S, *also, "ind1", "ind2", "value")
 
 
 def inter_contacts(sub1: DataFrame, sub2: DataFrame, criterion: Criterion, *also: str) -> DataFrame:

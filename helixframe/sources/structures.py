@@ -45,13 +45,19 @@ def _one_alternate(atoms: DataFrame) -> DataFrame:
 MMCIF = {"label_atom_id": "atom_name", "label_comp_id": "res_name", "auth_asym_id": "chain", "auth_seq_id": "num", "pdbx_PDB_ins_code": "icode", "id": "serial", "type_symbol": "element", "Cartn_x": "x", "Cartn_y": "y", "Cartn_z": "z", "occupancy": "occupancy", "B_iso_or_equiv": "b_factor", "group_PDB": "hetero", "pdbx_PDB_model_num": "model"}
 
 
+#: A value of a loop's line: in double or single quotes, which may stand within a value, or up to the next white space.
+CIF_VALUE = r"""("(?:[^"]|"(?=\S))*"(?=\s|$)|'(?:[^']|'(?=\S))*'(?=\s|$)|\S+)"""
+
+
 def parse_mmcif(lines: DataFrame) -> DataFrame:
-    """Atoms from _atom_site loops, by the order of columns that each file's header gives."""
+    """Atoms from _atom_site loops, by the order of columns that each file's header gives. Quotes around a value go."""
     name = F.regexp_extract("line", r"^_atom_site\.(\S+)", 1)
     heads = lines.where("line LIKE '\\_atom\\_site.%'").select(S, name.alias("name"), (F.row_number().over(Window.partitionBy(S).orderBy("pos"))).alias("k"))
     heads = heads.groupBy(S).agg(F.map_from_entries(F.collect_list(F.struct("name", "k"))).alias("at"))
-    rows = lines.where("line LIKE 'ATOM%' OR line LIKE 'HETATM%'").join(heads, S)
-    value = lambda c: F.nullif(F.nullif(F.element_at(F.split("line", r"\s+"), F.col("at")[c]), F.lit(".")), F.lit("?"))
+    bare = lambda x: F.regexp_replace(x, r"""^(["'])(.*)\1$""", "$2")
+    parts = F.when(F.col("line").rlike("[\"']"), F.transform(F.regexp_extract_all("line", F.lit(CIF_VALUE), 1), bare)).otherwise(F.split(F.trim("line"), r"\s+"))
+    rows = lines.where("line LIKE 'ATOM%' OR line LIKE 'HETATM%'").withColumn("parts", parts).join(heads, S)
+    value = lambda c: F.nullif(F.nullif(F.element_at("parts", F.col("at")[c]), F.lit(".")), F.lit("?"))
     kinds = {"num": "int", "serial": "int", "model": "int", "x": "double", "y": "double", "z": "double", "occupancy": "double", "b_factor": "double"}
     cols = [(value(a) == "HETATM").alias(b) if b == "hetero" else value(a).cast(kinds.get(b, "string")).alias(b) for a, b in MMCIF.items()]
     return _one_alternate(rows.select(S, *cols, F.col("pos").cast("long").alias("pos")))
@@ -82,6 +88,29 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartition(S).sortWithinPartitions(S, "pos").select(S, "line").write.partitionBy(S).text(path)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """One text file for each (path, text) under a root, by whatever file system the root's name says; gzipped where the
+    path ends in .gz. Each task writes its rows' files through a temporary name, so a task that is run again replaces
+    what it had written."""
+    import gzip
+
+    import pyarrow.fs as fs
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folder, name = path.rsplit("/", 1)
+                store.create_dir(f"{base}/{folder}", recursive=True)
+                raw = text.encode()
+                with store.open_output_stream(f"{base}/{folder}/.{name}", compression=None) as out:
+                    out.write(gzip.compress(raw, mtime=0) if path.endswith(".gz") else raw)
+                store.move(f"{base}/{folder}/.{name}", f"{base}/{path}")
+            yield batch.slice(0, 0)
+
+    files.select("path", "text").mapInArrow(run, "path string, text string").count()
+
+
 def read_written(spark: SparkSession, path: str) -> DataFrame:
     """Lines that write_lines has written."""
     files = spark.read.text(f"{path}/*/*.txt", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"structure_id=([^/]+)/", 1).alias(S), "value")
@@ -106,27 +135,50 @@ def frames_from_models(atoms: DataFrame) -> DataFrame:
 
 
 def bind_frames(frames: DataFrame, topology: DataFrame, factor: float = 10.0) -> DataFrame:
-    """Frame coordinates (traj_id, frame, serial, x, y, z in nm) with a topology's atoms, in Angstrom."""
+    """Frame coordinates (traj_id, frame, serial, x, y, z in nm) with the atoms of their own topology (traj_id, serial), in
+    Angstrom."""
     scaled = frames.select("traj_id", "frame", "serial", *[(F.col(i) * factor).alias(i) for i in vec.AXES])
-    return scaled.join(topology.drop(*vec.AXES), "serial")
+    return scaled.join(topology.drop(*vec.AXES), ["traj_id", "serial"])
+
+
+# For each database, the pattern of an id, where the two letters of its folder begin, and the file's end.
+_LETTER = r"[\p{L}\p{N}]"
+_FOUR = rf"^[0-9]{_LETTER}{{2}}.$"
+DATABASES = {
+    "pdb": (_FOUR, 2, ".pdb"),
+    "mmcif": (_FOUR, 2, ".cif"),
+    "scop": (rf"^d[0-9]{_LETTER}{{2}}.(?:{_LETTER}|[_.])(?:{_LETTER}|_)$", 3, ".ent"),
+    "cath": (_FOUR, 3, ".pdb"),
+    "unit": (_FOUR, 3, ".pdb"),
+}
 
 
 def resolve_entries(ids: DataFrame) -> DataFrame:
     """(entry, db, id, unit, path, valid) of entries like `pdb://1abc`, `scop://d1abca_`, `unit://1abc/2`; bad ids stay,
-    marked invalid."""
+    marked invalid. `unit://1abc` stands for all units, by a * in the path; `pdb+mmcif://1abc` gives a row for either."""
     e = F.col("entry")
-    db, rest = F.lower(F.regexp_extract(e, r"^(\w+)://", 1)), F.regexp_extract(e, r"^\w+://([^/]+)", 1)
+    named, rest = F.lower(F.regexp_extract(e, r"^([\w+]+)://", 1)), F.regexp_extract(e, r"^[\w+]+://([^/]+)", 1)
     unit = F.regexp_extract(e, r"^\w+://[^/]+/(\d+)$", 1)
-    rows = ids.select(e, db.alias("db"), rest.alias("id"), F.nullif(unit, F.lit("")).cast("int").alias("unit"))
-    short, long = F.col("id").rlike(r"^[0-9][A-Za-z0-9]{3}$"), F.col("id").rlike(r"^[A-Za-z0-9_.]{7}$")
-    shard = F.when(F.col("db").isin("pdb", "mmcif", "unit"), F.substring("id", 2, 2)).otherwise(F.substring("id", 3, 2))
-    ext = F.when(F.col("db") == "pdb", ".ent").when(F.col("db") == "mmcif", ".cif").when(F.col("db") == "scop", ".ent").when(F.col("db") == "cath", ".pdb").otherwise(F.concat(F.lit(".pdb"), F.col("unit").cast("string"), F.lit(".gz")))
-    valid = F.when(F.col("db").isin("pdb", "mmcif"), short).when(F.col("db") == "unit", short & F.col("unit").isNotNull()).when(F.col("db").isin("scop", "cath"), long).otherwise(False)
-    return rows.select("entry", "db", "id", "unit", F.when(valid, F.concat_ws("/", "db", shard, F.concat("id", ext))).alias("path"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    either = F.when(named == "pdb+mmcif", F.array(F.lit("pdb"), F.lit("mmcif"))).otherwise(F.array(named))
+    rows = ids.select(e, F.explode(either).alias("db"), rest.alias("id"), F.nullif(unit, F.lit("")).cast("int").alias("unit"))
+    rows = rows.withColumn("id", F.when(F.col("db").isin("pdb", "mmcif"), F.lower("id")).otherwise(F.col("id")))
+    valid, path = F.lit(False), F.lit(None).cast("string")
+    for db, (pattern, at, end) in DATABASES.items():
+        own = F.col("db") == db
+        file = F.concat("id", F.lit(end)) if db != "unit" else F.concat("id", F.lit(end), F.coalesce(F.col("unit").cast("string"), F.lit("*")), F.lit(".gz"))
+        valid = F.when(own, F.col("id").rlike(pattern)).otherwise(valid)
+        path = F.when(own, F.concat_ws("/", "db", F.substring("id", at, 2), file)).otherwise(path)
+    rows = rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    return rows.select("entry", "db", "id", "unit", F.when(F.col("valid"), path).alias("path"), "valid")
 
 
 def read_entries(spark: SparkSession, resolved: DataFrame, root: str) -> DataFrame:
-    """Lines of the valid entries under a mirror's root: the mirror's files are listed by Spark and joined by path."""
-    files = spark.read.text(f"{root}/*/*/*", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+/[^/]+)$", 1).alias("path"), "value")
-    rows = files.join(resolved.where("valid").select("path", F.col("id").alias(S)), "path")
-    return rows.select(S, F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    """Lines (structure_id, db, unit, pos, line) of the valid entries under a mirror's root, gzipped files too. The
+    mirror's files are listed by Spark and joined by path; a path with * takes every unit."""
+    files = spark.read.text(f"{root}/*/*/*", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+/[^/]+)$", 1).alias("file"), "value")
+    number = F.regexp_extract("file", r"\.pdb(\d+)\.gz$", 1)
+    starred = F.regexp_replace("file", r"\.pdb\d+\.gz$", ".pdb*.gz")
+    named = F.when(number == "", F.array("file")).otherwise(F.array(F.col("file"), starred))
+    files = files.select(F.explode(named).alias("path"), F.nullif(number, F.lit("")).cast("int").alias("unit"), "value")
+    rows = files.join(resolved.where("valid").select("path", "db", F.col("id").alias(S)).distinct(), "path")
+    return rows.select(S, "db", "unit", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
