@@ -60,11 +60,8 @@ def j16(spark, d):
 VERTICES = f"{W.CELLS}, vs AS (SELECT a.row % 40 AS v, a.structure_id AS s1, a.ind AS i1, b.structure_id AS s2, b.ind AS i2 FROM cells a JOIN cells b ON a.row = b.row WHERE a.structure_id = '1' AND b.structure_id = '2')"
 
 
-def vertices(spark, d):
-    return L.to_pairs(W.cells(spark, d).where("structure_id IN ('1', '2')")).select((F.col("row") % 40).alias("v"), "s1", "i1", "s2", "i2")
-
-
-_EDGES = "ed AS (SELECT a.v AS v1, b.v AS v2 FROM (SELECT DISTINCT v FROM vs) a JOIN (SELECT DISTINCT v FROM vs) b ON a.v < b.v WHERE NOT EXISTS (SELECT 1 FROM vs x JOIN vs y ON x.i1 = y.i1 AND x.i2 <> y.i2 OR x.i2 = y.i2 AND x.i1 <> y.i1 WHERE x.v = a.v AND y.v = b.v))"
+def vertices(spark, d, v=F.col("row") % 40):
+    return L.to_pairs(W.cells(spark, d).where("structure_id IN ('1', '2')")).select(v.alias("v"), "s1", "i1", "s2", "i2")
 
 
 @query("j17_consistency_graph", f"WITH {VERTICES}, cl AS (SELECT x.v AS v1, y.v AS v2 FROM vs x JOIN vs y ON x.i1 = y.i1 WHERE x.i2 <> y.i2 UNION SELECT x.v, y.v FROM vs x JOIN vs y ON x.i2 = y.i2 WHERE x.i1 <> y.i1), ed AS (SELECT a.v AS v1, b.v AS v2 FROM (SELECT DISTINCT v FROM vs) a JOIN (SELECT DISTINCT v FROM vs) b ON a.v < b.v ANTI JOIN cl ON a.v = cl.v1 AND b.v = cl.v2) SELECT * FROM ed")
@@ -72,10 +69,20 @@ def j17(spark, d):
     return L.consistency_graph(vertices(spark, d))
 
 
-@query("j18_aligned_mers_graph", f"WITH {VERTICES}, w AS (SELECT * FROM vs WHERE i1 < 40) SELECT a.v AS va, a.i1 AS a1, a.i2 AS a2, b.v AS vb, b.i1 AS b1, b.i2 AS b2 FROM w a JOIN w b ON (a.v = b.v OR a.v + 1 = b.v) AND (a.v, a.i1, a.i2) < (b.v, b.i1, b.i2)")
+@query("j17_contradictions", f"WITH {VERTICES} SELECT x.v AS v1, y.v AS v2 FROM vs x JOIN vs y ON x.i1 = y.i1 WHERE x.i2 <> y.i2 AND x.v < y.v UNION SELECT x.v, y.v FROM vs x JOIN vs y ON x.i2 = y.i2 WHERE x.i1 <> y.i1 AND x.v < y.v")
+def j17_contradictions(spark, d):
+    return L.contradictions(vertices(spark, d))
+
+
+# Small alignments for the graph of mers: a vertex is a run of rows, an edge joins one with the next.
+RUNS = VERTICES.replace("a.row % 40 AS v", "a.row // 64 AS v")
+
+
+@query("j18_aligned_mers_graph", f"WITH {RUNS} SELECT a.v AS va, a.i1 AS a1, a.i2 AS a2, b.v AS vb, b.i1 AS b1, b.i2 AS b2 FROM vs a JOIN vs b ON (a.v = b.v OR a.v + 1 = b.v) AND (a.v, a.i1, a.i2) < (b.v, b.i1, b.i2) AND NOT (a.i1 = b.i1 AND a.i2 = b.i2)")
 def j18(spark, d):
-    w = vertices(spark, d).where("i1 < 40")
-    edges = w.select(F.col("v").alias("v1"), (F.col("v") + 1).alias("v2")).distinct()
+    w = vertices(spark, d, F.floor(F.col("row") / 64))
+    own = w.select("v").distinct()
+    edges = own.select(F.col("v").alias("v1"), (F.col("v") + 1).alias("v2")).join(own.withColumnRenamed("v", "v2"), "v2")
     a, b = F.col("a"), F.col("b")
     return L.aligned_mers_graph(w, edges).select(a["v"].alias("va"), a["i1"].alias("a1"), a["i2"].alias("a2"), b["v"].alias("vb"), b["i1"].alias("b1"), b["i2"].alias("b2"))
 
@@ -125,9 +132,11 @@ def k2(spark, d):
     return L.rank_alignments(t, 5, 3, "grp")
 
 
-@query("k3_order_alignment", "SELECT p_partkey * 2 AS row, 'M' || s AS structure_id, p_partkey AS ind, CAST(row_number() OVER (PARTITION BY s ORDER BY p_partkey) - 1 AS INTEGER) AS place FROM part, (VALUES (1), (2)) t(s)")
+@query("k3_order_alignment", "SELECT p_partkey // 1000 AS alignment, p_partkey * 2 AS row, 'M' || s AS structure_id, p_partkey AS ind, CAST(row_number() OVER (PARTITION BY s, p_partkey // 1000 ORDER BY p_partkey) - 1 AS INTEGER) AS place FROM part, (VALUES (1), (2)) t(s)")
 def k3(spark, d):
-    return L.order_alignment(W.pairs(spark, d).where("row % 2 = 0"))
+    """An alignment for each thousand parts."""
+    rows = W.pairs(spark, d).where("row % 2 = 0").withColumn("alignment", F.floor(F.col("ind") / 1000))
+    return L.order_alignment(rows, "alignment").select("alignment", "row", "structure_id", "ind", "place")
 
 
 @query("k4_reorder_structures", f"WITH {W.CELLS} SELECT {CELL}, CASE structure_id WHEN '3' THEN 0 WHEN '1' THEN 1 END AS \"column\" FROM cells")
@@ -165,9 +174,9 @@ def u7(spark, d):
     return L.to_pairs(W.cells(spark, d))
 
 
-@query("u8_to_columns", f"WITH {W.CELLS}, p AS (SELECT DISTINCT s1, s2, i1, i2 FROM ({_PAIRS}) WHERE s2 < '4') SELECT structure_id, count(*) AS n FROM (SELECT s1 AS structure_id FROM p UNION ALL SELECT s2 FROM p) GROUP BY 1")
+@query("u8_to_columns", f"WITH {W.CELLS}, p AS (SELECT DISTINCT s1, s2, i1, i2 FROM ({_PAIRS})) SELECT structure_id, count(*) AS n FROM (SELECT s1 AS structure_id FROM p UNION ALL SELECT s2 FROM p) GROUP BY 1")
 def u8(spark, d):
-    p = L.to_pairs(W.cells(spark, d).where("structure_id < '4'"))
+    p = L.to_pairs(W.cells(spark, d))
     return L.to_columns(L.join_pairs(p, p)).groupBy("structure_id").agg(F.count("*").alias("n"))
 
 

@@ -109,7 +109,7 @@ def s8(spark, d):
 
 # Alignments of all structures, mer by mer, with gaps.
 
-ALIGNED = f"{W.MERS}, al AS (SELECT ind AS row, structure_id, ind FROM mers WHERE vec_id % 5 <> 0), ok AS (SELECT * FROM al WHERE row IN (SELECT row FROM al GROUP BY row HAVING count(*) > 1))"
+ALIGNED = f"{W.MERS}, al AS (SELECT ind AS row, structure_id, ind FROM mers WHERE vec_id % 5 <> 0), ok AS (SELECT * FROM al WHERE row IN (SELECT row FROM al GROUP BY row HAVING count(*) > 1 AND count(*) <> (SELECT count(DISTINCT label) FROM embeddings) - 1))"
 
 
 def numbering(spark, d):
@@ -131,6 +131,7 @@ def s9(spark, d):
     return Al.parse_alignment("x.csv", Al.csv_lines(aligned(spark, d), n, names(spark, d)), n).select("structure_id", "ind")
 
 
+# A row with exactly one dash is written in lower case, which a reader takes for dashes: `ok` leaves such rows out.
 @query("s11_s16_alignment_fasta", f"WITH {ALIGNED} SELECT structure_id, ind FROM ok")
 def s11(spark, d):
     n = numbering(spark, d)
@@ -158,6 +159,28 @@ def s12(spark, d):
     return Al.parse_xml(docs, n).select("structure_id", "ind")
 
 
-@query("s14_alignment_metadata", f"WITH {ALIGNED} SELECT DISTINCT structure_id FROM al")
+@query("s13_read_alignment", f"WITH {ALIGNED} SELECT CAST(k AS VARCHAR) AS alignment_id, structure_id, ind FROM al, (VALUES ('csv'), ('tsv')) t(k) UNION ALL SELECT 'fasta', structure_id, ind FROM ok UNION ALL SELECT 'pal', structure_id, ind FROM al WHERE row IN (SELECT row FROM al WHERE structure_id = '0') AND row IN (SELECT row FROM al WHERE structure_id = '1') AND structure_id IN ('0', '1')")
+def s13(spark, d):
+    """The view written in each format to a folder, and read again by the files' suffixes."""
+    n, own, cells = numbering(spark, d), names(spark, d), aligned(spark, d)
+    root = f"{shared_dir(spark)}/alignments-{uuid.uuid4().hex}"
+    written = {"csv": Al.csv_lines(cells, n, own), "tsv": Al.csv_lines(cells, n, own, "\t"), "fasta": Al.fasta_lines(cells, n, own, 30), "pal": Al.pal_lines(cells.where("structure_id IN ('0', '1')"), n)}
+    out = None
+    for suffix, lines in written.items():
+        text = lines.groupBy("alignment_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+        St.write_files(text.select(F.lit(f"{suffix}/{suffix}.{suffix}").alias("path"), "text"), root)
+        rows = Al.read_alignment(spark, f"{root}/{suffix}/{suffix}.{suffix}", n).select("alignment_id", "structure_id", "ind")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("s14_alignment_metadata", f"WITH {ALIGNED}, r AS (SELECT structure_id, chain, CAST(num AS VARCHAR) AS num, row, ind, CASE WHEN ind = lag(ind) OVER w + 1 AND chain = lag(chain) OVER w THEN 0 ELSE 1 END AS opens FROM al JOIN mers USING (structure_id, ind) WINDOW w AS (PARTITION BY structure_id ORDER BY row)), g AS (SELECT *, sum(opens) OVER (PARTITION BY structure_id ORDER BY row) AS run FROM r), t AS (SELECT structure_id, run, any_value(chain) || ':' || arg_min(num, ind) || '-' || arg_max(num, ind) AS part FROM g GROUP BY 1, 2) SELECT structure_id, CAST(NULL AS VARCHAR) AS comment, string_agg(part, ', ' ORDER BY run) AS ranges FROM t GROUP BY 1")
 def s14(spark, d):
-    return Al.alignment_metadata(Al.fasta_lines(aligned(spark, d), numbering(spark, d), names(spark, d))).select("structure_id")
+    return Al.alignment_metadata(Al.fasta_lines(aligned(spark, d), numbering(spark, d), names(spark, d))).select("structure_id", "comment", "ranges")
+
+
+@query("s14_table_metadata", f"WITH {ALIGNED} SELECT DISTINCT structure_id, k AS kind FROM al, (VALUES ('csv'), ('pal')) t(k)")
+def s14b(spark, d):
+    n, own, cells = numbering(spark, d), names(spark, d), aligned(spark, d)
+    csv = Al.table_metadata(Al.csv_lines(cells, n, own)).select("structure_id", F.lit("csv").alias("kind"))
+    return csv.unionByName(Al.pal_metadata(Al.pal_lines(cells, n)).select("structure_id", F.lit("pal").alias("kind")))

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.mers import adjusted_number, segments
+
 S = "structure_id"
 
 
@@ -170,20 +173,28 @@ def alignment_rows(cells: DataFrame, start: int | None = None, stop: int | None
 def insertion_order(rows: list[dict[str, int]]) -> list[int]:
     """Order of rows (structure -> ind): by the structure with most mers; a row without it goes before the first row
     that is later in a structure that both have, else to the end."""
-    n: dict[str, int] = {}
-    for r in rows:
-        for s in r:
-            n[s] = n.get(s, 0) + 1
-    main = max(sorted(n), key=n.get) if n else None
-    done = sorted((k for k, r in enumerate(rows) if main in r), key=lambda k: rows[k][main])
-    for k in (k for k, r in enumerate(rows) if main not in r):
-        later = (at for at, j in enumerate(done) if any(s in rows[j] and rows[j][s] > i for s, i in rows[k].items()))
-        done.insert(next(later, len(done)), k)
+    names = sorted({s for r in rows for s in r})
+    if not names:
+        return list(range(len(rows)))
+    inds = np.full((len(rows), len(names)), np.nan)
+    for k, r in enumerate(rows):
+        for s, i in r.items():
+            inds[k, names.index(s)] = i
+    main = int(np.argmax((~np.isnan(inds)).sum(0)))
+    has = ~np.isnan(inds[:, main])
+    done = np.flatnonzero(has)
+    done = done[np.argsort(inds[done, main], kind="stable")].tolist()
+    for k in np.flatnonzero(~has).tolist():
+        later = (inds[done] > inds[k]).any(1) if done else np.zeros(0, bool)  # no comparison with a gap is true
+        done.insert(int(later.argmax()) if later.any() else len(done), k)
     return done
 
 
-def order_alignment(cells: DataFrame, *also: str) -> DataFrame:
-    """Adds `place`, a row's place in the sorted alignment. The insertion is sequential: one task an alignment."""
+def order_alignment(cells: DataFrame, *by: str) -> DataFrame:
+    """Adds `place`, a row's place in its sorted alignment. The insertion is sequential, so an alignment is one task, and
+    the columns that tell alignments apart must be given."""
+    if not by:
+        raise ValueError("name the columns that tell alignments apart")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(row, dict(zip(own[S], own["ind"], strict=True))) for row, own in pdf.sort_values(["row", S]).groupby("row")]
@@ -192,26 +203,53 @@ def order_alignment(cells: DataFrame, *also: str) -> DataFrame:
         return pdf.assign(place=pdf["row"].map(place).astype("int32"))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields) + ", place int"
-    return cells.groupBy(*also).applyInPandas(run, schema)
+    return cells.groupBy(*by).applyInPandas(run, schema)
+
+
+def contradictions(alignments: DataFrame) -> DataFrame:
+    """Pairs (v1, v2), v1 < v2, of alignments (v, s1, i1, s2, i2) of the same structures in which some mer has different
+    partners: an equi-join on a mer of either side."""
+    a = alignments.select("v", "s1", "s2", "i1", "i2").distinct()
+    b = a.select(F.col("v").alias("w"), "s1", "s2", F.col("i1").alias("j1"), F.col("i2").alias("j2"))
+    one = a.join(b.withColumn("i1", F.col("j1")), ["s1", "s2", "i1"]).where("v < w AND i2 <> j2").select(F.col("v").alias("v1"), F.col("w").alias("v2"))
+    other = a.join(b.withColumn("i2", F.col("j2")), ["s1", "s2", "i2"]).where("v < w AND i1 <> j1").select(F.col("v").alias("v1"), F.col("w").alias("v2"))
+    return one.unionByName(other).distinct()
 
 
 def consistency_graph(alignments: DataFrame) -> DataFrame:
-    """Edges (v1, v2) between pair alignments, given as (v, s1, i1, s2, i2), that no mer contradicts. Contradictions are
-    found by equi-joins on a mer of either side, then taken away."""
-    v = alignments.select("v").distinct()
-    a, b = alignments, alignments.select(F.col("v").alias("v2"), "s1", "s2", F.col("i1").alias("j1"), F.col("i2").alias("j2"))
-    left = a.join(b, ["s1", "s2"]).where("v < v2")
-    clash = left.where("(i1 = j1 AND i2 <> j2) OR (i2 = j2 AND i1 <> j1)").select(F.col("v").alias("v1"), "v2").distinct()
-    pairs = v.withColumnRenamed("v", "v1").join(v.withColumnRenamed("v", "v2"), F.col("v1") < F.col("v2"))
-    return pairs.join(clash, ["v1", "v2"], "left_anti")
+    """Edges (v1, v2) between alignments of the same two structures that no mer contradicts. Most pairs of one pair of
+    structures are edges, so that is how many rows come out; where fewer will do, take contradictions() instead."""
+    v = alignments.select("v", "s1", "s2").distinct()
+    pairs = v.withColumnRenamed("v", "v1").join(v.withColumnRenamed("v", "v2"), ["s1", "s2"]).where("v1 < v2").select("v1", "v2")
+    return pairs.join(contradictions(alignments), ["v1", "v2"], "left_anti")
+
+
+def bent_enough(alignments: DataFrame, descriptors: DataFrame, mers: DataFrame, least: int = 2) -> DataFrame:
+    """Those alignments (v, s1, c1, s2, c2, i1, i2) whose two descriptors (structure_id, centre, mers) and whose aligned
+    parts each have an adjusted number of at least `least`. mers: structure_id, ind, chainable, next_ind and
+    adjusted_length."""
+    have = mers.select(S, "ind", "chainable", "next_ind", "adjusted_length")
+
+    def enough(parts: DataFrame, *key: str) -> DataFrame:
+        numbers = adjusted_number(segments(parts.join(have, [S, "ind"]), *key), *key)
+        return numbers.groupBy(S, *key).agg(F.sum("adjusted_number").alias("n")).where(F.col("n") >= least).drop("n")
+
+    whole = enough(descriptors.select(S, "centre", F.explode("mers").alias("ind")), "centre")
+    kept = alignments
+    for k in (1, 2):
+        own = enough(alignments.select("v", F.col(f"s{k}").alias(S), F.col(f"i{k}").alias("ind")).distinct(), "v")
+        kept = kept.join(own.withColumnRenamed(S, f"s{k}"), ["v", f"s{k}"], "left_semi")
+        kept = kept.join(whole.withColumnsRenamed({S: f"s{k}", "centre": f"c{k}"}), [f"s{k}", f"c{k}"], "left_semi")
+    return kept
 
 
 def aligned_mers_graph(alignments: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges between aligned mer pairs ((v, i1, i2) as a, b): of one alignment, or of two that an edge connects."""
+    """Edges between aligned mer pairs ((v, i1, i2) as a, b): of one alignment, or of two that an edge connects. Between
+    two vertices of the same pair of mers there is none."""
     both = edges.select("v1", "v2").unionByName(alignments.select(F.col("v").alias("v1"), F.col("v").alias("v2")).distinct())
     a = alignments.select(F.col("v").alias("v1"), F.struct("v", "i1", "i2").alias("a"))
     b = alignments.select(F.col("v").alias("v2"), F.struct("v", "i1", "i2").alias("b"))
-    return both.join(a, "v1").join(b, "v2").where("a < b").select("a", "b")
+    return both.join(a, "v1").join(b, "v2").where("a < b AND NOT (a.i1 = b.i1 AND a.i2 = b.i2)").select("a", "b")
 
 
 def rank_matches(matches: DataFrame, max_res: int = 0, *by: str) -> DataFrame:

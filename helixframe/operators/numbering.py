@@ -15,10 +15,12 @@ def merge_ids(first: list[Id], second: list[Id]) -> list[Id]:
     """Both lists in one, with as many equal ids as possible side by side; between equally good ways the lower id comes
     first."""
     n, m = len(first), len(second)
-    best = np.zeros((n + 1, m + 1), int)
+    number = {x: k for k, x in enumerate({*first, *second})}
+    own, other = (np.array([number[x] for x in ids], np.int64) for ids in (first, second))
+    best = np.zeros((n + 1, m + 1), np.int32)
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if first[i] == second[j] else max(best[i + 1, j], best[i, j + 1])
+        best[i, :m] = np.maximum(best[i + 1, :m], best[i + 1, 1:] + (other == own[i]))
+        best[i] = np.maximum.accumulate(best[i, ::-1])[::-1]
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and first[i] == second[j]:

@@ -29,10 +29,16 @@ def same_id(a, b) -> Column:
     return (a["chain"] == b["chain"]) & (a["num"] == b["num"]) & a["icode"].eqNullSafe(b["icode"])
 
 
-def sel_set(mers: DataFrame, ids: DataFrame) -> DataFrame:
-    """Mers with the given (structure_id, chain, num, icode)."""
-    a, b = mers.alias("a"), ids.alias("b")
-    return a.join(b, (F.col(f"a.{S}") == F.col(f"b.{S}")) & same_id(_of("a"), _of("b")), "left_semi")
+def sel_set(mers: DataFrame, ids: DataFrame, strict: bool = True) -> DataFrame:
+    """Mers with the given (structure_id, chain, num, icode). An id that its structure doesn't have is an error, unless
+    `strict` is false."""
+    a, b = ids.dropDuplicates([S, *ID]).alias("b"), mers.alias("a")
+    same = (F.col(f"a.{S}") == F.col(f"b.{S}")) & same_id(_of("a"), _of("b"))
+    if not strict:
+        return b.join(a, same, "left_semi")
+    text = F.concat(F.lit("no mer "), format_pdb_id(*_of("b").values()), F.lit(" in "), F.col(f"b.{S}").cast("string"))
+    found = F.when(F.col(f"a.{S}").isNull(), F.raise_error(text)).otherwise(F.lit(True))
+    return a.join(b, same, "left").where(found).select("a.*")
 
 
 def missing_ids(mers: DataFrame, ids: DataFrame) -> DataFrame:
@@ -45,10 +51,14 @@ def _of(alias: str) -> dict[str, Column]:
     return {c: F.col(f"{alias}.{c}") for c in ID}
 
 
-def sel_range(mers: DataFrame, start: str, end: str) -> DataFrame:
-    """The run of inds from one id to another, both included, in each structure that has both."""
+def sel_range(mers: DataFrame, start: str, end: str, strict: bool = True) -> DataFrame:
+    """The run of inds from one id to another, both included. A structure without one of them is an error, or has no rows
+    if `strict` is false."""
     at = lambda text: F.min(F.when(same_id({c: F.col(c) for c in ID}, {c: parse_pdb_id(F.lit(text))[c] for c in ID}), F.col("ind")))
     ends = mers.groupBy(S).agg(at(start).alias("_a"), at(end).alias("_b"))
+    if strict:
+        text = F.concat(F.lit(f"no {start} or {end} in "), F.col(S).cast("string"))
+        ends = ends.where(F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(text)).otherwise(F.lit(True)))
     return mers.join(ends, S).where(F.col("ind").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
@@ -108,7 +118,7 @@ def slice_mers(mers: DataFrame, start: int | None = None, stop: int | None = Non
 def lookup_pdb_ids(mers: DataFrame, text: str) -> DataFrame:
     """`A:12i` one mer, `A:` a chain, `12i` that number in any chain, `A:1-A:9` a range."""
     if "-" in text[1:] and ":" in text:
-        return sel_range(mers, *text.split("-", 1))
+        return sel_range(mers, *text.split("-", 1), strict=False)
     chain, sep, rest = text.rpartition(":")
     num = rest.rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
     rule = F.col("chain") == chain if sep else F.lit(True)

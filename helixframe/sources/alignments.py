@@ -14,7 +14,7 @@ from helixframe.sources.structures import STEM, read_lines
 
 A, S = "alignment_id", "structure_id"
 CELL = r"^\s*(.*):(-?[0-9]+)([A-Za-z])?(:.*)?\s*$"
-PAL_ID = r"^\s*([A-Za-z]*):?(-?[0-9]+)([A-Za-z])?\s*$"
+PAL_ID = r"^\s*(?:([A-Za-z0-9]*):|([A-Za-z]*))(-?[0-9]+)([A-Za-z])?\s*$"
 
 
 def _id(text: Column, pattern: str = CELL) -> list[Column]:
@@ -22,6 +22,11 @@ def _id(text: Column, pattern: str = CELL) -> list[Column]:
     return [part(1).alias("chain"), part(2).cast("int").alias("num"), part(3).alias("icode")]
 
 
+def _pal_id(text: Column) -> list[Column]:
+    part = lambda k: F.nullif(F.regexp_extract(text, PAL_ID, k), F.lit(""))
+    return [F.coalesce(part(1), part(2)).alias("chain"), part(3).cast("int").alias("num"), part(4).alias("icode")]
+
+
 def _with_ind(ids: DataFrame, numbering: DataFrame) -> DataFrame:
     n = numbering.select(F.col(S).alias("_s"), F.col("chain").alias("_c"), F.col("num").alias("_n"), F.col("icode").alias("_i"), "ind")
     return ids.join(n, (F.col(S) == F.col("_s")) & F.col("chain").eqNullSafe(F.col("_c")) & (F.col("num") == F.col("_n")) & F.col("icode").eqNullSafe(F.col("_i"))).drop("_s", "_c", "_n", "_i")
@@ -47,11 +52,17 @@ def csv_lines(cells: DataFrame, numbering: DataFrame, names: Sequence[str], sep:
 
 def parse_fasta(lines: DataFrame, numbering: DataFrame) -> DataFrame:
     """`>label comment [A:2-4, B:1-4]`, then sequence lines. `.-*` are dashes; a lower-case letter is a dash that uses up a
-    mer; mers come in the order of the ranges, or all of them. Rows with fewer than two mers go."""
+    mer; mers come in the order of the ranges, or all of them. Rows with fewer than two mers go. Sequences of different
+    lengths are an error, as is a structure with too few mers for its sequence."""
     w = Window.partitionBy(A).orderBy("pos")
     rows = lines.where("trim(line) <> '' AND line NOT LIKE '#%'").withColumn("k", F.sum(F.col("line").startswith(">").cast("int")).over(w))
     head = rows.where("line LIKE '>%'").select(A, "k", F.regexp_extract("line", r"^>\s*(\S+)", 1).alias(S), F.regexp_extract("line", r"\[([^\]]*)\]\s*$", 1).alias("ranges"))
     seq = rows.where("line NOT LIKE '>%'").groupBy(A, "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("t")))), lambda x: x["t"]), "").alias("seq"))
+    known = head.join(numbering.select(S).distinct(), S, "left_semi").select(A, "k")  # labels of other structures are passed over
+    seq, head = seq.join(known, [A, "k"], "left_semi"), head.join(known, [A, "k"], "left_semi")
+    sizes = Window.partitionBy(A)
+    even = F.when(F.min(F.length("seq")).over(sizes) == F.max(F.length("seq")).over(sizes), F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("sequences of different lengths in "), F.col(A))))
+    seq = seq.withColumn("seq", even)
     chars = seq.select(A, "k", F.posexplode(F.split("seq", "")).alias("row", "c")).where("c <> ''")
     used = F.col("c").rlike("[A-Za-z]")
     chars = chars.withColumn("n", F.sum(used.cast("int")).over(Window.partitionBy(A, "k").orderBy("row"))).where(F.col("c").rlike("[A-Z]"))
@@ -65,12 +76,15 @@ def parse_fasta(lines: DataFrame, numbering: DataFrame) -> DataFrame:
     chosen = ends.join(inds, (F.col(S) == F.col("_s")) & F.col("ind").between(F.col("a"), F.col("b"))).select(A, "k", S, "order", "ind")
     whole = head.where("ranges = ''").join(inds, F.col(S) == F.col("_s")).select(A, "k", S, F.lit(0).alias("order"), "ind")
     mers = chosen.unionByName(whole).withColumn("n", F.row_number().over(Window.partitionBy(A, "k").orderBy("order", "ind")))
-    cells = chars.join(mers, [A, "k", "n"]).select(A, F.col("row").cast("long").alias("row"), S, "ind")
+    cells = chars.join(mers, [A, "k", "n"], "left")
+    few = F.raise_error(F.concat(F.lit("too few mers for a sequence of "), F.col(A)))
+    cells = cells.select(A, F.col("row").cast("long").alias("row"), S, F.when(F.col("ind").isNull(), few).otherwise(F.col("ind")).alias("ind"))
     return prune(cells, A)
 
 
 def fasta_lines(cells: DataFrame, numbering: DataFrame, names: Sequence[str], width: int = 80) -> DataFrame:
-    """Header with runs of ids per chain; dashes; sequences wrapped at `width`."""
+    """Header with runs of ids per chain; dashes; sequences wrapped at `width`. Letters are in lower case where the row has
+    exactly one dash among `names`; so in an alignment of two, a lone mer is, and a reader takes it for a dash."""
     n = numbering.select(S, "ind", "chain", "num", "icode", "letter")
     own = cells.join(n, [S, "ind"])
     w = Window.partitionBy(A, S).orderBy("row")
@@ -81,6 +95,8 @@ def fasta_lines(cells: DataFrame, numbering: DataFrame, names: Sequence[str], wi
     heads = runs.groupBy(A, S).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", text.alias("t")))), lambda x: x["t"]), ", ").alias("ranges"))
     grid = cells.select(A, "row").distinct().withColumn(S, F.explode(F.array(*map(F.lit, names))))
     letters = grid.join(own.select(A, "row", S, "letter"), [A, "row", S], "left")
+    dashes = F.sum(F.col("letter").isNull().cast("int")).over(Window.partitionBy(A, "row"))
+    letters = letters.withColumn("letter", F.when(dashes == 1, F.lower("letter")).otherwise(F.upper("letter")))
     seq = letters.groupBy(A, S).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.coalesce("letter", F.lit("-")).alias("c")))), lambda x: x["c"]), "").alias("seq"))
     wrapped = F.split(F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n"), "\n")
     block = F.concat(F.array(F.concat(F.lit(">"), S, F.lit(" ["), "ranges", F.lit("]"))), wrapped)
@@ -97,7 +113,7 @@ def parse_pal(lines: DataFrame, numbering: DataFrame) -> DataFrame:
     rows = lines.withColumn("names", F.last(names, ignorenulls=True).over(w)).where("line LIKE '%<-->%'")
     ids = F.split("line", r"\s*(?:<-->|--)\s*")
     rows = rows.select(A, "pos", F.posexplode(F.transform(ids, lambda x: F.trim(x))).alias("k", "text"), "names")
-    rows = rows.select(A, "pos", "k", F.element_at("names", (F.floor(F.col("k") / 2) + 1).cast("int")).alias(S), *_id(F.col("text"), PAL_ID))
+    rows = rows.select(A, "pos", "k", F.element_at("names", (F.floor(F.col("k") / 2) + 1).cast("int")).alias(S), *_pal_id(F.col("text")))
     named = numbering.groupBy(S, "num", "icode").agg(F.min("chain").alias("_c"), F.countDistinct("chain").alias("_m"))
     rows = rows.join(named.withColumnsRenamed({"num": "_n", "icode": "_i", S: "_s"}), (F.col(S) == F.col("_s")) & (F.col("num") == F.col("_n")) & F.col("icode").eqNullSafe(F.col("_i")), "left")
     one = F.when(F.col("_m") == 1, F.col("_c")).otherwise(F.raise_error(F.concat(F.lit("no single chain has mer "), F.col("num").cast("string"))))
@@ -129,7 +145,10 @@ def pal_lines(cells: DataFrame, numbering: DataFrame) -> DataFrame:
 
 
 def parse_xml(texts: DataFrame, numbering: DataFrame) -> DataFrame:
-    """texts: (alignment_id, value). Members name the columns; cells of rows are `num+icode:_:chain`."""
+    """texts: (alignment_id, value). Members name the columns; cells of rows are `num+icode:_:chain`. More than one
+    alternative in a text is an error."""
+    many = F.size(F.regexp_extract_all("value", F.lit(r"<alternative[\s>/]"), 0)) > 1
+    texts = texts.withColumn("value", F.when(many, F.raise_error(F.concat(F.lit("more than one alternative in "), F.col(A).cast("string")))).otherwise(F.col("value")))
     rows = texts.select(A, F.expr("xpath(value, '//member/text()')").alias("names"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<row>(.*?)</row>"), 1)).alias("row", "r"))
     cells = rows.select(A, "names", F.col("row").cast("long").alias("row"), F.posexplode(F.regexp_extract_all("r", F.lit(r"<meq>([^<]*)</meq>"), 1)).alias("k", "cell"))
     part = lambda k: F.nullif(F.regexp_extract("cell", r"^(-?[0-9]+)([A-Za-z])?:[^:]*:(.*)$", k), F.lit(""))
@@ -152,6 +171,24 @@ def read_alignment(spark: SparkSession, path: str, numbering: DataFrame) -> Data
     return parse_alignment(path, read_lines(spark, path).withColumnRenamed(S, A), numbering)
 
 
+def xml_metadata(texts: DataFrame) -> DataFrame:
+    """(alignment_id, structure_id, descriptions): the members of XML texts (alignment_id, value), and what their
+    descriptions say, by tag."""
+    inner = F.regexp_extract_all("value", F.lit(r"(?s)<description>(.*?)</description>"), 1)
+    tags = F.flatten(F.transform(inner, lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(?s)<(\w+)[^>]*>[^<]*</\1>"), 0), lambda t: F.struct(F.regexp_extract(t, r"^<(\w+)", 1), F.trim(F.regexp_extract(t, r"(?s)>([^<]*)<", 1))))))
+    return texts.select(A, F.explode(F.expr("xpath(value, '//member/text()')")).alias(S), F.map_from_entries(tags).alias("descriptions"))
+
+
+def table_metadata(lines: DataFrame, sep: str = ",") -> DataFrame:
+    """(alignment_id, structure_id) of the header of CSV or TSV lines."""
+    return lines.where("pos = 0").select(A, F.explode(F.split("line", sep)).alias(S)).select(A, F.trim(S).alias(S))
+
+
+def pal_metadata(lines: DataFrame) -> DataFrame:
+    """(alignment_id, structure_id) of the sections of PAL lines."""
+    return lines.where("line LIKE '>%'").select(A, F.explode(F.split(F.trim(F.expr("substring(line, 2)")), r"\s+")).alias(S)).distinct()
+
+
 def alignment_metadata(lines: DataFrame) -> DataFrame:
     """(alignment_id, structure_id, comment, ranges) of FASTA headers."""
     get = lambda k: F.nullif(F.trim(F.regexp_extract("line", r"^>\s*(\S+)([^\[]*)(?:\[([^\]]*)\])?", k)), F.lit(""))
