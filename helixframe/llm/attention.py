@@ -42,12 +42,6 @@ def windows_of(n: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.nd
     return text, k * step, np.where(k > 0, k * step + overlap, 0)
 
 
-def _bounded(scores: np.ndarray) -> None:
-    """Keeps scores within what exponentials can hold."""
-    if scores.max() > 60 or scores.min() < -60:
-        np.clip(scores, -60, 60, out=scores)
-
-
 def keep_freed_memory() -> None:
     """Freeing one large block makes the allocator keep smaller ones for the next arrays, rather than give them back to
     the system and fetch them again in each step."""
@@ -80,6 +74,11 @@ class AttentionModel:
         self.vectors[:, : main.shape[1]] = 0.5 * main / np.maximum(main.std(0), 1e-6)
         return self
 
+    def _reach(self, a: str, b: str) -> float:
+        """A bound on the products of what two weights make of a token."""
+        most = lambda m: float(np.sqrt((m * m).sum(1).max()))
+        return float(np.prod([most(self.vectors @ self.p[n]) + most(self.p["place"] @ self.p[n]) for n in (a, b)]))
+
     def _attend(self, x: np.ndarray):
         """What each place takes from those up to it: queries, keys, values with a one, weights, their sums, the mean."""
         flat, scale = x.reshape(-1, DIMS), x.dtype.type(DIMS**-0.5)
@@ -88,23 +87,31 @@ class AttentionModel:
         v = (flat @ np.pad(self.p["v"], ((0, 0), (0, 1)))).reshape(*x.shape[:2], DIMS + 1)
         v[..., DIMS] = 1
         a = q @ k
-        _bounded(a)
+        if self._reach("q", "k") * DIMS**-0.5 > 60:
+            np.clip(a, -60, 60, out=a)  # within what exponentials can hold
         np.exp(a, out=a)
         a *= self.mask
         s = a @ v
         return q, k, v, a, s[..., DIMS:], s[..., :DIMS] / s[..., DIMS:]
 
+    def _far(self) -> bool:
+        """Whether scores of classes could pass what exponentials can hold."""
+        p, most = self.p, lambda m: float(np.abs(m).max())
+        mean = most(self.vectors @ p["v"]) + most(p["place"] @ p["v"])
+        return most(self.vectors @ p["out"] + self.follow) + mean * float(np.abs(p["o"] @ p["out"]).sum(0).max()) > 60
+
     def _forward(self, c: np.ndarray):
         """Scores of the next class (flat, one row a token) after each kind in windows (n, WINDOW), their exponentials and
         the sums of those, and what led to them."""
         p = self.p
-        x = self.vectors.take(c, 0)
-        x += p["place"]
+        kind = self.vectors.take(c, 0)
+        x = kind + p["place"]
         parts = self._attend(x)
-        h = x.reshape(-1, DIMS) + parts[-1].reshape(-1, DIMS) @ p["o"]
+        h = kind.reshape(-1, DIMS) + parts[-1].reshape(-1, DIMS) @ p["o"]
         logits = h @ p["out"]
         logits += self.follow.take(c.ravel(), 0)
-        _bounded(logits)
+        if self._far():
+            np.clip(logits, -60, 60, out=logits)
         e = np.exp(logits)
         return logits, e, e @ np.ones(CLASSES, e.dtype), (x, *parts, h)
 
@@ -133,7 +140,7 @@ class AttentionModel:
         ds *= a
         dq, dk = flat(ds @ k.transpose(0, 2, 1)), flat(ds.transpose(0, 2, 1) @ q)
         dq *= x.dtype.type(DIMS**-0.5)
-        dx = dh.reshape(x.shape).sum(0)
+        dx = np.zeros_like(p["place"])
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
             g[name] = flat(x).T @ d
             dx += d.reshape(x.shape).sum(0) @ p[name].T
@@ -180,18 +187,17 @@ class AttentionModel:
         """Natural log probability of each text, its end included."""
         keep_freed_memory()
         out, p = np.zeros(len(texts)), self.p
-        seen, place = self.vectors @ p["out"] + self.follow, p["place"] @ p["out"]  # what does not come by attention
-        mixed, ones = p["o"] @ p["out"], np.ones(CLASSES, np.float32)
+        seen, mixed = self.vectors @ p["out"] + self.follow, p["o"] @ p["out"]  # without and by attention
+        ones, far = np.ones(CLASSES, np.float32), self._far()
         for own, ids, targets, real in self.batches(texts, BATCH):
             c, t = self.kinds.take(ids), self.classes.take(targets).ravel()
             x = self.vectors.take(c, 0)
             x += p["place"]
             o = self._attend(x)[-1]
-            logits = seen.take(c, 0)
-            logits += place
-            logits += (o.reshape(-1, DIMS) @ mixed).reshape(logits.shape)
-            _bounded(logits)
-            flat = logits.reshape(-1, CLASSES)
+            flat = o.reshape(-1, DIMS) @ mixed
+            flat += seen.take(c.ravel(), 0)
+            if far:
+                np.clip(flat, -60, 60, out=flat)
             logs = flat[np.arange(len(t)), t] + self.within.take(targets.ravel())
             logs -= np.log(np.exp(flat, out=flat) @ ones)
             np.add.at(out, own, (logs.reshape(ids.shape) * real).sum(1, dtype=np.float64))

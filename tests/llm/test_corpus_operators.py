@@ -296,7 +296,7 @@ def test_language_model_score_is_a_plain_loop(spark):
             x = m.vectors[m.kinds[seen]] + m.p["place"][: len(seen)]
             q, key, v = x @ m.p["q"], x @ m.p["k"], x @ m.p["v"]
             a = np.exp(q[-1] @ key.T / DIMS**0.5)
-            logits = (x[-1] + a @ v / a.sum() @ m.p["o"]) @ m.p["out"] + m.follow[m.kinds[seen[-1]]]
+            logits = (m.vectors[m.kinds[seen[-1]]] + a @ v / a.sum() @ m.p["o"]) @ m.p["out"] + m.follow[m.kinds[seen[-1]]]
             total += logits[m.classes[run[k]]] - np.log(np.exp(logits).sum()) + m.within[run[k]]
         assert got == pytest.approx(total, rel=1e-3)  # of float32 sums
 
