@@ -12,7 +12,7 @@ from compare import check
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixframe.llm import common, decontam, fmindex, langid, licenses, lm, mixing, neardup, pii, quality, topk, urls
+from helixframe.llm import attention, common, decontam, fmindex, langid, licenses, lm, mixing, neardup, pii, quality, topk, urls
 from helixframe.llm.attention import DIMS, OVERLAP, WINDOW, AttentionModel, windows_of
 from helixframe.llm.queries import ORACLES, QUERIES
 
@@ -280,8 +280,9 @@ def test_subwords_of_words_one_by_one():
         assert many.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
-def test_language_model_score_is_a_plain_loop(spark):
+def test_language_model_score_is_a_plain_loop(monkeypatch):
     """Scores against attention worked out token by token, without windows' batches."""
+    monkeypatch.setattr(attention, "STEPS", 25)
     subwords = lm.Subwords(open(lm.TOKENIZER, "rb").read())
     rng = np.random.default_rng(6)
     texts = [subwords.encode(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], n))) for n in (0, 1, 30, 150)]
