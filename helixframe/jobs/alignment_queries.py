@@ -60,8 +60,8 @@ def j16(spark, d):
 VERTICES = f"{W.CELLS}, vs AS (SELECT a.row % 40 AS v, a.structure_id AS s1, a.ind AS i1, b.structure_id AS s2, b.ind AS i2 FROM cells a JOIN cells b ON a.row = b.row WHERE a.structure_id = '1' AND b.structure_id = '2')"
 
 
-def vertices(spark, d, v=F.col("row") % 40):
-    return L.to_pairs(W.cells(spark, d).where("structure_id IN ('1', '2')")).select(v.alias("v"), "s1", "i1", "s2", "i2")
+def vertices(spark, d, v="row % 40"):
+    return L.to_pairs(W.cells(spark, d).where("structure_id IN ('1', '2')")).select(F.expr(v).alias("v"), "s1", "i1", "s2", "i2")
 
 
 @query("j17_consistency_graph", f"WITH {VERTICES}, cl AS (SELECT x.v AS v1, y.v AS v2 FROM vs x JOIN vs y ON x.i1 = y.i1 WHERE x.i2 <> y.i2 UNION SELECT x.v, y.v FROM vs x JOIN vs y ON x.i2 = y.i2 WHERE x.i1 <> y.i1), ed AS (SELECT a.v AS v1, b.v AS v2 FROM (SELECT DISTINCT v FROM vs) a JOIN (SELECT DISTINCT v FROM vs) b ON a.v < b.v ANTI JOIN cl ON a.v = cl.v1 AND b.v = cl.v2) SELECT * FROM ed")
@@ -80,7 +80,7 @@ RUNS = VERTICES.replace("a.row % 40 AS v", "a.row // 64 AS v")
 
 @query("j18_aligned_mers_graph", f"WITH {RUNS} SELECT a.v AS va, a.i1 AS a1, a.i2 AS a2, b.v AS vb, b.i1 AS b1, b.i2 AS b2 FROM vs a JOIN vs b ON (a.v = b.v OR a.v + 1 = b.v) AND (a.v, a.i1, a.i2) < (b.v, b.i1, b.i2) AND NOT (a.i1 = b.i1 AND a.i2 = b.i2)")
 def j18(spark, d):
-    w = vertices(spark, d, F.floor(F.col("row") / 64))
+    w = vertices(spark, d, "row div 64")
     own = w.select("v").distinct()
     edges = own.select(F.col("v").alias("v1"), (F.col("v") + 1).alias("v2")).join(own.withColumnRenamed("v", "v2"), "v2")
     a, b = F.col("a"), F.col("b")

@@ -10,6 +10,7 @@ from helixframe.operators import contacts as K
 from helixframe.operators import descriptors as D
 from helixframe.operators import motion as Mo
 from helixframe.operators import numbering as Nu
+from helixframe.operators import selection as sel
 from helixframe.operators import superpose as Su
 from helixframe.sources import alignments as Al
 from helixframe.sources import structures as St
@@ -137,8 +138,7 @@ def test_merge_ids_is_the_union():
 
 def test_free_sets_are_maximal_and_free():
     pairs = [(0, 0), (10, 10), (11, 13), (20, 20), (21, 21)]
-    sets, over = D.free_sets(pairs, 3)
-    assert not over and sorted(sets) == [[0, 1, 3, 4], [0, 2, 3, 4]]
+    assert sorted(D.free_sets(pairs, 3)) == [[0, 1, 3, 4], [0, 2, 3, 4]]
 
 
 def test_motif_is_found_in_its_own_structure(spark):
@@ -178,6 +178,88 @@ def test_pal_without_chain(spark):
         Al.parse_pal(lines, twice).collect()
 
 
+def fasta(spark, *texts):
+    return spark.createDataFrame([("x", k, t) for k, t in enumerate(texts)], "alignment_id string, pos int, line string")
+
+
+def chain_of(spark, **sizes):
+    return spark.createDataFrame([(s, i, "A", i + 1, None) for s, n in sizes.items() for i in range(n)], "structure_id string, ind int, chain string, num int, icode string")
+
+
+def test_fasta_errors(spark):
+    n = chain_of(spark, L1=4, L2=4)
+    with pytest.raises(Exception, match="different lengths"):
+        Al.parse_fasta(fasta(spark, ">L1", "ABC", ">L2", "AB"), n).collect()
+    with pytest.raises(Exception, match="too few mers"):
+        Al.parse_fasta(fasta(spark, ">L1", "ABCDE", ">L2", "ABCD-"), n).collect()
+    # Sequences of structures that aren't given count for nothing.
+    got = Al.parse_fasta(fasta(spark, ">L1", "AB", ">L9", "ABCDEFGH", ">L2", "-C"), n).collect()
+    assert {(r.row, r.structure_id, r.ind) for r in got} == {(1, "L1", 1), (1, "L2", 0)}
+
+
+def test_fasta_in_lower_case_where_one_is_missing(spark):
+    n = chain_of(spark, L1=3, L2=3).withColumn("letter", F.lit("G"))
+    cells = spark.createDataFrame([("x", 0, "L1", 0), ("x", 0, "L2", 0), ("x", 1, "L1", 1), ("x", 2, "L1", 2), ("x", 2, "L2", 1)], "alignment_id string, row long, structure_id string, ind int")
+    lines = [r.line for r in Al.fasta_lines(cells, n, ["L1", "L2"]).orderBy("pos").collect()]
+    assert lines == [">L1 [A:1-3]", "GgG", ">L2 [A:1-2]", "G-G"]
+
+
+def test_pal_with_a_chain_named_by_a_digit(spark):
+    n = spark.createDataFrame([(s, i, c, i + 1, None) for s, c in (("L1", "1"), ("L2", "A")) for i in range(4)], "structure_id string, ind int, chain string, num int, icode string")
+    lines = fasta(spark, "v:2.0", ">L1 L2", "@1", "1:1 -- 1:3 <--> A:2 -- A:4")
+    assert sorted((r.i1, r.i2) for r in L.to_pairs(Al.parse_pal(lines, n)).collect()) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_xml_alternatives_and_descriptions(spark):
+    text = "<a><member>L1</member><member>L2</member><description><title>two</title><by> me </by></description><row><meq>1 :_:A</meq><meq>-</meq></row></a>"
+    texts = spark.createDataFrame([("x", text)], "alignment_id string, value string")
+    assert {(r.structure_id, tuple(sorted(r.descriptions.items()))) for r in Al.xml_metadata(texts).collect()} == {(s, (("by", "me"), ("title", "two"))) for s in ("L1", "L2")}
+    two = texts.withColumn("value", F.concat(F.lit("<alternative>"), "value", F.lit("</alternative><alternative></alternative>")))
+    with pytest.raises(Exception, match="more than one alternative"):
+        Al.parse_xml(two, chain_of(spark, L1=2, L2=2)).collect()
+
+
+def test_absent_ids_are_errors(spark):
+    m = chain_of(spark, L1=4, L2=2)
+    ids = spark.createDataFrame([("L1", "A", 2, None), ("L1", "A", 9, None)], "structure_id string, chain string, num int, icode string")
+    with pytest.raises(Exception, match="no mer A:9 in L1"):
+        sel.sel_set(m, ids).collect()
+    assert [r.ind for r in sel.sel_set(m, ids, strict=False).select("ind").collect()] == [1]
+    with pytest.raises(Exception, match="no A:1 or A:3 in L2"):
+        sel.sel_range(m, "A:1", "A:3").collect()
+    assert sel.sel_range(m, "A:1", "A:3", strict=False).count() == 3
+    assert sel.sel_set(m, ids.limit(0)).count() == 0
+
+
+def test_mmcif_names_with_primes(spark):
+    names = ["group_PDB", "id", "label_atom_id", "label_comp_id", "auth_asym_id", "auth_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy"]
+    heads = [f"_atom_site.{x}" for x in names]
+    atoms = ["ATOM 1 \"O5'\" A B 7 1.0 2.0 3.0 1.00", "ATOM 2 'C5 x' A B 7 1.5 2.0 3.0 1.00", "ATOM 3 P A B 7 1.5 2.0 3.0 1.00", "ATOM 4 O5' A B 8 0 0 0 1.00", "ATOM 5 'O3'' A B 8 0 0 0 1.00"]
+    lines = spark.createDataFrame([("s", k, t) for k, t in enumerate(heads + atoms)], "structure_id string, pos int, line string")
+    assert {(r.serial, r.atom_name, r.chain, r.num) for r in St.parse_mmcif(lines).collect()} == {(1, "O5'", "B", 7), (2, "C5 x", "B", 7), (3, "P", "B", 7), (4, "O5'", "B", 8), (5, "O3'", "B", 8)}
+
+
+def test_frames_of_two_topologies(spark):
+    frames = spark.createDataFrame([("a", 0, 1, 0.1, 0.0, 0.0), ("b", 0, 1, 0.2, 0.0, 0.0)], "traj_id string, frame int, serial int, x double, y double, z double")
+    topology = spark.createDataFrame([("a", 1, "CA"), ("b", 1, "P")], "traj_id string, serial int, atom_name string")
+    assert {(r.traj_id, r.atom_name, r.x) for r in St.bind_frames(frames, topology).collect()} == {("a", "CA", 1.0), ("b", "P", 2.0)}
+
+
+def test_combined_criteria_have_bounds(spark):
+    rng = np.random.default_rng(7)
+    rows = [("s", i, *[tuple(map(float, x)) for x in p]) for i, p in enumerate(rng.uniform(-12, 12, (90, 2, 3)))]
+    point = "struct<x:double,y:double,z:double>"
+    df = spark.createDataFrame([*rows, ("s", 90, None, (0.0, 0.0, 0.0)), ("s", 91, (0.0, 0.0, 0.0), None)], f"structure_id string, ind int, p {point}, q {point}")
+    a, b = K.by_distance("p", 4.0, 0.5), K.by_distance("q", 6.0, 1.0)
+    for criterion, bounds in ((a | b, 2), (a & b, 1), (a ^ b, 2), (a | b | a, 2), (~a, 0)):
+        assert len(criterion.bounds) == bounds
+    got = {(r.ind1, r.ind2): r.value for r in K.contact_map(df, a | b).collect()}
+    value = lambda x, y, t, m: 0 if x is None or y is None else 2 if (d := np.linalg.norm(np.subtract(x, y))) <= t - m else 1 if d <= t + m else 0
+    every = [*rows, ("s", 90, None, (0.0, 0.0, 0.0)), ("s", 91, (0.0, 0.0, 0.0), None)]
+    want = {(x[1], y[1]): v for x in every for y in every if x is not y and (v := max(value(x[2], y[2], 4.0, 0.5), value(x[3], y[3], 6.0, 1.0)))}
+    assert got == want
+
+
 def test_pdb_alternates_and_models(spark):
     a = "ATOM      1  CA AGLY A   1      11.000   2.000   3.000  0.40  5.00           C"
     text = ["MODEL        1", a, a.replace("AGLY", "BGLY").replace("0.40", "0.60").replace("11.0", "12.0"), "ENDMDL", "MODEL        2", a, "ENDMDL"]
