@@ -58,7 +58,7 @@ def sel_range(mers: DataFrame, start: str, end: str, strict: bool = True) -> Dat
     ends = mers.groupBy(S).agg(at(start).alias("_a"), at(end).alias("_b"))
     if strict:
         text = F.concat(F.lit(f"no {start} or {end} in "), F.col(S).cast("string"))
-        ends = ends.where(F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(text)).otherwise(F.lit(True)))
+        ends = ends.select(S, *[F.coalesce(c, F.raise_error(text).cast("int")).alias(c) for c in ("_a", "_b")])
     return mers.join(ends, S).where(F.col("ind").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
