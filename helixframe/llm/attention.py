@@ -17,7 +17,7 @@ CLASSES, FREQUENT, KINDS, FREQUENT_KINDS, DIMS = 48, 32, 1024, 768, 16
 #: Tokens of a window, and how many of them repeat the window before as context.
 WINDOW, OVERLAP = 48, 12
 #: Windows scored at once, and the least number of training steps, with so many windows each.
-BATCH, STEPS, STEP_WINDOWS = 32, 300, 48
+BATCH, STEPS, STEP_WINDOWS = 64, 300, 48
 #: Pairs are counted as if each kind had come before this many more tokens, spread as all tokens are.
 PRIOR = 20.0
 
@@ -62,6 +62,7 @@ class AttentionModel:
         self.vectors = rng.normal(0, 0.5, (KINDS, d)).astype(np.float32)
         shape = {"place": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, d), "out": (d, CLASSES)}
         self.p = {n: (rng.normal(0, 0.3 if n == "place" else 0.05 if n == "out" else s[0] ** -0.5, s)).astype(np.float32) for n, s in shape.items()}
+        self.steep = self.far = True
         self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def follows(self, pairs: np.ndarray) -> AttentionModel:
@@ -74,10 +75,14 @@ class AttentionModel:
         self.vectors[:, : main.shape[1]] = 0.5 * main / np.maximum(main.std(0), 1e-6)
         return self
 
-    def _reach(self, a: str, b: str) -> float:
-        """A bound on the products of what two weights make of a token."""
-        most = lambda m: float(np.sqrt((m * m).sum(1).max()))
-        return float(np.prod([most(self.vectors @ self.p[n]) + most(self.p["place"] @ self.p[n]) for n in (a, b)]))
+    def measure(self) -> None:
+        """Bounds on the products of queries and keys, and on the scores of classes, tell whether any could come near what
+        exponentials can hold."""
+        p, most = self.p, lambda m: float(np.abs(m).max())
+        longest = lambda w: float(np.sqrt(((self.vectors @ w) ** 2).sum(1).max()) + np.sqrt(((p["place"] @ w) ** 2).sum(1).max()))
+        self.steep = longest(p["q"]) * longest(p["k"]) * DIMS**-0.5 > 40
+        mean = most(self.vectors @ p["v"]) + most(p["place"] @ p["v"])
+        self.far = most(self.vectors @ p["out"] + self.follow) + mean * float(np.abs(p["o"] @ p["out"]).sum(0).max()) > 40
 
     def _attend(self, x: np.ndarray):
         """What each place takes from those up to it: queries, keys, values with a one, weights, their sums, the mean."""
@@ -87,19 +92,13 @@ class AttentionModel:
         v = (flat @ np.pad(self.p["v"], ((0, 0), (0, 1)))).reshape(*x.shape[:2], DIMS + 1)
         v[..., DIMS] = 1
         a = q @ k
-        if self._reach("q", "k") * DIMS**-0.5 > 60:
+        if self.steep:
             np.clip(a, -60, 60, out=a)  # within what exponentials can hold
         np.exp(a, out=a)
         a *= self.mask
         s = a @ v
         return q, k, v, a, s[..., DIMS:], s[..., :DIMS] / s[..., DIMS:]
 
-    def _far(self) -> bool:
-        """Whether scores of classes could pass what exponentials can hold."""
-        p, most = self.p, lambda m: float(np.abs(m).max())
-        mean = most(self.vectors @ p["v"]) + most(p["place"] @ p["v"])
-        return most(self.vectors @ p["out"] + self.follow) + mean * float(np.abs(p["o"] @ p["out"]).sum(0).max()) > 60
-
     def _forward(self, c: np.ndarray):
         """Scores of the next class (flat, one row a token) after each kind in windows (n, WINDOW), their exponentials and
         the sums of those, and what led to them."""
@@ -110,13 +109,14 @@ class AttentionModel:
         h = kind.reshape(-1, DIMS) + parts[-1].reshape(-1, DIMS) @ p["o"]
         logits = h @ p["out"]
         logits += self.follow.take(c.ravel(), 0)
-        if self._far():
+        if self.far:
             np.clip(logits, -60, 60, out=logits)
         e = np.exp(logits)
         return logits, e, e @ np.ones(CLASSES, e.dtype), (x, *parts, h)
 
     def forward(self, ids: np.ndarray) -> np.ndarray:
         """Log probabilities of the next class after each of the ids in windows (n, WINDOW)."""
+        self.measure()
         logits, _, total, _ = self._forward(self.kinds[ids])
         return (logits - np.log(total)[:, None]).reshape(*ids.shape, CLASSES)
 
@@ -175,6 +175,8 @@ class AttentionModel:
         passes = max(1, -(-STEPS * STEP_WINDOWS // (rounds * len(ids))))
         order = np.concatenate([rng.permutation(len(ids)) for _ in range(passes)])
         for step, at in enumerate(range(0, len(order), STEP_WINDOWS), 1):
+            if step % 8 == 1:  # a step moves each weight by about a hundredth
+                self.measure()
             pick = order[at : at + STEP_WINDOWS]
             _, g = self.gradients(c[pick], t[pick], real[pick])
             for name, d in g.items():
@@ -188,7 +190,8 @@ class AttentionModel:
         keep_freed_memory()
         out, p = np.zeros(len(texts)), self.p
         seen, mixed = self.vectors @ p["out"] + self.follow, p["o"] @ p["out"]  # without and by attention
-        ones, far = np.ones(CLASSES, np.float32), self._far()
+        ones = np.ones(CLASSES, np.float32)
+        self.measure()
         for own, ids, targets, real in self.batches(texts, BATCH):
             c, t = self.kinds.take(ids), self.classes.take(targets).ravel()
             x = self.vectors.take(c, 0)
@@ -196,7 +199,7 @@ class AttentionModel:
             o = self._attend(x)[-1]
             flat = o.reshape(-1, DIMS) @ mixed
             flat += seen.take(c.ravel(), 0)
-            if far:
+            if self.far:
                 np.clip(flat, -60, 60, out=flat)
             logs = flat[np.arange(len(t)), t] + self.within.take(targets.ravel())
             logs -= np.log(np.exp(flat, out=flat) @ ones)
