@@ -13,9 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Classes that are predicted, kinds that are read, and how many of each are single frequent ids; others share by hash.
-CLASSES, FREQUENT, KINDS, FREQUENT_KINDS, DIMS = 48, 32, 1024, 768, 16
+CLASSES, FREQUENT, KINDS, FREQUENT_KINDS, DIMS = 64, 48, 1024, 768, 16
 #: Tokens of a window, and how many of them repeat the window before as context.
-WINDOW, OVERLAP = 48, 12
+WINDOW, OVERLAP = 48, 16
 #: Windows scored at once, and the least number of training steps, with so many windows each.
 BATCH, STEPS, STEP_WINDOWS = 64, 300, 48
 #: Pairs are counted as if each kind had come before this many more tokens, spread as all tokens are.
