@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import check
 from pyspark.sql import functions as F
@@ -196,6 +197,50 @@ def test_license_blocks(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def plain_tokens(text):
+    return re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+|[^A-Za-z0-9\u0080-\U0010ffff\x20\x09-\x0d]+", text or "")
+
+
+def plain_row(token):
+    h = sum((c + 1) * pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i, c in enumerate(token.encode())) % (1 << 64)
+    return int(common.mix64(np.array([h], np.uint64))[0] >> np.uint64(64 - quality.ROW_BITS))
+
+
+def test_word_vectors_and_pooling_are_plain_sums(spark):
+    texts = ["One two, TWO three!!", None, "", "é one-two \u4e2d three three three", "single", "a b a b a b ..."]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    dims, signs = quality.index_vectors()
+    want = np.zeros((quality.ROWS, quality.DIMS))
+    for t in texts:
+        rows = [plain_row(w) for w in plain_tokens(t)]
+        for x, y in zip(rows[:-1], rows[1:], strict=True):
+            for a, b in ((x, y), (y, x)):
+                for d, sign in zip(dims[b], signs[b], strict=True):
+                    want[a, d] += sign
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    got = quality.word_vectors(docs)
+    assert np.allclose(got, want, atol=1e-6)
+    pooled = quality.pooled(pa.array(texts), got)
+    for t, p in zip(texts, pooled, strict=True):
+        rows = [plain_row(w) for w in plain_tokens(t)]
+        own = want[rows] if rows else np.zeros((1, quality.DIMS))
+        again = sum(a == b for a, b in zip(rows[:-1], rows[1:], strict=True)) / max(len(rows), 1)
+        mean = own.mean(0)
+        assert np.allclose(p, [*mean, *own.std(0), again, np.linalg.norm(mean), np.log1p(len(rows))], atol=1e-3)
+
+
+def test_quality_network_learns_and_is_calibrated():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 5))
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=600) > 0).astype(float)
+    net = quality.Network(x, y)
+    p = net.predict(x)
+    plain = 1 / (1 + np.exp(-((np.tanh((x - net.mean) / net.scale @ net.p[0] + net.p[1]) @ net.p[2] + net.p[3]) / net.temperature)))
+    assert np.allclose(p, plain, atol=1e-6) and ((p > 0.5) == y).mean() > 0.85
+    assert quality.Network(x[:0], y[:0]).predict(x[:3]).tolist() == [0.5] * 3
+    assert quality.Network(x[:4], np.ones(4)).predict(x[:2]).tolist() == [1.0] * 2
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
