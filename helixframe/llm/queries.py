@@ -1,6 +1,6 @@
 """The queries of this subpackage, each over whole tables, and their SQL."""
 
-from helixframe.llm import decontam, langid, licenses, lm, mixing, neardup, pii, quality, topk, urls
+from helixframe.llm import decontam, langid, licenses, lm, mixing, neardup, pii, prefixtrie, quality, topk, urls, whitening
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -13,5 +13,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_neardup": neardup.op9_neardup,
     "op10_language": langid.op10_language,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_prefix_trie": prefixtrie.op12_prefix_trie,
 }
-ORACLES = {"op1_mix": mixing.OP1_SQL, "op3_decontaminate": decontam.OP3_SQL, "op5_licenses": licenses.OP5_SQL, "op6_topk": topk.OP6_SQL, "op9_neardup": neardup.OP9_SQL}
+ORACLES = {"op1_mix": mixing.OP1_SQL, "op3_decontaminate": decontam.OP3_SQL, "op5_licenses": licenses.OP5_SQL, "op6_topk": topk.OP6_SQL, "op9_neardup": neardup.OP9_SQL, "op12_prefix_trie": prefixtrie.OP12_SQL}
