@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import cut, if_small, mix64
-from helixframe.llm.neardup import OP9_SQL, components, shingle_sets, whole_sets
+from helixframe.llm.neardup import OP9_SQL, components, confirmed, shingle_sets, whole_sets
 
 #: Ratio of the sizes of a class, the most parts to spare for empty ones, and times that sets are dealt.
 RATIO, SPARE, DEALS = 1.5, 2, 4
@@ -34,6 +34,8 @@ FIRST_BUCKETS = 2
 #: Keys of buckets are looked for among one of so many sets; one with so many sets there is hot.
 SAMPLED, HOT = 64, 64
 MAX_HOT = 200_000
+#: Candidate pairs for each set of a group that are listed.
+MAX_PAIRS = 8
 
 
 def size_classes(most: int, percent: int) -> list[tuple[int, int]]:
@@ -154,16 +156,30 @@ def candidate_pairs(a: Signatures, b: Signatures, percent: int) -> np.ndarray:
     return np.stack([a.order[i], b.order[j]], 1)
 
 
-def links_of(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Links between sets with different labels, `left` against `right` (or itself), enough to connect all that links
-    connect. Sets are sorted runs of a flat array; labels are numbers from 0."""
-    sizes = np.diff(offsets)
-    bits = 1 << max(6, int(4 * sizes.max(initial=1) - 1).bit_length())
-    maps = np.zeros((len(sizes), bits // 64), np.uint64)
-    cell = mix64(flat.view(np.uint64)) & np.uint64(bits - 1)
-    np.bitwise_or.at(maps, (np.repeat(np.arange(len(sizes)), sizes), (cell >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (cell & np.uint64(63)))
+def bitmap_of(shingles: np.ndarray) -> np.ndarray:
+    """Four bits or more for each element. A bitmap of half the bits is the OR of both halves."""
+    bits = 1 << max(6, (4 * len(shingles) - 1).bit_length())
+    cell = mix64(shingles) & np.uint64(bits - 1)
+    out = np.zeros(bits // 64, np.uint64)
+    np.bitwise_or.at(out, (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return out
+
+
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as rows of the shortest one's width."""
+    width = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width)) for m in maps])
+
+
+def tree_pairs(maps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int) -> np.ndarray:
     a = Signatures(maps, sizes, labels, left)
-    pairs = candidate_pairs(a, a if right is None else Signatures(maps, sizes, labels, right), percent)
+    return candidate_pairs(a, a if right is None else Signatures(maps, sizes, labels, right), percent)
+
+
+def links_of(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links between sets with different labels, `left` against `right` (or itself), enough to connect all that links
+    connect. Labels are numbers from 0."""
+    pairs = tree_pairs(folded([bitmap_of(s) for s in sets]), np.array([len(s) for s in sets]), labels, left, right, percent)
     root = list(range(int(labels.max(initial=-1)) + 1))
 
     def find(k: int) -> int:
@@ -176,26 +192,27 @@ def links_of(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, left: np
         p, q = find(int(labels[x])), find(int(labels[y]))
         if p == q:
             continue
-        shared = len(np.intersect1d(flat[offsets[x] : offsets[x + 1]], flat[offsets[y] : offsets[y + 1]], assume_unique=True))
-        if (100 + percent) * shared >= percent * int(sizes[x] + sizes[y]):
+        shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if (100 + percent) * shared >= percent * (len(sets[x]) + len(sets[y])):
             root[p] = q
             out.append((x, y))
     return out
 
 
+def _group(table: pa.Table) -> tuple:
+    """(nid, labels from 0, left, right or None) of a group."""
+    nid, label, block = (table[c].to_numpy() for c in ("nid", "label", "block"))
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    return nid, np.unique(label, return_inverse=True)[1], np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j)
+
+
 def _links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) within groups (key, i, j) of (nid, label, block, shingles): block i against block j."""
 
     def compare(table: pa.Table) -> pa.Table:
-        nid, label, block = (table[c].to_numpy() for c in ("nid", "label", "block"))
-        sets = table["shingles"].combine_chunks()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found = []
-        if len(left) and len(right):
-            offsets = sets.offsets.to_numpy().astype(np.int64)
-            flat = sets.values.to_numpy()[offsets[0] : offsets[-1]]
-            found = links_of(flat, offsets - offsets[0], np.unique(label, return_inverse=True)[1], left, None if i == j else right, percent)
+        nid, labels, left, right = _group(table)
+        sets = [s.values.to_numpy().view(np.uint64) for s in table["shingles"]]
+        found = links_of(sets, labels, left, right, percent) if len(left) and (right is None or len(right)) else []
         x, y = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
         return pa.table({"a": nid[x], "b": nid[y]})
 
@@ -203,6 +220,37 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the trees of each group (key, i, j) of (nid, n, label, block, map) leave. A group with more than
+    MAX_PAIRS for each of its sets gives none, but key, i and j."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        nid, labels, left, right = _group(table)
+        maps = folded([np.frombuffer(m, np.uint64) for m in table["map"].to_pylist()])
+        pairs = tree_pairs(maps, table["n"].to_numpy(), labels, left, right, percent) if len(left) and (right is None or len(right)) else np.zeros((0, 2), np.int64)
+        pairs = pairs[labels[pairs[:, 0]] != labels[pairs[:, 1]]]
+        if len(pairs) > MAX_PAIRS * len(nid):
+            return pa.Table.from_pylist([{c: table[c][0].as_py() for c in ("key", "i", "j")}], _FOUND)
+        a, b = nid[pairs].T
+        return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *[pa.nulls(len(pairs), f.type) for f in list(_FOUND)[2:]]], schema=_FOUND)
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, key long, i int, j int")
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(nid, n, map) of sets (nid, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.values.to_numpy().view(np.uint64) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap_of(s).tobytes() for s in found], pa.binary())], ["nid", "n", "map"])
+
+    return sets.select("nid", "shingles").mapInArrow(run, "nid long, n long, map binary")
+
+
 def _blocks(members: Column, elements: Column) -> Column:
     return F.greatest(F.ceil(members / BLOCK), F.ceil(elements / BLOCK_ELEMENTS)).cast("int")
 
@@ -239,7 +287,8 @@ def linked_sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> D
     rows = dealt.unionByName(pivots).select("key", "i", F.col("i").alias("j"), F.col("i").alias("block"), "nid", F.col("nid").alias("label"))
     links = cut(_links(rows.join(sets, "nid"), percent))
     labels = components(links)
-    # Then what is left: a bucket's sets that aren't in its largest component, against those of other components.
+    # Then what is left: a bucket's sets that aren't in its largest component, against those of other components. Bitmaps
+    # alone leave few pairs; groups where they leave many are compared on whole sets at once.
     known = members.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").select("key", "nid", "n", F.coalesce("label", "nid").alias("label"))
     groups = known.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("e"))
     main = F.max_by(F.struct("label", "m", "e"), F.struct("m", "label")).alias("main")
@@ -249,9 +298,13 @@ def linked_sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> D
     block = F.when(other, F.pmod(F.hash("nid"), "few")).otherwise(F.col("few") + F.pmod(F.hash("nid"), "many"))
     partners = F.sequence(F.lit(0), F.when(other, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))
     rows = known.join(rest, "key").select("key", "nid", "label", block.alias("block"), F.explode(partners).alias("p"))
-    rows = rows.select("key", F.least("block", "p").alias("i"), F.greatest("block", "p").alias("j"), "block", "nid", "label")
-    more = cut(_links(rows.join(sets, "nid"), percent))
-    return components(links.unionByName(more))
+    rows = cut(rows.select("key", F.least("block", "p").alias("i"), F.greatest("block", "p").alias("j"), "block", "nid", "label"))
+    found = cut(_candidates(rows.join(bitmaps(sets), "nid"), percent))
+    pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
+    more = confirmed(pairs, sets.withColumnRenamed("nid", "node"), percent)
+    dense = if_small(cut(found.where("a IS NULL").select("key", "i", "j")), MAX_HOT)
+    most = _links(rows.join(dense, ["key", "i", "j"], "left_semi").join(sets, "nid"), percent)
+    return components(links.unionByName(cut(more.unionByName(most))))
 
 
 def join_similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

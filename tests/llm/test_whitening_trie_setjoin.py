@@ -171,10 +171,9 @@ def test_trees_keep_every_link():
             s = s[rng.random(len(s)) > rng.choice([0, 0.01, 0.04, 0.06])]
             sets.append(np.unique(np.concatenate([s, rng.integers(0, 1 << 40, rng.integers(0, 6))])))
         labels = np.arange(90) if trial < 3 else rng.integers(0, 60, 90)
-        offsets = np.cumsum([0, *map(len, sets)])
         left = np.arange(45)
         right = None if trial % 2 else np.arange(45, 90)
-        found = setjoin.links_of(np.concatenate(sets), offsets, labels, np.arange(90) if right is None else left, right, 90)
+        found = setjoin.links_of([s.astype(np.uint64) for s in sets], labels, np.arange(90) if right is None else left, right, 90)
         pairs = [(i, j) for i in range(90) for j in range(i + 1, 90) if right is None or (i < 45) != (j < 45)]
         true = {(i, j) for i, j in pairs if labels[i] != labels[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
         assert {tuple(sorted(f)) for f in found} <= true
@@ -190,10 +189,12 @@ def test_trees_keep_every_link():
         assert parts(found) == parts(true)
 
 
-def test_set_join_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 8])
+def test_set_join_against_all_pairs(spark, monkeypatch, most):
     """Chains of edits, sizes around a class's ends, odd texts; blocks and hot buckets are small, so all ways are taken."""
     monkeypatch.setattr(setjoin, "BLOCK", 8)
     monkeypatch.setattr(setjoin, "HOT", 1)
+    monkeypatch.setattr(setjoin, "MAX_PAIRS", most)
     monkeypatch.setattr(setjoin, "SAMPLED", 2)
     rng = random.Random(6)
     texts: dict[int, str | None] = {0: None, 1: "", 2: " \n", 3: "one two", 4: "One  TWO", 5: "one", 6: "one two three", 7: "w" * 4000}
