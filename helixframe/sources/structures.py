@@ -5,28 +5,45 @@ Lines are (structure_id, pos, line). Parsing works on lines, so text from files,
 
 from __future__ import annotations
 
+import gzip
+import io
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import vec
 from helixframe.operators.selection import format_pdb_id
+from helixframe.sources.shared import if_small, keep
 
 S = "structure_id"
 STEM = r"([^/]+?)(\.[A-Za-z0-9]+)?(\.gz)?$"
+#: Lines that are looked at together for the model they are in, ranges of bytes (or folders) whose table is broadcast,
+#: entries that a task opens, and lines that it gives at once.
+STRETCH, MAX_RANGES, ENTRIES_A_TASK, LINES = 1 << 16, 200_000, 256, 1 << 13
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of text files, gzipped ones too; a file's stem is its structure_id."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), STEM, 1).alias(S), "value")
-    return files.select(S, F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    """Lines of text files, gzipped ones too; a file's stem is its structure_id, pos counts its lines from 0. Spark splits
+    large files (not gzipped ones) over tasks by ranges of bytes; a table of how many lines each range has, counted first,
+    tells where its lines stand. Files mustn't change meanwhile."""
+    ranges = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")]
+    raw = spark.read.text(path, lineSep="\n").select(*ranges, F.monotonically_increasing_id().alias("_k"), "value")
+    counts = raw.groupBy("_file", "_from").agg(F.min("_k").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = if_small(keep(counts.select("_file", "_from", (before - F.col("_first")).alias("_shift"))), MAX_RANGES)
+    line = F.regexp_replace("value", "\r$", "").alias("line")
+    return raw.join(counts, ["_file", "_from"]).select(F.regexp_extract("_file", STEM, 1).alias(S), (F.col("_k") + F.col("_shift")).alias("pos"), line)
 
 
 def parse_pdb(lines: DataFrame) -> DataFrame:
     """Atoms of all models; of alternates the one with the highest occupancy (ties: the first)."""
     part = lambda a, n: F.trim(F.substring("line", a, n))
-    w = Window.partitionBy(S).orderBy("pos")
-    number = F.when(F.col("line").startswith("MODEL"), F.trim(F.substring("line", 7, 20)).cast("int"))
-    rows = lines.where("line LIKE 'ATOM%' OR line LIKE 'HETATM%' OR line LIKE 'MODEL%'").withColumn("model", F.coalesce(F.last(number, ignorenulls=True).over(w), F.lit(1)))
+    rows = with_models(lines.where("line LIKE 'ATOM%' OR line LIKE 'HETATM%' OR line LIKE 'MODEL%'"))
     atoms = rows.where("line NOT LIKE 'MODEL%'").select(
         S, "model", F.nullif(part(22, 1), F.lit("")).alias("chain"), part(23, 4).cast("int").alias("num"), F.nullif(part(27, 1), F.lit("")).alias("icode"), part(18, 3).alias("res_name"), part(13, 4).alias("atom_name"),
         part(7, 5).cast("int").alias("serial"), part(77, 2).alias("element"), *[part(31 + 8 * k, 8).cast("double").alias(i) for k, i in enumerate(vec.AXES)],
@@ -36,6 +53,19 @@ def parse_pdb(lines: DataFrame) -> DataFrame:
     return _one_alternate(atoms)
 
 
+def with_models(lines: DataFrame) -> DataFrame:
+    """Adds model, the number of the last MODEL line before or at each line, else 1. Lines are looked at in stretches of
+    STRETCH; a small table has the number that each stretch begins with, so no task needs a whole structure."""
+    number = F.when(F.col("line").startswith("MODEL"), F.trim(F.substring("line", 7, 20)).cast("int"))
+    rows = lines.withColumns({"_number": number, "_stretch": F.floor(F.col("pos") / STRETCH)})
+    last = F.max_by("_number", F.when(F.col("_number").isNotNull(), F.col("pos")))
+    begins = rows.groupBy(S, "_stretch").agg(last.alias("_last"))
+    earlier = Window.partitionBy(S).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begins = begins.select(S, "_stretch", F.last("_last", ignorenulls=True).over(earlier).alias("_begin"))
+    own = F.last("_number", ignorenulls=True).over(Window.partitionBy(S, "_stretch").orderBy("pos"))
+    return rows.join(begins, [S, "_stretch"]).withColumn("model", F.coalesce(own, "_begin", F.lit(1))).drop("_number", "_stretch", "_begin")
+
+
 def _one_alternate(atoms: DataFrame) -> DataFrame:
     w = Window.partitionBy(S, "model", "chain", "num", "icode", "atom_name").orderBy(F.desc("occupancy"), "pos")
     return atoms.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
@@ -92,12 +122,9 @@ def write_files(files: DataFrame, root: str) -> None:
     """One text file for each (path, text) under a root, by whatever file system the root's name says; gzipped where the
     path ends in .gz. Each task writes its rows' files through a temporary name, so a task that is run again replaces
     what it had written."""
-    import gzip
-
-    import pyarrow.fs as fs
 
     def run(batches):
-        store, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        store, base = _store(root)
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 folder, name = path.rsplit("/", 1)
@@ -126,12 +153,17 @@ def contact_tsv(contacts: DataFrame, numbering: DataFrame) -> DataFrame:
 
 
 def frames_from_models(atoms: DataFrame) -> DataFrame:
-    """Models as frames from 0, atoms matched by serial to the first one; `whole` tells frames that have all of them."""
-    first = atoms.withColumn("frame", F.dense_rank().over(Window.partitionBy(S).orderBy("model")) - 1)
-    topology = first.where("frame = 0").select(S, "serial").distinct()
-    n = topology.groupBy(S).agg(F.count("*").alias("_all"))
-    rows = first.join(topology, [S, "serial"], "left_semi").join(n, S)
-    return rows.withColumn("whole", F.count("*").over(Window.partitionBy(S, "frame")) == F.col("_all")).select(S, "frame", "serial", "x", "y", "z", "whole")
+    """Models as frames from 0, atoms matched by serial to the first one; `whole` tells frames that have all of them. Frames
+    are numbered in the table of distinct models; atoms are only joined and counted."""
+    models = atoms.groupBy(S, "model").agg(F.count("*").alias("_n"))
+    models = models.select(S, "model", (F.dense_rank().over(Window.partitionBy(S).orderBy("model")) - 1).alias("frame"))
+    first = models.where("frame = 0").select(S, "model")
+    topology = atoms.join(first, [S, "model"]).select(S, "serial").distinct()
+    known = atoms.join(topology, [S, "serial"], "left_semi")
+    counts = known.groupBy(S, "model").agg(F.count("*").alias("_n"))
+    sizes = models.join(counts, [S, "model"]).join(topology.groupBy(S).agg(F.count("*").alias("_all")), S)
+    whole = (F.col("_n") == F.col("_all")).alias("whole")
+    return known.join(sizes.select(S, "model", "frame", whole), [S, "model"]).select(S, "frame", "serial", "x", "y", "z", "whole")
 
 
 def bind_frames(frames: DataFrame, topology: DataFrame, factor: float = 10.0) -> DataFrame:
@@ -173,12 +205,63 @@ def resolve_entries(ids: DataFrame) -> DataFrame:
 
 
 def read_entries(spark: SparkSession, resolved: DataFrame, root: str) -> DataFrame:
-    """Lines (structure_id, db, unit, pos, line) of the valid entries under a mirror's root, gzipped files too. The
-    mirror's files are listed by Spark and joined by path; a path with * takes every unit."""
-    files = spark.read.text(f"{root}/*/*/*", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+/[^/]+)$", 1).alias("file"), "value")
+    """Lines (structure_id, db, unit, pos, line) of the valid entries under a mirror's root, gzipped files too. Only their
+    files are opened: paths are dealt to tasks, which open them by the file system that the root's name says, and list a
+    folder where a path has * for every unit. Entries without a file give no lines. A store that only Spark's readers
+    can open is read by whole folders instead, those of the entries."""
+    wanted = resolved.where("valid").select("path", "db", F.col("id").alias(S)).distinct()
+    try:
+        _store(root)
+    except (OSError, ValueError, NotImplementedError):  # unknown, or without its library here
+        return _read_folders(spark, wanted, root)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // ENTRIES_A_TASK))
+    return wanted.repartition(tasks, "path").sortWithinPartitions("path").mapInArrow(lambda batches: _open_entries(batches, root), f"{S} string, db string, unit int, pos long, line string")
+
+
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+
+
+def _open_entries(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    store, base = _store(root)
+    listed: tuple[str, list[str]] = "", []
+    for batch in batches:
+        for path, db, entry in zip(*(batch.column(c).to_pylist() for c in ("path", "db", S)), strict=True):
+            names = [path]
+            if "*" in path:
+                folder = path.rsplit("/", 1)[0]
+                if listed[0] != folder:
+                    listed = folder, sorted(f"{folder}/{f.base_name}" for f in store.get_file_info(fs.FileSelector(f"{base}/{folder}", allow_not_found=True)) if f.is_file)
+                start, end = path.split("*")
+                names = [f for f in listed[1] if f.startswith(start) and f.endswith(end) and f[len(start) : len(f) - len(end)].isdigit()]
+            for name in names:
+                number = re.search(r"\.pdb(\d+)\.gz$", name)
+                try:
+                    raw = store.open_input_stream(f"{base}/{name}", compression=None)
+                except FileNotFoundError:
+                    continue
+                with raw, gzip.open(raw) if name.endswith(".gz") else raw as data:
+                    lines = io.TextIOWrapper(data, "utf-8", "replace", newline="\n")
+                    at = 0
+                    while some := [x.removesuffix("\n").removesuffix("\r") for x in islice(lines, LINES)]:
+                        n = len(some)
+                        cell = lambda v, kind, n=n: pa.array([v] * n, kind)
+                        unit = cell(int(number[1]) if number else None, pa.int32())
+                        yield pa.RecordBatch.from_arrays([cell(entry, pa.string()), cell(db, pa.string()), unit, pa.array(range(at, at + n), pa.int64()), pa.array(some)], [S, "db", "unit", "pos", "line"])
+                        at += n
+
+
+def _read_folders(spark: SparkSession, wanted: DataFrame, root: str) -> DataFrame:
+    """Two letters make a folder, so there are few of them, however many the entries."""
+    folders = [r[0] for r in wanted.select(F.regexp_extract("path", r"^(.*)/", 1)).distinct().limit(MAX_RANGES).collect()]
+    if not folders:
+        return spark.createDataFrame([], f"{S} string, db string, unit int, pos long, line string")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = [f"{root}/{f}" for f in folders if path(f"{root}/{f}").getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(f"{root}/{f}"))]
+    files = spark.read.text(there, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+/[^/]+)$", 1).alias("file"), "value")
     number = F.regexp_extract("file", r"\.pdb(\d+)\.gz$", 1)
     starred = F.regexp_replace("file", r"\.pdb\d+\.gz$", ".pdb*.gz")
     named = F.when(number == "", F.array("file")).otherwise(F.array(F.col("file"), starred))
     files = files.select(F.explode(named).alias("path"), F.nullif(number, F.lit("")).cast("int").alias("unit"), "value")
-    rows = files.join(resolved.where("valid").select("path", "db", F.col("id").alias(S)).distinct(), "path")
-    return rows.select(S, "db", "unit", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    lines = files.join(wanted, "path").select(S, "db", "unit", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    return lines.withColumn("pos", F.col("pos").cast("long"))
