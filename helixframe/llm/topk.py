@@ -45,7 +45,7 @@ class KDTree:
                 if x.shape[1]:
                     order[a:b] = order[a:b][np.argpartition(part[:, axis], mid)]
                 todo += [(a, a + mid, me, 0), (a + mid, b, me, 1)]
-        self.lo, self.hi = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes])
+        self.lo, self.hi = np.array([n[0] for n in nodes], float), np.array([n[1] for n in nodes], float)
         self.least, self.rows = [int(n[2]) for n in nodes], [(n[3], n[4]) for n in nodes]
         self.x, self.ids = x[order], ids[order]
 
@@ -59,9 +59,13 @@ class KDTree:
         return tree
 
     def search(self, queries: np.ndarray, own: np.ndarray, bounds: list[tuple[float, int]], k: int):
-        """For each query the k best (score, id) that beat its bound, a (score, id) that k rows reach elsewhere."""
-        top = np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
-        for q, bound, mine, limits in zip(queries, bounds, own, top, strict=True):
+        """For each query the k best (score, id) that beat its bound, a (score, id) that k rows reach elsewhere. Scores are
+        exact integers: float64 where all products and sums are below EXACT, else 64-bit ones, else Python's."""
+        top, scale = limits_of(queries, self.lo, self.hi)
+        exact = self.x.astype(float) if scale[:, 0].min(initial=EXACT) < EXACT else self.x
+        for q, bound, mine, limits, most in zip(queries, bounds, own, top, scale[:, 0].tolist(), strict=True):
+            rows = exact if most < EXACT else self.x if most < 1 << 62 else self.x.astype(object)
+            q = q.astype(rows.dtype)
             best: list[tuple[float, int]] = []  # a heap, worst first; ids negated, so that larger ids are worse
             worst = (bound[0], -bound[1])
             heap = [(-limits[0], 0)]
@@ -77,12 +81,12 @@ class KDTree:
                     heapq.heappush(heap, (-limits[right], right))
                     continue
                 a, b = self.rows[node]
-                scores, ids = self.x[a:b] @ q, self.ids[a:b]
+                scores, ids = rows[a:b] @ q, self.ids[a:b]
                 able = np.flatnonzero((scores >= worst[0]) & (ids != mine))
                 if len(able) > k:
                     able = able[np.lexsort((ids[able], -scores[able]))[:k]]
                 for j in able:
-                    found = (float(scores[j]), -int(ids[j]))
+                    found = (int(scores[j]), -int(ids[j]))
                     if found < worst:
                         continue
                     if len(best) < k:
@@ -94,11 +98,25 @@ class KDTree:
             yield [(s, -i) for s, i in best]
 
 
+#: Integers below this are exact as float64, with room for a sum's rounding.
+EXACT = 1 << 52
+
+
+def limits_of(queries: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The most that a vector in each box can score with each query, and the most that any partial sum can be. Where that
+    isn't below EXACT, the limit has what rounding may take added."""
+    q = queries.astype(float)
+    scale = np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T
+    top = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+    return top + np.where(scale < EXACT, 0, scale * (q.shape[1] + 8) * 2.0**-51), scale
+
+
 def _matrix(values: pd.Series) -> np.ndarray:
-    return np.array(values.tolist(), np.float64).reshape(len(values), -1)
+    return np.array(values.tolist(), np.int64).reshape(len(values), -1)
 
 
-_NONE = (-np.inf, np.iinfo(np.int64).max)
+#: Score and id of a query that has no bound yet: the id tells.
+_NONE = (0, np.iinfo(np.int64).max)
 
 
 def median_splits(x: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +147,15 @@ def top_by_inner_product(vectors: DataFrame, k: int = 5, query_every: int = 50)
     Vectors that are null or hold null or non-finite values take no part, nor do rows with a null id; vectors are only
     compared with others of their length; an id that occurs twice is never its own partner. Every row
     counts, as in the SQL: a repeated candidate takes a place for each of its rows, and the ranks of a repeated query id
-    go over the pairs of all its rows. Components become floor(256 x); their products must stay below 2**53, as for any x
-    under 2**15 or so. Fewer rows than k give fewer results; an empty table gives none. Only vec_id and embedding are
+    go over the pairs of all its rows. Components become floor(256 x), scores are exact; a component or a score found among
+    the best that doesn't fit 64 bits is an error. Fewer rows than k give fewer results; an empty table gives none. Only vec_id and embedding are
     read."""
     spark, x = vectors.sparkSession, F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(fine)
-    rows = cut(valid.select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("double")).alias("x"), F.size(x).alias("dims"), F.monotonically_increasing_id().alias("row")))
+    large = F.raise_error(F.lit("a component times 256 passes 64 bits")).cast("long")
+    whole = lambda v: F.when(F.abs(v.cast("double") * 256) < 2.0**63, F.floor(v.cast("double") * 256)).otherwise(large)
+    rows = cut(valid.select("vec_id", F.transform(x, whole).alias("x"), F.size(x).alias("dims"), F.monotonically_increasing_id().alias("row")))
 
     # Regions for each length of vectors.
     splits = {}
@@ -165,7 +185,7 @@ def top_by_inner_product(vectors: DataFrame, k: int = 5, query_every: int = 50)
     start = queries.withColumns({"score": F.lit(_NONE[0]), "last": F.lit(_NONE[1])})
     home = cut(_searched(trees, start, cell, k))
     kth = home.groupBy("query_row").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best"))
-    kth = kth.where(F.size("best") >= k).select("query_row", (-F.element_at("best", k)["s"]).cast("double").alias("score"), F.element_at("best", k)["vec_id"].alias("last"))
+    kth = kth.where(F.size("best") >= k).select("query_row", (-F.element_at("best", k)["s"]).alias("score"), F.element_at("best", k)["vec_id"].alias("last"))
     known = queries.join(kth, F.col("row") == F.col("query_row"), "left").drop("query_row")
     known = known.withColumns({"score": F.coalesce("score", F.lit(_NONE[0])), "last": F.coalesce("last", F.lit(_NONE[1]))})
 
@@ -176,18 +196,20 @@ def top_by_inner_product(vectors: DataFrame, k: int = 5, query_every: int = 50)
     box = share(spark, boxes)
 
     @F.pandas_udf("array<bigint>")
-    def reach(values: pd.Series, score: pd.Series, own: pd.Series, part: pd.Series) -> pd.Series:
+    def reach(values: pd.Series, score: pd.Series, last: pd.Series, own: pd.Series, part: pd.Series) -> pd.Series:
         known_, sizes_ = shared(box), values.map(len)
         out: dict = {}
         for n, these in values.groupby(sizes_):
             q, found = _matrix(these), known_[n]
-            top = np.maximum(q, 0) @ np.array([b[3] for b in found]).T + np.minimum(q, 0) @ np.array([b[2] for b in found]).T
-            able = top >= score[these.index].to_numpy()[:, None]
+            top, _ = limits_of(q, np.array([b[2] for b in found], float), np.array([b[3] for b in found], float))
+            least = score[these.index].to_numpy().astype(float)
+            least = np.where(last[these.index] == _NONE[1], -np.inf, np.nextafter(least, -np.inf, where=np.abs(least) >= EXACT, out=least))
+            able = top >= least[:, None]
             for i, row in zip(these.index, able, strict=True):
                 out[i] = [found[j][0] << 32 | p for j in np.flatnonzero(row) for p in range(found[j][1]) if (found[j][0], p) != (own[i], part[i])]
         return pd.Series([out[i] for i in values.index], index=values.index, dtype=object)
 
-    away = known.withColumn("to", F.explode(reach("x", "score", "region", "part"))).withColumns({"region": F.shiftright("to", 32).cast("int"), "part": F.col("to").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")}).drop("to")
+    away = known.withColumn("to", F.explode(reach("x", "score", "last", "region", "part"))).withColumns({"region": F.shiftright("to", 32).cast("int"), "part": F.col("to").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")}).drop("to")
     found = home.unionByName(_searched(trees, cut(away), cell, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -227,8 +249,11 @@ def _search(queries: pd.DataFrame, trees: pd.DataFrame, k: int) -> pd.DataFrame:
         tree = KDTree.opened(trees["tree"].iloc[0])
         for a in range(0, len(queries), 256):
             part = queries.iloc[a : a + 256]
-            found = tree.search(_matrix(part["x"]), part["vec_id"].to_numpy(), list(zip(part["score"], part["last"], strict=True)), k)
-            out += [(r, q, i, int(s)) for r, q, best in zip(part["row"], part["vec_id"], found, strict=True) for s, i in best]
+            bounds = [(-np.inf if i == _NONE[1] else s, i) for s, i in zip(part["score"].tolist(), part["last"].tolist(), strict=True)]
+            found = tree.search(_matrix(part["x"]), part["vec_id"].to_numpy(), bounds, k)
+            out += [(r, q, i, s) for r, q, best in zip(part["row"], part["vec_id"], found, strict=True) for s, i in best]
+    if any(not -(1 << 63) <= s < 1 << 63 for *_, s in out):
+        raise OverflowError("a score passes 64 bits")
     return pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"]).astype("int64")
 
 
@@ -237,10 +262,10 @@ def op6_topk(spark, sf_dir):
 
 
 OP6_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
