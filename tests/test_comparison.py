@@ -9,7 +9,6 @@ from test_brute_force import turned, xyz
 
 from helixframe.jobs import comparison_queries as CQ
 from helixframe.jobs.queries import QUERIES
-from helixframe.operators import alignments as L
 from helixframe.operators import descriptors as D
 
 POINT = "struct<x:double,y:double,z:double>"
@@ -158,13 +157,14 @@ def test_motifs_of_several_points_a_mer(spark):
 
 def test_c8_all_alignments_are_vertices(spark, sf_dir):
     """Edges of the query against contradictions looked for mer by mer."""
-    alignments = CQ.compared(spark, sf_dir, CQ.CLOSE_CORE, CQ.CLOSE_LIKE)
+    assert "c8_compare_by_all_alignments" in QUERIES
+    alignments = CQ.compared(spark, sf_dir, CQ.CLOSE_CORE, CQ.CLOSE_LIKE).checkpoint()
     cells = D.aligned_mers(D.central_alignments(alignments), 3).collect()
-    edges = {(r.v1, r.v2) for r in QUERIES["c8_compare_by_all_alignments"](spark, sf_dir).collect()}
+    edges = {(r.v1, r.v2) for r in CQ.graph(spark, sf_dir, alignments).collect()}
     of = {}
     for r in cells:
         of.setdefault(r.v, (r.s1, r.s2, set()))[2].add((r.i1, r.i2))
     agree = lambda x, y: not any((a == c) != (b == d) for a, b in x for c, d in y)
     vertices = {v for e in edges for v in e}
     want = {(v, w) for v, w in combinations(sorted(vertices), 2) if of[v][:2] == of[w][:2] and agree(of[v][2], of[w][2])}
-    assert edges == want and L.consistency_graph
+    assert edges == want and edges
