@@ -67,6 +67,13 @@ def test_models_before_any_model_line(spark):
     assert {(r.structure_id, r.model, r.x) for r in got} == {("s", 1, 1.0), ("s", 3, 2.0), ("t", 1, 3.0)}
 
 
+def test_long_chain_names_are_an_error(spark):
+    atoms = St.parse_pdb(spark.createDataFrame([("s", 0, atom(1, 1, 1.0))], "structure_id string, pos int, line string"))
+    assert St.pdb_lines(atoms).count() == 2
+    with pytest.raises(Exception, match="chains of one letter, not AB"):
+        St.pdb_lines(atoms.withColumn("chain", F.lit("AB"))).collect()
+
+
 @pytest.fixture
 def mirror(tmp_path):
     """Three entries, one with three units, among many files that can't be read: opening one would fail."""
