@@ -48,7 +48,20 @@ _PART = "SELECT DISTINCT a.structure_id AS s1, a.ind AS i1, b.structure_id AS s2
 @query("j15_is_consistent_with", f"WITH {W.CELLS}, a AS ({_PART} 0), b AS ({_PART} 1) SELECT count(*) = 0 AS consistent, count(*) AS n_conflicts FROM a JOIN b USING (s1, i1, s2) WHERE a.i2 <> b.i2")
 def j15(spark, d):
     c = W.cells(spark, d).where("structure_id < '3'")
-    return L.is_consistent_with(c.where("row % 2 = 0"), c.where("row % 2 = 1"))
+    return L.is_consistent_with(c.where("row % 2 = 0"), c.where("row % 2 = 1"), repeats=True)
+
+
+_ONCE = "SELECT min(ind) FILTER (structure_id = '1') AS i1, min(ind) FILTER (structure_id = '2') AS i2, row % 2 AS side FROM cells WHERE structure_id < '3' GROUP BY row HAVING count(*) = 2"
+_ONCE_A_MER = f"SELECT i1, min(i2) AS i2, side FROM (SELECT min(i1) AS i1, i2, side FROM ({_ONCE}) GROUP BY i2, side) GROUP BY i1, side"
+
+
+@query("j15_consistent_once", f"WITH {W.CELLS}, o AS ({_ONCE_A_MER}), n AS (SELECT (SELECT count(*) FROM o a JOIN o b USING (i1) WHERE a.side = 0 AND b.side = 1 AND a.i2 <> b.i2) + (SELECT count(*) FROM o a JOIN o b USING (i2) WHERE a.side = 0 AND b.side = 1 AND a.i1 <> b.i1) AS n_conflicts) SELECT n_conflicts = 0 AS consistent, n_conflicts FROM n")
+def j15_once(spark, d):
+    """Pair alignments in which a mer stands once: of its partners the least, from either side."""
+    p = L.to_pairs(W.cells(spark, d).where("structure_id < '3'"))
+    p = p.groupBy("i2", (F.col("row") % 2).alias("side")).agg(F.min("i1").alias("i1")).groupBy("i1", "side").agg(F.min("i2").alias("i2"))
+    c = p.select("side", F.col("i1").alias("row"), F.inline(F.array(F.struct(F.lit("1").alias("structure_id"), F.col("i1").alias("ind")), F.struct(F.lit("2").alias("structure_id"), F.col("i2").alias("ind")))))
+    return L.is_consistent_with(c.where("side = 0").drop("side"), c.where("side = 1").drop("side"))
 
 
 @query("j16_aligned_subsets", f"WITH {W.CELLS} SELECT CAST(l_linenumber AS VARCHAR) AS structure_id, l_partkey AS ind FROM lineitem WHERE EXISTS (SELECT 1 FROM cells c WHERE c.structure_id = CAST(l_linenumber AS VARCHAR) AND c.ind = l_partkey) GROUP BY ALL")
@@ -141,7 +154,13 @@ def k3(spark, d):
 
 @query("k4_reorder_structures", f"WITH {W.CELLS} SELECT {CELL}, CASE structure_id WHEN '3' THEN 0 WHEN '1' THEN 1 END AS \"column\" FROM cells")
 def k4(spark, d):
-    return L.reorder_structures(W.cells(spark, d), ["3", "1"])
+    return L.reorder_structures(W.cells(spark, d), ["3", "1"], partial=True)
+
+
+@query("k4_reorder_all_structures", f"WITH {W.CELLS} SELECT {CELL}, CAST(7 - CAST(structure_id AS INTEGER) AS INTEGER) AS \"column\" FROM cells")
+def k4_all(spark, d):
+    """lineitem's seven line numbers in falling order."""
+    return L.reorder_structures(W.cells(spark, d), ["7", "6", "5", "4", "3", "2", "1"])
 
 
 @query("k5_alignment_rows", f"WITH {W.CELLS} SELECT {CELL} FROM (SELECT *, dense_rank() OVER (PARTITION BY structure_id ORDER BY row) - 1 AS k FROM cells) WHERE k >= 5 AND k < 25")

@@ -9,6 +9,7 @@ from helixframe.jobs.mer_queries import CBX, IDS, A
 from helixframe.jobs.registry import query
 from helixframe.operators import contacts as K
 from helixframe.operators import selection as sel
+from helixframe.operators.motion import freeze_frame
 
 #: The view's criteria: residues lie further apart than in real structures.
 THRESHOLD, MARGIN = 8.0, 0.5
@@ -231,5 +232,5 @@ def a7(spark, d):
 
 @query("p16_freeze_frame", f"WITH {W.FRAME_ROWS} SELECT structure_id, ind, {W.select(W.v('p'), 'p')} FROM frames WHERE frame = 3")
 def p16(spark, d):
-    rows = W.frames(spark, d).where("frame = 3")
+    rows = freeze_frame(W.frames(spark, d), 3)
     return rows.select(*IDS, *[(F.round(F.col("p")[i], 6) + 0.0).alias(f"p_{i}") for i in "xyz"])

@@ -72,9 +72,15 @@ def conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
     return partners(a).withColumnRenamed("i2", "a2").join(partners(b).withColumnRenamed("i2", "b2"), ["s1", "i1", "s2"]).where("a2 <> b2")
 
 
-def is_consistent_with(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: consistent, and the number of conflicts."""
-    return conflicts(a, b).agg(F.count("*").alias("n_conflicts")).select((F.col("n_conflicts") == 0).alias("consistent"), "n_conflicts")
+def is_consistent_with(a: DataFrame, b: DataFrame, repeats: bool = False) -> DataFrame:
+    """One row: consistent, and the number of conflicts. A mer of both that either of them aligns twice is an
+    error; with `repeats` each of its partners is compared."""
+    found = conflicts(a, b).agg(F.count("*").alias("n_conflicts"))
+    if not repeats:
+        rows = lambda cells, n: cells.groupBy(S, "ind").agg(F.count("*").alias(n))
+        both = rows(a, "n").join(rows(b, "m"), [S, "ind"]).where("n > 1 OR m > 1").agg(F.count("*")).scalar()
+        found = found.where(F.when(both > 0, F.raise_error(F.lit("an alignment isn't consistent in itself: a mer is aligned twice"))).isNull())
+    return found.select((F.col("n_conflicts") == 0).alias("consistent"), "n_conflicts")
 
 
 def is_internally_consistent(cells: DataFrame, *also: str) -> DataFrame:
@@ -90,7 +96,7 @@ def aligned_subsets(cells: DataFrame, mers: DataFrame) -> DataFrame:
 def drop_empty_structures(cells: DataFrame, structures: DataFrame) -> DataFrame:
     """Those of the given structures that have a cell; `enough` is false where fewer than two are left."""
     left = structures.join(cells.select(S).distinct(), S, "left_semi")
-    return left.withColumn("enough", F.count("*").over(Window.partitionBy()) >= 2)
+    return left.withColumn("enough", left.agg(F.count("*")).scalar() >= 2)
 
 
 def close(cells: DataFrame, keep) -> DataFrame:
@@ -157,14 +163,28 @@ def limit_pairs_to_structures(pairs: DataFrame, names: Sequence[str]) -> DataFra
     return pairs.where(F.col("s1").isin(*names) & F.col("s2").isin(*names))
 
 
-def reorder_structures(cells: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Adds `column`, a structure's place in the new order; null for structures that aren't named."""
+def reorder_structures(cells: DataFrame, names: Sequence[str], partial: bool = False) -> DataFrame:
+    """Adds `column`, a structure's place in the new order. All structures and no others must be named, each once; with
+    `partial`, those that aren't named get null and names without cells are left out."""
+    if len(set(names)) < len(names):
+        raise ValueError("a structure is named twice")
     place = F.array_position(F.array(*map(F.lit, names)), F.col(S))
+    if not partial:
+        known = cells.where(F.col(S).isin(*names)).agg(F.countDistinct(S)).scalar()
+        place = F.when((place > 0) & (known == len(names)), place).otherwise(F.raise_error(F.lit("name all aligned structures and no others")))
     return cells.withColumn("column", F.when(place > 0, place - 1).cast("int"))
 
 
+def _named(by: Sequence[str]) -> None:
+    """Without a key, all rows of a table would be ranked in one task."""
+    if not by:
+        raise ValueError("name the columns that tell alignments apart")
+
+
 def alignment_rows(cells: DataFrame, start: int | None = None, stop: int | None = None, *also: str) -> DataFrame:
-    """Rows start to stop (not included) by their rank."""
+    """Rows start to stop (not included) by their rank in each alignment; the columns that tell alignments apart must be
+    given."""
+    _named(also)
     rank = F.dense_rank().over(Window.partitionBy(*also).orderBy("row")) - 1
     rows = cells.withColumn("_k", rank)
     return rows.where((F.col("_k") >= (start or 0)) & (F.col("_k") < stop if stop is not None else F.lit(True))).drop("_k")
@@ -193,8 +213,7 @@ def insertion_order(rows: list[dict[str, int]]) -> list[int]:
 def order_alignment(cells: DataFrame, *by: str) -> DataFrame:
     """Adds `place`, a row's place in its sorted alignment. The insertion is sequential, so an alignment is one task, and
     the columns that tell alignments apart must be given."""
-    if not by:
-        raise ValueError("name the columns that tell alignments apart")
+    _named(by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(row, dict(zip(own[S], own["ind"], strict=True))) for row, own in pdf.sort_values(["row", S]).groupby("row")]
@@ -253,13 +272,15 @@ def aligned_mers_graph(alignments: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def rank_matches(matches: DataFrame, max_res: int = 0, *by: str) -> DataFrame:
-    """The first max_res (0: all) by rising rmsd in each group."""
+    """The first max_res (0: all) by rising rmsd in each group; the columns of a group must be given."""
+    _named(by)
     rows = matches.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("rmsd", "match")))
     return rows.where(F.col("rank") <= max_res) if max_res else rows
 
 
 def rank_alignments(found: DataFrame, max_res: int = 0, tie: int = 3, *by: str) -> DataFrame:
-    """Larger first; sizes within `tie` of the best count as equal and go by rmsd."""
+    """Larger first; sizes within `tie` of the best count as equal and go by rmsd. The columns of a group must be given."""
+    _named(by)
     best = F.max("size").over(Window.partitionBy(*by))
     rows = found.withColumn("_top", (best - F.col("size") <= tie).cast("int"))
     order = [F.desc("_top"), F.when(F.col("_top") == 1, 0).otherwise(-F.col("size")), "rmsd", "match"]

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import vec
 
+#: Mers of a block, where all pairs of a structure are looked at.
+BLOCK = 1024
+
 S = "structure_id"
 KEY = (S, "ind1", "ind2")
 
@@ -54,11 +57,35 @@ def near_pairs_within(mers: DataFrame, points: Sequence[str], radius: float, by:
     return _gridded(mers, mers, points, radius, by, ahead, also).where("NOT _own OR ind1 < ind2").drop("_own")
 
 
-def all_pairs(left: DataFrame, right: DataFrame, points: Sequence[str], *also: str) -> DataFrame:
-    """Every ordered pair of one structure: only for criteria without a radius; never across structures."""
+def _dealt(mers: DataFrame, points: Sequence[str], side: str, key: list[str], blocks: DataFrame, own: str) -> DataFrame:
+    """Mers with the number of their own block, once for each block of the other side. blocks: key, _i and _j, how many
+    blocks each side has."""
+    rows = mers.select(*key, F.col("ind").alias(f"ind{own}"), *[F.col(p).alias(f"{side}_{p}") for p in points]).join(blocks, key)
+    mine, theirs = ("_i", "_j") if own == "1" else ("_j", "_i")
+    number = F.pmod(F.xxhash64(f"ind{own}"), F.col(mine))
+    return rows.withColumn(mine, number).withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1)))
+
+
+def _blocks(mers: DataFrame, key: list[str], name: str, block: int) -> DataFrame:
+    return mers.groupBy(*key).agg(F.ceil(F.count("*") / block).alias(name))
+
+
+def all_pairs(left: DataFrame, right: DataFrame, points: Sequence[str], *also: str, block: int = BLOCK) -> DataFrame:
+    """Every ordered pair of one structure: only for criteria without a radius; never across structures. Both sides are cut
+    into blocks of about so many mers by a hash, and each block of one meets each of the other, so a large structure
+    spreads over many tasks."""
+    key = [S, *also]
+    blocks = _blocks(left, key, "_i", block).join(_blocks(right, key, "_j", block), key)
+    a, b = (_dealt(df, points, side, key, blocks, own) for df, side, own in ((left, "a", "1"), (right, "b", "2")))
+    return a.join(b, [*key, "_i", "_j"]).where("ind1 <> ind2").drop("_i", "_j")
+
+
+def all_pairs_within(mers: DataFrame, points: Sequence[str], *also: str, block: int = BLOCK) -> DataFrame:
+    """Unordered pairs of one set, each once: a block meets itself and those of higher number."""
     key = [S, *also]
-    take = lambda df, side, ind: df.select(*key, F.col("ind").alias(ind), *[F.col(p).alias(f"{side}_{p}") for p in points])
-    return take(left, "a", "ind1").join(take(right, "b", "ind2"), key).where("ind1 <> ind2")
+    blocks = _blocks(mers, key, "_i", block).withColumn("_j", F.col("_i"))
+    a, b = (_dealt(mers, points, side, key, blocks, own).where("_i <= _j") for side, own in (("a", "1"), ("b", "2")))
+    return a.join(b, [*key, "_i", "_j"]).where("_i < _j OR ind1 < ind2").where("ind1 <> ind2").drop("_i", "_j")
 
 
 @dataclass(frozen=True)
@@ -159,7 +186,7 @@ def contact_map(mers: DataFrame, criterion: Criterion = RC, *also: str) -> DataF
     if criterion.bounds:
         pairs = criterion.pairs(lambda point, radius: near_pairs_within(mers, criterion.points, radius, point, *also))
     else:
-        pairs = all_pairs(mers, mers, criterion.points, *also).where("ind1 < ind2")
+        pairs = all_pairs_within(mers, criterion.points, *also)
     both = F.inline(F.array(F.struct(F.col("ind1"), F.col("ind2")), F.struct(F.col("ind2").alias("ind1"), F.col("ind1").alias("ind2"))))
     return _valued(pairs, criterion, also).select(S, *also, both, "value").select(S, *also, "ind1", "ind2", "value")
 

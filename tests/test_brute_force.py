@@ -85,6 +85,28 @@ def test_a12_multifit(spark, sf_dir, frames):
             assert rows[s, f] == pytest.approx(fit, abs=2e-3)
 
 
+def test_a12_transforms_from_the_mean(spark, sf_dir, frames):
+    """Each frame on the mean of all as they stand, round by round; the transforms move them where the rounds do."""
+    rows = {(r.alignment_id, r.structure_id): r for r in QUERIES["a12_multifit_transforms"](spark, sf_dir).collect()}
+    assert len(rows) == len(frames)
+    for s in sorted({s for s, _ in frames}):
+        own = {str(f): p for (t, f), p in frames.items() if t == s}
+        inds, names = sorted(set.intersection(*(set(p) for p in own.values()))), sorted(own)
+        given = sets = [np.array([own[f][i] for i in inds]) for f in names]
+        old = np.inf
+        while True:
+            mean = np.mean(sets, axis=0)
+            fits, sets = zip(*[turned(mean, x) for x in sets], strict=True)
+            worst = max(f * f * len(inds) for f in fits)
+            if old - worst <= 0.1:
+                break
+            old = worst
+        for f, fit, before, after in zip(names, fits, given, sets, strict=True):
+            r = rows[s, f]
+            assert r.n == len(inds) and r.rmsd == pytest.approx(fit, abs=1e-4)
+            assert before @ np.array(r.rot).reshape(3, 3).T + np.array(list(r.post.asDict().values())) == pytest.approx(after, abs=1e-5)
+
+
 @pytest.fixture(scope="module")
 def described(spark, sf_dir):
     """Elements' points, and descriptors' partners and mers, of the view."""
