@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney models of characters, one for each language.
 
 Spark counts the four-character sequences of each language in all training texts. A sequence is a 64-bit key of sixteen
-bits a character, so its context and its shorter endings are shifts and masks of the key. A model keeps sorted arrays of
+bits a character (letters beyond sixteen bits count as two, their surrogates, which stand for no other letter), so its context and its shorter endings are shifts and masks of the key. A model keeps sorted arrays of
 keys with log probabilities for each order, and of contexts with log weights for falling back to a shorter one. A text
 goes to the language with the lowest cross-entropy a character.
 """
@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 from helixframe.llm.common import crc_mod, share, shared
 
 ORDER, DISCOUNT, SYMBOLS = 4, 0.75, 1 << 16
-#: Training documents (whose ids hash lowest) by which the score is calibrated, and the score under which a prediction
-#: is marked as rejected.
-MAX_CALIBRATION, REJECT = 2_000, 0.5
+#: The score is calibrated by a tenth of the training documents, this many at most (whose ids hash lowest), on models that
+#: haven't counted them. A prediction is marked as rejected under this score.
+APART, MAX_CALIBRATION, REJECT = 10, 2_000, 0.5
 UNKNOWN, PAD = "und", " " * (ORDER - 1)
 
 
@@ -58,7 +58,15 @@ def sequences(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray,
     codes = np.frombuffer("".join(f"{PAD}{t} " for t in lower).encode("utf-32-le", "replace"), np.uint32)
     sizes = np.array([len(PAD) + len(t) + 1 for t in lower], np.int64)
     is_letter = letters_of(codes, letters)
-    codes = np.where(is_letter, codes & np.uint32(0xFFFF), np.uint32(32))
+    codes = np.where(is_letter, codes, np.uint32(32))
+    wide = np.flatnonzero(codes >= SYMBOLS)
+    if len(wide):
+        many = np.ones(len(codes), np.int64)
+        many[wide] = 2
+        sizes = np.add.reduceat(many, np.cumsum(sizes) - sizes)
+        beyond = codes[wide] - np.uint32(SYMBOLS)
+        codes, is_letter, at = np.repeat(codes, many), np.repeat(is_letter, many), wide + np.arange(len(wide))
+        codes[at], codes[at + 1] = 0xD800 + (beyond >> np.uint32(10)), 0xDC00 + (beyond & np.uint32(0x3FF))
     begin = np.zeros(len(codes), bool)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     begin[(bounds[:-1, None] + np.arange(len(PAD))).ravel()] = True
@@ -194,36 +202,67 @@ def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
+def _counts(train: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys of each language and how often each was counted."""
+    found = {}
+    for lang, own in count_sequences(train).toPandas().groupby("lang"):
+        keys, n = own["key"].to_numpy().view(np.uint64), own["n"].to_numpy()
+        by = np.argsort(keys)
+        found[lang] = keys[by], n[by]
+    return found
+
+
+def _without(counts: dict, others: dict) -> dict:
+    """Counts less those of some of the texts."""
+    left = {}
+    for lang, (keys, n) in counts.items():
+        if lang in others:
+            n = n.copy()
+            n[np.searchsorted(keys, others[lang][0])] -= others[lang][1]
+        if n.any():
+            left[lang] = keys[n > 0], n[n > 0]
+    return left
+
+
 def fit_languages(train: DataFrame) -> LanguageModels | None:
     """Models of all sequences of (doc_id, text, lang); None without any letter in a text that has a lang. The driver and
-    each worker hold them whole."""
+    each worker hold them whole. The score's sharpness is found on documents set apart: models are made from all counts
+    less theirs, measured on them, and made again from all counts. Without documents apart it is 1."""
     train = train.where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = count_sequences(train).toPandas()
-    if not len(rows):
+    counts = _counts(train)
+    if not counts:
         return None
-    models = {}
-    for lang, own in rows.groupby("lang"):
-        keys, n = own["key"].to_numpy().view(np.uint64), own["n"].to_numpy()
-        by = np.argsort(keys)
-        models[lang] = KneserNey(keys[by], n[by])
-    found = LanguageModels(models)
-    few = F.broadcast(train.select(F.col("doc_id").alias("picked")).orderBy(F.xxhash64("picked"), "picked").limit(MAX_CALIBRATION).distinct())
-    sent = share(train.sparkSession, found)
+    sharpness = _sharpness(train, counts)
+    found = LanguageModels({lang: KneserNey(*c) for lang, c in counts.items()})
+    found.sharpness = sharpness
+    return found
+
+
+def _sharpness(train: DataFrame, counts: dict) -> float:
+    rows = train.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_hash"))
+    few = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(APART)) == 0).select("doc_id", "text_hash").distinct()
+    few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(MAX_CALIBRATION)
+    apart = rows.join(F.broadcast(few), ["doc_id", "text_hash"], "left_semi").select("text", "lang")
+    left = _without(counts, _counts(apart))
+    if not left:
+        return 1.0
+    sent = share(train.sparkSession, LanguageModels({lang: KneserNey(*c) for lang, c in left.items()}))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, letters = shared(sent), letter_table()
         for batch in batches:
             entropy, size, some = m.entropies(batch.column(0).to_pylist(), letters)
-            own = np.array([m.names.index(x) if x in m.names else -1 for x in batch.column(1).to_pylist()])
+            own = np.array([m.names.index(x) if x in m.names else -1 for x in batch.column(1).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([e.tobytes() for e in entropy[some]], pa.binary()), pa.array(size[some]), pa.array(own[some])], ["e", "size", "own"])
 
-    rows = train.join(few, F.col("doc_id") == F.col("picked")).select("text", "lang").mapInArrow(measure, "e binary, size long, own long").orderBy("size", "own", "e").limit(2 * MAX_CALIBRATION).collect()
-    if rows:
-        entropy, size, own = np.array([np.frombuffer(r.e) for r in rows]), np.array([r.size for r in rows]), np.array([r.own for r in rows])
-        right = entropy.argmin(1) == own
-        loss = lambda k: -np.log(np.clip(np.where(right, c := confidence(entropy, size, k), 1 - c), 1e-6, 1)).mean()
-        found.sharpness = float(min(np.geomspace(0.05, 20, 40), key=loss))
-    return found
+    # Rows that repeat a text and lang count once, so there are no more than MAX_CALIBRATION for each language.
+    rows = apart.mapInArrow(measure, "e binary, size long, own long").distinct().orderBy("size", "own", "e").collect()
+    if not rows:
+        return 1.0
+    entropy, size, own = np.array([np.frombuffer(r.e) for r in rows]), np.array([r.size for r in rows]), np.array([r.own for r in rows])
+    right = entropy.argmin(1) == own
+    loss = lambda k: -np.log(np.clip(np.where(right, c := confidence(entropy, size, k), 1 - c), 1e-6, 1)).mean()
+    return float(min(np.geomspace(0.05, 20, 40), key=loss))
 
 
 def predict_languages(docs: DataFrame, models: LanguageModels | None) -> DataFrame:
