@@ -7,12 +7,15 @@ weights; the best segmentation gives spans and kinds together.
 
 The field learns from a sample of all regions, labelled by the patterns, from those spans written in other ways (other
 separators, no country code, "(at)"), and from look-alikes (dates, decimals, broken checksums). So it finds forms that no
-pattern fits; and secrets, which are learned where a word such as "token" stands before them. Spans of the patterns always
+pattern fits; and secrets, which are learned where a word such as "token" stands before them, hex or not. Digests and ids of
+commits, in addresses or without a name are their look-alikes. Spans of the patterns always
 stay: they are given segments, and the stretches between them are decoded.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import math
 import re
 import zlib
@@ -43,6 +46,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _ATOM = re.compile(r"[A-Za-z0-9]+|[\u0080-\U0010ffff]+|[^\sA-Za-z0-9\u0080-\U0010ffff]|\s+")
+_SWITCH = re.compile("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
 _AT, _DOT = re.compile(r"[(\[]at[)\]]", re.I), re.compile(r"[(\[]dot[)\]]", re.I)
 _NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api.?key)\W{1,4}([A-Za-z0-9_/+=-]{16,})")
 #: Spans that a pattern might have missed; a region with one, but without a pattern's span, teaches nothing.
@@ -110,7 +114,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _TRIGGER = re.compile(r"[0-9@]\S*|[(\[](?:at|dot)[)\]]\S*", re.I)
 _GAP = 3
-_CUES = {"email": ("mail",), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "pay"), "phone": ("phone", "tel", "call", "fax", "mobile"), "secret": ("token", "secret", "passw", "key")}
+_CUES = {"email": ("mail",), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "pay"), "phone": ("phone", "tel", "call", "fax", "mobile"), "secret": ("token", "secret", "passw", "key"), "digest": ("commit", "sha", "md5", "hash", "digest", "checksum", "revision", "http")}
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
@@ -186,6 +190,8 @@ def features(s: str, before: str, after: str) -> list[float]:
     tail = s[at + 1 :] if at >= 0 else s[said.end() :] if said else ""
     quad = len(groups) == 4 and s.count(".") == 3 and not letters and n + 3 == len(s)
     number, packed, last = not letters and at < 0, len(s) == n + letters, before[-1:]
+    mixed = letters > 0 and n > 0 and len(s) >= 16 and at < 0 and not said and ":" not in s and len(_SWITCH.findall(s)) >= 3
+    named = any(c in before for c in _CUES["secret"]) and not any(c in before for c in _CUES["digest"])
     card, phone = number and 16 <= n <= 19, number and 7 <= n <= 15
     f = [
         1, number and n < 7, phone and n < 10, phone and n in (10, 11), phone and n > 11, card, card and luhn(digits), n > 19,
@@ -195,7 +201,7 @@ def features(s: str, before: str, after: str) -> list[float]:
         phone and "." in s, card and len(groups) == 1, card and len(groups) == n // 4 and all(len(g) == 4 for g in groups[:-1]), s[-1].isalnum(), s[0].isalnum(),
         last.isalnum() or (last in "+-.@_" and last != ""), after[:1].isalnum() or after[:1] in ("-", "@", "_"), after[:1] in (".", "-") and after[1:2].isalnum(), bool(_DOT.match(after.lstrip()) or _AT.match(after.lstrip())), before.rstrip()[-4:] in ("(at)", "[at]", "dot)", "dot]"), last == "+" or last == "(", "(" in s and ")" not in s or ")" in s and "(" not in s, "," in s or ";" in s or '"' in s or "|" in s or "\n" in s,
         packed and letters > 0 and n > 0 and len(s) >= 16, packed and letters > 0 and len(s) >= 32, all(c in "0123456789abcdefABCDEF" for c in s) and letters > 0, letters > 0 and n > 0 and len(s) >= 16 and at < 0 and not said and not packed,
-        last in "\"'=:" and last != "", after[:1] in ('"', "'"), at >= 0 and " " in s, bool(said) and "," not in s, *[any(c in before for c in cues) for cues in _CUES.values()],
+        last in "\"'=:" and last != "", last == "/", mixed and named, mixed and not named, after[:1] in ('"', "'"), at >= 0 and " " in s, bool(said) and "," not in s, *[any(c in before for c in cues) for cues in _CUES.values()],
     ]
     return [float(x) for x in f]
 
@@ -329,6 +335,18 @@ def written_otherwise(kind: str, s: str) -> list[tuple[str, bool]]:
     return []
 
 
+def secrets_otherwise(s: str) -> list[tuple[str, str, str, bool]]:
+    """(before, form, after, true): secrets of other letters under other names, and what only looks like one."""
+    digest = hashlib.sha256(s.encode())
+    h, mixed = digest.hexdigest(), base64.urlsafe_b64encode(digest.digest()).decode()
+    packed = re.sub("[^A-Za-z0-9]", "", mixed)
+    d = re.sub("[^0-9]", "", h).ljust(14, "0")
+    sizes = (h, h[:40], h[:32])
+    out = [("api_key: ", f"sk-live-{packed[:20]}", "", True), ("secret=", packed[:24], " ", True), ('password = "', mixed[:28], '"', True), ("API key ", packed[:32], ", ", True), ("token: ", f"{packed[:4]}_{packed[4:30]}", "\n", True), ("'secret': '", h[:32], "'", True)]
+    out += [(before, x, after, False) for k, (before, after) in enumerate((("commit ", " "), ("sha256:", ""), ("md5 = ", "\n"), ("https://a.org/b/", "/c"), ("hash ", "."), ("checksum: ", ""), ("see ", " for"), ("", "  file.txt"), ('"', '"'), ("revision ", ")"))) for x in (sizes[k % 3],)]
+    return [*out, ("token ", f"20{d[:2]}-{d[2:4]}-{d[4:6]}T{d[6:8]}:{d[8:10]}:{d[10:12]}", " ", False), ("key ", f"part-{d[:2]}-of-the-whole", " ", False), ("see ", packed[:24], " ", False)]
+
+
 def example(text: str, start: int, end: int, gold: list[tuple[str, int, int]]) -> list[tuple]:
     """Spans, features, number of atoms, and (candidate, kind) of the true spans of a region; nothing if a true span is no
     candidate, as it is longer than MAX_ATOMS or mere marks."""
@@ -347,6 +365,11 @@ def examples(text: str, start: int, end: int, gold: list[tuple[str, int, int]])
         for form, true in written_otherwise(kind, text[a:b]):
             new = text[:a] + form + text[b:]
             out += example(new, start, end + len(form) - (b - a), [(kind, a, a + len(form))] if true else [])
+        for before, form, after, true in secrets_otherwise(text[a:b]) if kind == "secret" else ():
+            at, new = len(before), before + form + after
+            for x, y in regions(new):
+                if x <= at and at + len(form) <= y:
+                    out += example(new, x, y, [(kind, at, at + len(form))] if true else [])
     return out
 
 
