@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.mers import adjusted_number, segments
+from helixframe.sources.shared import keep
 
 S = "structure_id"
 
@@ -190,9 +191,23 @@ def alignment_rows(cells: DataFrame, start: int | None = None, stop: int | None
     return rows.where((F.col("_k") >= (start or 0)) & (F.col("_k") < stop if stop is not None else F.lit(True))).drop("_k")
 
 
+def _insert(inds: np.ndarray, done: list[int], rows: Sequence[int]) -> list[int]:
+    """Puts each row in before the first one in `done` that is later in a structure that both have, else to the end."""
+    for k in rows:
+        later = (inds[done] > inds[k]).any(1) if done else np.zeros(0, bool)  # no comparison with a gap is true
+        done.insert(int(later.argmax()) if later.any() else len(done), k)
+    return done
+
+
+def _matrix(row: np.ndarray, column: np.ndarray, ind: np.ndarray) -> np.ndarray:
+    out = np.full((row.max() + 1, column.max() + 1), np.nan)
+    out[row, column] = ind
+    return out
+
+
 def insertion_order(rows: list[dict[str, int]]) -> list[int]:
     """Order of rows (structure -> ind): by the structure with most mers; a row without it goes before the first row
-    that is later in a structure that both have, else to the end."""
+    that is later in a structure that both have, else to the end. The plain form of order_alignment, for one alignment."""
     names = sorted({s for r in rows for s in r})
     if not names:
         return list(range(len(rows)))
@@ -204,25 +219,85 @@ def insertion_order(rows: list[dict[str, int]]) -> list[int]:
     has = ~np.isnan(inds[:, main])
     done = np.flatnonzero(has)
     done = done[np.argsort(inds[done, main], kind="stable")].tolist()
-    for k in np.flatnonzero(~has).tolist():
-        later = (inds[done] > inds[k]).any(1) if done else np.zeros(0, bool)  # no comparison with a gap is true
-        done.insert(int(later.argmax()) if later.any() else len(done), k)
-    return done
+    return _insert(inds, done, np.flatnonzero(~has).tolist())
+
+
+def _lower_gaps(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Dash rows of one structure in their order: each one's gap falls to the least gap of the earlier rows that are later
+    in the structure, kept as a running minimum over the ranks of inds (a binary indexed tree)."""
+    pdf = pdf.sort_values("row", kind="stable")
+    rank = (-pdf["ind"]).rank(method="dense").to_numpy(np.int64)  # 1: the latest mer
+    gap = pdf["gap"].to_numpy(np.int64).copy()
+    tree = np.full(len(pdf) + 1, np.iinfo(np.int64).max)
+    met = np.full(len(pdf), np.iinfo(np.int64).max)
+    for k, r in enumerate(rank):
+        at = r - 1
+        while at > 0:
+            met[k] = min(met[k], tree[at])
+            at &= at - 1
+        gap[k] = min(gap[k], met[k])
+        while r < len(tree):
+            tree[r] = min(tree[r], gap[k])
+            r += r & -r
+    return pdf.assign(gap=gap, met=met)
 
 
 def order_alignment(cells: DataFrame, *by: str) -> DataFrame:
-    """Adds `place`, a row's place in its sorted alignment. The insertion is sequential, so an alignment is one task, and
-    the columns that tell alignments apart must be given."""
+    """Adds `place` (another column of that name is replaced), a row's place in its sorted alignment; the columns that tell
+    alignments apart must be given. Rows are ranked by the structure with most mers (the least name of several). A row
+    without it, a dash row, belongs to the gap before the first ranked row that is later in a structure that both have, or
+    to an earlier gap if it must stand before a dash row there: gaps fall, in rounds, until none changes. Within a gap dash
+    rows keep their order; only gaps where one stands before an earlier one are ordered by insertion, a gap in a task.
+    Windows and groups hold one structure of an alignment, or one such gap. Of several mers of a structure in a row the
+    last one counts; a row's cells all get its place; cells without a number count for nothing, and a row of only such
+    cells has no place."""
     _named(by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(row, dict(zip(own[S], own["ind"], strict=True))) for row, own in pdf.sort_values(["row", S]).groupby("row")]
-        order = insertion_order([r for _, r in rows])
-        place = {rows[k][0]: at for at, k in enumerate(order)}
-        return pdf.assign(place=pdf["row"].map(place).astype("int32"))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields) + ", place int"
-    return cells.groupBy(*by).applyInPandas(run, schema)
+    key = F.struct(*by)
+    clean = keep(cells.where("ind IS NOT NULL").groupBy(key.alias("key"), "row", S).agg(F.max("ind").cast("long").alias("ind")))
+    size = clean.groupBy("key", S).agg(F.count("*").alias("n"))
+    most = Window.partitionBy("key").orderBy(F.desc("n"), S)
+    main = keep(size.withColumn("k", F.row_number().over(most)).where("k = 1").select("key", F.col(S).alias("main"), F.col("n").alias("n_main")))
+    of_main = clean.join(main.withColumnRenamed("main", S), ["key", S])
+    ranked = keep(of_main.select("key", "row", (F.row_number().over(Window.partitionBy("key").orderBy("ind", "row")) - 1).cast("long").alias("rank")))
+    placed = clean.join(ranked, ["key", "row"], "left")
+    later = Window.partitionBy("key", S).orderBy(F.desc("ind")).rangeBetween(Window.unboundedPreceding, -1)
+    dash = placed.withColumn("first", F.min("rank").over(later)).where("rank IS NULL")
+    own = dash.groupBy("key", "row").agg(F.min("first").alias("gap")).join(main, "key").select("key", "row", F.coalesce("gap", "n_main").alias("gap"))
+    dash = keep(dash.select("key", "row", S, "ind").join(own, ["key", "row"]))
+    fields = {f.name: f.dataType.simpleString() for f in dash.schema.fields}
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in fields.items())
+    while True:
+        lower = keep(dash.groupBy("key", S).applyInPandas(_lower_gaps, schema + ", met long"))
+        rows = lower.groupBy("key", "row").agg(F.min("gap").alias("least"), F.max("gap").alias("most"), F.min("met").alias("met"))
+        rows = keep(rows)
+        dash = lower.drop("gap", "met").join(rows.select("key", "row", F.col("least").alias("gap")), ["key", "row"]).select(*fields)
+        if not rows.where("least < most").limit(1).count():
+            break
+        dash = keep(dash)
+    tied = rows.groupBy("key", F.col("least").alias("gap")).agg(F.max(F.col("met") == F.col("least")).alias("tied"), F.count("*").alias("n"))
+    tied = keep(tied)
+    plain = rows.withColumnRenamed("least", "gap").join(tied.where(~F.col("tied")).select("key", "gap"), ["key", "gap"], "left_semi")
+    plain = plain.select("key", "row", "gap", (F.row_number().over(Window.partitionBy("key", "gap").orderBy("row")) - 1).cast("long").alias("at"))
+
+    def insert(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, names = np.unique(pdf["row"], return_inverse=True)
+        order = _insert(_matrix(names, pd.factorize(pdf[S])[0], pdf["ind"].to_numpy()), [], range(len(row)))
+        at = np.empty(len(row), np.int64)
+        at[order] = np.arange(len(row))
+        first = pdf.drop_duplicates("row").sort_values("row")
+        return first[["key", "row", "gap"]].assign(at=at)
+
+    inserted = dash.join(tied.where("tied").select("key", "gap"), ["key", "gap"]).select(*fields)
+    inserted = inserted.groupBy("key", "gap").applyInPandas(insert, f"`key` {fields['key']}, `row` {fields['row']}, gap long, at long")
+    # rows before a gap: the ranked ones with a lower rank, and the dash rows of earlier gaps
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("gap").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = tied.select("key", "gap", before.alias("before"))
+    dashed = plain.unionByName(inserted).join(steps, ["key", "gap"]).select("key", "row", (F.col("gap") + F.col("before") + F.col("at")).alias("place"))
+    both = ranked.select("key", "row", F.col("rank").alias("gap"), F.lit(0).alias("n")).unionByName(tied.select("key", F.lit(None).cast(fields["row"]).alias("row"), "gap", "n"))
+    through = Window.partitionBy("key").orderBy("gap").rangeBetween(Window.unboundedPreceding, 0)
+    mains = both.withColumn("place", F.col("gap") + F.sum("n").over(through)).where("row IS NOT NULL").select("key", "row", "place")
+    places = mains.unionByName(dashed).select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.col("place").cast("int").alias("place"))
+    return cells.drop("place").join(places, (key == F.col("_key")) & (F.col("row") == F.col("_row")), "left").drop("_key", "_row")
 
 
 def contradictions(alignments: DataFrame) -> DataFrame:
