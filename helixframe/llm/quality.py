@@ -2,7 +2,7 @@
 
 Every token (a run of letters and digits, or of other marks) falls by its hash into one of a fixed number of rows. A row's
 vector is the sum, over the whole corpus, of the sparse random index vectors of the tokens next to it. Tasks add up
-their own counts and hand on one matrix each; matrices are summed in two steps. A document is the mean and spread of its
+their own counts and hand on one matrix each; matrices are summed in a tree over the tasks' numbers. A document is the mean and spread of its
 tokens' vectors. The network learns from a bounded sample of labelled documents.
 """
 
@@ -27,7 +27,8 @@ MAX_LABELLED = 20_000
 FEATURES = 2 * DIMS + 3
 HIDDEN, EPOCHS, CALIBRATION_SHARE = 24, 250, 5
 ACCEPT = 0.3
-_CHUNK_ROWS, _SALT = 256, 64
+#: Matrices are added in groups of 64 neighbouring tasks, then 64 such groups, and so on.
+_CHUNK_ROWS, _FAN_BITS, _LEVELS = 256, 6, 3
 
 _MARK = MARKS & (TO_LOWER == np.arange(256))  # capitals are letters
 _KIND = np.where(SPACES, 0, np.where(_MARK, 2, 1)).astype(np.uint8)
@@ -72,20 +73,22 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             for _, _, data, offsets in utf8_parts(batch.column(0)):
                 add_neighbours(matrix, *tokens(data, offsets), dims, signs)
         parts = matrix.astype(np.int64).reshape(-1, _CHUNK_ROWS * DIMS)
-        salt = TaskContext.get().partitionId() % _SALT
+        task = TaskContext.get().partitionId()
         if matrix.any():
-            yield pa.RecordBatch.from_pydict({"chunk": range(len(parts)), "salt": [salt] * len(parts), "sums": [_pack(p) for p in parts]}, schema)
+            yield pa.RecordBatch.from_pydict({"chunk": range(len(parts)), "task": [task] * len(parts), "sums": [_pack(p) for p in parts]}, schema)
 
-    schema = pa.schema([("chunk", pa.int32()), ("salt", pa.int32()), ("sums", pa.binary())])
+    schema = pa.schema([("chunk", pa.int32()), ("task", pa.int32()), ("sums", pa.binary())])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(_unpack(x) for x in pdf["sums"])
-        return pd.DataFrame({"chunk": pdf["chunk"][:1], "salt": [0], "sums": [_pack(total)]})
+        return pd.DataFrame({"chunk": pdf["chunk"][:1], "task": pdf["task"][:1], "sums": [_pack(total)]})
 
     bound_batches(docs.sparkSession)
-    kind = "chunk int, salt int, sums binary"
+    kind = "chunk int, task int, sums binary"
     parts = docs.select("text").mapInArrow(count, kind)
-    parts = parts.groupBy("chunk", "salt").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind)
+    for level in range(1, _LEVELS + 1):
+        parts = parts.groupBy("chunk", F.shiftright("task", level * _FAN_BITS)).applyInPandas(add, kind)
+    parts = parts.groupBy("chunk").applyInPandas(add, kind)
     matrix = np.zeros((ROWS // _CHUNK_ROWS, _CHUNK_ROWS * DIMS))
     for r in parts.collect():
         matrix[r.chunk] = _unpack(r.sums)
