@@ -121,8 +121,11 @@ def aligned(spark, d):
 
 
 def names(spark, d):
-    """Labels of the view: ten at most, as embeddings has ten labels."""
-    return [r[0] for r in W.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("s")).distinct().orderBy("s").limit(100).collect()]
+    """Labels of the view: the columns of one file, so more than a hundred are an error."""
+    found = [r[0] for r in W.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("s")).distinct().orderBy("s").limit(101).collect()]
+    if len(found) > 100:
+        raise ValueError("too many labels for the columns of one file")
+    return found
 
 
 @query("s9_s15_alignment_csv", f"WITH {ALIGNED} SELECT structure_id, ind FROM al")

@@ -126,9 +126,8 @@ def wide_rows(cells: DataFrame) -> DataFrame:
 
 
 def from_wide(rows: DataFrame) -> DataFrame:
-    """Cells again, numbered by the rows' contents."""
-    number = F.xxhash64("cells")
-    return rows.select(number.alias("row"), F.inline("cells"))
+    """Cells again; a row's key is its contents, so rows are told apart however many they are."""
+    return rows.select(F.col("cells").alias("row"), F.inline("cells"))
 
 
 def sum_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -150,10 +149,9 @@ def join_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def to_columns(pairs: DataFrame) -> DataFrame:
-    """Pairs stacked as rows of one alignment; a row's number comes from its contents."""
-    number = F.xxhash64("s1", "s2", "i1", "i2")
+    """Pairs stacked as rows of one alignment; a row's key is its contents (s1, s2, i1, i2)."""
     two = F.inline(F.array(F.struct(F.col("s1").alias(S), F.col("i1").alias("ind")), F.struct(F.col("s2").alias(S), F.col("i2").alias("ind"))))
-    return pairs.select(number.alias("row"), two)
+    return pairs.select(F.struct("s1", "s2", "i1", "i2").alias("row"), two)
 
 
 def limit_to_structures(cells: DataFrame, names: Sequence[str]) -> DataFrame:

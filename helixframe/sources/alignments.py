@@ -107,7 +107,7 @@ def fasta_lines(cells: DataFrame, numbering: DataFrame, names: Sequence[str], wi
 
 def parse_pal(lines: DataFrame, numbering: DataFrame) -> DataFrame:
     """Pair ranges `a -- b <--> c -- d` under `>L1 L2`; ids as `A:382`, `A382` or, for a structure with one chain or one
-    chain that has the number, without a chain. Both ranges are walked together."""
+    chain that has the number, without a chain. Both ranges are walked together. A row's key is its contents."""
     w = Window.partitionBy(A).orderBy("pos")
     names = F.when(F.col("line").startswith(">"), F.split(F.trim(F.substring("line", 2, 1000)), r"\s+"))
     rows = lines.withColumn("names", F.last(names, ignorenulls=True).over(w)).where("line LIKE '%<-->%'")
@@ -121,7 +121,7 @@ def parse_pal(lines: DataFrame, numbering: DataFrame) -> DataFrame:
     at = _with_ind(rows, numbering).groupBy(A, "pos").agg(*[F.max(F.when(F.col("k") == k, F.col("ind"))).alias(f"i{k}") for k in range(4)], *[F.max(F.when(F.col("k") == k, F.col(S))).alias(f"s{k}") for k in (0, 2)])
     step = F.explode(F.sequence(F.lit(0), F.col("i1") - F.col("i0")))
     walked = at.select(A, "pos", "s0", "s2", "i0", "i2", step.alias("j"))
-    row = F.xxhash64("s0", "s2", F.col("i0") + F.col("j"), F.col("i2") + F.col("j"))
+    row = F.struct("s0", "s2", (F.col("i0") + F.col("j")).alias("i0"), (F.col("i2") + F.col("j")).alias("i2"))
     both = F.inline(F.array(F.struct(F.col("s0").alias(S), (F.col("i0") + F.col("j")).alias("ind")), F.struct(F.col("s2").alias(S), (F.col("i2") + F.col("j")).alias("ind"))))
     return walked.select(A, row.alias("row"), both)
 

@@ -90,3 +90,11 @@ def test_order_of_odd_cells(spark):
     rows = [(1, "r", "a", 5), (1, "r", "a", 1), (1, "q", "a", 3), (1, "q", "a", 3), (1, "p", "b", None)]
     got = {(r.row, r.place) for r in L.order_alignment(spark.createDataFrame(rows, schema), "alignment").collect()}
     assert got == {("q", 0), ("r", 1), ("p", None)}
+
+
+def test_rows_are_keyed_by_their_contents(spark):
+    pairs = spark.createDataFrame([("a", "b", 1, 2), ("a", "b", 1, 3), ("a", "c", 1, 2)], "s1 string, s2 string, i1 int, i2 int")
+    cells = L.to_columns(pairs)
+    assert sorted(tuple(r) for r in L.to_pairs(cells).drop("row").collect()) == sorted(tuple(r) for r in pairs.collect())
+    wide = L.wide_rows(cells).select("cells")
+    assert sorted(map(str, L.wide_rows(L.from_wide(wide)).select("cells").collect())) == sorted(map(str, wide.collect()))
