@@ -24,9 +24,22 @@ def shown(atoms):
     return atoms.select("structure_id", "chain", "num", "res_name", "atom_name", *[(F.round(i, 3) + 0.0).alias(i) for i in "xyz"])
 
 
+# The format holds 26 chains of one letter, so the view's further chains, A1 and on, are chain A and on of further models.
+
+
+def folded_lines(spark, d):
+    """The view's atoms as lines; chain B3 is chain B of the fourth model."""
+    number = F.coalesce(F.nullif(F.substring("chain", 2, 10), F.lit("")).cast("int"), F.lit(0))
+    return St.pdb_lines(W.atoms(spark, d).withColumn("model", number + 1).withColumn("chain", F.substring("chain", 1, 1)), models=True)
+
+
+def unfolded(atoms):
+    return atoms.withColumn("chain", F.concat("chain", F.when(F.col("model") > 1, (F.col("model") - 1).cast("string")).otherwise("")))
+
+
 @query("s1_parse_pdb", f"WITH {WITH_XYZ} SELECT {ATOM} FROM full_atoms")
 def s1(spark, d):
-    return shown(St.parse_pdb(St.pdb_lines(W.atoms(spark, d))))
+    return shown(unfolded(St.parse_pdb(folded_lines(spark, d))))
 
 
 def mmcif_lines(atoms):

@@ -101,18 +101,23 @@ def read_mmcif(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_mmcif(read_lines(spark, path))
 
 
-def pdb_lines(atoms: DataFrame, transform: Column | None = None) -> DataFrame:
+def pdb_lines(atoms: DataFrame, transform: Column | None = None, models: bool = False) -> DataFrame:
     """Fixed-width ATOM lines numbered from 0, then END, of each structure. A chain's name has one column: a longer one is an
-    error, as it would shift the rest."""
+    error, as it would shift the rest. With `models`, atoms stand by their models, each after a MODEL line."""
     long_name = F.raise_error(F.concat(F.lit("the format holds chains of one letter, not "), "chain")).cast("string")
     p = vec.point(F.col("x"), F.col("y"), F.col("z"))
     p = p if transform is None else vec.transform(p, transform)
     name = F.when(F.length("atom_name") < 4, F.concat(F.lit(" "), "atom_name")).otherwise(F.col("atom_name"))
-    n = F.row_number().over(Window.partitionBy(S).orderBy("pos")) - 1
-    rows = atoms.select(S, n.alias("pos"), p.alias("p"), name.alias("name"), "res_name", F.when(F.length("chain") > 1, long_name).otherwise(F.coalesce("chain", F.lit(" "))).alias("chain"), "num", F.coalesce("icode", F.lit(" ")).alias("icode"), "element")
+    order = Window.partitionBy(S).orderBy(*(["model"] if models else []), "pos")
+    n = F.row_number().over(order) - 1
+    heads = F.dense_rank().over(Window.partitionBy(S).orderBy("model")) if models else F.lit(0)
+    rows = atoms.select(S, "model" if models else F.lit(1).alias("model"), (n + heads).alias("pos"), p.alias("p"), name.alias("name"), "res_name", F.when(F.length("chain") > 1, long_name).otherwise(F.coalesce("chain", F.lit(" "))).alias("chain"), "num", F.coalesce("icode", F.lit(" ")).alias("icode"), "element")
     line = F.format_string("ATOM  %5d %-4s %3s %1s%4d%1s   %8.3f%8.3f%8.3f  1.00  0.00          %2s", F.col("pos") % 100000, "name", "res_name", "chain", "num", "icode", F.col("p")["x"], F.col("p")["y"], F.col("p")["z"], "element")
     ends = rows.groupBy(S).agg((F.max("pos") + 1).alias("pos")).select(S, "pos", F.lit("END").alias("line"))
-    return rows.select(S, "pos", line.alias("line")).unionByName(ends)
+    out = rows.select(S, "pos", line.alias("line")).unionByName(ends)
+    if not models:
+        return out
+    return out.unionByName(rows.groupBy(S, "model").agg((F.min("pos") - 1).alias("pos")).select(S, "pos", F.format_string("MODEL     %4d", "model").alias("line")))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

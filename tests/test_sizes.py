@@ -1,6 +1,14 @@
 """Tables whose size is guessed too low, and long ones."""
 
+import compare
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helixframe.jobs.queries import ORACLES, QUERIES
 from helixframe.operators import alignments as L
+from helixframe.sources import structures as St
 from helixframe.sources.shared import keep
 
 
@@ -19,3 +27,26 @@ def test_closure_broadcasts_nothing(spark, tmp_path):
     plans.append(got._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
     assert got.count() == 9000 and got.where("row % 2 = 1 OR ambiguous").count() == 0
+
+
+@pytest.fixture(scope="module")
+def long_structures(spark, tmp_path_factory):
+    """Two structures of 560 mers: their chains go on to B1."""
+    d = str(tmp_path_factory.mktemp("long"))
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in v], k % 2) for k, v in enumerate(rng.normal(size=(1120, 64)).astype("float32") / 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+def against_sql(name, spark, d):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet/*.parquet'")
+    con.execute(ORACLES[name])
+    got, names = QUERIES[name](spark, d), [c[0] for c in con.description]
+    assert compare.rows(got.columns, [tuple(r) for r in got.collect()]) == compare.rows(names, con.fetchall())
+
+
+@pytest.mark.parametrize("name", ["s1_parse_pdb"])
+def test_more_chains_than_letters(name, spark, long_structures):
+    against_sql(name, spark, long_structures)
