@@ -96,8 +96,8 @@ def s4(spark, d):
 @query("s4_s7_write_and_read", f"WITH {WITH_XYZ} SELECT {ATOM} FROM full_atoms")
 def s47(spark, d):
     path = f"{shared_dir(spark)}/pdb-{uuid.uuid4().hex}"
-    St.write_lines(St.pdb_lines(W.atoms(spark, d)), path)
-    return shown(St.parse_pdb(St.read_written(spark, path)))
+    St.write_lines(folded_lines(spark, d), path)
+    return shown(unfolded(St.parse_pdb(St.read_written(spark, path))))
 
 
 @query("s5_frames_from_models", f"WITH {WITH_XYZ} SELECT structure_id, m - 1 AS frame, CAST(pos + 1 AS INTEGER) AS serial, x + m AS x, true AS whole FROM full_atoms, (VALUES (1), (2), (3)) t(m)")

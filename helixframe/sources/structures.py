@@ -121,8 +121,11 @@ def pdb_lines(atoms: DataFrame, transform: Column | None = None, models: bool =
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One folder of text for each structure_id; a structure's lines stay in order within one file."""
-    lines.repartition(S).sortWithinPartitions(S, "pos").select(S, "line").write.partitionBy(S).text(path)
+    """One folder of text for each structure_id, with its lines in order in one file. Lines are put in order as text, by
+    stretches first: rows that are sorted before a partitioned write are sorted anew by structure_id alone."""
+    text = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "line"))), lambda x: x["line"]), "\n").alias("line")
+    stretches = lines.groupBy(S, F.floor(F.col("pos") / STRETCH).alias("_stretch")).agg(text("pos"))
+    stretches.groupBy(S).agg(text("_stretch")).write.partitionBy(S).text(path)
 
 
 def write_files(files: DataFrame, root: str) -> None:

@@ -47,6 +47,15 @@ def against_sql(name, spark, d):
     assert compare.rows(got.columns, [tuple(r) for r in got.collect()]) == compare.rows(names, con.fetchall())
 
 
-@pytest.mark.parametrize("name", ["s1_parse_pdb"])
+@pytest.mark.parametrize("name", ["s1_parse_pdb", "s4_s7_write_and_read"])
 def test_more_chains_than_letters(name, spark, long_structures):
     against_sql(name, spark, long_structures)
+
+
+def test_written_lines_stay_in_order(spark, tmp_path):
+    """Lines come from many tasks, in no order."""
+    n = 70_000
+    lines = spark.range(n).selectExpr("concat('s', id % 2) AS structure_id", "id AS pos", "concat('line ', id) AS line").repartition(16)
+    St.write_lines(lines, f"{tmp_path}/t")
+    got = {r.structure_id: r.lines for r in St.read_written(spark, f"{tmp_path}/t").groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"].alias("lines")).collect()}
+    assert got == {f"s{k}": [f"line {i}" for i in range(k, n, 2)] for k in (0, 1)}
