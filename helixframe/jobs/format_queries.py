@@ -80,7 +80,7 @@ def s4(spark, d):
     known = W.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("structure_id")).distinct()
     place = F.row_number().over(W.Window.orderBy("structure_id")) % 10
     known = known.withColumn("id", F.concat(place.cast("string"), F.lit("abc")))
-    lines = St.pdb_lines(W.atoms(spark, d)).join(known, "structure_id")
+    lines = folded_lines(spark, d).join(known, "structure_id")
     text = lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
     plain, units = F.col("id") < "5", F.explode(F.array(F.lit(1), F.lit(2)))
     files = text.where(plain).select("text", F.concat(F.lit("pdb/ab/"), "id", F.lit(".pdb")).alias("path"))
@@ -90,7 +90,7 @@ def s4(spark, d):
     read = St.read_entries(spark, St.resolve_entries(entries), root)
     atoms = St.parse_pdb(read.withColumn("structure_id", F.concat_ws("/", "structure_id", F.coalesce("unit", F.lit(0)).cast("string"))).select("structure_id", "pos", "line"))
     part = F.split("structure_id", "/")
-    return shown(atoms).select(part[0].alias("structure_id"), part[1].cast("int").alias("unit"), "chain", "num", "res_name", "atom_name", "x", "y", "z")
+    return shown(unfolded(atoms)).select(part[0].alias("structure_id"), part[1].cast("int").alias("unit"), "chain", "num", "res_name", "atom_name", "x", "y", "z")
 
 
 @query("s4_s7_write_and_read", f"WITH {WITH_XYZ} SELECT {ATOM} FROM full_atoms")

@@ -47,7 +47,7 @@ def against_sql(name, spark, d):
     assert compare.rows(got.columns, [tuple(r) for r in got.collect()]) == compare.rows(names, con.fetchall())
 
 
-@pytest.mark.parametrize("name", ["s1_parse_pdb", "s4_s7_write_and_read"])
+@pytest.mark.parametrize("name", ["s1_parse_pdb", "s4_s7_write_and_read", "s4_read_entries"])
 def test_more_chains_than_letters(name, spark, long_structures):
     against_sql(name, spark, long_structures)
 
