@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 S = "structure_id"
-Id = tuple[str, int, str]
+Id = tuple  # compared in this order: (place of a chain,) chain, num, icode
 
 
 def merge_ids(first: list[Id], second: list[Id]) -> list[Id]:
@@ -81,26 +81,29 @@ def _within(some: list[Id], merged: list[Id]) -> bool:
 def common_numbering(ids: DataFrame) -> DataFrame:
     """(structure_id, ind, chain, num, icode) from (structure_id, model, chain, num, icode, pos). Structures whose models
     have the same ids are numbered by a window; only the others are merged, in the order of their models. Models with the
-    same list are sent once, so a group holds the distinct lists of a structure, however many its models are."""
+    same list are sent once, so a group holds the distinct lists of a structure, however many its models are. Of two ids the
+    lower is that of the lower letter; chains with longer names, which have no such order, come after those of one letter,
+    by their first place in any model."""
     key = F.struct("chain", "num", "icode")
     per = ids.groupBy(S, "model").agg(F.xxhash64(F.array_sort(F.collect_set(key))).alias("h"), F.count("*").alias("n"))
     same = per.groupBy(S).agg(((F.countDistinct("h") == 1) & (F.countDistinct("n") == 1)).alias("same"), F.min("model").alias("first"))
     rows = ids.join(same, S)
     easy = rows.where(F.col("same") & (F.col("model") == F.col("first")))
     easy = easy.select(S, (F.row_number().over(Window.partitionBy(S).orderBy("pos")) - 1).cast("int").alias("ind"), "chain", "num", "icode")
-    own = F.array_sort(F.collect_list(F.struct("pos", "chain", "num", F.coalesce("icode", F.lit("")).alias("icode"))))
-    lists = rows.where(~F.col("same")).groupBy(S, "model").agg(own.alias("ids"))
-    parts = [F.col(f"ids.{name}").alias(name) for name in ("chain", "num", "icode")]
-    lists = lists.select(S, "model", *parts).groupBy(S, "chain", "num", "icode").agg(F.array_sort(F.collect_list("model")).alias("models"))
+    place = F.when(F.length("chain") > 1, F.min("pos").over(Window.partitionBy(S, "chain")) + 1).otherwise(0).cast("long")
+    own = F.array_sort(F.collect_list(F.struct("pos", "place", "chain", "num", F.coalesce("icode", F.lit("")).alias("icode"))))
+    lists = rows.where(~F.col("same")).withColumn("place", place).groupBy(S, "model").agg(own.alias("ids"))
+    parts = [F.col(f"ids.{name}").alias(name) for name in ("place", "chain", "num", "icode")]
+    lists = lists.select(S, "model", *parts).groupBy(S, "place", "chain", "num", "icode").agg(F.array_sort(F.collect_list("model")).alias("models"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [list(zip(c, map(int, n), i, strict=True)) for c, n, i in zip(pdf["chain"], pdf["num"], pdf["icode"], strict=True)]
+        own = [list(zip(map(int, p), c, map(int, n), i, strict=True)) for p, c, n, i in zip(pdf["place"], pdf["chain"], pdf["num"], pdf["icode"], strict=True)]
         order = sorted((model, k) for k, models in enumerate(pdf["models"]) for model in models)
         merged: list[Id] = []
         for _, k in order:
             if not merged or not _within(own[k], merged):
                 merged = merge_ids(merged, own[k])
-        out = pd.DataFrame(merged, columns=["chain", "num", "icode"])
+        out = pd.DataFrame(merged, columns=["place", "chain", "num", "icode"])
         return pd.DataFrame({S: pdf[S].iloc[0], "ind": range(len(out)), "chain": out["chain"], "num": out["num"], "icode": out["icode"].map(lambda x: x or None)})
 
     kinds = {f.name: f.dataType.simpleString() for f in ids.schema.fields}
