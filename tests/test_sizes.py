@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.jobs.queries import ORACLES, QUERIES
 from helixframe.operators import alignments as L
+from helixframe.operators import contacts as K
 from helixframe.sources import structures as St
 from helixframe.sources.shared import keep
 
@@ -64,3 +65,24 @@ def test_written_lines_stay_in_order(spark, tmp_path):
 def test_common_numbering_across_long_chain_names(spark, long_structures):
     """Between Z:20 and A1:1 either model may be the one that lacks a mer."""
     against_sql("a2_common_numbering", spark, long_structures)
+
+
+@pytest.mark.parametrize("criterion", [K.by_distance("p", 8.0, 0.5), K.by_distance("p", 5.0, 0.5) ^ K.by_distance("q", 6.0, 1.0), ~K.by_distance("p", 6.0, 0.5), K.by_distance("q", 9.0, 1.0) & K.by_difference("p", "q", 0.75, 0.05)])
+def test_frequencies_by_blocks(spark, criterion):
+    """Against the maps of all frames: mers absent from some frames or without a point, several blocks of mers and frames."""
+    rng = np.random.default_rng(7)
+    point = lambda: None if rng.random() < 0.05 else tuple(map(float, rng.normal(size=3) * 6))
+    rows = [(s, f, i, point(), point()) for s in "ab" for f in (0, 1, 3, 4, 7) for i in range(23) if rng.random() < 0.9]
+    frames = spark.createDataFrame(rows, "structure_id string, frame int, ind int, p struct<x:double,y:double,z:double>, q struct<x:double,y:double,z:double>")
+    shown = lambda df: sorted(tuple(r) for r in df.collect())
+    want = shown(K.frequency_map(K.contact_map(frames, criterion, "frame"), frames))
+    assert len(want) > 100
+    assert shown(K.contact_frequencies(frames, criterion)) == want
+    assert shown(K.contact_frequencies(frames, criterion, block=7, frame_block=3)) == want
+    assert shown(K.contact_frequencies(frames, criterion, of=F.col("ind") == 2, block=7)) == [r for r in want if r[1] == 2]
+
+
+def test_frequencies_shuffle_no_pairs(spark, sf_dir):
+    """The maps of frames were shuffled by pair."""
+    plan = QUERIES["a5_frequency_map"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ind1" not in " ".join(line for line in plan.splitlines() if "hashpartitioning" in line)
