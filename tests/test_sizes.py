@@ -1,5 +1,7 @@
 """Tables whose size is guessed too low, and long ones."""
 
+import dataclasses
+
 import compare
 import duckdb
 import numpy as np
@@ -86,3 +88,19 @@ def test_frequencies_shuffle_no_pairs(spark, sf_dir):
     """The maps of frames were shuffled by pair."""
     plan = QUERIES["a5_frequency_map"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ind1" not in " ".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+
+
+@pytest.mark.parametrize("criterion", [K.by_distance("p", 8.0, 0.5), K.by_distance("p", 5.0, 0.5) ^ K.by_distance("q", 6.0, 1.0), K.by_distance("p", 5.0, 0.5) | (K.by_distance("q", 9.0, 1.0) & K.by_difference("p", "q", 0.75, 0.05)), ~K.by_distance("p", 6.0, 0.5)])
+def test_crowded_maps_by_blocks(spark, criterion):
+    """Arrays give what rows give; crowded cells choose them, wide apart ones don't."""
+    rng = np.random.default_rng(8)
+    point = lambda: None if rng.random() < 0.05 else tuple(map(float, rng.normal(size=3) * 5))
+    rows = [(s, i, point(), point()) for s in "ab" for i in range(60)]
+    mers = spark.createDataFrame(rows, "structure_id string, ind int, p struct<x:double,y:double,z:double>, q struct<x:double,y:double,z:double>")
+    shown = lambda df: sorted(tuple(r) for r in df.collect())
+    plan = lambda c: K.contact_map(mers, c)._jdf.queryExecution().executedPlan().toString()
+    plain = dataclasses.replace(criterion, array=None)
+    assert "CoGroupsInArrow" in plan(criterion) and "CoGroupsInArrow" not in plan(plain)
+    assert shown(K.contact_map(mers, criterion)) == shown(K.contact_map(mers, plain))
+    apart = spark.range(1000).selectExpr("'a' AS structure_id", "CAST(id AS int) AS ind", "struct(id * 50.0D AS x, 0.0D AS y, 0.0D AS z) AS p")
+    assert "CoGroupsInArrow" not in K.contact_map(apart, K.by_distance("p", 8.0, 0.5))._jdf.queryExecution().executedPlan().toString()
