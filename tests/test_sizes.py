@@ -104,3 +104,9 @@ def test_crowded_maps_by_blocks(spark, criterion):
     assert shown(K.contact_map(mers, criterion)) == shown(K.contact_map(mers, plain))
     apart = spark.range(1000).selectExpr("'a' AS structure_id", "CAST(id AS int) AS ind", "struct(id * 50.0D AS x, 0.0D AS y, 0.0D AS z) AS p")
     assert "CoGroupsInArrow" not in K.contact_map(apart, K.by_distance("p", 8.0, 0.5))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_correlation_of_short_series_shuffles_no_pairs(spark, sf_dir):
+    """The products of one block of frames are the result; they were shuffled by pair."""
+    plan = QUERIES["m10_angle_correlation"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning(ind1" in line]
