@@ -27,6 +27,8 @@ MISS = 1e-4
 BLOCK = 256
 #: A bucket with more members is joined by broadcast, if there are no more than so many of these.
 HOT, MAX_HOT = 1_000, 200_000
+#: Links of which one task finds the components.
+LINKS = 1 << 15
 
 
 def bands_for(similarity: float) -> tuple[int, int]:
@@ -119,15 +121,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def joined(kind: str):
+    """For mapInArrow over links (a, b): (node, label), the least node that each reaches by the links of its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, types = {}, None
+
+        def find(k):
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        for batch in batches:
+            types = batch.column(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root.setdefault(a, a), root.setdefault(b, b)
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        if root:
+            yield pa.RecordBatch.from_arrays([pa.array(list(root), types), pa.array([find(k) for k in root], types)], ["node", "label"])
+
+    return run, f"node {kind}, label {kind}"
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node that each can reach. Labels go to neighbours, then on to their own labels."""
-    edges = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    """(node, label): the least node that each can reach. Tasks first join what LINKS links connect, so a small graph needs
+    no rounds and a large one few; then labels go to neighbours, and on to their own labels. A round's columns are
+    aggregates: what the optimizer concludes from others is kept with the rows and would double with each round."""
+    tasks = max(1, -(-links.count() // LINKS))
+    near = cut(links.select("a", "b").coalesce(tasks).mapInArrow(*joined(dict(links.dtypes)["a"])))
+    if tasks == 1:
+        return near
+    edges = near.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    edges = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(near.groupBy("node").agg(F.min("label").alias("label")))
+    none = F.lit(None).cast(dict(links.dtypes)["a"]).alias("old")
+    least = lambda rows: rows.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
     while True:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        ahead = new.select(F.col("node").alias("label"), F.col("label").alias("ahead"))
-        new = cut(new.join(ahead, "label", "left").select("node", "old", F.least("label", F.coalesce("ahead", "label")).alias("label")))
+        sent = edges.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label", none)
+        new = least(labels.select("node", "label", F.col("label").alias("old")).unionByName(sent))
+        ahead = new.select(F.col("node").alias("label"), F.col("label").alias("ahead")).join(new.select("node", "label"), "label")
+        new = cut(least(new.unionByName(ahead.select("node", F.col("ahead").alias("label"), none))))
         changed = new.where(F.col("old") != F.col("label")).limit(1).count()
         labels = new.select("node", "label")
         if not changed:
