@@ -84,18 +84,21 @@ class AttentionModel:
         mean = most(self.vectors @ p["v"]) + most(p["place"] @ p["v"])
         self.far = most(self.vectors @ p["out"] + self.follow) + mean * float(np.abs(p["o"] @ p["out"]).sum(0).max()) > 40
 
-    def _attend(self, x: np.ndarray):
-        """What each place takes from those up to it: queries, keys, values with a one, weights, their sums, the mean."""
+    def _attend(self, x: np.ndarray, begin: int = 0):
+        """What each place from `begin` on takes from those up to it: queries, keys, values with a one, weights, their sums,
+        the mean."""
         flat, scale = x.reshape(-1, DIMS), x.dtype.type(DIMS**-0.5)
-        q = (flat @ (self.p["q"] * scale)).reshape(x.shape)
+        own = x[:, begin:]
+        q = (own.reshape(-1, DIMS) @ (self.p["q"] * scale)).reshape(own.shape)
         k = np.ascontiguousarray((flat @ self.p["k"]).reshape(x.shape).transpose(0, 2, 1))
-        v = (flat @ np.pad(self.p["v"], ((0, 0), (0, 1)))).reshape(*x.shape[:2], DIMS + 1)
+        v = np.empty((*x.shape[:2], DIMS + 1), x.dtype)
+        v[..., :DIMS] = (flat @ self.p["v"]).reshape(x.shape)
         v[..., DIMS] = 1
         a = q @ k
         if self.steep:
             np.clip(a, -60, 60, out=a)  # within what exponentials can hold
         np.exp(a, out=a)
-        a *= self.mask
+        a *= self.mask[begin:]
         s = a @ v
         return q, k, v, a, s[..., DIMS:], s[..., :DIMS] / s[..., DIMS:]
 
@@ -132,8 +135,8 @@ class AttentionModel:
         g = {"out": h.T @ d}
         dh = d @ p["out"].T
         g["o"] = flat(o).T @ dh
-        do = (dh @ np.pad(p["o"].T, ((0, 0), (0, 1)))).reshape(v.shape)
-        do[..., :DIMS] /= z
+        do = np.empty(v.shape, x.dtype)
+        np.divide((dh @ p["o"].T).reshape(o.shape), z, out=do[..., :DIMS])
         do[..., DIMS] = -np.einsum("bid,bid->bi", do[..., :DIMS], o)
         dv = flat(a.transpose(0, 2, 1) @ do[..., :DIMS])
         ds = do @ v.transpose(0, 2, 1)
@@ -155,11 +158,19 @@ class AttentionModel:
         flat = np.concatenate([x for t in texts for x in ([self.end], t)] + [np.full(WINDOW + 1, self.end)]).astype(np.int32)
         begin = np.cumsum(n) - n
         text, first, scored = windows_of(n, overlap)
-        for a in range(0, len(text), size):
-            own = text[a : a + size]
-            at = first[a : a + size, None] + np.arange(WINDOW + 1)
+        if overlap:  # windows that begin a text come first, side by side, so that the others' batches have no such
+            by = np.argsort(first > 0, kind="stable")
+            text, first, scored = text[by], first[by], scored[by]
+            edge = int((first == 0).sum())
+            starts = [*range(0, edge, size), *range(edge, len(text), size)]
+        else:
+            edge, starts = 0, range(0, len(text), size)
+        for a in starts:
+            to = min(a + size, edge) if a < edge else a + size
+            own = text[a:to]
+            at = first[a:to, None] + np.arange(WINDOW + 1)
             run = flat[begin[own][:, None] + np.minimum(at, n[own][:, None])]
-            yield own, run[:, :-1], run[:, 1:], (at[:, :-1] < n[own][:, None]) & (at[:, :-1] >= scored[a : a + size, None])
+            yield own, run[:, :-1], run[:, 1:], (at[:, :-1] < n[own][:, None]) & (at[:, :-1] >= scored[a:to, None])
 
     def fit(self, texts: list[np.ndarray], rounds: int = 1) -> AttentionModel:
         """Steps over all tokens of the texts, in windows side by side, each as often as any other: once, or more where
@@ -171,7 +182,12 @@ class AttentionModel:
             return self
         _, ids, targets, real = data[0]
         c, t = self.kinds[ids].astype(np.uint16), self.classes[targets].astype(np.uint16)
-        m, v = ({n: np.zeros_like(w) for n, w in self.p.items()} for _ in range(2))
+        # The weights are views of one vector, which a step changes as a whole.
+        whole, at = np.concatenate([w.ravel() for w in self.p.values()]), 0
+        for name, w in self.p.items():
+            self.p[name] = whole[at : at + w.size].reshape(w.shape)
+            at += w.size
+        m, v = np.zeros_like(whole), np.zeros_like(whole)
         passes = max(1, -(-STEPS * STEP_WINDOWS // (rounds * len(ids))))
         order = np.concatenate([rng.permutation(len(ids)) for _ in range(passes)])
         for step, at in enumerate(range(0, len(order), STEP_WINDOWS), 1):
@@ -179,10 +195,10 @@ class AttentionModel:
                 self.measure()
             pick = order[at : at + STEP_WINDOWS]
             _, g = self.gradients(c[pick], t[pick], real[pick])
-            for name, d in g.items():
-                m[name] = 0.9 * m[name] + 0.1 * d
-                v[name] = 0.99 * v[name] + 0.01 * d * d
-                self.p[name] = self.p[name] - 0.01 * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
+            d = np.concatenate([g[name].ravel() for name in self.p])
+            m = 0.9 * m + 0.1 * d
+            v = 0.99 * v + 0.01 * d * d
+            whole -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return self
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -193,15 +209,18 @@ class AttentionModel:
         ones = np.ones(CLASSES, np.float32)
         self.measure()
         for own, ids, targets, real in self.batches(texts, BATCH):
-            c, t = self.kinds.take(ids), self.classes.take(targets).ravel()
+            c = self.kinds.take(ids)
             x = self.vectors.take(c, 0)
             x += p["place"]
-            o = self._attend(x)[-1]
-            flat = o.reshape(-1, DIMS) @ mixed
+            # Where no window begins a text, the places that repeat the window before are only looked at.
+            begin = 0 if real[:, 0].any() else OVERLAP
+            c, targets, real = c[:, begin:], targets[:, begin:], real[:, begin:]
+            t = self.classes.take(targets).ravel()
+            flat = self._attend(x, begin)[-1].reshape(-1, DIMS) @ mixed
             flat += seen.take(c.ravel(), 0)
             if self.far:
                 np.clip(flat, -60, 60, out=flat)
             logs = flat[np.arange(len(t)), t] + self.within.take(targets.ravel())
             logs -= np.log(np.exp(flat, out=flat) @ ones)
-            np.add.at(out, own, (logs.reshape(ids.shape) * real).sum(1, dtype=np.float64))
+            np.add.at(out, own, (logs.reshape(real.shape) * real).sum(1, dtype=np.float64))
         return out
