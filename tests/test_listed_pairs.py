@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_comparison import mixed  # noqa: F401  a fixture
 
 from helixframe.jobs.queries import QUERIES
+from helixframe.operators import alignments as L
 from helixframe.operators import contacts as K
 from helixframe.operators import descriptors as D
 from helixframe.operators.superpose import rmsd
@@ -68,3 +69,38 @@ def test_candidates_by_parts_of_cells(spark, mixed, monkeypatch, rows):  # noqa:
     assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
     assert shown(got) == shown(want) and len(shown(want)) > 20
     assert shown(D.descriptor_candidates(desc.where("structure_id = 's0'"), desc, e, 3.0)) == shown(want)
+
+
+@pytest.mark.parametrize("rows", [2, 1024])
+def test_motif_by_parts_of_cells(spark, monkeypatch, rows):
+    """Against all choices of runs, with a motif of three segments; and a query's best are found without numbering all."""
+    monkeypatch.setattr(D, "MOTIF_ROWS", rows)
+    rng = np.random.default_rng(6)
+    at = {s: rng.normal(size=(26, 3)) * 6 for s in "ab"}
+    point = lambda p: tuple(map(float, p))
+    mers = spark.createDataFrame([(s, i, i // 13, point(p)) for s, ps in at.items() for i, p in enumerate(ps)], "structure_id string, ind int, seg int, ca struct<x:double,y:double,z:double>")
+    segments = [at["a"][2:5], at["a"][15:17], at["a"][8:9]]
+    motif = spark.createDataFrame([(k, len(p), [point(x) for x in p]) for k, p in enumerate(segments)], "seg int, len int, points array<struct<x:double,y:double,z:double>>")
+    limit, want = 6.0, {}
+    runs = lambda n: [i for i in range(26 - n + 1) if i // 13 == (i + n - 1) // 13]
+    for s, ps in at.items():
+        for found in ((i, j, k) for i in runs(3) for j in runs(2) for k in runs(1)):
+            spans = [set(range(x, x + n)) for x, n in zip(found, (3, 2, 1), strict=True)]
+            if len(set().union(*spans)) < 6:
+                continue
+            sets, used = [ps[x : x + n] for x, n in zip(found, (3, 2, 1), strict=True)], (3, 5, 6)
+            fits = [D.placed_rmsd(np.concatenate(segments[:m]), np.concatenate(sets[:m])[None]) for m in (1, 2, 3)]
+            alone = all(D.placed_rmsd(segments[m], sets[m][None])[0][0] <= limit for m in (0, 1))
+            if alone and all(f[0][0] <= limit * (6 / n) ** 0.5 for f, n in zip(fits, used, strict=True)) and fits[2][1][0] <= limit:
+                want[s, found] = round(float(fits[2][0][0]), 6)
+    got = D.find_motif(motif, mers, limit)
+    assert {(r.structure_id, tuple(r.starts)): round(r.rmsd, 6) for r in got.collect()} == want and len(want) > 20
+    best = L.rank_matches(D.find_motif(motif, mers, limit, numbered=False), 3, "structure_id")
+    shown = lambda df: sorted((r.structure_id, r["rank"], tuple(r.starts)) for r in df.collect())
+    assert shown(best) == shown(L.rank_matches(got, 3, "structure_id"))
+
+
+def test_best_motifs_number_no_others(spark, sf_dir):
+    """All placements of a structure were sorted in one task before the best were taken."""
+    plan = QUERIES["c7_find_motif"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "match" not in plan
