@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import vec
 from helixframe.jobs.queries import QUERIES
+from helixframe.operators import contacts as K
 from helixframe.operators import descriptors as D
 
 
@@ -32,3 +33,29 @@ def test_fits_a_few_at_a_time(monkeypatch):
     want = D.fit_sums(*args)
     monkeypatch.setattr(D, "FITTED", 7)
     assert np.abs(D.fit_sums(*args) - want).max() < 1e-9
+
+
+@pytest.mark.parametrize("tiles", [1, 40, 10**9])
+def test_tiles_of_several_blocks(spark, monkeypatch, tiles):
+    """Each block met each other in a group of its own, so a mer was sent once for each block of its structure."""
+    monkeypatch.setattr(K, "LEAST_TILES", tiles)
+    rng = np.random.default_rng(5)
+    at = {(s, f, 3 * i): rng.normal(size=3) * 5 for s in "ab" for f in range(5) for i in range(40) if (i + f) % 11}
+    frames = spark.createDataFrame([(*k, tuple(map(float, p))) for k, p in at.items()], "structure_id string, frame int, ind int, p struct<x:double,y:double,z:double>")
+    criterion = K.by_distance("p", 8.0, 0.5)
+    cmap = K.contact_map(frames, K.Criterion(criterion.value, criterion.points, criterion.bounds), "frame")
+    shown = lambda df: sorted(tuple(r) for r in df.select("structure_id", "ind1", "ind2", "occurs").collect())
+    want = shown(K.frequency_map(cmap, frames))
+    for frame_block in (2, 9):
+        assert shown(K.contact_frequencies(frames, criterion, block=9, frame_block=frame_block)) == want and len(want) > 100
+    few = K.contact_frequencies(frames, criterion, of=F.col("ind") == 6, block=9, frame_block=2)
+    assert shown(few) == [r for r in want if r[1] == 6]
+    side = K._tiles(frames, F.col("frame").cast("long"), 9, 2)[0]
+    assert side == {1: 72, 40: 36, 10**9: 9}[tiles]
+
+
+@pytest.mark.parametrize("name", ["a5_frequency_map", "a6_frequency_map_from_maps"])
+def test_mers_are_sent_once_a_tile(spark, sf_dir, name):
+    """Both sides of a tile were sent, and a tile's result was one table."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "CoGroups" not in plan and "round(" not in plan
