@@ -8,6 +8,7 @@ from helixframe.functions import vec
 from helixframe.jobs.queries import QUERIES
 from helixframe.operators import contacts as K
 from helixframe.operators import descriptors as D
+from helixframe.operators import motion as Mo
 
 
 def test_rounding_without_decimals(spark):
@@ -59,3 +60,27 @@ def test_mers_are_sent_once_a_tile(spark, sf_dir, name):
     """Both sides of a tile were sent, and a tile's result was one table."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and "CoGroups" not in plan and "round(" not in plan
+
+
+@pytest.mark.parametrize("tiles", [1, 12])
+def test_correlation_in_tiles(spark, monkeypatch, tiles):
+    """Ids far apart; a row of each frame was sent once for each 1,024 ids."""
+    monkeypatch.setattr(Mo, "LEAST_TILES", tiles)
+    rng = np.random.default_rng(7)
+    a = {(1000 * i, f): float(rng.normal()) for i in range(30) for f in range(9) if rng.random() < 0.8}
+    df = spark.createDataFrame([(*k, v) for k, v in a.items()], "ind long, frame int, angle double")
+    edges, tasks, several = Mo._sides(df, 4, 5)
+    assert len(edges) == {1: 0, 12: 3}[tiles] and several
+    got = {(r.ind1, r.ind2): complex(r.re, r.im) for r in Mo.angle_correlation(df, df, mers=4, frames=5).collect()}
+    want = {}
+    for i in range(30):
+        for j in range(i + 1, 30):
+            both = [a[1000 * i, f] - a[1000 * j, f] for f in range(9) if (1000 * i, f) in a and (1000 * j, f) in a]
+            if both:
+                want[1000 * i, 1000 * j] = np.mean(np.exp(1j * np.array(both)))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_mers_of_a_correlation_are_sent_as_arrays(spark, sf_dir):
+    plan = QUERIES["m10_angle_correlation"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "CoGroups" not in plan
